@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.functions import text as T
+from folioflow.operators.ordering import with_rank
 from folioflow.session import materialise
 
 TRANSPARENT_TYPES = ("document", "group")
@@ -37,19 +38,24 @@ _TEXT_TOKENS = "array<struct<type string, content string, styles array<string>>>
 def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     """Every node of the trees (``doc, tree``) down to ``max_depth`` levels.
 
-    ``cut`` counts the children of a node that lie below the bound, so nothing is lost unseen.
+    ``cut`` counts the children of a node that lie below the bound, so nothing is lost unseen. ``block``
+    marks nodes with only wrappers above them.
     """
     roots = trees.select("doc", F.try_parse_json("tree").alias("_tree"))
     top = F.transform(
         F.try_variant_get("_tree", "$.tokens", "array<variant>"),
         lambda v, i: F.struct(
-            F.array(i).alias("path"), v.alias("node"), F.lit("").alias("parent_type"), F.lit("content").alias("slot")
+            F.array(i).alias("path"),
+            v.alias("node"),
+            F.lit("").alias("parent_type"),
+            F.lit("content").alias("slot"),
+            F.lit(True).alias("block"),
         ),
     )
     rows = roots.select("doc", F.explode(top).alias("n")).select("doc", "n.*").withColumn("open", F.lit(True))
     for _ in range(max_depth - 1):
         kids = F.when(F.col("open"), _children()).otherwise(F.array().cast(_kid_type()))
-        itself = F.array(F.struct("path", "node", "parent_type", "slot", F.lit(False).alias("open")))
+        itself = F.array(F.struct("path", "node", "parent_type", "slot", "block", F.lit(False).alias("open")))
         rows = rows.withColumn("_kids", kids).select(
             "doc",
             F.explode(
@@ -62,6 +68,7 @@ def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
                             k["node"].alias("node"),
                             k["parent_type"].alias("parent_type"),
                             k["slot"].alias("slot"),
+                            k["block"].alias("block"),
                             F.lit(True).alias("open"),
                         ),
                     ),
@@ -71,10 +78,7 @@ def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     cut = F.when(F.col("open"), F.size(_children())).otherwise(0)
     node = F.col("node")
     kind = F.try_variant_get(node, "$.type", "string")
-    content = F.when(
-        F.schema_of_variant(F.try_variant_get(node, "$.content", "variant")) == "STRING",
-        F.try_variant_get(node, "$.content", "string"),
-    )
+    content = _string_at(node, "content")
     title_tokens = F.try_variant_get(node, "$.content", _TEXT_TOKENS)
     return rows.select(
         "doc",
@@ -82,6 +86,8 @@ def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
         (F.size("path") - 1).alias("depth"),
         "slot",
         "parent_type",
+        (F.col("block") & ~F.coalesce(kind.isin(*TRANSPARENT_TYPES), F.lit(False))).alias("block"),
+        (F.col("block") & F.coalesce(kind.isin(*TRANSPARENT_TYPES), F.lit(False))).alias("wrapper"),
         kind.alias("type"),
         content.alias("text"),
         F.try_variant_get(node, "$.styles", "array<string>").alias("styles"),
@@ -91,10 +97,7 @@ def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
         F.try_variant_get(node, "$.depth", "int").alias("indent"),
         F.try_variant_get(node, "$.display", "string").alias("display"),
         F.try_variant_get(node, "$.cite_key", "string").alias("cite_key"),
-        F.when(
-            F.schema_of_variant(F.try_variant_get(node, "$.title", "variant")) == "STRING",
-            F.try_variant_get(node, "$.title", "string"),
-        ).alias("title_text"),
+        _string_at(node, "title").alias("title_text"),
         F.when(kind.isin("citation", "ref"), F.try_variant_get(node, "$.content", "array<string>")).alias("strings"),
         F.when(kind == "table", table_grid(node)).alias("grid"),
         F.when(kind.isin("table", "author"), F.to_json(node)).alias("raw"),
@@ -107,8 +110,14 @@ def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     )
 
 
+def _string_at(node: Column, field: str) -> Column:
+    """The field when it is a string; lists and objects would otherwise come back as JSON text."""
+    listed = F.try_variant_get(node, f"$.{field}", "array<variant>")
+    return F.when(listed.isNull(), F.try_variant_get(node, f"$.{field}", "string"))
+
+
 def _kid_type() -> str:
-    return "array<struct<path array<int>, node variant, parent_type string, slot string>>"
+    return "array<struct<path array<int>, node variant, parent_type string, slot string, block boolean>>"
 
 
 def _children() -> Column:
@@ -125,6 +134,7 @@ def _children() -> Column:
                     v.alias("node"),
                     kind.alias("parent_type"),
                     F.lit(field).alias("slot"),
+                    (F.col("block") & kind.isin(*TRANSPARENT_TYPES)).alias("block"),
                 ),
             ),
             F.array().cast(_kid_type()),
@@ -158,8 +168,7 @@ def first_seen_title(titles: DataFrame, key: str = "title", order: str = "path")
 
 def footnote_numbers(footnotes: DataFrame, order: str = "path") -> DataFrame:
     """Footnotes numbered per document in reading order."""
-    window = Window.partitionBy("doc").orderBy(order)
-    return footnotes.withColumn("number", F.row_number().over(window).cast("bigint"))
+    return with_rank(footnotes, [F.col(order).asc()], group=["doc"], rank="number")
 
 
 # --- pieces of text --------------------------------------------------------------------------
@@ -195,7 +204,7 @@ def table_grid(node: Column) -> Column:
         return F.when(cell.isNull() | F.is_variant_null(cell), F.lit("")).otherwise(
             F.coalesce(
                 F.array_join(F.transform(tokens, _token_text), ""),
-                F.when(is_object, F.coalesce(F.try_variant_get(cell, "$.content", "string"), F.lit(""))),
+                F.when(is_object, F.coalesce(_string_at(cell, "content"), F.lit(""))),
                 F.try_variant_get(cell, "$", "string"),
                 F.lit(""),
             )
@@ -234,9 +243,7 @@ def author_items(node: Column) -> Column:
         text = F.trim(F.coalesce(F.try_variant_get(m, "$.content", "string"), F.lit("")))
         styles = F.try_variant_get(m, "$.styles", "array<string>")
         raised = F.coalesce(F.array_contains(styles, "superscript"), F.lit(False))
-        title = F.coalesce(
-            F.try_variant_get(m, "$.title", "string"), _plain(F.try_variant_get(m, "$.title", _TEXT_TOKENS)), F.lit("")
-        )
+        title = F.coalesce(_plain(F.try_variant_get(m, "$.title", _TEXT_TOKENS)), _string_at(m, "title"), F.lit(""))
         return F.struct(
             F.when(kind == "url", F.lit("link"))
             .when((kind == "text") & raised, F.lit("mark"))
@@ -299,7 +306,7 @@ def render_authors(node: Column) -> Column:
 
 _NODE = (
     "type", "parent_type", "slot", "text", "styles", "level", "numbering", "name", "indent", "display", "cite_key",
-    "title_text", "strings", "grid", "raw", "authors", "note", "first_title", "depth",
+    "title_text", "strings", "grid", "raw", "authors", "note", "first_title", "depth", "block", "wrapper",
 )
 
 
@@ -398,7 +405,10 @@ def _node_text(ignore_reference: bool, clean_equations: bool) -> Column:
 
 
 def render_blocks(nodes: DataFrame, ignore_reference: bool = False, clean_equations: bool = False) -> DataFrame:
-    """Text of each top-level block: ``doc, path, type, md`` and ``notes``, the footnotes inside it."""
+    """Text of each block: ``doc, path, type, md`` and ``notes``, the footnotes inside it.
+
+    Wrappers have no text of their own; the nodes below them are the blocks.
+    """
     in_type = Window.partitionBy("doc", "type").orderBy("path")
     by_title = Window.partitionBy("doc", "type", "title_key").orderBy("path")
     numbered = (
@@ -413,7 +423,7 @@ def render_blocks(nodes: DataFrame, ignore_reference: bool = False, clean_equati
     kid_type = "array<struct<step int, slot string, type string, cite_key string, md string, notes array<struct<path array<int>, md string>>>>"
     rows = stored.withColumn("kids", F.array().cast(kid_type))
     for depth in range(deepest, 0, -1):
-        at_depth = F.col("node.depth") == depth
+        at_depth = (F.col("node.depth") == depth) & ~F.col("node.block") & ~F.col("node.wrapper")
         done = _with_text(rows, ignore_reference, clean_equations, no_notes)
         done = done.withColumns(
             {
@@ -441,7 +451,7 @@ def render_blocks(nodes: DataFrame, ignore_reference: bool = False, clean_equati
             F.col("_own.node").alias("node"),
             F.concat(F.col("_own.kids"), F.col("_new").cast(kid_type)).alias("kids"),
         )
-    done = _with_text(rows, ignore_reference, clean_equations, no_notes)
+    done = _with_text(rows.where("node.block"), ignore_reference, clean_equations, no_notes)
     return done.select("doc", "path", F.col("node.type").alias("type"), "md", "notes")
 
 

@@ -20,8 +20,13 @@ _UNIT = 1 << 20
 _WEIGHT_SCALE = 1e9
 
 
+def shuffle_order(seed: int) -> list[Column]:
+    return [uniform(f"{seed}:shuffle", "id"), F.col("id")]
+
+
 def shuffle_rows(df: DataFrame, seed: int) -> DataFrame:
-    return df.orderBy(uniform(f"{seed}:shuffle", "id"), "id")
+    """All rows in an order that depends on seed and id only."""
+    return df.orderBy(*shuffle_order(seed))
 
 
 def sample_background(unlabelled: DataFrame, n: int, seed: int) -> DataFrame:

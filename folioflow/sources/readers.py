@@ -77,18 +77,15 @@ def json_corpus(spark: SparkSession, directory: str, schema: str = DIGEST_SCHEMA
     Files whose stem ends in ``meta`` are left out before they are opened.
     """
     raw = (
-        spark.read.schema(schema + ", _corrupt_record string")
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", multi_line)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .json(directory)
+        spark.read.text(directory, wholetext=multi_line, recursiveFileLookup=True)
+        .where(F.col("_metadata.file_path").rlike(r"\.json(/[^/]*)?$"))
         .withColumn("source_file", source_name(r"\.json"))
-        .where(~F.col("source_file").endswith("meta.json"))
+        .where(~F.col("source_file").endswith("meta.json") & (F.trim("value") != ""))
     )
-    good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = raw.where(F.col("_corrupt_record").isNotNull()).select("source_file", F.col("_corrupt_record").alias("record"))
-    return good, bad
+    parsed = raw.withColumn("r", F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE"}))
+    readable = F.col("r._corrupt_record").isNull()
+    good = parsed.where(readable).select("r.*", "source_file").drop("_corrupt_record")
+    return good, parsed.where(~readable).select("source_file", F.col("value").alias("record"))
 
 
 def json_corpus_to_table(spark: SparkSession, directory: str, table: str, multi_line: bool = False) -> DataFrame:
@@ -101,10 +98,8 @@ def json_corpus_to_table(spark: SparkSession, directory: str, table: str, multi_
 def read_markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
     """One row per markdown file: ``id`` is the file stem."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+        .where(F.col("_metadata.file_path").rlike(r"\.md(/[^/]*)?$"))
         .select(F.regexp_extract(source_name(r"\.md"), r"^(.*)\.md$", 1).alias("id"), F.col("value").alias("text"))
     )
 
