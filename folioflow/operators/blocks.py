@@ -50,32 +50,16 @@ def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
             F.lit("").alias("parent_type"),
             F.lit("content").alias("slot"),
             F.lit(True).alias("block"),
+            F.lit(True).alias("open"),
         ),
     )
-    rows = roots.select("doc", F.explode(top).alias("n")).select("doc", "n.*").withColumn("open", F.lit(True))
+    rows = roots.select("doc", F.explode(top).alias("n")).select("doc", "n.*")
+    children = _children()
+    itself = F.array(F.struct("path", "node", "parent_type", "slot", "block", F.lit(False).alias("open")))
+    grown = F.when(F.col("open"), F.concat(itself, children)).otherwise(itself)
     for _ in range(max_depth - 1):
-        kids = F.when(F.col("open"), _children()).otherwise(F.array().cast(_kid_type()))
-        itself = F.array(F.struct("path", "node", "parent_type", "slot", "block", F.lit(False).alias("open")))
-        rows = rows.withColumn("_kids", kids).select(
-            "doc",
-            F.explode(
-                F.concat(
-                    itself,
-                    F.transform(
-                        "_kids",
-                        lambda k: F.struct(
-                            k["path"].alias("path"),
-                            k["node"].alias("node"),
-                            k["parent_type"].alias("parent_type"),
-                            k["slot"].alias("slot"),
-                            k["block"].alias("block"),
-                            F.lit(True).alias("open"),
-                        ),
-                    ),
-                )
-            ).alias("n"),
-        ).select("doc", "n.*")
-    cut = F.when(F.col("open"), F.size(_children())).otherwise(0)
+        rows = rows.select("doc", F.explode(grown).alias("n")).select("doc", "n.*")
+    cut = F.when(F.col("open"), F.size(children)).otherwise(0)
     node = F.col("node")
     kind = F.try_variant_get(node, "$.type", "string")
     content = _string_at(node, "content")
@@ -117,7 +101,7 @@ def _string_at(node: Column, field: str) -> Column:
 
 
 def _kid_type() -> str:
-    return "array<struct<path array<int>, node variant, parent_type string, slot string, block boolean>>"
+    return "array<struct<path array<int>, node variant, parent_type string, slot string, block boolean, open boolean>>"
 
 
 def _children() -> Column:
@@ -135,6 +119,7 @@ def _children() -> Column:
                     kind.alias("parent_type"),
                     F.lit(field).alias("slot"),
                     (F.col("block") & kind.isin(*TRANSPARENT_TYPES)).alias("block"),
+                    F.lit(True).alias("open"),
                 ),
             ),
             F.array().cast(_kid_type()),
@@ -409,22 +394,29 @@ def render_blocks(nodes: DataFrame, ignore_reference: bool = False, clean_equati
 
     Wrappers have no text of their own; the nodes below them are the blocks.
     """
+    found = materialise(nodes, "nodes")
+    deepest = found.agg(F.max("depth")).head()[0] or 0
+    # Only titles and footnotes are sorted; the other rows just join them.
+    marked = F.coalesce(F.col("type").isin("title", "footnote"), F.lit(False))
     in_type = Window.partitionBy("doc", "type").orderBy("path")
     by_title = Window.partitionBy("doc", "type", "title_key").orderBy("path")
     numbered = (
-        nodes.repartition("doc")
+        found.where(marked)
         .withColumn("note", F.when(F.col("type") == "footnote", F.row_number().over(in_type)))
         .withColumn("first_title", F.when(F.col("type") == "title", F.row_number().over(by_title) == 1))
+        .unionByName(found.where(~marked), allowMissingColumns=True)
     )
-    stored = materialise(numbered.select("doc", "path", F.struct(*_NODE).alias("node")), "nodes").repartition("doc")
-    deepest = stored.agg(F.max("node.depth")).head()[0] or 0
+    stored = numbered.select("doc", "path", F.struct(*_NODE).alias("node")).repartition("doc")
 
-    no_notes = F.array().cast("array<struct<path array<int>, md string>>")
+    md, notes = _node_columns(ignore_reference, clean_equations)
+    fields = [F.col(f"node.{c}").alias(c) for c in _NODE]
     kid_type = "array<struct<step int, slot string, type string, cite_key string, md string, notes array<struct<path array<int>, md string>>>>"
     rows = stored.withColumn("kids", F.array().cast(kid_type))
     for depth in range(deepest, 0, -1):
         at_depth = (F.col("node.depth") == depth) & ~F.col("node.block") & ~F.col("node.wrapper")
-        done = _with_text(rows, ignore_reference, clean_equations, no_notes)
+        done = rows.select("doc", "path", "node", "kids", *fields).select(
+            "doc", "path", "node", "kids", F.when(at_depth, md).alias("md"), F.when(at_depth, notes).alias("notes")
+        )
         done = done.withColumns(
             {
                 "_into": F.when(at_depth, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path")),
@@ -451,22 +443,21 @@ def render_blocks(nodes: DataFrame, ignore_reference: bool = False, clean_equati
             F.col("_own.node").alias("node"),
             F.concat(F.col("_own.kids"), F.col("_new").cast(kid_type)).alias("kids"),
         )
-    done = _with_text(rows.where("node.block"), ignore_reference, clean_equations, no_notes)
-    return done.select("doc", "path", F.col("node.type").alias("type"), "md", "notes")
+    done = rows.where("node.block").select("doc", "path", "kids", *fields)
+    return done.select("doc", "path", "type", md.alias("md"), notes.alias("notes"))
 
 
-def _with_text(rows: DataFrame, ignore_reference: bool, clean_equations: bool, no_notes: Column) -> DataFrame:
-    flat = rows.select("doc", "path", "node", "kids", *[F.col(f"node.{c}").alias(c) for c in _NODE])
-    kids = F.filter("kids", lambda k: k["slot"] == "content")
-    body = F.coalesce(F.col("text"), F.array_join(F.transform(kids, lambda k: k["md"]), ""))
+def _node_columns(ignore_reference: bool, clean_equations: bool) -> tuple[Column, Column]:
+    """Text and footnotes of a node, as expressions over its fields."""
+    no_notes = F.array().cast("array<struct<path array<int>, md string>>")
+    content = F.filter("kids", lambda k: k["slot"] == "content")
+    body = F.coalesce(F.col("text"), F.array_join(F.transform(content, lambda k: k["md"]), ""))
     own_note = F.struct(
         F.col("path"), F.concat(F.lit("[^"), F.col("note").cast("string"), F.lit("]: "), body).alias("md")
     )
     own = F.when(F.col("type") == "footnote", F.array(own_note)).otherwise(no_notes)
     notes = F.concat(own, F.flatten(F.transform("kids", lambda k: k["notes"])))
-    return flat.select(
-        "doc", "path", "node", "kids", _node_text(ignore_reference, clean_equations).alias("md"), notes.alias("notes")
-    )
+    return _node_text(ignore_reference, clean_equations), notes
 
 
 def assemble_document(blocks: DataFrame) -> DataFrame:

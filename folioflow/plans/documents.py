@@ -70,7 +70,7 @@ def document_trees(b: Bound) -> DataFrame:
         _text_token(F.col("source")),
         F.lit(']}]}, {"type": "widget"}]}]}'),
     )
-    return b.documents.select(F.col("id").alias("doc"), tree.alias("tree"))
+    return b.spread_documents.select(F.col("id").alias("doc"), tree.alias("tree"))
 
 
 PARTS_SQL = with_ctes("docs") + ", parts AS (SELECT id AS doc, lang, source, string_split(text, chr(10)) AS lines FROM docs)"
@@ -196,7 +196,7 @@ def table_nodes(b: Bound) -> DataFrame:
     token = F.concat(
         F.lit('{"content":[{"tabular":['), F.array_join(rows, ","), F.lit(']}],"numbering":"'), "n_chars", F.lit('","type":"table"}')
     )
-    return b.documents.select("id", F.parse_json(token).alias("node"), "n_chars")
+    return b.spread_documents.select("id", F.parse_json(token).alias("node"), "n_chars")
 
 
 @query(

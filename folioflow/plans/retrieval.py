@@ -17,7 +17,7 @@ INDEX_SQL = (
 
 
 def page_bodies(b: Bound) -> DataFrame:
-    return b.documents.select("id", "text")
+    return b.spread_documents.select("id", "text")
 
 
 @query("inverted_index", INDEX_SQL + " SELECT term, id, tf FROM idx")
