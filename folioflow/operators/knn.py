@@ -28,6 +28,7 @@ from folioflow.session import materialise
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
 MAX_PIVOTS = 1024
+MIN_CHUNK_ROWS = 256
 
 _EPS = np.finfo(np.float64).eps
 _RESULT = "q_id string, id string, dist double"
@@ -176,7 +177,7 @@ def _scan_base(queries: DataFrame, base: DataFrame, k: int, metric: str, exclude
 
 def _join_cells(queries: DataFrame, base: DataFrame, k: int, metric: str, exclude_self: bool, dim: int) -> DataFrame:
     spark = base.sparkSession
-    chunk_rows = max(256, BLOCK_BYTES // (8 * dim))
+    chunk_rows = max(MIN_CHUNK_ROWS, BLOCK_BYTES // (8 * dim))
     n_pivots = max(1, min(MAX_PIVOTS, BLOCK_BYTES // (8 * dim)))
     wanted = k + 1 if exclude_self else k
 
