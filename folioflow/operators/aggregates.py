@@ -41,10 +41,10 @@ def rank_to_preference(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(p) for p in PREFERENCES]), rank + 1)
 
 
-def owner_reaction_ranks(reactions: DataFrame, owner: str) -> DataFrame:
-    """Lowest reaction rank of the owner per id."""
+def owner_reaction_ranks(reactions: DataFrame, owner: str, key: str = "id") -> DataFrame:
+    """Lowest reaction rank of the owner per key."""
     own = reactions.where((F.col("login") == owner) & (F.col("content") != ""))
-    return own.groupBy("id").agg(F.min(reaction_rank(F.col("content"))).alias("rank"))
+    return own.groupBy(key).agg(F.min(reaction_rank(F.col("content"))).alias("rank"))
 
 
 def reaction_to_label(reactions: DataFrame, owner: str) -> DataFrame:

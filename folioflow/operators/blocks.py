@@ -147,8 +147,8 @@ def token_census(nodes: DataFrame) -> DataFrame:
 
 def first_seen_title(titles: DataFrame, key: str = "title", order: str = "path") -> DataFrame:
     """Only the first block with a given title per document."""
-    window = Window.partitionBy("doc", key).orderBy(order)
-    return titles.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
+    rest = F.struct(*[c for c in titles.columns if c not in ("doc", key)])
+    return titles.groupBy("doc", key).agg(F.min_by(rest, order).alias("_b")).select("doc", key, "_b.*")
 
 
 def footnote_numbers(footnotes: DataFrame, order: str = "path") -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.functions import text as T
+from folioflow.operators.aggregates import owner_reaction_ranks, rank_to_preference
+from folioflow.operators.filters import paper_id_filter
 
 ENRICHED_COLUMNS = ("score", "title", "authors", "abstract", "categories", "created", "updated")
 
@@ -76,6 +78,17 @@ def patch_labels(published: DataFrame, patch: DataFrame) -> DataFrame:
     )
 
 
+def labels_from_discussions(reactions: DataFrame, published_ids: DataFrame, owner: str) -> DataFrame:
+    """``id, preference`` of published papers from ``title, content, login`` rows.
+
+    Reactions are reduced to one rank per title before anything is joined, so a discussion holding a
+    third of them costs one row per task.
+    """
+    by_title = owner_reaction_ranks(reactions, owner, "title")
+    ranks = paper_id_filter(by_title, published_ids).groupBy("id").agg(F.min("rank").alias("rank"))
+    return ranks.select("id", rank_to_preference(F.col("rank")).alias("preference"))
+
+
 def merge_tables(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Full outer merge on ``id``: local values first, remote where local is null; local column order first."""
     if "id" not in local.columns:

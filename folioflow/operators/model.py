@@ -15,6 +15,7 @@ from folioflow.operators.aggregates import class_counts
 from folioflow.operators.filters import label_column
 from folioflow.operators.knn import knn_join
 from folioflow.operators.sampling import sample_background, systematic_draw
+from folioflow.session import materialise
 
 _SOFTENING = 1e-6
 _FLAT_RANGE = 1e-10
@@ -84,7 +85,7 @@ def difficulty_weights(positives: DataFrame, background: DataFrame, n_neighbors:
     """
     near = knn_join(positives, background, n_neighbors, **options)
     mean = near.groupBy(F.col("q_id").alias("id")).agg((F.sum("dist") / F.count(F.lit(1))).alias("distance"))
-    return with_difficulty(mean)
+    return with_difficulty(materialise(mean, "distances"))  # read three times; the search must run once
 
 
 def with_difficulty(distances: DataFrame) -> DataFrame:
@@ -148,11 +149,10 @@ def balanced_positives(positives: DataFrame, background: DataFrame, settings: Se
     if n_pos == 0 or n_resample + n_synthetic <= 0:
         return positives.select("id", F.lit("original").alias("kind"), "vector")
     # The vectors of an id are the same in all its draws.
-    vectors = positives.groupBy("id").agg(F.first("vector").alias("vector"))
-    mean = knn_join(vectors, background, settings.difficulty_neighbors, **options)
-    mean = mean.groupBy(F.col("q_id").alias("id")).agg((F.sum("dist") / F.count(F.lit(1))).alias("distance"))
-    rated = with_difficulty(mean)
+    vectors = materialise(positives.groupBy("id").agg(F.first("vector").alias("vector")), "vectors")
+    rated = difficulty_weights(vectors, background, settings.difficulty_neighbors, **options)
     rated_draws = positives.select("id", F.col("draw").alias("source_draw")).join(rated.select("id", "difficulty"), "id")
+    rated_draws = materialise(rated_draws, "rated-draws")
     key = ["id", "source_draw"]
     resampled = difficulty_resample(rated_draws, n_resample, settings.seed, key).join(vectors, "id")
     synthetic = smote_synthesize(rated_draws, vectors, n_synthetic, settings, key, **options)

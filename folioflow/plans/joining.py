@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioflow.functions import text as T
 from folioflow.functions.hashing import uniform
-from folioflow.operators import aggregates, filters, joins, knn, ranking, search
+from folioflow.operators import aggregates, joins, knn, ranking, search
 from folioflow.plans.bindings import (
     MODEL,
     OWNER,
@@ -138,7 +138,7 @@ def reaction_to_label(b: Bound) -> DataFrame:
     + " SELECT p.id, p.title, coalesce(n.preference, p.preference) AS preference FROM published p LEFT JOIN patch n ON p.id = n.id",
 )
 def patch_labels(b: Bound) -> DataFrame:
-    patch = aggregates.reaction_to_label(filters.paper_id_filter(b.reactions.drop("id"), b.published_ids), OWNER)
+    patch = joins.labels_from_discussions(b.reactions, b.published_ids, OWNER)
     return joins.patch_labels(b.published, patch).select("id", "title", "preference")
 
 

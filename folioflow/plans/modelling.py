@@ -125,7 +125,7 @@ def difficulty_weights(b: Bound) -> DataFrame:
     + " SELECT id, draw, round(distance, 6) AS distance FROM drawn",
 )
 def difficulty_resample(b: Bound) -> DataFrame:
-    rated = materialise(model.difficulty_weights(b.positives, b.background, SETTINGS.difficulty_neighbors), "rated")
+    rated = model.difficulty_weights(b.positives, b.background, SETTINGS.difficulty_neighbors)
     n_resample, _ = model.target_sizes(rated.count(), SETTINGS)
     drawn = model.difficulty_resample(rated, n_resample, SETTINGS.seed)
     return drawn.select("id", F.col("draw").cast("bigint").alias("draw"), F.round("distance", 6).alias("distance"))
@@ -155,7 +155,7 @@ def smote_sql(rated: str, vectors: str, n: str, key: tuple[str, ...] = ("id",))
 )
 def smote_synthesize(b: Bound) -> DataFrame:
     positives = materialise(b.positives, "positives")
-    rated = materialise(model.difficulty_weights(positives, b.background, SETTINGS.difficulty_neighbors), "rated")
+    rated = model.difficulty_weights(positives, b.background, SETTINGS.difficulty_neighbors)
     _, n_synthetic = model.target_sizes(rated.count(), SETTINGS)
     made = model.smote_synthesize(rated.select("id", "difficulty"), positives, n_synthetic, SETTINGS)
     v = F.col("vector")

@@ -13,8 +13,6 @@ from folioflow.operators.aggregates import upsert_keep_last
 from folioflow.session import materialise
 from folioflow.sources.readers import LABEL_SCHEMA
 
-PAGE_BUCKETS = 64
-
 
 def write_predictions(predictions: DataFrame, vector_columns: Sequence[str], path: str) -> None:
     predictions.drop(*vector_columns).write.mode("overwrite").parquet(path)
@@ -59,8 +57,6 @@ def render_pages(published: DataFrame) -> DataFrame:
     return published.where(F.col("id").isNotNull()).select("id", T.render_page().alias("page"))
 
 
-def write_pages(published: DataFrame, path: str, buckets: int = PAGE_BUCKETS) -> None:
-    """Pages in a fixed number of hash buckets instead of one file per row; the folder is cleared first."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-    pages = render_pages(published).withColumn("bucket", bucket)
-    pages.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_pages(published: DataFrame, path: str) -> None:
+    """Pages as a table instead of one file per row; the folder is cleared first. Rows stay where they are."""
+    render_pages(published).write.mode("overwrite").parquet(path)

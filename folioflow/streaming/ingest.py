@@ -38,7 +38,8 @@ def stream_upsert_labels(
     stream = spark.readStream.schema(REACTION_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(source)
 
     def ranks(batch: DataFrame) -> DataFrame:
-        return owner_reaction_ranks(paper_id_filter(flatten_reactions(batch), published_ids), owner)
+        by_title = owner_reaction_ranks(flatten_reactions(batch), owner, "title")
+        return paper_id_filter(by_title, published_ids).groupBy("id").agg(F.min("rank").alias("rank"))
 
     _run_batches(stream, ranks, log, checkpoint)
     return current_labels(spark, log)
