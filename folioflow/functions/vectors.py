@@ -28,9 +28,9 @@ def nan_to_zero(vector: Column | str) -> Column:
     return F.transform(column, lambda x: F.when(F.isnan(x), F.lit(0).cast("float")).otherwise(x))
 
 
-def concat_features(columns: Sequence[Column | str]) -> Column:
-    """The vectors side by side, in the given order, in double precision."""
-    parts = [(F.col(c) if isinstance(c, str) else c).cast("array<double>") for c in columns]
+def concat_features(columns: Sequence[Column | str], element: str = "double") -> Column:
+    """The vectors side by side, in the given order, in double precision unless asked otherwise."""
+    parts = [(F.col(c) if isinstance(c, str) else c).cast(f"array<{element}>") for c in columns]
     return F.concat(*parts)
 
 

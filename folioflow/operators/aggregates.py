@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.config import OTHER_REACTION_RANK, PREFERENCES, REACTION_RANK
 from folioflow.functions import posts as P
 from folioflow.functions import text as T
 from folioflow.functions import vectors as V
 from folioflow.operators.ordering import top_per_key
+from folioflow.session import materialise
 
 # Lower and upper bound of the score bands in the report; upper bounds are exclusive.
 SCORE_BANDS = ((0.0, 0.3), (0.3, 0.5), (0.5, 0.7), (0.7, 0.9), (0.9, 1.0))
@@ -63,17 +64,18 @@ def vector_quality(papers: DataFrame, columns: Sequence[str], samples: int = 5)
         "id", "year", "c.*"
     )
     bad = F.col("is_null") | F.col("has_nan")
+    rows = materialise(rows, "vector-checks")  # vectors are read once, flags twice
+    first_bad = (
+        top_per_key(rows.where(bad), samples, ["year", "vector"], [F.col("id")])
+        .groupBy("year", "vector")
+        .agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("bad_ids"))
+    )
     counts = rows.groupBy("year", "vector").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if("is_null").alias("null_vectors"),
         F.count_if("has_nan").alias("nan_vectors"),
         F.count_if(bad).alias("removed"),
     )
-    first_bad = (
-        top_per_key(rows.where(bad), samples, ["year", "vector"], [F.col("id")])
-        .groupBy("year", "vector")
-        .agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("bad_ids"))
-    )
     return counts.join(first_bad, ["year", "vector"], "left").withColumn(
         "removed_pct", F.round(F.col("removed") * 100.0 / F.col("rows"), 2)
     )
@@ -119,7 +121,7 @@ def resample_coverage(picks: DataFrame, parents: DataFrame, key: str = "id") ->
 def class_counts(rows: DataFrame, label: str = "label") -> DataFrame:
     """Balanced class weights: ``n / (classes * n_class)`` with two classes."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    total = counts.agg(F.sum("n_class")).scalar()
+    total = F.sum("n_class").over(Window.partitionBy(F.lit(0)))  # two rows
     return counts.withColumn("weight", total / (F.lit(2.0) * F.col("n_class")))
 
 
@@ -149,10 +151,9 @@ def unique_tags(posts: DataFrame) -> DataFrame:
 def extraction_stats(extracted: DataFrame) -> DataFrame:
     """Papers per method, each with the overall rate of papers that got a text."""
     counts = extracted.groupBy("method").agg(F.count(F.lit(1)).alias("papers"))
-    rate = counts.agg(
-        F.sum(F.when(F.col("method") != "failed", F.col("papers")).otherwise(0)) * 100.0 / F.sum("papers")
-    ).scalar()
-    return counts.withColumn("extraction_rate", F.round(rate, 1))
+    every = Window.partitionBy(F.lit(0))  # one row per method
+    found = F.sum(F.when(F.col("method") != "failed", F.col("papers")).otherwise(0)).over(every)
+    return counts.withColumn("extraction_rate", F.round(found * 100.0 / F.sum("papers").over(every), 1))
 
 
 def pivot_long_to_wide(long: DataFrame, variables: Sequence[str]) -> DataFrame:

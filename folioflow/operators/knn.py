@@ -25,7 +25,7 @@ from folioflow.functions.hashing import uniform
 from folioflow.operators.ordering import smallest, top_per_key
 from folioflow.session import materialise
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
 BLOCK_BYTES = 32 << 20
 MAX_PIVOTS = 1024
 MIN_CHUNK_ROWS = 256
@@ -42,12 +42,11 @@ def knn_join(
     exclude_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """``queries`` and ``base`` hold ``id`` and ``vector array<double>`` without nulls or NaN."""
-    first = queries.select(F.size("vector").alias("dim")).head()
-    if first is None or k <= 0:
+    """``queries`` and ``base`` hold ``id`` and ``vector`` (float or double arrays) without nulls or NaN."""
+    n_queries, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).head()
+    if n_queries == 0 or k <= 0:
         return _empty(queries)
-    dim = first["dim"]
-    query_bytes = queries.count() * dim * 8
+    query_bytes = n_queries * dim * 8
     if query_bytes <= broadcast_bytes:
         found = _scan_base(queries, base, k, metric, exclude_self)
     else:
@@ -55,6 +54,10 @@ def knn_join(
     return top_per_key(found, k, ["q_id"], [F.col("dist"), F.col("id")])
 
 
+def _vector_type(rows: DataFrame) -> str:
+    return rows.schema["vector"].dataType.simpleString()
+
+
 def _empty(queries: DataFrame) -> DataFrame:
     return queries.sparkSession.createDataFrame([], _RESULT + ", rank bigint")
 
@@ -213,7 +216,8 @@ def _join_cells(queries: DataFrame, base: DataFrame, k: int, metric: str, exclud
             )
 
     placed = materialise(
-        base.select("id", "vector").mapInArrow(place, "id string, vector array<double>, cell int, reach double"), "cells"
+        base.select("id", "vector").mapInArrow(place, f"id string, vector {_vector_type(base)}, cell int, reach double"),
+        "cells",
     )
 
     # At most n_pivots * wanted numbers: per cell its size, radius and smallest distances to the pivot.
@@ -256,7 +260,7 @@ def _join_cells(queries: DataFrame, base: DataFrame, k: int, metric: str, exclud
             )
 
     routed = materialise(
-        queries.select("id", "vector").mapInArrow(route, "id string, vector array<double>, cell int"), "visits"
+        queries.select("id", "vector").mapInArrow(route, f"id string, vector {_vector_type(queries)}, cell int"), "visits"
     )
     chunks = (
         routed.groupBy("cell")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.functions import vectors as V
 from folioflow.operators.ordering import smallest, top_per_key
+from folioflow.session import materialise
 
 
 def terms_of(text: Column) -> Column:
@@ -27,21 +30,34 @@ def inverted_index(pages: DataFrame) -> DataFrame:
 def keyword_search(pages: DataFrame, terms: Sequence[str], n: int) -> DataFrame:
     """The ``n`` best pages by the sum of ``tf * ln(N / df)`` over the query terms.
 
-    Only query terms are exploded, so the shuffle carries matches instead of the whole index.
+    Term counts are taken inside the row and stored once; the document frequencies are one aggregated
+    row, so texts are read once and nothing but the winners is moved.
     """
-    wanted = F.array(*[F.lit(t.lower()) for t in dict.fromkeys(terms)])
-    hits = pages.select("id", F.explode(F.filter(terms_of(F.col("text")), lambda t: F.array_contains(wanted, t))).alias("term"))
-    counted = hits.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    spread = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row per query term
-    n_pages = pages.agg(F.count(F.lit(1))).scalar()
-    scored = (
-        counted.join(F.broadcast(spread), "term")
-        .groupBy("id")
-        .agg(F.sum(F.col("tf") * F.ln(n_pages / F.col("df"))).alias("score"), F.count(F.lit(1)).alias("matched"))
+    wanted = list(dict.fromkeys(t.lower() for t in terms))
+    if not wanted:
+        raise ValueError("a search needs at least one term")
+    listed = F.array(*[F.lit(t) for t in wanted])
+    may_match = reduce(lambda a, b: a | b, [F.lower("text").contains(t) for t in wanted])
+    hits = pages.where(may_match).select(
+        "id", F.filter(terms_of(F.col("text")), lambda t: F.array_contains(listed, t)).alias("hits")
     )
+    counted = materialise(hits, "hits").where(F.size("hits") > 0)
+    counted = counted.select("id", *[_occurrences(t).alias(f"tf_{i}") for i, t in enumerate(wanted)])
+    spread = counted.agg(*[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))]).head()
+    n_pages = pages.count()
+    score, matched = F.lit(0.0), F.lit(0).cast("bigint")
+    for i in range(len(wanted)):
+        if spread[f"df_{i}"]:
+            score = score + F.col(f"tf_{i}") * F.lit(math.log(n_pages / spread[f"df_{i}"]))
+            matched = matched + (F.col(f"tf_{i}") > 0).cast("bigint")
+    scored = counted.select("id", score.alias("score"), matched.alias("matched"))
     return smallest(scored, n, [F.col("score").desc(), F.col("id")])
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("hits", lambda t: t == term))
+
+
 def token_overlap(left: Column, right: Column) -> Column:
     """Jaccard overlap of two token sets."""
     either = F.size(F.array_union(left, right))

@@ -225,7 +225,7 @@ class Bound:
     def background(self) -> DataFrame:
         """Unlabelled papers with vectors, NaN as zero."""
         rows = self.unlabelled.where(V.all_present(VECTORS)).withColumns({c: V.nan_to_zero(c) for c in VECTORS})
-        return rows.select("id", V.concat_features(VECTORS).alias("vector"))
+        return rows.select("id", V.concat_features(VECTORS, "float").alias("vector"))
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -262,7 +262,7 @@ COSINE_SQL = (
 
 
 def similar_papers(b: Bound) -> DataFrame:
-    vectors = b.papers.where(F.col("v2").isNotNull()).select("id", F.col("v2").cast("array<double>").alias("vector"))
+    vectors = b.papers.where(F.col("v2").isNotNull()).select("id", F.col("v2").alias("vector"))
     return knn.cosine_topn(vectors, vectors, 20)
 
 

@@ -10,6 +10,9 @@ from folioflow.plans.registry import query
 
 QUERY_TERMS = ("the", "eau", "und", "los", "their")
 
+# The terms are added in the given order, so equal pages get equal sums.
+SCORE_SQL = " + ".join(f"coalesce(sum(tf * idf) FILTER (term = '{t}'), 0)" for t in QUERY_TERMS)
+
 INDEX_SQL = (
     with_ctes("docs")
     + r""", idx AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM docs) WHERE term <> '' GROUP BY term, id)"""
@@ -28,9 +31,10 @@ def inverted_index(b: Bound) -> DataFrame:
 @query(
     "keyword_search",
     INDEX_SQL
-    + f""", hits AS (SELECT * FROM idx WHERE term IN {QUERY_TERMS}), df AS (SELECT term, count(*) AS df FROM hits GROUP BY term)
-    SELECT id, round(sum(tf * ln((SELECT count(*) FROM docs)::DOUBLE / df.df)), 6) AS score, count(*) AS matched FROM hits JOIN df USING (term)
-    GROUP BY id ORDER BY sum(tf * ln((SELECT count(*) FROM docs)::DOUBLE / df.df)) DESC, id LIMIT 20""",
+    + f""", hits AS (SELECT * FROM idx WHERE term IN {QUERY_TERMS}),
+    idf AS (SELECT term, ln((SELECT count(*) FROM docs)::DOUBLE / count(*)) AS idf FROM hits GROUP BY term),
+    rated AS (SELECT id, {SCORE_SQL} AS score, count(*) AS matched FROM hits JOIN idf USING (term) GROUP BY id)
+    SELECT id, round(score, 6) AS score, matched FROM rated ORDER BY score DESC, id LIMIT 20""",
 )
 def keyword_search(b: Bound) -> DataFrame:
     return search.keyword_search(page_bodies(b), QUERY_TERMS, 20).withColumn("score", F.round("score", 6))

@@ -115,3 +115,10 @@ def test_equal_distances_give_equal_weights(spark):
 def test_target_sizes():
     assert model.target_sizes(169, Settings()) == (169, 169)
     assert model.target_sizes(3, Settings(pos_sampling_ratio=1.0)) == (2, 1)
+
+
+def test_large_background_draws_pick_the_same_rows(spark, monkeypatch):
+    df = scored(spark, [0.1] * 50)
+    whole = rows(sampling.sample_background(df, 20, 42))
+    monkeypatch.setattr(sampling, "WIDE_TOPK", 5)
+    assert rows(sampling.sample_background(df, 20, 42)) == whole
