@@ -14,12 +14,12 @@ from folioflow.plans.registry import all_queries
 from folioflow.session import local_session
 
 HEADLINE = (
-    "recommend",
-    "recommend_fixed",
-    "fit_logistic",
-    "training_set",
     "score_papers",
     "adaptive_quota",
+    "training_set",
+    "fit_logistic",
+    "recommend_fixed",
+    "recommend",
     "knn_join",
     "cosine_topn",
     "rescore_topn",

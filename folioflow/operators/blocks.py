@@ -55,8 +55,9 @@ def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     )
     rows = roots.select("doc", F.explode(top).alias("n")).select("doc", "n.*")
     children = _children()
-    itself = F.array(F.struct("path", "node", "parent_type", "slot", "block", F.lit(False).alias("open")))
-    grown = F.when(F.col("open"), F.concat(itself, children)).otherwise(itself)
+    closed = F.struct("path", _without_children(F.col("node")).alias("node"), "parent_type", "slot", "block", F.lit(False).alias("open"))
+    itself = F.struct("path", "node", "parent_type", "slot", "block", "open")
+    grown = F.when(F.col("open"), F.concat(F.array(closed), children)).otherwise(F.array(itself))
     for _ in range(max_depth - 1):
         rows = rows.select("doc", F.explode(grown).alias("n")).select("doc", "n.*")
     cut = F.when(F.col("open"), F.size(children)).otherwise(0)
@@ -100,6 +101,22 @@ def _string_at(node: Column, field: str) -> Column:
     return F.when(listed.isNull(), F.try_variant_get(node, f"$.{field}", "string"))
 
 
+def _without_children(node: Column) -> Column:
+    """The node's own fields: once its children are rows, carrying them along would copy the subtree per level."""
+    kind = F.try_variant_get(node, "$.type", "string")
+    own = F.to_variant_object(
+        F.struct(
+            kind.alias("type"),
+            _string_at(node, "content").alias("content"),
+            _string_at(node, "title").alias("title"),
+            F.try_variant_get(node, "$.level", "int").alias("level"),
+            F.try_variant_get(node, "$.depth", "int").alias("depth"),
+            *[F.try_variant_get(node, f"$.{f}", "string").alias(f) for f in ("numbering", "name", "cite_key")],
+        )
+    )
+    return F.when(kind.isin(*_LEAF_TYPES, "title", "table"), node).otherwise(own)
+
+
 def _kid_type() -> str:
     return "array<struct<path array<int>, node variant, parent_type string, slot string, block boolean, open boolean>>"
 

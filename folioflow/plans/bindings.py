@@ -153,7 +153,7 @@ class Bound:
     @cached_property
     def digests(self) -> DataFrame:
         """A full digest record per document."""
-        return self.documents.select(
+        return self.spread_documents.select(
             "doc_id",
             "title",
             F.array(F.concat("source", F.lit(" team")), F.concat(F.lit("Author "), "lang")).alias("authors"),

@@ -16,7 +16,7 @@ from folioflow.plans.scans import INSTRUCTION, page_sql
 @query("slugify", with_ctes("docs") + f" SELECT id, {SLUG_SQL.format('text')} AS slug FROM docs")
 def slugify(b: Bound) -> DataFrame:
     """Whole texts in lower case: the SQL side cannot split at case borders."""
-    return b.documents.select("id", T.slugify(F.lower("text")).alias("slug"))
+    return b.spread_documents.select("id", T.slugify(F.lower("text")).alias("slug"))
 
 
 @query(
@@ -57,12 +57,12 @@ def strip_references(b: Bound) -> DataFrame:
         .otherwise(F.concat(F.lit(" # Referenz"), F.col("text")))
     )
     body = T.strip_references(F.concat("text", tail))
-    return b.documents.select("id", F.md5(body).alias("body_md5"), F.length(body).cast("bigint").alias("body_length"))
+    return b.spread_documents.select("id", F.md5(body).alias("body_md5"), F.length(body).cast("bigint").alias("body_length"))
 
 
 @query("count_tokens", with_ctes("docs") + r" SELECT id, len(regexp_extract_all(text, '\S+'))::BIGINT AS tokens FROM docs")
 def count_tokens(b: Bound) -> DataFrame:
-    return b.documents.select("id", T.count_tokens(F.col("text")).alias("tokens"))
+    return b.spread_documents.select("id", T.count_tokens(F.col("text")).alias("tokens"))
 
 
 TOKEN_LIMIT = 200
@@ -76,7 +76,7 @@ TOKEN_LIMIT = 200
         || '[...content too long, middle part omitted...]' || chr(10) || chr(10) || array_to_string(tokens[len(tokens) - 59:], '') END AS text FROM t""",
 )
 def truncate_middle(b: Bound) -> DataFrame:
-    return b.documents.select("id", T.truncate_middle(F.col("text"), TOKEN_LIMIT).alias("text"))
+    return b.spread_documents.select("id", T.truncate_middle(F.col("text"), TOKEN_LIMIT).alias("text"))
 
 
 @query(
@@ -213,7 +213,7 @@ def month_key(b: Bound) -> DataFrame:
 def clean_equation(b: Bound) -> DataFrame:
     body = F.concat(F.lit(r"\frac[x]{a}{b}"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(r" $$y$ \f{x}"))
     block = F.col("lang") == "en"
-    return b.documents.select(
+    return b.spread_documents.select(
         "id",
         T.clean_equation(body, block, clean=True).alias("cleaned"),
         F.md5(T.clean_equation(body, block)).alias("kept_md5"),

@@ -19,6 +19,7 @@ def local_session(cores: str = "8", app_name: str = "folioflow", **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call sites: plans build faster
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import blocks
@@ -16,9 +15,16 @@ def nodes(spark, *tokens, depth=8):
     return blocks.token_nodes(trees, depth)
 
 
+def rendered_all(spark, cases, **options):
+    """Text of each list of tokens; all of them in one job."""
+    trees = spark.createDataFrame([(str(i), json.dumps({"tokens": c})) for i, c in enumerate(cases)], "doc string, tree string")
+    found = blocks.assemble_document(blocks.render_blocks(blocks.token_nodes(trees), **options)).collect()
+    texts = {r["doc"]: r["text"] for r in found}
+    return [texts.get(str(i)) for i in range(len(cases))]
+
+
 def rendered(spark, *tokens, **options):
-    found = blocks.assemble_document(blocks.render_blocks(nodes(spark, *tokens), **options)).collect()
-    return found[0]["text"] if found else None
+    return rendered_all(spark, [list(tokens)], **options)[0]
 
 
 def test_wrappers_are_transparent_and_unknown_types_are_reported(spark):
@@ -56,20 +62,19 @@ def test_sections_lists_and_notes(spark):
     assert "[a, b" not in rendered(spark, section, ignore_reference=True)
 
 
-def test_titles_repeat_once(spark):
-    assert rendered(spark, {"type": "title", "content": "A"}, {"type": "title", "content": [text("A")]}, {"type": "title", "content": "B"}) == "# A\n# B\n"
-
-
 def test_small_pieces(spark):
     caption = {"type": "caption", "content": [text("c", "bold")]}
-    assert rendered(spark, {"type": "figure", "numbering": "3", "content": [{"type": "g"}, caption]}) == "[Figure 3]: <b>c</b>\n"
-    assert rendered(spark, {"type": "figure", "content": [{"type": "g"}]}) == ""
-    assert rendered(spark, {"type": "math_env", "content": " \\begin{x} "}, {"type": "math_env", "content": [text(" y ")]}) == "$$ \\begin{x} $$\ny\n"
-    assert rendered(spark, {"type": "abstract", "content": []}) == ""
     book = {"type": "bibliography", "content": [{"cite_key": "k", "content": [text("b")]}]}
-    assert rendered(spark, book) == "## References\n[k]: b\n"
+    cases = {
+        "[Figure 3]: <b>c</b>\n": [{"type": "figure", "numbering": "3", "content": [{"type": "g"}, caption]}],
+        "": [{"type": "figure", "content": [{"type": "g"}]}, {"type": "abstract", "content": []}],
+        "$$ \\begin{x} $$\ny\n": [{"type": "math_env", "content": " \\begin{x} "}, {"type": "math_env", "content": [text(" y ")]}],
+        "## References\n[k]: b\n": [book],
+        "[sec]$x$": [{"type": "ref", "content": ["sec"]}, {"type": "equation", "content": "x"}],
+        "# A\n# B\n": [{"type": "title", "content": "A"}, {"type": "title", "content": [text("A")]}, {"type": "title", "content": "B"}],
+    }
+    assert rendered_all(spark, list(cases.values())) == list(cases)
     assert rendered(spark, book, ignore_reference=True) == "<!-- Unknown token type: bibliography -->"
-    assert rendered(spark, {"type": "ref", "content": ["sec"]}, {"type": "equation", "content": "x"}) == "[sec]$x$"
 
 
 def test_tables(spark):
@@ -77,28 +82,30 @@ def test_tables(spark):
         return {"type": "table", "numbering": "1", "content": [{"type": "tabular", "tabular": grid}, {"type": "caption", "content": [text("cap")]}], **extra}
 
     grid = [[{"content": [text("a", "bold"), {"type": "equation", "content": "x"}]}, None], [{"content": "c"}, [text("d")]], ["e", 5]]
-    assert rendered(spark, table(grid)) == "[Table 1]: cap\n| <b>a</b>$x$ |  |\n|---|---|\n| c | d |\n| e | 5 |\n"
-    assert rendered(spark, table(grid[:1])) == ""
-    assert rendered(spark, table([["a|b"], ["c"]])) == "[Table 1]: cap\n| a|b |\n|---|---|\n| c |\n"
-    spanned = rendered(spark, table([[{"content": "a", "rowspan": 2}], ["b"]]))
+    spanning = table([[{"content": "a", "rowspan": 2}], ["b"]])
+    plain, single, barred, spanned, empty = rendered_all(
+        spark, [[table(grid)], [table(grid[:1])], [table([["a|b"], ["c"]])], [spanning], [{"type": "table", "content": []}]]
+    )
+    assert plain == "[Table 1]: cap\n| <b>a</b>$x$ |  |\n|---|---|\n| c | d |\n| e | 5 |\n"
+    assert single == ""
+    assert barred == "[Table 1]: cap\n| a|b |\n|---|---|\n| c |\n"
     assert spanned.startswith("[Table 1]: cap\nFollowing table is represented in JSON:\n```json\n{") and '"rowspan":2' in spanned
-    assert "```json" in rendered(spark, {"type": "table", "content": []})
-
-
-@pytest.mark.parametrize(
-    "content, line",
-    [
-        ([[text("A"), text("1", "superscript"), text("2", "superscript"), text(", B"), text("3", "superscript")]], "<b>A</b><sup>1,2</sup>, <b>B</b><sup>3</sup>"),
-        ([text("A"), text("B")], "<b>A</b>, <b>B</b>"),
-        ([[text("A"), text(","), text("B"), text(";")]], "<b>A</b>, <b>B</b>"),
-        ([[text("A"), {"type": "url", "content": "u", "title": [text("t")]}]], "<b>A</b>[t](u)"),
-        ([[text("1", "superscript"), text("A")]], "<sup>1</sup><b>A</b>"),
-        ([], ""),
-    ],
-)
-def test_authors(spark, content, line):
-    expected = f"## Authors\n{line}\n" if line else ""
-    assert rendered(spark, {"type": "author", "content": content}) == expected
+    assert "```json" in empty
+
+
+AUTHORS = [
+    ([[text("A"), text("1", "superscript"), text("2", "superscript"), text(", B"), text("3", "superscript")]], "<b>A</b><sup>1,2</sup>, <b>B</b><sup>3</sup>"),
+    ([text("A"), text("B")], "<b>A</b>, <b>B</b>"),
+    ([[text("A"), text(","), text("B"), text(";")]], "<b>A</b>, <b>B</b>"),
+    ([[text("A"), {"type": "url", "content": "u", "title": [text("t")]}]], "<b>A</b>[t](u)"),
+    ([[text("1", "superscript"), text("A")]], "<sup>1</sup><b>A</b>"),
+    ([], ""),
+]
+
+
+def test_authors(spark):
+    made = rendered_all(spark, [[{"type": "author", "content": content}] for content, _ in AUTHORS])
+    assert made == [f"## Authors\n{line}\n" if line else "" for _, line in AUTHORS]
 
 
 def test_footnotes_of_one_large_document(spark):
