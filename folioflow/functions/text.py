@@ -123,6 +123,15 @@ def float_text(value: Column) -> Column:
     return F.round(value, 6).cast("decimal(18,6)").cast("string")
 
 
+def once(value: Column) -> Column:
+    """A generated column with the one value, for parsing that later filters look at.
+
+    Spark pushes a filter below a projection by repeating the expression in it; it does not push it
+    below a generator, so each row is parsed once.
+    """
+    return F.explode(F.array(value))
+
+
 def json_scalar(value: Column) -> Column:
     """JSON text of one value; null gives ``null``."""
     wrapped = F.to_json(F.array(value))

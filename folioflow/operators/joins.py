@@ -118,9 +118,9 @@ def correlate_responses(
         "idx",
         "line",
         F.coalesce("_id", F.concat(F.lit("unknown_"), F.col("idx").cast("string"))).alias("id"),
-        T.response_text(F.col("line")).alias("_payload"),
+        T.once(T.response_text(F.col("line"))).alias("_payload"),
     )
-    parsed = joined.withColumn("_summary", T.parse_summary(F.col("_payload")))
+    parsed = joined.select("idx", "line", "id", "_payload", T.once(T.parse_summary(F.col("_payload"))).alias("_summary"))
     good = F.col("_payload").isNotNull() & F.col("_summary._corrupt_record").isNull()
     summaries = parsed.where(good).select(
         "idx",

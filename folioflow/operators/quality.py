@@ -49,9 +49,8 @@ def keyword_conformance(papers: DataFrame, vocabulary: dict[str, Sequence[str]],
 _FIELD_TYPES = {name: ("array" if name in ("institution", "keywords") else "string") for name in T.SUMMARY_FIELDS}
 
 
-def summary_defects(payload: Column) -> Column:
-    """``malformed``, or the names of fields that are missing or of the wrong type."""
-    tree = F.try_parse_json(payload)
+def summary_defects(tree: Column) -> Column:
+    """``malformed``, or the names of fields that are missing or of the wrong type, of a parsed payload."""
     parsed = F.schema_of_variant(tree).startswith("OBJECT")
     problems = []
     for name, kind in _FIELD_TYPES.items():
@@ -65,7 +64,8 @@ def summary_defects(payload: Column) -> Column:
 
 def summary_conformance(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split ``id, payload`` into typed summaries and rejected rows with their ``defects``."""
-    checked = payloads.withColumn("defects", summary_defects(F.col("payload")))
+    trees = payloads.select("id", "payload", T.once(F.try_parse_json("payload")).alias("_tree"))
+    checked = trees.select("id", "payload", T.once(summary_defects(F.col("_tree"))).alias("defects"))
     good = checked.where(F.size("defects") == 0).select("id", T.parse_summary(F.col("payload")).alias("s"))
     bad = checked.where(F.size("defects") > 0).select("id", "defects")
     return good.select("id", *[F.col(f"s.{f}").alias(f) for f in T.SUMMARY_FIELDS]), bad

@@ -16,6 +16,11 @@ from folioflow.sources import readers, writers
 LABEL_FILE_SQL = """CASE WHEN d.updated < '2024-01-01' THEN 'init.csv' ELSE substr(d.updated, 1, 7) || '.csv' END"""
 
 
+def by_file(rows: DataFrame, file: str, key: str) -> DataFrame:
+    """Rows of a file side by side, so that a task writes few files; a large file is still split over tasks."""
+    return rows.repartitionByRange(F.col(file), F.xxhash64(key))
+
+
 @query(
     "scan_labels",
     with_ctes("docs", "label_rows")
@@ -25,7 +30,7 @@ def scan_labels(b: Bound) -> DataFrame:
     directory = scratch_path(b.spark, "labels")
     file = F.when(F.col("updated") < "2024-01-01", "init.csv").otherwise(F.concat(F.substring("updated", 1, 7), F.lit(".csv")))
     rows = b.labels.join(b.documents.select("id", "updated"), "id").select("id", "preference", file.alias("file"))
-    rows.write.option("header", True).partitionBy("file").csv(directory)
+    by_file(rows, "file", "id").write.option("header", True).partitionBy("file").csv(directory)
     return readers.scan_labels(b.spark, directory).select("id", "preference", "source_file")
 
 
@@ -62,8 +67,8 @@ def scan_papers_by_year(b: Bound) -> DataFrame:
     dated = b.documents.withColumn("year", F.lit(2016) + F.col("doc_id") % 10).select(
         "id", "title", "updated", "year", F.col("lang").alias("license")
     )
-    dated.where("year < 2020").drop("license").write.partitionBy("year").parquet(root)
-    dated.where("year >= 2020").write.mode("append").partitionBy("year").parquet(root)
+    by_file(dated.where("year < 2020").drop("license"), "year", "id").write.partitionBy("year").parquet(root)
+    by_file(dated.where("year >= 2020"), "year", "id").write.mode("append").partitionBy("year").parquet(root)
     first = readers.start_year(2026, SETTINGS.first_year, 2024, 2019)
     return readers.scan_papers_by_year(b.spark, root, first, 2026).select(
         "id", "title", "updated", F.col("year").cast("bigint").alias("year"), "license"
@@ -99,7 +104,7 @@ def json_corpus_to_table(b: Bound) -> DataFrame:
     source = b.documents.select("id", "source")
     file = F.concat("source", F.when(F.col("source") == "src0", "-meta").otherwise(""), F.lit(".json"))
     lines = b.digests.join(source, "id").select(broken.alias("value"), file.alias("file"))
-    lines.write.partitionBy("file").text(corpus)
+    by_file(lines, "file", "value").write.partitionBy("file").text(corpus)
     bad = readers.json_corpus_to_table(b.spark, corpus, table)
     good = b.spark.read.parquet(table)
     return good.select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folioflow.functions.text import once
+
 LABEL_SCHEMA = "id string, preference string"
 
 DIGEST_SCHEMA = (
@@ -82,7 +84,8 @@ def json_corpus(spark: SparkSession, directory: str, schema: str = DIGEST_SCHEMA
         .withColumn("source_file", source_name(r"\.json"))
         .where(~F.col("source_file").endswith("meta.json") & (F.trim("value") != ""))
     )
-    parsed = raw.withColumn("r", F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE"}))
+    record = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE"})
+    parsed = raw.select("source_file", "value", once(record).alias("r"))
     readable = F.col("r._corrupt_record").isNull()
     good = parsed.where(readable).select("r.*", "source_file").drop("_corrupt_record")
     return good, parsed.where(~readable).select("source_file", F.col("value").alias("record"))
