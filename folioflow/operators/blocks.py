@@ -61,28 +61,35 @@ def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     for _ in range(max_depth - 1):
         rows = rows.select("doc", F.explode(grown).alias("n")).select("doc", "n.*")
     cut = F.when(F.col("open"), F.size(children)).otherwise(0)
-    node = F.col("node")
-    kind = F.try_variant_get(node, "$.type", "string")
+    node, kind = F.col("node"), F.col("type")
+    typed = rows.withColumn("type", F.try_variant_get(node, "$.type", "string"))
     content = _string_at(node, "content")
     title_tokens = F.try_variant_get(node, "$.content", _TEXT_TOKENS)
-    return rows.select(
+    is_wrapper = F.coalesce(kind.isin(*TRANSPARENT_TYPES), F.lit(False))
+    is_text = F.coalesce(kind == "text", F.lit(False))
+
+    def field(name: str, of: str = "string") -> Column:
+        """A field that text tokens, the bulk of all nodes, do not have."""
+        return F.when(~is_text, F.try_variant_get(node, f"$.{name}", of))
+
+    return typed.select(
         "doc",
         "path",
         (F.size("path") - 1).alias("depth"),
         "slot",
         "parent_type",
-        (F.col("block") & ~F.coalesce(kind.isin(*TRANSPARENT_TYPES), F.lit(False))).alias("block"),
-        (F.col("block") & F.coalesce(kind.isin(*TRANSPARENT_TYPES), F.lit(False))).alias("wrapper"),
-        kind.alias("type"),
+        (F.col("block") & ~is_wrapper).alias("block"),
+        (F.col("block") & is_wrapper).alias("wrapper"),
+        "type",
         content.alias("text"),
-        F.try_variant_get(node, "$.styles", "array<string>").alias("styles"),
-        F.try_variant_get(node, "$.level", "int").alias("level"),
-        F.try_variant_get(node, "$.numbering", "string").alias("numbering"),
-        F.try_variant_get(node, "$.name", "string").alias("name"),
-        F.try_variant_get(node, "$.depth", "int").alias("indent"),
-        F.try_variant_get(node, "$.display", "string").alias("display"),
-        F.try_variant_get(node, "$.cite_key", "string").alias("cite_key"),
-        _string_at(node, "title").alias("title_text"),
+        F.when(is_text, F.try_variant_get(node, "$.styles", "array<string>")).alias("styles"),
+        field("level", "int").alias("level"),
+        field("numbering").alias("numbering"),
+        field("name").alias("name"),
+        field("depth", "int").alias("indent"),
+        field("display").alias("display"),
+        field("cite_key").alias("cite_key"),
+        F.when(~is_text, _string_at(node, "title")).alias("title_text"),
         F.when(kind.isin("citation", "ref"), F.try_variant_get(node, "$.content", "array<string>")).alias("strings"),
         F.when(kind == "table", table_grid(node)).alias("grid"),
         F.when(kind.isin("table", "author"), F.to_json(node)).alias("raw"),
