@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import coding, packing
-from folioflow.llm.common import table
+from folioflow.llm import coding, language, packing, quality, toxicity
+from folioflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +23,21 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return language.identify(docs, language.train(docs.where(~held_out)), held_out)
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    model = quality.train(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
+    return quality.grade(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 @query("op4_token_files")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.token_files(table(spark, sf_dir, "documents"))
@@ -31,3 +46,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.train(docs, labels.where(~held_out).select("doc_id", F.col("toxic").alias("label")))
+    return toxicity.severity(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
