@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import coding, language, mixing, packing, quality, toxicity
+from folioflow.llm import coding, graphann, language, mixing, multiindex, packing, quality, toxicity
 from folioflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.token_files(table(spark, sf_dir, "documents"))
 
 
+@query("op5_embedding_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
@@ -59,3 +64,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     model = toxicity.train(docs, labels.where(~held_out).select("doc_id", F.col("toxic").alias("label")))
     return toxicity.severity(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+@query("op10_graph_search")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graphann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
