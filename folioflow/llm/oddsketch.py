@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioflow.llm.common import text_slices
+from folioflow.llm.common import by_ids, text_slices
 from folioflow.llm.components import connected_components
 from folioflow.session import materialise
 
@@ -118,3 +118,99 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     schema = "doc_id bigint, n_shingles bigint, sig_a bigint, sig_b bigint, bands array<bigint>, sketch array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id`` and the full set of shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            sets = [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sets, type=pa.list_(pa.int64()))], names=["doc_id", "shingles"]
+            )
+
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+
+
+def _may_link() -> Column:
+    """Whether sets of ``n_a`` and ``n_b`` shingles with sketches ``s_a`` and ``s_b`` can be near enough."""
+    bits = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    near_size = F.lit(100) * F.least("n_a", "n_b") >= F.lit(PERCENT) * F.greatest("n_a", "n_b")
+    return near_size & (bits <= MOST_BITS)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) whose full sets reach the similarity."""
+    one, other = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"x_{c}")) for c in ("a", "b"))
+    common = F.size(F.array_intersect("x_a", "x_b"))
+    enough = F.lit(100) * common >= F.lit(PERCENT) * (F.size("x_a") + F.size("x_b") - common)
+    return pairs.select("a", "b").join(one, "a").join(other, "b").where(enough).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+
+    Documents link if 100 * intersection >= 75 * union of their sets of five-word shingles; see
+    ``shingles`` for short texts. Texts that are null or without words link with nothing; their component is
+    their own id and they are kept. A component is named by its smallest id. Rows that repeat an id count
+    as one document; rows without an id take the component of their text's class, if that has an id.
+    Other columns are not read; an empty table gives no rows.
+
+    Equal sets are one class, named by its smallest id. In every band bucket all classes are compared with
+    the bucket's smallest one; what these links do not connect is compared within the bucket across
+    components, by sketches inside the join, so neither step emits the pairs of a large group. All
+    candidates are confirmed on full sets, which are built again for the documents in shared buckets.
+    """
+    found = materialise(profiles(docs), "profiles")
+    classes = found.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("doc_id"))
+    classes = materialise(classes, "text-classes")
+    heads = (
+        found.join(classes, ["sig_a", "sig_b", "doc_id"])
+        .where("n_shingles > 2")  # smaller sets link with equal ones only
+        .select("doc_id", "n_shingles", "bands", "sketch")
+    )
+    heads = materialise(heads, "class-profiles")
+    spread = heads.select("doc_id", F.explode("bands").alias("bucket"))
+    buckets = spread.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last")
+    members = spread.join(materialise(buckets.select("bucket", "head"), "buckets"), "bucket")
+    members = materialise(members.select("bucket", "doc_id", "head"), "bucket-members")
+    shared = materialise(members.select("doc_id").distinct(), "shared-ids")
+    sets = shingle_sets(by_ids(docs, shared, "left_semi")).dropDuplicates(["doc_id"])
+    sets = materialise(sets, "shingle-sets")
+
+    traits = heads.join(shared, "doc_id").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
+    traits = materialise(traits, "sketches")
+    one, other = (
+        traits.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("a", "b")
+    )
+    stars = members.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = materialise(stars.join(one, "a").join(other, "b").where(_may_link()).select("a", "b"), "star-pairs")
+    links = materialise(_confirmed(stars, sets), "star-links")
+
+    parts = materialise(connected_components(links), "star-parts")
+    part = F.coalesce("component", "doc_id")
+    placed = members.select("bucket", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", part.alias("part"))
+    placed = materialise(placed, "bucket-parts")
+    torn = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
+    torn = materialise(placed.join(torn, "bucket").join(traits, "doc_id"), "torn-buckets")
+    one, other = (
+        torn.select("bucket", F.col("doc_id").alias(c), F.col("part").alias(f"p_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+        for c in ("a", "b")
+    )
+    across = one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("p_a") != F.col("p_b")) & _may_link())
+    across = across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    links = links.unionByName(_confirmed(materialise(across, "cross-pairs"), sets))
+
+    parts = connected_components(links).select(F.col("node").alias("doc_id"), "component")
+    named = classes.join(parts, "doc_id", "left").select("sig_a", "sig_b", F.coalesce("component", "doc_id").alias("component_id"))
+    return (
+        found.select("doc_id", "n_shingles", "sig_a", "sig_b")
+        .join(materialise(named, "text-components"), ["sig_a", "sig_b"], "left")
+        .select(
+            "doc_id",
+            "n_shingles",
+            F.coalesce("component_id", "doc_id").alias("component_id"),
+            F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+        )
+    )
