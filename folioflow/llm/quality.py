@@ -192,16 +192,20 @@ def grade(docs: DataFrame, model: Trees, kept: dict[str, Column], accepted: floa
     Whole texts are scored; null and empty texts are scored as texts without words. Each row is scored
     from its text alone, so repeated rows and clashing names of other columns do not matter.
     """
-    chosen = docs.select(*[c.alias(name) for name, c in kept.items()], F.col("text").cast("string").alias("_text"))
+    # The text travels once: as a kept column if it is one, else as a column that is dropped again.
+    shown = list(kept)
+    text = "text" if "text" in kept else "_text"
+    columns = kept if "text" in kept else kept | {"_text": F.col("text").cast("string")}
+    chosen = docs.select(*[c.alias(name) for name, c in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "_text"):
-            rows = np.array([statistics(t or "") for t in batch.column("_text").to_pylist()])
+        for batch in text_slices(batches, text):
+            rows = np.array([statistics(t or "") for t in batch.column(text).to_pylist()])
             scores = model.score(rows.reshape(batch.num_rows, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores), pa.array((scores >= accepted).astype(np.int32))],
-                names=[*batch.schema.names[:-1], "score", "predicted"],
+                [*batch.columns[: len(shown)], pa.array(scores), pa.array((scores >= accepted).astype(np.int32))],
+                names=[*batch.schema.names[: len(shown)], "score", "predicted"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[: len(shown)])
     return chosen.mapInArrow(run, f"{fields}, score double, predicted int")

@@ -176,25 +176,29 @@ def severity(docs: DataFrame, model: OrdinalModel, kept: dict[str, Column], toxi
     read; null and empty texts have no features and get the intercept. Sums are exact, so a result does
     not depend on the order of words in a set.
     """
-    chosen = docs.select(*[c.alias(name) for name, c in kept.items()], F.col("text").cast("string").alias("_text"))
+    # The text travels once: as a kept column if it is one, else as a column that is dropped again.
+    shown = list(kept)
+    text = "text" if "text" in kept else "_text"
+    columns = kept if "text" in kept else kept | {"_text": F.col("text").cast("string")}
+    chosen = docs.select(*[c.alias(name) for name, c in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Weights(model.weights)
-        for batch in text_slices(batches, "_text"):
-            margins = cache.margins([features(t or "") for t in batch.column("_text").to_pylist()])
+        for batch in text_slices(batches, text):
+            margins = cache.margins([features(t or "") for t in batch.column(text).to_pylist()])
             above = model.above(margins)
             edges = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
             likeliest = np.argmax(edges[:, :-1] - edges[:, 1:], axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:-1],
+                    *batch.columns[: len(shown)],
                     pa.array(above.sum(axis=1)),
                     pa.array(likeliest),
                     pa.array(above[:, 0]),
                     pa.array((above[:, 0] >= toxic).astype(np.int32)),
                 ],
-                names=[*batch.schema.names[:-1], "severity", "grade", "score", "predicted"],
+                names=[*batch.schema.names[: len(shown)], "severity", "grade", "score", "predicted"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[: len(shown)])
     return chosen.mapInArrow(run, f"{fields}, severity double, grade int, score double, predicted int")
