@@ -28,6 +28,9 @@ SKETCH_BITS = 512
 # (deviation 10); five deviations more lose fewer than one link in a million.
 MOST_BITS = 118
 
+# Classes of one chunk of a bucket; a block of work holds two chunks and their sets.
+BLOCK_ROWS = 512
+
 _SAMPLES = BANDS * BAND_ROWS
 _DRAW = np.random.default_rng(20_240)
 _FACTOR = (_DRAW.integers(1, 1 << 32, _SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -148,6 +151,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(other, "b").where(enough).select("a", "b")
 
 
+def _across(block: pa.Table) -> pa.Table:
+    """Confirmed links between different parts of a bucket, the likeliest pairs first, as few as connect them.
+
+    A block holds two chunks of a bucket (or one, with itself). A pair that shares several buckets is
+    compared in the first of them only.
+    """
+    table = block.combine_chunks()
+    same = table.column("chunk").to_numpy() == table.column("turn").to_numpy()
+    if same.any():
+        left = right = np.flatnonzero(same)
+    else:
+        low = table.column("chunk").to_numpy() < table.column("turn").to_numpy()
+        left, right = np.flatnonzero(low), np.flatnonzero(~low)
+    ids, parts = table.column("doc_id").to_numpy(), table.column("part").to_numpy()
+    sets = table.column("shingles").to_numpy()
+    sizes = np.array([len(x) for x in sets])
+    sketches = np.stack(table.column("sketch").to_numpy()).astype(np.int64).view(np.uint64)
+    bands = np.stack(table.column("bands").to_numpy()).astype(np.int64)
+    here = table.column("bucket")[0].as_py()
+    found: list[tuple[int, int, int]] = []
+    for at in left.tolist():
+        others = right[parts[right] != parts[at]]
+        bits = np.bitwise_count(sketches[others] ^ sketches[at]).sum(axis=1)
+        near = 100 * np.minimum(sizes[others], sizes[at]) >= PERCENT * np.maximum(sizes[others], sizes[at])
+        near &= (bits <= MOST_BITS) & ((ids[others] > ids[at]) if same.any() else (ids[others] != ids[at]))
+        others, bits = others[near], bits[near]
+        if len(others):
+            shared = (bands[others] == bands[at]).argmax(axis=1)
+            first = bands[at][shared] == here
+            found.extend(zip(bits[first].tolist(), [at] * int(first.sum()), others[first].tolist(), strict=True))
+    root = {p: p for p in set(parts.tolist())}
+
+    def top(part: int) -> int:
+        while root[part] != part:
+            root[part] = part = root[root[part]]
+        return part
+
+    links = []
+    for _, x, y in sorted(found):
+        p, q = top(int(parts[x])), top(int(parts[y]))
+        if p == q:
+            continue
+        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if 100 * common >= PERCENT * (sizes[x] + sizes[y] - common):
+            root[max(p, q)] = min(p, q)
+            links.append((int(ids[x]), int(ids[y])))
+    return pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}, schema=_PAIRS)
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -158,9 +213,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns are not read; an empty table gives no rows.
 
     Equal sets are one class, named by its smallest id. In every band bucket all classes are compared with
-    the bucket's smallest one; what these links do not connect is compared within the bucket across
-    components, by sketches inside the join, so neither step emits the pairs of a large group. All
-    candidates are confirmed on full sets, which are built again for the documents in shared buckets.
+    the bucket's smallest one. Buckets that these links do not connect are compared again across components,
+    in pairs of blocks of bounded size that return links only, so no step emits the pairs of a large group.
+    All candidates are confirmed on full sets, which are built again for the documents in shared buckets.
     """
     found = materialise(profiles(docs), "profiles")
     classes = found.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("doc_id"))
@@ -179,8 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = shingle_sets(by_ids(docs, shared, "left_semi")).dropDuplicates(["doc_id"])
     sets = materialise(sets, "shingle-sets")
 
-    traits = heads.join(shared, "doc_id").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
-    traits = materialise(traits, "sketches")
+    traits = heads.select("doc_id", "n_shingles", "sketch")
     one, other = (
         traits.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("a", "b")
     )
@@ -192,15 +246,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     part = F.coalesce("component", "doc_id")
     placed = members.select("bucket", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", part.alias("part"))
     placed = materialise(placed, "bucket-parts")
-    torn = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-    torn = materialise(placed.join(torn, "bucket").join(traits, "doc_id"), "torn-buckets")
-    one, other = (
-        torn.select("bucket", F.col("doc_id").alias(c), F.col("part").alias(f"p_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-        for c in ("a", "b")
-    )
-    across = one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("p_a") != F.col("p_b")) & _may_link())
-    across = across.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirmed(materialise(across, "cross-pairs"), sets))
+    torn = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"))
+    torn = torn.where("low < high AND n > 2")  # the ends of a bucket of two have been compared
+    torn = materialise(torn.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("chunks")), "torn-buckets")
+    chunk, turn = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = placed.join(torn, "bucket").select("bucket", "doc_id", "part", chunk.alias("chunk"), turn.alias("turn"))
+    rows = rows.join(heads.dropDuplicates(["doc_id"]).select("doc_id", "sketch", "bands"), "doc_id").join(sets, "doc_id")
+    blocks = rows.groupBy("bucket", F.least("chunk", "turn"), F.greatest("chunk", "turn"))
+    across = blocks.applyInArrow(_across, "a bigint, b bigint")
+    links = links.unionByName(materialise(across, "cross-links"))
 
     parts = connected_components(links).select(F.col("node").alias("doc_id"), "component")
     named = classes.join(parts, "doc_id", "left").select("sig_a", "sig_b", F.coalesce("component", "doc_id").alias("component_id"))
