@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from folioflow.functions.hashing import uniform
 
 # Python workers see at most this much text at once, whatever the size of an Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,16 +38,17 @@ def sample_by_id(rows: DataFrame, bound: int, tag: str) -> DataFrame:
     return rows.where(uniform(tag, "doc_id") < F.lit(rate)).limit(bound)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a slice holds about ``SLICE_BYTES`` of text, or one longer text."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that a slice holds about ``most`` bytes of text, or one longer text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes.astype(np.int64))
         start, before = 0, 0
         while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, end - start)
             start, before = end, int(ends[end - 1])
+        pa.default_memory_pool().release_unused()
 
 
 # Ids up to this number go to every task (16 bytes each); beyond it Spark shuffles both sides.
