@@ -26,7 +26,9 @@ LEAST_CHI_SQUARE = 25.0
 LEAST_DOCUMENTS = 4
 BEGINNINGS = (3, 4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 80_000
+# A set of features takes many times its text, so slices are smaller here.
+_SLICE_BYTES = 1 << 20
 
 
 def features(text: str) -> set[str]:
@@ -134,7 +136,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 20, seed: int =
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, most=_SLICE_BYTES):
         rows = [np.array(sorted(map(bucket, features(t or ""))), dtype="<i4").tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, type=pa.binary())], names=["label", "features"])
 
@@ -184,7 +186,7 @@ def severity(docs: DataFrame, model: OrdinalModel, kept: dict[str, Column], toxi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Weights(model.weights)
-        for batch in text_slices(batches, text):
+        for batch in text_slices(batches, text, _SLICE_BYTES):
             margins = cache.margins([features(t or "") for t in batch.column(text).to_pylist()])
             above = model.above(margins)
             edges = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
