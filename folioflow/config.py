@@ -29,6 +29,8 @@ class Settings:
 
     # Training.
     neg_sample_ratio: float = 5.0
+    confidence_weighting: bool = True
+    difficulty_sampling: bool = True
     confidence_threshold: float = 0.9
     confidence_weight: float = 2.0
     difficulty_neighbors: int = 5

@@ -22,13 +22,14 @@ def dedupe_labels(log: DataFrame, order: Sequence[Column]) -> DataFrame:
     return log.groupBy("id").agg(F.max_by("preference", F.struct(*order)).alias("preference"))
 
 
-def upsert_keep_last(existing: DataFrame, new: DataFrame, new_order: Sequence[Column] = ()) -> DataFrame:
-    """Old rows and new rows, the last one per id, sorted by id."""
-    step = F.struct(*new_order) if new_order else F.struct(F.lit(0).alias("step"))
-    old_rows = existing.groupBy("id").agg(F.max("preference").alias("preference"))
-    new_rows = new.groupBy("id").agg(F.max_by("preference", step).alias("preference"))
-    both = old_rows.withColumn("_src", F.lit(0)).unionByName(new_rows.withColumn("_src", F.lit(1)))
-    return both.groupBy("id").agg(F.max_by("preference", "_src").alias("preference")).orderBy("id")
+def upsert_keep_last(existing: DataFrame, new: DataFrame, old_order: Sequence[Column], new_order: Sequence[Column]) -> DataFrame:
+    """One preference per id: the last new row in ``new_order``, else the last old one in ``old_order``."""
+    both = (
+        dedupe_labels(existing, old_order)
+        .withColumn("_src", F.lit(0))
+        .unionByName(dedupe_labels(new, new_order).withColumn("_src", F.lit(1)))
+    )
+    return both.groupBy("id").agg(F.max_by("preference", "_src").alias("preference"))
 
 
 def reaction_rank(content: Column) -> Column:

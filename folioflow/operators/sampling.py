@@ -16,9 +16,6 @@ from folioflow.operators.ordering import smallest
 # Prefix sums run inside this many hash buckets, then over the bucket totals.
 PREFIX_BUCKETS = 1024
 
-# Draws up to this size carry whole rows, vectors included, through the sort.
-WIDE_TOPK = 2_000
-
 _UNIT = 1 << 20
 _WEIGHT_SCALE = 1e9
 
@@ -33,15 +30,14 @@ def shuffle_rows(df: DataFrame, seed: int) -> DataFrame:
 
 
 def sample_background(unlabelled: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` rows without replacement; all rows when there are fewer.
+    """The rows of ``n`` ids without replacement; all rows when there are fewer ids.
 
-    A large draw picks ids first and fetches their rows by a join, so vectors never sit in a sort.
+    Ids are drawn first and their rows fetched by a join, so vectors never sit in a sort, and a repeated
+    id is drawn once with all its rows, whatever ``n`` is.
     """
     known = unlabelled.where(F.col("id").isNotNull())
     order = [uniform(f"{seed}:bg", "id"), F.col("id")]
-    if n <= WIDE_TOPK:
-        return smallest(known, n, order)
-    return known.join(smallest(known.select("id"), n, order), "id", "left_semi")
+    return known.join(smallest(known.select("id").distinct(), n, order), "id", "left_semi")
 
 
 def weighted_key(tag: str, weight: Column, *keys: Column | str) -> Column:

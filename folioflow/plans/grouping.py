@@ -18,13 +18,15 @@ from folioflow.session import materialise
 @query(
     "upsert_keep_last",
     with_ctes("label_rows", "reactions")
-    + f""", log AS (SELECT id, preference, -1::BIGINT AS step FROM label_rows
-        UNION ALL SELECT id, ['like', 'dislike', 'neutral', 'unknown'][1 + {RANK_SQL}], event_id FROM reactions)
+    + f""", log AS (SELECT id, preference, -2::BIGINT AS step FROM label_rows
+        UNION ALL SELECT id, 'neutral', -1 FROM label_rows WHERE id LIKE '%3' UNION ALL SELECT id, ['like', 'dislike', 'neutral', 'unknown'][1 + {RANK_SQL}], event_id FROM reactions)
     SELECT id, preference, row_number() OVER (ORDER BY id) AS rank FROM (SELECT id, arg_max(preference, step) AS preference FROM log GROUP BY id)""",
 )
 def upsert_keep_last(b: Bound) -> DataFrame:
     new = b.reactions.withColumn("preference", aggregates.rank_to_preference(aggregates.reaction_rank(F.col("content"))))
-    merged = aggregates.upsert_keep_last(b.labels.select("id", "preference"), new, [F.col("event_id")])
+    first = b.labels.select("id", "preference", F.lit(-2).alias("step"))
+    later = b.labels.where("id LIKE '%3'").select("id", F.lit("neutral").alias("preference"), F.lit(-1).alias("step"))
+    merged = aggregates.upsert_keep_last(first.unionByName(later), new, [F.col("step")], [F.col("event_id")])
     return with_rank(merged, [F.col("id").asc()])
 
 

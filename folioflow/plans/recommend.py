@@ -26,17 +26,26 @@ def candidates(papers: DataFrame, labels: DataFrame, published: DataFrame, setti
 
 
 def train(labelled: DataFrame, rest: DataFrame, settings: Settings):
-    """First fit, confidence draw, difficulty draw with synthesis, final fit."""
+    """First fit, confidence draw, difficulty draw with synthesis, final fit.
+
+    With ``confidence_weighting`` off the positives go on as they are, with ``difficulty_sampling`` off
+    they are not replaced; with both off there is one fit.
+    """
     # The labelled papers are few; taking them out of the paper table once saves scans of all vectors.
     labelled = materialise(labelled.select("id", "preference", *settings.embedding_columns), "labelled")
     rows = materialise(model.training_set(labelled, rest, settings), "training")
-    first = model.fit_logistic(rows, settings)
+    if not (settings.confidence_weighting or settings.difficulty_sampling):
+        return model.fit_logistic(rows, settings)
     positives = rows.where("label = 1").select("id", F.col("features").alias("vector"))
-    rated = materialise(model.score_rows(first, positives, "vector"), "rated-positives")
-    draws = materialise(model.confidence_resample(rated, settings).select("id", "draw", "vector"), "draws")
+    if settings.confidence_weighting:
+        rated = model.score_rows(model.fit_logistic(rows, settings), positives, "vector")
+        draws = model.confidence_resample(materialise(rated, "rated-positives"), settings).select("id", "draw", "vector")
+    else:
+        draws = positives.select("id", F.lit(1).cast("bigint").alias("draw"), "vector")
+    draws = materialise(draws, "draws")
     columns = settings.embedding_columns
     background = filters.nan_to_zero(rest.select("id", *columns), columns).select("id", V.concat_features(columns, "float").alias("vector"))
-    balanced = model.balanced_positives(draws, background, settings)
+    balanced = model.balanced_positives(draws, background, settings) if settings.difficulty_sampling else draws
     final = rows.where("label = 0").select("label", "features").unionByName(
         balanced.select(F.lit(1).alias("label"), F.col("vector").alias("features"))
     )

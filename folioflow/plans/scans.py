@@ -153,8 +153,8 @@ def write_predictions(b: Bound) -> DataFrame:
 )
 def write_label_month(b: Bound) -> DataFrame:
     directory = scratch_path(b.spark, "months")
-    writers.write_label_month(b.labels, directory, SETTINGS.as_of)
-    path = writers.write_label_month(reaction_to_label(b.reactions, OWNER), directory, SETTINGS.as_of)
+    writers.write_label_month(b.labels, directory, SETTINGS.as_of, [F.col("preference")])
+    path = writers.write_label_month(reaction_to_label(b.reactions, OWNER), directory, SETTINGS.as_of, [F.col("preference")])
     return writers.read_label_month(b.spark, path)
 
 

@@ -31,28 +31,32 @@ def scan_labels(spark: SparkSession, directory: str) -> DataFrame:
 
     ``source_file`` names the month, ``file_path``, ``block_start`` and ``line`` give the position: rows
     of one file split are read in order, so an id that grows within the task orders the lines of a
-    split, and the split's start offset orders the splits of a file.
+    split, and the split's start offset orders the splits of a file. A folder without label files is an
+    error: training on no labels would go unnoticed.
     """
-    return (
+    lines = (
         spark.read.schema(LABEL_SCHEMA)
         .option("header", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
         .csv(directory)
-        .select(
-            "id",
-            "preference",
-            source_name(r"\.csv").alias("source_file"),
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.monotonically_increasing_id().alias("line"),
-        )
+    )
+    if not lines.inputFiles():
+        raise FileNotFoundError(f"no label files in {directory}")
+    return lines.select(
+        "id",
+        "preference",
+        source_name(r"\.csv").alias("source_file"),
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line"),
     )
 
 
 def label_order() -> list[Column]:
     """``init.csv`` first, then months; later lines later."""
-    return [(F.col("source_file") != "init.csv").alias("dated"), *map(F.col, ("source_file", "file_path", "block_start", "line"))]
+    part = F.coalesce(F.regexp_extract("file_path", r"/part-(\d+)", 1).try_cast("bigint"), F.lit(0)).alias("part")
+    return [(F.col("source_file") != "init.csv").alias("dated"), F.col("source_file"), part, *map(F.col, ("file_path", "block_start", "line"))]
 
 
 def start_year(year_now: int, first_year: int, *starts: int) -> int:

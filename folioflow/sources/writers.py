@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators.aggregates import upsert_keep_last
+from folioflow.operators.aggregates import dedupe_labels, upsert_keep_last
 from folioflow.session import materialise
-from folioflow.sources.readers import LABEL_SCHEMA
+from folioflow.sources.readers import LABEL_SCHEMA, label_order, scan_labels
 
 
 def write_predictions(predictions: DataFrame, vector_columns: Sequence[str], path: str) -> None:
@@ -28,18 +28,20 @@ def read_label_month(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def write_label_month(patch: DataFrame, directory: str, as_of: datetime) -> str:
+def write_label_month(patch: DataFrame, directory: str, as_of: datetime, order: Sequence[Column]) -> str:
     """Create or update the label CSV of ``as_of``'s month; returns its path.
 
+    The last row of an id wins: of the patch in ``order``, of the file by its position in it.
     The merged rows are stored before the month is replaced, so a job lost halfway can be run again.
     """
     path = f"{directory}/{as_of:%Y-%m}.csv"
     existing = read_label_month(patch.sparkSession, path)
     if existing is None:
-        merged = patch.select("id", "preference")
+        merged = dedupe_labels(patch, order)
     else:
-        merged = materialise(upsert_keep_last(existing, patch), "label-month").orderBy("id")
-    merged.write.mode("overwrite").option("header", True).csv(path)
+        placed = scan_labels(patch.sparkSession, path)
+        merged = materialise(upsert_keep_last(placed, patch, label_order(), order), "label-month")
+    merged.orderBy("id").write.mode("overwrite").option("header", True).csv(path)
     return path
 
 

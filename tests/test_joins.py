@@ -120,8 +120,9 @@ def test_reactions_of_the_owner(spark):
 
 def test_upsert_keeps_the_last(spark):
     new = spark.createDataFrame([("b", "like", 1), ("b", "neutral", 2), ("c", "like", 1)], "id string, preference string, step int")
-    made = aggregates.upsert_keep_last(labels(spark, ("a", "like"), ("b", "dislike")), new, [F.col("step")])
-    assert [tuple(r) for r in made.collect()] == [("a", "like"), ("b", "neutral"), ("c", "like")]
+    old = spark.createDataFrame([("a", "unknown", 1), ("a", "like", 2), ("b", "dislike", 1)], "id string, preference string, step int")
+    made = aggregates.upsert_keep_last(old, new, [F.col("step")], [F.col("step")])
+    assert rows(made, "id", "preference") == [("a", "like"), ("b", "neutral"), ("c", "like")]
 
 
 def test_score_bands_leave_out_one(spark):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from folioflow.config import Settings
 from folioflow.operators import knn, model
+from folioflow.plans.recommend import train
 from tests.conftest import rows
 
 
@@ -132,3 +133,17 @@ def test_background_ratio_beyond_the_table(spark):
     rest = spark.createDataFrame([("3", [0.5], [0.5]), ("4", [nan], [0.5]), ("5", None, [0.5])], "id string, v1 array<float>, v2 array<float>")
     made = model.training_set(labelled, rest, Settings(embedding_columns=("v1", "v2")))
     assert rows(made, "id", "label") == [("1", 1), ("2", 0), ("3", 0)]
+
+
+@pytest.mark.parametrize("confidence", [True, False])
+@pytest.mark.parametrize("difficulty", [True, False])
+def test_resampling_steps_can_be_switched_off(spark, confidence, difficulty):
+    labelled = spark.createDataFrame(
+        [(str(i), "like" if i < 12 else "dislike", [float(i), 1.0, float(i % 5)]) for i in range(40)], "id string, preference string, v array<double>"
+    )
+    rest = spark.createDataFrame([(f"r{i}", [30.0 + i, 2.0, float(i % 3)]) for i in range(60)], "id string, v array<double>")
+    settings = Settings(embedding_columns=("v",), confidence_weighting=confidence, difficulty_sampling=difficulty)
+    fitted = train(labelled, rest, settings)
+    scored = model.score_rows(fitted, spark.createDataFrame([("a", [1.0, 1.0, 1.0]), ("b", [60.0, 2.0, 1.0])], "id string, features array<double>"))
+    by = {r.id: r.score for r in scored.collect()}
+    assert 0 <= by["b"] < by["a"] <= 1

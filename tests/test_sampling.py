@@ -117,8 +117,10 @@ def test_target_sizes():
     assert model.target_sizes(3, Settings(pos_sampling_ratio=1.0)) == (2, 1)
 
 
-def test_large_background_draws_pick_the_same_rows(spark, monkeypatch):
+def test_background_draws_mean_ids_at_every_size(spark, monkeypatch):
     df = scored(spark, [0.1] * 50)
-    whole = rows(sampling.sample_background(df, 20, 42))
-    monkeypatch.setattr(sampling, "WIDE_TOPK", 5)
-    assert rows(sampling.sample_background(df, 20, 42)) == whole
+    twice = df.unionByName(df.where("id LIKE '%1'"))
+    whole = rows(sampling.sample_background(twice, 20, 42))
+    assert len({r[0] for r in whole}) == 20
+    monkeypatch.setattr(ordering, "SMALL_TOPK", 5)
+    assert rows(sampling.sample_background(twice, 20, 42)) == whole

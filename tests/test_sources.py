@@ -1,6 +1,7 @@
 from datetime import datetime
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import aggregates
@@ -61,9 +62,9 @@ def test_reactions_with_missing_keys(spark, tmp_path):
 def test_label_month_is_created_then_merged(spark, tmp_path):
     as_of = datetime(2025, 4, 9)
     patch = spark.createDataFrame([("b", "like"), ("a", "like")], "id string, preference string")
-    path = writers.write_label_month(patch, str(tmp_path), as_of)
+    path = writers.write_label_month(patch, str(tmp_path), as_of, [F.col("preference")])
     assert Path(path).name == "2025-04.csv"
-    writers.write_label_month(patch.where("id = 'a'").withColumn("preference", F.lit("dislike")), str(tmp_path), as_of)
+    writers.write_label_month(patch.where("id = 'a'").withColumn("preference", F.lit("dislike")), str(tmp_path), as_of, [F.col("preference")])
     assert rows(writers.read_label_month(spark, path)) == [("a", "dislike"), ("b", "like")]
 
 
@@ -73,6 +74,12 @@ def test_request_lines_keep_characters(spark, tmp_path):
     assert rows(spark.read.text(str(tmp_path / "r"))) == [('{"text":"é\\n"}',)]
 
 
+def test_a_folder_without_labels_is_an_error(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("x")
+    with pytest.raises(FileNotFoundError):
+        readers.scan_labels(spark, str(tmp_path))
+
+
 def test_start_year():
     assert readers.start_year(2025, 2017, 2024, 2023) == 2023
     assert readers.start_year(2025, 2017, 2010) == 2017
