@@ -2,11 +2,14 @@
 
 A tree (``{"tokens": [...]}`` as JSON) is flattened by a chain of explodes, one per level: nothing is
 grouped. Text is assembled bottom-up: each step folds the deepest nodes into their parents. All steps
-group by (doc, node), so after one shuffle by ``doc`` they run in place.
+group by (doc, node), so after one shuffle by ``doc`` they run in place. Trees of any depth are taken
+whole: every ``PLAN_LEVELS`` levels the rows are stored and the plan starts again from them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.functions import text as T
@@ -30,16 +33,17 @@ _CARRIER_PARENTS = ("list", "bibliography", "figure", "table")
 # Path steps of title tokens come before those of content tokens.
 _TITLE_STEP = -(1 << 30)
 
-DEFAULT_DEPTH = 8
+# Levels that one plan expands or folds before its rows are stored; no level is left out.
+PLAN_LEVELS = 8
 
 _TEXT_TOKENS = "array<struct<type string, content string, styles array<string>>>"
 
 
-def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """Every node of the trees (``doc, tree``) down to ``max_depth`` levels.
+def token_nodes(trees: DataFrame, levels: int = PLAN_LEVELS) -> DataFrame:
+    """Every node of the trees (``doc, tree``), however deep. ``block`` marks nodes with only wrappers above them.
 
-    ``cut`` counts the children of a node that lie below the bound, so nothing is lost unseen. ``block``
-    marks nodes with only wrappers above them.
+    A plan expands ``levels`` levels. The rows are stored, and nodes that still have children go on alone.
+    Trees that cannot be read give no nodes; ``unreadable_trees`` lists them.
     """
     roots = trees.select("doc", F.try_parse_json("tree").alias("_tree"))
     top = F.transform(
@@ -58,9 +62,17 @@ def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     closed = F.struct("path", _without_children(F.col("node")).alias("node"), "parent_type", "slot", "block", F.lit(False).alias("open"))
     itself = F.struct("path", "node", "parent_type", "slot", "block", "open")
     grown = F.when(F.col("open"), F.concat(F.array(closed), children)).otherwise(F.array(itself))
-    for _ in range(max_depth - 1):
-        rows = rows.select("doc", F.explode(grown).alias("n")).select("doc", "n.*")
-    cut = F.when(F.col("open"), F.size(children)).otherwise(0)
+
+    def expand(found: DataFrame, times: int) -> DataFrame:
+        for _ in range(times):
+            found = found.select("doc", F.explode(grown).alias("n")).select("doc", "n.*")
+        return materialise(found.withColumn("more", F.col("open") & (F.size(children) > 0)), "token-levels")
+
+    rows, finished = expand(rows, levels - 1), []
+    while not (deeper := rows.where("more")).isEmpty():
+        finished.append(rows.where("NOT more"))
+        rows = expand(deeper, levels)
+    rows = reduce(DataFrame.unionByName, finished, rows)
     node, kind = F.col("node"), F.col("type")
     typed = rows.withColumn("type", F.try_variant_get(node, "$.type", "string"))
     content = _string_at(node, "content")
@@ -98,10 +110,22 @@ def token_nodes(trees: DataFrame, max_depth: int = DEFAULT_DEPTH) -> DataFrame:
             kind == "title",
             F.coalesce(content, _plain(title_tokens), F.to_json(F.try_variant_get(node, "$.content", "variant"))),
         ).alias("title_key"),
-        cut.cast("bigint").alias("cut"),
     )
 
 
+def _readable(tree: Column | str) -> Column:
+    """Whether a tree is a JSON object whose ``tokens``, if any, are a list."""
+    parsed = F.try_parse_json(tree)
+    tokens = F.try_variant_get(parsed, "$.tokens", "variant")
+    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    return F.coalesce(is_object & (tokens.isNull() | F.schema_of_variant(tokens).startswith("ARRAY")), F.lit(False))
+
+
+def unreadable_trees(trees: DataFrame) -> DataFrame:
+    """``doc, tree`` of trees that are no JSON object or whose ``tokens`` are no list."""
+    return trees.where(~_readable("tree")).select("doc", "tree")
+
+
 def _string_at(node: Column, field: str) -> Column:
     """The field when it is a string; lists and objects would otherwise come back as JSON text."""
     listed = F.try_variant_get(node, f"$.{field}", "array<variant>")
@@ -467,6 +491,8 @@ def render_blocks(nodes: DataFrame, ignore_reference: bool = False, clean_equati
             F.col("_own.node").alias("node"),
             F.concat(F.col("_own.kids"), F.col("_new").cast(kid_type)).alias("kids"),
         )
+        if (deepest - depth + 1) % PLAN_LEVELS == 0 and depth > 1:
+            rows = materialise(rows, "folded")
     done = rows.where("node.block").select("doc", "path", "kids", *fields)
     return done.select("doc", "path", "type", md.alias("md"), notes.alias("notes"))
 
@@ -484,13 +510,19 @@ def _node_columns(ignore_reference: bool, clean_equations: bool) -> tuple[Column
     return _node_text(ignore_reference, clean_equations), notes
 
 
-def assemble_document(blocks: DataFrame) -> DataFrame:
-    """Blocks in reading order, then the footnotes: one text per document."""
+def assemble_document(blocks: DataFrame, trees: DataFrame) -> DataFrame:
+    """Blocks in reading order, then the footnotes: one text per readable document of ``trees``.
+
+    Trees without blocks give an empty text; ``unreadable_trees`` lists the rest. The row is the text of one
+    document, so gathering its blocks is bounded by the document.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("path", "md", "notes")))
     docs = blocks.groupBy("doc").agg(ordered.alias("b"))
     notes = F.transform(F.array_sort(F.flatten(F.transform("b", lambda b: b["notes"]))), lambda n: n["md"])
     body = F.array_join(F.transform("b", lambda b: b["md"]), "")
-    return docs.select(
+    texts = docs.select(
         "doc",
         F.when(F.size(notes) > 0, F.concat(body, F.lit("\n\n"), F.array_join(notes, "\n"))).otherwise(body).alias("text"),
     )
+    readable = trees.where(_readable("tree")).select("doc")
+    return readable.join(texts, "doc", "left").select("doc", F.coalesce("text", F.lit("")).alias("text"))

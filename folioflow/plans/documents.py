@@ -151,7 +151,8 @@ def render_blocks(b: Bound) -> DataFrame:
     FROM bodies b LEFT JOIN notes n ON b.doc = n.doc""",
 )
 def assemble_document(b: Bound) -> DataFrame:
-    texts = blocks.assemble_document(blocks.render_blocks(blocks.token_nodes(document_trees(b))))
+    trees = document_trees(b)
+    texts = blocks.assemble_document(blocks.render_blocks(blocks.token_nodes(trees)), trees)
     return texts.select("doc", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("text_length"))
 
 

@@ -10,15 +10,15 @@ def text(content, *styles):
     return {"type": "text", "content": content, **({"styles": list(styles)} if styles else {})}
 
 
-def nodes(spark, *tokens, depth=8):
+def nodes(spark, *tokens, levels=8):
     trees = spark.createDataFrame([("d", json.dumps({"tokens": list(tokens)}))], "doc string, tree string")
-    return blocks.token_nodes(trees, depth)
+    return blocks.token_nodes(trees, levels)
 
 
 def rendered_all(spark, cases, **options):
     """Text of each list of tokens; all of them in one job."""
     trees = spark.createDataFrame([(str(i), json.dumps({"tokens": c})) for i, c in enumerate(cases)], "doc string, tree string")
-    found = blocks.assemble_document(blocks.render_blocks(blocks.token_nodes(trees), **options)).collect()
+    found = blocks.assemble_document(blocks.render_blocks(blocks.token_nodes(trees), **options), trees).collect()
     texts = {r["doc"]: r["text"] for r in found}
     return [texts.get(str(i)) for i in range(len(cases))]
 
@@ -39,13 +39,23 @@ def test_wrappers_are_transparent_and_unknown_types_are_reported(spark):
     assert rendered(spark, *tree) == "# A\n<!-- Unknown token type: odd -->"
 
 
-def test_nodes_below_the_bound_are_counted(spark):
+def test_every_level_of_a_deep_tree_is_taken(spark):
     deep = text("x")
-    for _ in range(4):
+    for _ in range(20):
         deep = {"type": "group", "content": [deep, text("y")]}
-    whole, short = nodes(spark, deep), nodes(spark, deep, depth=3)
-    assert whole.count() == 9 and whole.agg(F.sum("cut")).head()[0] == 0
-    assert short.count() == 5 and short.agg(F.sum("cut")).head()[0] == 2
+    found = [nodes(spark, deep, levels=n).select("path", "type", "text") for n in (3, 8, 40)]
+    assert found[0].count() == 41
+    assert rows(found[0], "path", "type", "text") == rows(found[1], "path", "type", "text") == rows(found[2], "path", "type", "text")
+    paragraph = {"type": "paragraph", "content": [deep]}
+    assert rendered(spark, {"type": "title", "content": "T"}, paragraph) == "# T\nx" + "y" * 20 + "\n\n"
+
+
+def test_empty_trees_have_empty_texts_and_unreadable_ones_are_reported(spark):
+    cases = [("empty", '{"tokens": []}'), ("none", "{}"), ("broken", '{"tokens": ['), ("list", "[]"), ("null", None), ("odd", '{"tokens": 1}')]
+    trees = spark.createDataFrame(cases, "doc string, tree string")
+    texts = blocks.assemble_document(blocks.render_blocks(blocks.token_nodes(trees)), trees)
+    assert rows(texts, "doc", "text") == [("empty", ""), ("none", "")]
+    assert rows(blocks.unreadable_trees(trees), "doc") == [("broken",), ("list",), ("null",), ("odd",)]
 
 
 def test_sections_lists_and_notes(spark):
