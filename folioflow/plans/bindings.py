@@ -120,7 +120,10 @@ class Bound:
 
     @cached_property
     def reaction_pages(self) -> DataFrame:
-        """The reactions as nested pages of discussions; a page holds at most a thousand events."""
+        """The reactions as nested pages of discussions; a page holds at most a thousand events.
+
+        A title that several pages hold is a discussion of its own in each.
+        """
         rows = self.reactions.withColumn("page", F.floor(F.col("event_id") / 1000))
         user = F.struct(F.col("login").alias("login")).alias("user")
         node = (
@@ -129,7 +132,7 @@ class Bound:
             .select(
                 "page",
                 F.struct(
-                    F.col("title").alias("id"), "title", F.struct(F.col("nodes").alias("nodes")).alias("reactions")
+                    F.concat_ws("#", "title", "page").alias("id"), "title", F.struct(F.col("nodes").alias("nodes")).alias("reactions")
                 ).alias("node"),
             )
         )

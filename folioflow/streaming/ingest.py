@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.operators.aggregates import owner_reaction_ranks, rank_to_preference
+from folioflow.operators.aggregates import rank_to_preference, reaction_rank
 from folioflow.operators.filters import paper_id_filter
 from folioflow.operators.joins import merge_tables
-from folioflow.sources.readers import DIGEST_SCHEMA, REACTION_SCHEMA, flatten_reactions
+from folioflow.sources.readers import DIGEST_SCHEMA, REACTION_SCHEMA
+
+LABEL_LOG_SCHEMA = "discussion string, id string, updated string, rank int"
+
+# Stands for a snapshot without a reaction of the owner; above every rank.
+_NO_RANK = 1_000
 
 
 def _run_batches(stream: DataFrame, transform, log: str, checkpoint: str) -> None:
@@ -32,23 +37,37 @@ def stream_upsert_labels(
 ) -> DataFrame:
     """Take new reaction files into the log and return the label table.
 
-    A batch stores the owner's lowest reaction rank per paper. The minimum over batches is the minimum
-    over all reactions, whatever the split into batches.
+    A batch stores the owner's lowest reaction rank per fetched discussion, null where there is none. A
+    discussion without an id is known by its title.
     """
     stream = spark.readStream.schema(REACTION_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(source)
-
-    def ranks(batch: DataFrame) -> DataFrame:
-        by_title = owner_reaction_ranks(flatten_reactions(batch), owner, "title")
-        return paper_id_filter(by_title, published_ids).groupBy("id").agg(F.min("rank").alias("rank"))
-
-    _run_batches(stream, ranks, log, checkpoint)
+    own = F.filter("d.reactions.nodes", lambda r: (r["user"]["login"] == owner) & (r["content"] != ""))
+
+    def snapshots(batch: DataFrame) -> DataFrame:
+        nodes = batch.select(F.explode("data.repository.discussions.nodes").alias("d"))
+        found = nodes.select(
+            F.coalesce("d.id", "d.title").alias("discussion"),
+            F.col("d.title").alias("title"),
+            F.coalesce("d.updatedAt", F.lit("")).alias("updated"),
+            F.array_min(F.transform(own, lambda r: reaction_rank(r["content"]))).alias("rank"),
+        )
+        return paper_id_filter(found, published_ids).select("discussion", "id", "updated", "rank")
+
+    _run_batches(stream, snapshots, log, checkpoint)
     return current_labels(spark, log)
 
 
 def current_labels(spark: SparkSession, log: str) -> DataFrame:
-    """One preference per paper from everything logged so far."""
-    seen = spark.read.schema("id string, rank int, batch long").parquet(log)
-    return seen.groupBy("id").agg(F.min("rank").alias("rank")).select("id", rank_to_preference(F.col("rank")).alias("preference"))
+    """One preference per paper from the newest snapshot of each of its discussions.
+
+    Newest is the latest ``updatedAt``, then the latest batch; a reaction that is gone from it no longer
+    counts. Snapshots that are equally new, and discussions of the same paper, give the lowest rank.
+    """
+    seen = spark.read.schema(LABEL_LOG_SCHEMA + ", batch long").parquet(log)
+    place = F.struct("updated", "batch", (-F.coalesce("rank", F.lit(_NO_RANK))).alias("minus"))
+    newest = seen.groupBy("discussion", "id").agg(F.max(place).alias("s"))
+    lowest = newest.groupBy("id").agg(F.min(-F.col("s.minus")).alias("rank")).where(F.col("rank") < _NO_RANK)
+    return lowest.select("id", rank_to_preference(F.col("rank")).alias("preference"))
 
 
 def stream_ingest_summaries(

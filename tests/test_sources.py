@@ -100,6 +100,21 @@ def test_label_stream_takes_files_once_and_a_replay_changes_nothing(spark, tmp_p
     assert rows(replay) == [("2501.00001", "like")]
 
 
+def test_label_stream_follows_the_newest_state_of_a_discussion(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    ids = spark.createDataFrame([("2501.00001",)], "id string")
+    arguments = (spark, str(source), ids, "me", str(tmp_path / "log"), str(tmp_path / "state"))
+    dated = PAGE.replace('"title": "x/', '"id": "D1", "updatedAt": "2025-01-0%d", "title": "x/')
+    (source / "1.json").write_text(dated % (2, "THUMBS_UP"))
+    assert rows(ingest.stream_upsert_labels(*arguments)) == [("2501.00001", "like")]
+    (source / "2.json").write_text(dated % (3, "THUMBS_DOWN"))
+    (source / "3.json").write_text(dated % (1, "EYES"))
+    assert rows(ingest.stream_upsert_labels(*arguments)) == [("2501.00001", "dislike")]
+    (source / "4.json").write_text((dated % (4, "EYES")).replace('"me"', '"someone"'))
+    assert rows(ingest.stream_upsert_labels(*arguments)) == []
+
+
 def test_summary_stream_keeps_the_latest_and_merges(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
