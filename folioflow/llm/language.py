@@ -63,19 +63,19 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return shifted / shifted.sum(axis=1, keepdims=True)
 
 
-def fit(counts: np.ndarray, labels: list[str], seed: int = 7, epochs: int = 40) -> LanguageModel | None:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7, epochs: int = 40) -> LanguageModel | None:
     """Stochastic gradient descent on cross entropy, then a temperature and a rejection threshold.
 
-    ``counts`` has one row of bucket counts per document. A fifth of the rows (every fifth of a fixed
-    shuffle) is kept from training and calibrates. Without rows there is no model; with one language
-    it predicts that one.
+    ``rows`` has the distinct buckets of each document and their counts; only the rows of one step are
+    ever dense. A fifth of the rows (every fifth of a fixed shuffle) is kept from training and
+    calibrates. Without rows there is no model; with one language it predicts that one.
     """
     languages = sorted(set(labels))
     if not languages:
         return None
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(labels))
-    shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    shares = [(found, (n / max(n.sum(), 1)).astype(np.float32)) for found, n in rows]
     wanted = np.array([languages.index(label) for label in labels])
     held = order[::5] if len(order) >= 10 else order
     train = np.setdiff1d(order, held) if len(order) >= 10 else order
@@ -84,18 +84,20 @@ def fit(counts: np.ndarray, labels: list[str], seed: int = 7, epochs: int = 40)
     bias = np.zeros(len(languages), dtype=np.float32)
     for epoch in range(epochs):
         rate = 1.0 - epoch / epochs
-        for rows in np.array_split(draw.permutation(train), max(1, len(train) // 32)):
-            batch = shares[rows]
+        for step in np.array_split(draw.permutation(train), max(1, len(train) // 32)):
+            batch = np.zeros((len(step), BUCKETS), dtype=np.float32)
+            for at, row in enumerate(step):
+                batch[at, shares[row][0]] = shares[row][1]
             hidden = batch @ vectors
             slope = softmax(hidden @ weights + bias)
-            slope[np.arange(len(rows)), wanted[rows]] -= 1
-            slope /= len(rows)
+            slope[np.arange(len(step)), wanted[step]] -= 1
+            slope /= len(step)
             back = slope @ weights.T
             weights -= 1.0 * rate * (hidden.T @ slope)
             bias -= 0.1 * rate * slope.sum(axis=0)
             vectors -= 20.0 * rate * (batch.T @ back)
     model = LanguageModel(languages, (vectors @ weights).astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
-    logits = shares[held] @ model.table + model.bias
+    logits = np.stack([shares[row][1] @ model.table[shares[row][0]] for row in held]) + model.bias
     tried = np.geomspace(0.05, 5, 60)
     losses = [-np.log(softmax(logits / t)[np.arange(len(held)), wanted[held]] + 1e-12).mean() for t in tried]
     model.temperature = float(tried[int(np.argmin(losses))])
@@ -106,31 +108,36 @@ def fit(counts: np.ndarray, labels: list[str], seed: int = 7, epochs: int = 40)
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of the whole text, and of a run of twelve words, so that short texts are learned too."""
+    """Buckets and counts of the whole text, and of a run of twelve words, so that short texts are learned too."""
     for batch in text_slices(batches):
-        labels, rows, held = batch.column("lang").to_pylist(), [], []
+        labels, held, buckets, counts = batch.column("lang").to_pylist(), [], [], []
         for label, text in zip(labels, batch.column("text").to_pylist(), strict=True):
             words = words_of(text or "")
             middle = len(words) // 2
             for part in (words, words[middle : middle + 12]):
                 if part:
-                    rows.append(np.bincount(np.concatenate([subwords(w) for w in part]), minlength=BUCKETS).astype("<f4").tobytes())
+                    n = np.bincount(np.concatenate([subwords(w) for w in part]), minlength=BUCKETS)
+                    found = np.flatnonzero(n)
                     held.append(label)
-        yield pa.RecordBatch.from_arrays([pa.array(held, type=pa.string()), pa.array(rows, type=pa.binary())], names=["lang", "counts"])
+                    buckets.append(found.astype("<i4").tobytes())
+                    counts.append(n[found].astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held, type=pa.string()), pa.array(buckets, type=pa.binary()), pa.array(counts, type=pa.binary())],
+            names=["lang", "buckets", "counts"],
+        )
 
 
 def train(labelled: DataFrame, bound: int = SAMPLE_ROWS) -> LanguageModel | None:
     """Fit on at most ``bound`` rows of (``doc_id, text, lang``); only bucket counts reach the driver.
 
-    The driver holds two rows of ``BUCKETS`` floats per document of the sample, whatever the texts are.
+    The driver holds the counts of at most ``BUCKETS`` buckets twice per document of the sample, whatever
+    the texts are.
     """
     chosen = sample_by_id(labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text"), bound, "language")
-    found = chosen.select(F.col("lang").cast("string"), "text").mapInArrow(_featurise, "lang string, counts binary").toArrow()
-    rows = found.column("counts").to_pylist()
-    if not rows:
-        return None
-    pairs = sorted(zip(found.column("lang").to_pylist(), rows, strict=True))  # not in the order of tasks
-    return fit(np.stack([np.frombuffer(r, dtype="<f4") for _, r in pairs]), [label for label, _ in pairs])
+    found = chosen.select(F.col("lang").cast("string"), "text").mapInArrow(_featurise, "lang string, buckets binary, counts binary").toArrow()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("lang", "buckets", "counts")), strict=True))  # not in the order of tasks
+    counted = [(np.frombuffer(b, dtype="<i4"), np.frombuffer(n, dtype="<i4")) for _, b, n in rows]
+    return fit(counted, [label for label, _, _ in rows])
 
 
 class _WordLogits(Generations):
