@@ -15,9 +15,11 @@ from folioflow.llm.tokens import WORD_BPE, encoder
 from folioflow.session import materialise, scratch_path
 
 # Ids of one block of a file at most, unless a single document is longer.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 # Coded bytes of one file, about.
 FILE_BYTES = 128 << 20
+# Documents whose ids are counted at a time.
+_COUNTED_ROWS = 256
 
 # Four 2-bit lengths per control byte: _LENGTHS[control] are the bytes of its four values.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -48,31 +50,28 @@ def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2) -> DataFrame:
-    """One row per document: its ids and ``end_id`` in the plain variable-length code, and their number.
+    """One row per document: its ids and ``end_id`` as little-endian numbers, and how many they are.
 
-    A null or empty text holds only ``end_id``. Rows with a null or repeated ``doc_id`` are kept.
+    A number has two bytes where the vocabulary allows it, else four; ranks, and so the code of the
+    files, are only known when all ids are counted. A null or empty text holds only ``end_id``. Rows
+    with a null or repeated ``doc_id`` are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        used = encoder(tokenizer)
+        width = 2 if max(used.vocabulary, end_id + 1) <= 1 << 16 else 4
         for batch in text_slices(batches):
-            ids, offsets = encode(batch.column("text"))
-            coded = [
-                encode_values(np.append(ids[a:b], np.uint32(end_id)))
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
-            ]
+            ids, offsets = used.encode(batch.column("text"))
+            ended = np.insert(ids, offsets[1:], end_id).astype(f"<u{width}")
+            sizes = np.diff(offsets) + 1
+            places = np.append(0, np.cumsum(sizes * width)).astype(np.int32)
+            plain = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(ended)])
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(offsets) + 1, type=pa.int64()),
-                    pa.array([c for c, _ in coded], type=pa.binary()),
-                    pa.array([d for _, d in coded], type=pa.binary()),
-                ],
-                names=["doc_id", "n_tokens", "control", "data"],
+                [batch.column("doc_id"), pa.array(sizes, type=pa.int64()), plain], names=["doc_id", "n_tokens", "ids"]
             )
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, control binary, data binary"
+        run, "doc_id bigint, n_tokens bigint, ids binary"
     )
 
 
@@ -82,14 +81,15 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.zeros(0, dtype=np.int64)
-            for values in _decoded(batch):
+            for start in range(0, batch.num_rows, _COUNTED_ROWS):
+                values = np.concatenate(list(_numbers(batch.slice(start, _COUNTED_ROWS))))
                 found = np.bincount(values, minlength=len(counts))
                 found[: len(counts)] += counts
                 counts = found
             ids = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
 
-    return tokens.select("n_tokens", "control", "data").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("n_tokens", "ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def frequency_order(tokens: DataFrame, vocabulary: int) -> np.ndarray:
@@ -122,7 +122,7 @@ def write_files(tokens: DataFrame, order: np.ndarray, path: str) -> None:
 
         size = 0
         for batch in batches:
-            for doc_id, values in zip(batch.column("doc_id").to_pylist(), _decoded(batch), strict=True):
+            for doc_id, values in zip(batch.column("doc_id").to_pylist(), _numbers(batch), strict=True):
                 if held and size + len(values) > BLOCK_IDS:
                     yield block()
                     start, number, size = start + size, number + 1, 0
@@ -134,9 +134,9 @@ def write_files(tokens: DataFrame, order: np.ndarray, path: str) -> None:
         if held:
             yield block()
 
-    coded = tokens.agg(F.sum(F.length("control") + F.length("data"))).first()[0] or 0
+    coded = tokens.agg(F.sum(F.length("ids"))).first()[0] or 0
     parts = max(tokens.sparkSession.sparkContext.defaultParallelism, -(-coded // FILE_BYTES))
-    tie = F.xxhash64("data", "control")
+    tie = F.xxhash64("ids")
     ordered = (
         tokens.withColumn("_tie", tie)
         .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("_tie"))
@@ -195,15 +195,16 @@ def read_files(spark: SparkSession, path: str, order: np.ndarray, keep_ids: bool
     return blocks.select("part", "start", "doc_ids", "sizes", "control", "data").mapInArrow(run, schema)
 
 
-def _decoded(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    columns = [batch.column(c).to_pylist() for c in ("control", "data", "n_tokens")]
-    return (decode_values(*row) for row in zip(*columns, strict=True))
+def _numbers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The ids of each row; no row is without ids, so the bytes tell how wide a number is."""
+    rows = zip(batch.column("ids").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)
+    return (np.frombuffer(data, dtype=f"<u{len(data) // n}") for data, n in rows)
 
 
 def token_files(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2) -> DataFrame:
     """Encode, count, write and read back. Texts are tokenized once; an empty table gives no rows.
 
-    One file's worth of coded documents lies in a task; every further step streams over blocks.
+    One file's worth of documents' ids lies in a task; every further step streams over blocks.
     """
     tokens = materialise(tokenize(docs, tokenizer, end_id), "tokens")
     order = frequency_order(tokens, encoder(tokenizer).vocabulary)

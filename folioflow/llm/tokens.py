@@ -12,7 +12,7 @@ import public_tokenizers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 # Entries of one generation of a cache; two generations are held.
-CACHE_WORDS = 220_000
+CACHE_WORDS = 120_000
 
 # Letters of which each lower-cases to one letter and is its own composed form, then closing marks.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
