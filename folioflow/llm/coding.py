@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm.common import text_slices
+from folioflow.llm.common import small_batches, text_slices
 from folioflow.llm.tokens import WORD_BPE, encoder
 from folioflow.session import materialise, scratch_path
 
@@ -206,8 +206,9 @@ def token_files(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2) ->
 
     One file's worth of documents' ids lies in a task; every further step streams over blocks.
     """
-    tokens = materialise(tokenize(docs, tokenizer, end_id), "tokens")
-    order = frequency_order(tokens, encoder(tokenizer).vocabulary)
     path = scratch_path(docs.sparkSession, "token-files")
-    write_files(tokens, order, path)
+    with small_batches(docs.sparkSession):
+        tokens = materialise(tokenize(docs, tokenizer, end_id), "tokens")
+        order = frequency_order(tokens, encoder(tokenizer).vocabulary)
+        write_files(tokens, order, path)
     return read_files(docs.sparkSession, path, order)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,26 @@ from folioflow.functions.hashing import uniform
 SLICE_BYTES = 4 << 20
 
 
+# Rows of one Arrow batch where rows hold whole texts.
+BATCH_ROWS = 1_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_ROWS`` rows for the actions inside; a lower setting stays as it is.
+
+    A batch lies whole in the JVM's Arrow buffers and in the Python worker, before any slice is cut.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

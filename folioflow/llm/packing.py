@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from folioflow.llm.common import text_slices
+from folioflow.llm.common import small_batches, text_slices
 from folioflow.llm.tokens import WORD_BPE, encoder
 from folioflow.session import materialise
 
@@ -134,4 +134,6 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS) ->
 
 def best_fit_packing(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 1, size: int = SEQUENCE) -> DataFrame:
     """Pieces of all documents with their places. The narrow pieces are stored once between both steps."""
-    return pack(materialise(cut_pieces(docs, tokenizer, end_id, size), "pieces"), size)
+    with small_batches(docs.sparkSession):
+        pieces = materialise(cut_pieces(docs, tokenizer, end_id, size), "pieces")
+    return pack(pieces, size)
