@@ -32,20 +32,26 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
     padded[: len(values)] = extra
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1).astype(np.uint8)
-    kept = np.arange(4, dtype=np.uint8)[None, :] <= extra[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[kept].tobytes()
+    lengths = extra + np.uint8(1)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    starts = ends - lengths
+    data = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    data[starts] = values.astype(np.uint8)
+    for byte in range(1, int(lengths.max(initial=1))):
+        longer = np.flatnonzero(lengths > byte)
+        data[starts[longer] + byte] = (values[longer] >> np.uint32(8 * byte)).astype(np.uint8)
+    return control.tobytes(), data.tobytes()
 
 
 def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The values again: lengths by table lookup, places by a running sum, bytes by gathering."""
     lengths = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:count]
-    ends = np.cumsum(lengths, dtype=np.int64)
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
     raw = np.frombuffer(data, dtype=np.uint8)
-    values = raw[ends - lengths].astype(np.uint32)
-    for byte in (1, 2, 3):
+    values = raw[starts].astype(np.uint32)
+    for byte in range(1, int(lengths.max(initial=1))):
         longer = np.flatnonzero(lengths > byte)
-        if len(longer):
-            values[longer] |= raw[(ends - lengths)[longer] + byte].astype(np.uint32) << np.uint32(8 * byte)
+        values[longer] |= raw[starts[longer] + byte].astype(np.uint32) << np.uint32(8 * byte)
     return values
 
 
