@@ -18,6 +18,8 @@ from folioflow.session import materialise, scratch_path
 BLOCK_IDS = 1 << 18
 # Coded bytes of one file, about.
 FILE_BYTES = 128 << 20
+# Blocks of a file in one Arrow batch when files are read.
+_BATCH_BLOCKS = 16
 # Documents whose ids are counted at a time.
 _COUNTED_ROWS = 256
 
@@ -217,4 +219,5 @@ def token_files(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2) ->
         tokens = materialise(tokenize(docs, tokenizer, end_id), "tokens")
         order = frequency_order(tokens, encoder(tokenizer).vocabulary)
         write_files(tokens, order, path)
-    return read_files(docs.sparkSession, path, order)
+    with small_batches(docs.sparkSession, _BATCH_BLOCKS):
+        return materialise(read_files(docs.sparkSession, path, order), "token-rows")

@@ -21,15 +21,15 @@ BATCH_ROWS = 1_000
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most ``BATCH_ROWS`` rows for the actions inside; a lower setting stays as it is.
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the actions inside; a lower setting stays as it is.
 
     A batch lies whole in the JVM's Arrow buffers and in the Python worker, before any slice is cut.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
     try:
         yield
     finally:
