@@ -195,7 +195,7 @@ _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", p
 
 
 def search_shard(shard: pa.Table, queries: pa.Table, k: int, beam: int) -> pa.Table:
-    """Up to ``k`` nearest rows of the shard for every query of a block, measured again in doubles."""
+    """Up to ``k`` nearest ids of the shard for every query of a block, measured again in doubles."""
     with np.load(io.BytesIO(shard.column("graph")[0].as_py())) as stored:
         vectors, ids, ends = stored["vectors"], stored["ids"], stored["ends"]
         graph = Graph(_lifted(vectors), stored["links"], int(stored["entry"]))
@@ -208,14 +208,15 @@ def search_shard(shard: pa.Table, queries: pa.Table, k: int, beam: int) -> pa.Ta
         lifted = np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32)
         met, _ = beam_search(graph, lifted, beam)
         for row, found in enumerate(met):
-            found = found[found >= 0][: 2 * k + 2]
+            found = found[found >= 0]
             scores = vectors[found] @ part[row]
             sizes = ends[found] - starts[found]
             members = np.repeat(starts[found] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
             members, scores = ids[members], np.repeat(scores, sizes)
             other = members != names[at + row]
             members, scores = members[other], scores[other]
-            best = np.lexsort((members, -scores))[:k]
+            best = np.lexsort((members, -scores))
+            best = best[np.sort(np.unique(members[best], return_index=True)[1])[:k]]  # each id once, at its best score
             out.append((np.full(len(best), names[at + row]), members[best], scores[best]))
     columns = [np.concatenate(c) for c in zip(*out, strict=True)]
     return pa.table(dict(zip(_HITS.names, columns, strict=True)), schema=_HITS)
@@ -224,21 +225,23 @@ def search_shard(shard: pa.Table, queries: pa.Table, k: int, beam: int) -> pa.Ta
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, beam: int = BEAM, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
-    """The ``k`` rows of ``vectors`` with the largest inner product for every query: ``query_id, rank, vec_id, score``.
+    """The ``k`` ids of ``vectors`` with the largest inner product for every query: ``query_id, rank, vec_id, score``.
 
     Both tables have ``vec_id, embedding``. Ranks start at 1, ties go to the smaller ``vec_id``, a query's
     own id is left out, and scores are doubles of the original vectors. Vectors that are null, empty, zero or
     hold null or non-finite components, and rows without an id, take no part; vectors of another length are
-    no candidates. Fewer candidates give fewer rows, an empty table none; other columns are not read.
+    no candidates. Fewer candidates give fewer rows, an empty table none; other columns are not read. Repeated
+    rows count once, and an id with several vectors counts at its best score.
 
     Rows are dealt to shards of about ``shard_rows`` by a hash of the vector, so copies meet in a shard and
-    are one point of its graph. Of the copies of a vector only the first ``k`` + 1 ids can ever be returned,
-    and Spark cuts to those inside each task, so a hot vector stays small. Every block of queries searches
+    are one point of its graph. Repeated rows are dropped first. Of the copies of a vector only the first ``k`` + 1
+    ids can ever be returned, and Spark cuts to those inside each task, so a hot vector stays small. Every block of queries searches
     every shard; a query's hits, ``k`` per shard, are merged at the end.
     """
     keep = [F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("vector")]
     rows, asked = (t.select(*keep).where(F.col("vec_id").isNotNull() & usable("vector")) for t in (vectors, queries))
     rows = rows.withColumns({"_a": F.xxhash64("vector"), "_b": F.xxhash64(F.size("vector"), "vector"), "size": F.size("vector")})
+    rows = rows.dropDuplicates(["_a", "_b", "vec_id"])
     first = Window.partitionBy("_a", "_b").orderBy("vec_id")
     rows = materialise(rows.withColumn("_copy", F.row_number().over(first)).where(F.col("_copy") <= k + 1).drop("_copy"), "ann-rows")
     total = rows.select("_a", "_b").distinct().count()
@@ -259,5 +262,6 @@ def nearest(
 
     hits = left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = hits.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -153,6 +153,23 @@ def test_graph_search_recall_ties_and_odd_rows(spark):
     assert graphann.nearest(empty, empty).count() == 0
 
 
+def test_graph_search_counts_ids_not_rows(spark):
+    """One row 30 times, every row twice, an id with two vectors: still 20 different neighbours in one shard."""
+    draw = np.random.default_rng(12)
+    base = [[float(np.float32(x)) for x in v] for v in draw.normal(size=(60, 8))]
+    hot = [3.0 * x for x in base[0]]
+    rows = [(i, v, 0, 0) for i, v in enumerate(base)] * 2 + [(100, hot, 0, 0)] * 30 + [(101 + i, hot, 0, 0) for i in range(25)] + [(5, base[6], 0, 0)]
+    table = spark.createDataFrame(rows, VECTORS)
+    got = graphann.nearest(table, table.where("vec_id IN (0, 7)").dropDuplicates(["vec_id"])).collect()
+    for q in (0, 7):
+        best = {}
+        for i, v, *_ in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.array(v) @ np.array(base[q])))
+        whole = sorted(best, key=lambda i: (-round(best[i], 9), i))[:20]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == whole
+
+
 def test_mix_reaches_targets(spark, odd, none):
     draw = np.random.default_rng(1)
     rows = [(i, "w " * int(draw.integers(1, 60)), "s%d" % (0 if i % 3 else i % 7)) for i in range(1500)]
