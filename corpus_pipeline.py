@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.llm import mixing, oddsketch, packing, quality, toxicity
-from folioflow.llm.common import by_ids, fold, table
+from folioflow.llm.common import fold, table
 from folioflow.session import materialise
 
 
@@ -24,9 +24,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
-    dropped = materialise(oddsketch.near_duplicates(docs).where("NOT kept").select("doc_id"), "near-duplicates")
-    return by_ids(docs, dropped, "left_anti").select(*docs.columns)
+    """One row, of the smallest id, of every group of near-duplicates; ids may be null or repeat."""
+    return oddsketch.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

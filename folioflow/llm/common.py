@@ -72,15 +72,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
         pa.default_memory_pool().release_unused()
 
 
-# Ids up to this number go to every task (16 bytes each); beyond it Spark shuffles both sides.
+# Ids up to this number go to every task (16 bytes for each number of an id); beyond it Spark shuffles both sides.
 BROADCAST_IDS = 1_000_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``rows`` whose ``doc_id`` is (``left_semi``) or is not (``left_anti``) in the stored table ``ids``.
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: list[str]) -> DataFrame:
+    """``rows`` whose key ``on`` is (``left_semi``) or is not (``left_anti``) in the stored table ``ids``.
 
     The ids are counted first. A bounded number of them is broadcast, so that whole texts stay where they
-    lie; more are joined by a shuffle, with the same rows. A null ``doc_id`` is in no table of ids.
+    lie; more are joined by a shuffle, with the same rows. A null key is in no table of ids.
     """
-    ids = ids.select("doc_id")
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+    ids = ids.select(*on)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)

@@ -91,8 +91,17 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+KEY = ["key_a", "key_b"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``KEY``, a 128-bit hash of id and text: equal for exact repeats only."""
+    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    return docs.withColumns({"key_a": F.xxhash64(doc_id, text), "key_b": F.xxhash64(F.length(text), doc_id, text)})
+
+
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles``, a 128-bit signature of the set (null if empty), band keys and odd sketch."""
+    """``doc_id``, key, ``n_shingles``, a 128-bit signature of the set (null if empty), band keys and odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -110,30 +119,31 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    *(batch.column(c) for c in KEY),
                     pa.array(sizes, type=pa.int64()),
                     pa.array(first, type=pa.int64()),
                     pa.array(second, type=pa.int64()),
                     pa.array(bands, type=pa.list_(pa.int64())),
                     pa.array(sketches, type=pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "sig_a", "sig_b", "bands", "sketch"],
+                names=["doc_id", *KEY, "n_shingles", "sig_a", "sig_b", "bands", "sketch"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, sig_a bigint, sig_b bigint, bands array<bigint>, sketch array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = "doc_id bigint, key_a bigint, key_b bigint, n_shingles bigint, sig_a bigint, sig_b bigint, bands array<bigint>, sketch array<bigint>"
+    return docs.select(F.col("doc_id").cast("bigint"), *KEY, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id`` and the full set of shingle hashes."""
+    """The key and the full set of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             sets = [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sets, type=pa.list_(pa.int64()))], names=["doc_id", "shingles"]
+                [*(batch.column(c) for c in KEY), pa.array(sets, type=pa.list_(pa.int64()))], names=[*KEY, "shingles"]
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.select(*KEY, F.col("text").cast("string")).mapInArrow(run, "key_a bigint, key_b bigint, shingles array<bigint>")
 
 
 def _may_link() -> Column:
@@ -145,7 +155,7 @@ def _may_link() -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (``a``, ``b``) whose full sets reach the similarity."""
-    one, other = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"x_{c}")) for c in ("a", "b"))
+    one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"x_{c}")) for c in ("a", "b"))
     common = F.size(F.array_intersect("x_a", "x_b"))
     enough = F.lit(100) * common >= F.lit(PERCENT) * (F.size("x_a") + F.size("x_b") - common)
     return pairs.select("a", "b").join(one, "a").join(other, "b").where(enough).select("a", "b")
@@ -164,7 +174,7 @@ def _across(block: pa.Table) -> pa.Table:
     else:
         low = table.column("chunk").to_numpy() < table.column("turn").to_numpy()
         left, right = np.flatnonzero(low), np.flatnonzero(~low)
-    ids, parts = table.column("doc_id").to_numpy(), table.column("part").to_numpy()
+    ids, parts = table.column("node").to_numpy(), table.column("part").to_numpy()
     sets = table.column("shingles").to_numpy()
     sizes = np.array([len(x) for x in sets])
     sketches = np.stack(table.column("sketch").to_numpy()).astype(np.int64).view(np.uint64)
@@ -204,67 +214,96 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Documents link if 100 * intersection >= 75 * union of their sets of five-word shingles; see
     ``shingles`` for short texts. Texts that are null or without words link with nothing; their component is
-    their own id and they are kept. A component is named by its smallest id. Rows that repeat an id count
-    as one document; rows without an id take the component of their text's class, if that has an id.
-    Other columns are not read; an empty table gives no rows.
-
-    Equal sets are one class, named by its smallest id. In every band bucket all classes are compared with
-    the bucket's smallest one. Buckets that these links do not connect are compared again across components,
-    in pairs of blocks of bounded size that return links only, so no step emits the pairs of a large group.
-    All candidates are confirmed on full sets, which are built again for the documents in shared buckets.
+    their own id and they are kept. A component is named by its smallest id, null if no row has one. Of
+    every component one row is kept: of the smallest id (rows without id come last), then of the smallest
+    key, and one of exact repeats. Ids need not differ. Other columns are not read; an empty table gives no
+    rows.
+
+    Equal sets are one class, known by the number of its first row. In every band bucket all classes are
+    compared with the bucket's smallest one. Buckets that these links do not connect are compared again
+    across components, in pairs of blocks of bounded size that return links only, so no step emits the pairs
+    of a large group. All candidates are confirmed on full sets, which are built again for the first rows of
+    classes in shared buckets.
     """
-    found = materialise(profiles(docs), "profiles")
-    classes = found.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("doc_id"))
-    classes = materialise(classes, "text-classes")
+    return decided(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def decided(docs: DataFrame) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``KEY``."""
+    docs = keyed(docs)
+    # Rows are numbered once, in the stored table; the numbers name rows but decide only between exact repeats.
+    found = materialise(profiles(docs).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY, "row")
+    classes = found.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min(first).alias("first"))
+    classes = materialise(classes.withColumn("node", F.col("first.row")), "text-classes")
     heads = (
-        found.join(classes, ["sig_a", "sig_b", "doc_id"])
-        .where("n_shingles > 2")  # smaller sets link with equal ones only
-        .select("doc_id", "n_shingles", "bands", "sketch")
+        found.where("n_shingles > 2")  # smaller sets link with equal ones only
+        .join(classes.select(F.col("node").alias("row")), "row")
+        .select(F.col("row").alias("node"), *KEY, "n_shingles", "bands", "sketch")
     )
     heads = materialise(heads, "class-profiles")
-    spread = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last")
+    spread = heads.select("node", F.explode("bands").alias("bucket"))
+    buckets = spread.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
     members = spread.join(materialise(buckets.select("bucket", "head"), "buckets"), "bucket")
-    members = materialise(members.select("bucket", "doc_id", "head"), "bucket-members")
-    shared = materialise(members.select("doc_id").distinct(), "shared-ids")
-    sets = shingle_sets(by_ids(docs, shared, "left_semi")).dropDuplicates(["doc_id"])
-    sets = materialise(sets, "shingle-sets")
+    members = materialise(members.select("bucket", "node", "head"), "bucket-members")
+    shared = heads.select("node", *KEY).join(members.select("node").distinct(), "node")
+    shared = materialise(shared, "shared-keys")
+    sets = shingle_sets(by_ids(docs, shared, "left_semi", KEY)).dropDuplicates(KEY)
+    sets = materialise(sets.join(shared, KEY).select("node", "shingles"), "shingle-sets")
 
-    traits = heads.select("doc_id", "n_shingles", "sketch")
+    traits = heads.select("node", "n_shingles", "sketch")
     one, other = (
-        traits.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("a", "b")
+        traits.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("a", "b")
     )
-    stars = members.where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialise(stars.join(one, "a").join(other, "b").where(_may_link()).select("a", "b"), "star-pairs")
     links = materialise(_confirmed(stars, sets), "star-links")
 
     parts = materialise(connected_components(links), "star-parts")
-    part = F.coalesce("component", "doc_id")
-    placed = members.select("bucket", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", part.alias("part"))
+    part = F.coalesce("component", "node")
+    placed = members.select("bucket", "node").join(parts, "node", "left").select("bucket", "node", part.alias("part"))
     placed = materialise(placed, "bucket-parts")
     torn = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"))
     torn = torn.where("low < high AND n > 2")  # the ends of a bucket of two have been compared
     torn = materialise(torn.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("chunks")), "torn-buckets")
-    chunk, turn = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = placed.join(torn, "bucket").select("bucket", "doc_id", "part", chunk.alias("chunk"), turn.alias("turn"))
-    rows = rows.join(heads.dropDuplicates(["doc_id"]).select("doc_id", "sketch", "bands"), "doc_id").join(sets, "doc_id")
+    chunk, turn = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = placed.join(torn, "bucket").select("bucket", "node", "part", chunk.alias("chunk"), turn.alias("turn"))
+    rows = rows.join(heads.select("node", "sketch", "bands"), "node").join(sets, "node")
     blocks = rows.groupBy("bucket", F.least("chunk", "turn"), F.greatest("chunk", "turn"))
     across = blocks.applyInArrow(_across, "a bigint, b bigint")
     links = links.unionByName(materialise(across, "cross-links"))
 
-    parts = connected_components(links).select(F.col("node").alias("doc_id"), "component")
-    named = classes.join(parts, "doc_id", "left").select("sig_a", "sig_b", F.coalesce("component", "doc_id").alias("component_id"))
+    parts = connected_components(links)
+    named = classes.join(parts, "node", "left").select("sig_a", "sig_b", "first", F.coalesce("component", "node").alias("component"))
+    named = materialise(named, "class-components")
+    firsts = named.groupBy("component").agg(F.min("first").alias("f")).select("component", F.col("f.doc_id").alias("component_id"), F.col("f.row").alias("kept_row"))
+    named = named.select("sig_a", "sig_b", "component").join(firsts, "component").select("sig_a", "sig_b", "component_id", "kept_row")
     return (
-        found.select("doc_id", "n_shingles", "sig_a", "sig_b")
+        found.select("doc_id", *KEY, "row", "n_shingles", "sig_a", "sig_b")
         .join(materialise(named, "text-components"), ["sig_a", "sig_b"], "left")
         .select(
             "doc_id",
+            *KEY,
             "n_shingles",
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-            F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+            F.when(F.col("kept_row").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            F.coalesce(F.col("kept_row") == F.col("row"), F.lit(True)).alias("kept"),
         )
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps.
+
+    Keys that keep no row go by an anti join. Only where a key keeps fewer rows than it has are its rows
+    reduced to one, the smallest by all columns.
+    """
+    counts = decided(docs).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("m")).where("m < n")
+    counts = materialise(counts, "near-duplicates")
+    rows = keyed(docs)
+    whole = by_ids(rows, counts, "left_anti", KEY).select(*docs.columns)
+    repeated = by_ids(rows, counts.where("m > 0"), "left_semi", KEY)
+    return whole.unionByName(repeated.groupBy(*KEY).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))

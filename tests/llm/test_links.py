@@ -69,6 +69,34 @@ def test_minhash_groups_equal_brute_force(spark, odd, none):
     assert oddsketch.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_with_null_and_repeated_ids(spark):
+    """Repeated rows, groups without ids, an id of two texts: one row of every group stays, no other text goes."""
+    import corpus_pipeline
+
+    text = {n: " ".join(f"{n}{i}" for i in range(80)) for n in "abcdef"}
+    near = {n: t + " more" for n, t in text.items()}
+    rows = [
+        (1, text["a"], "s"), (1, text["a"], "s"), (1, text["a"], "r"),  # repeats
+        (None, text["b"], "s"), (None, text["b"], "s"), (None, near["b"], "s"),  # no id at all
+        (2, text["c"], "s"), (None, text["c"], "s"), (None, near["c"], "s"),
+        (3, text["d"], "s"), (4, near["d"], "s"), (4, text["e"], "s"),  # id 4: a duplicate and a clean text
+        (5, text["f"], "s"), (5, "other words altogether", "s"), (6, near["f"], "s"),
+        (7, "", "s"), (7, "", "s"), (8, None, "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(map(tuple, corpus_pipeline.one_of_near_duplicates(spark, docs, SMALL).collect()), key=repr)
+    (without,) = [r for r in got if r[0] is None]
+    assert without[1] in (text["b"], near["b"])
+    whole = [
+        (1, text["a"], "r"), (2, text["c"], "s"), (3, text["d"], "s"), (4, text["e"], "s"), (5, text["f"], "s"),
+        (5, "other words altogether", "s"), (7, "", "s"), (7, "", "s"), (8, None, "s"), without,
+    ]
+    assert got == sorted(whole, key=repr)
+    found = oddsketch.near_duplicates(docs).collect()
+    assert len(found) == len(rows) and sum(r.kept for r in found) == len(whole)
+    assert sorted(r.component_id for r in found if r.doc_id == 4) == [3, 4]
+
+
 def test_torn_buckets_are_compared_in_blocks(spark, monkeypatch):
     """A chain of texts, each near the next only, through blocks of two rows."""
     monkeypatch.setattr(oddsketch, "BLOCK_ROWS", 2)
