@@ -1,12 +1,16 @@
 """File streams that feed the label table and the published table.
 
 Each micro-batch overwrites its own ``batch=<id>`` folder of a log, so a replayed batch writes the same
-rows again. Tables are views over the log; nothing already stored is rewritten per batch.
+rows again. Tables are views over the log; nothing already stored is rewritten per batch. Files hold one
+record each, on any number of lines, or one record per line; sub-folders count, files whose stem ends in
+``meta`` do not. What cannot be read goes to a second log beside the first, see ``unreadable_records``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.operators.aggregates import rank_to_preference, reaction_rank
 from folioflow.operators.filters import paper_id_filter
@@ -19,9 +23,45 @@ LABEL_LOG_SCHEMA = "discussion string, id string, updated string, rank int"
 _NO_RANK = 1_000
 
 
-def _run_batches(stream: DataFrame, transform, log: str, checkpoint: str) -> None:
+def _file_stream(spark: SparkSession, source: str, files_per_batch: int) -> DataFrame:
+    """Lines of the new files with the ``file`` they are in."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).text(source)
+    found = lines.select("value", F.col("_metadata.file_path").alias("file"))
+    return found.where(~F.col("file").rlike(r"meta\.json(/[^/]*)?$"))
+
+
+def _texts(lines: DataFrame) -> DataFrame:
+    """``file, value``: the text of each record.
+
+    Where every line begins an object or a list and none is a lone bracket, a line is a record. Other files of
+    the batch are read again as a whole: as one record, or by lines if that is no JSON and opens no bracket of its own.
+    """
+    line = F.btrim("value", F.lit(" \t\r\n"))
+    lines = lines.where(line != "")
+    spread = line.isin("{", "[") | ~line.rlike(r"^[{\[]")
+    # At most as many names as a batch has files.
+    files = [r.file for r in lines.groupBy("file").agg(F.max(spread).alias("whole")).where("whole").collect()]
+    if not files:
+        return lines
+    whole = lines.sparkSession.read.text([unquote(f) for f in files], wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    opens = F.regexp_extract("value", r"^\s*([^\r\n]*?)\s*(?:[\r\n]|$)", 1).isin("{", "[")
+    one = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull() | opens
+    parts = whole.select(F.explode(F.when(one, F.array("value")).otherwise(F.split("value", r"\r?\n"))).alias("value"), "file")
+    return lines.where(~F.col("file").isin(files)).unionByName(parts.where(line != ""))
+
+
+def _run_batches(stream: DataFrame, schema: str, readable: Column, transform, log: str, checkpoint: str) -> None:
+    """``readable`` is a condition on the fields of ``schema``; records that fail it, or the parser, are logged as unreadable."""
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        text = _texts(batch)
+        # A text with more behind its value is not one record, so it is parsed inside a list first.
+        whole = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<variant>").isNotNull()
+        parsed = text.select("file", "value", F.explode_outer(F.when(whole, F.from_json("value", f"array<struct<{schema}>>"))).alias("r"))
+        rows = parsed.select("file", "value", "r.*")
+        good = F.coalesce(readable, F.lit(False))
+        rows.where(~good).select("file", "value").write.mode("overwrite").parquet(f"{_unreadable(log)}/batch={batch_id}")
+        transform(rows.where(good).drop("file", "value")).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(store)
@@ -32,6 +72,15 @@ def _run_batches(stream: DataFrame, transform, log: str, checkpoint: str) -> Non
     query.awaitTermination()
 
 
+def _unreadable(log: str) -> str:
+    return log.rstrip("/") + "-unreadable"
+
+
+def unreadable_records(spark: SparkSession, log: str) -> DataFrame:
+    """``file, value, batch`` of the records that a stream could not take into ``log``."""
+    return spark.read.schema("file string, value string, batch long").parquet(_unreadable(log))
+
+
 def stream_upsert_labels(
     spark: SparkSession, source: str, published_ids: DataFrame, owner: str, log: str, checkpoint: str, files_per_batch: int = 1000
 ) -> DataFrame:
@@ -40,7 +89,7 @@ def stream_upsert_labels(
     A batch stores the owner's lowest reaction rank per fetched discussion, null where there is none. A
     discussion without an id is known by its title.
     """
-    stream = spark.readStream.schema(REACTION_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(source)
+    stream = _file_stream(spark, source, files_per_batch)
     own = F.filter("d.reactions.nodes", lambda r: (r["user"]["login"] == owner) & (r["content"] != ""))
 
     def snapshots(batch: DataFrame) -> DataFrame:
@@ -53,7 +102,8 @@ def stream_upsert_labels(
         )
         return paper_id_filter(found, published_ids).select("discussion", "id", "updated", "rank")
 
-    _run_batches(stream, snapshots, log, checkpoint)
+    readable = F.col("data.repository.discussions.nodes").isNotNull()
+    _run_batches(stream, REACTION_SCHEMA, readable, snapshots, log, checkpoint)
     return current_labels(spark, log)
 
 
@@ -74,8 +124,8 @@ def stream_ingest_summaries(
     spark: SparkSession, source: str, published: DataFrame, log: str, checkpoint: str, files_per_batch: int = 1000
 ) -> DataFrame:
     """Take new digest files into the log once and return the merged published table."""
-    stream = spark.readStream.schema(DIGEST_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(source)
-    _run_batches(stream, lambda batch: batch.where(F.col("id").isNotNull()), log, checkpoint)
+    stream = _file_stream(spark, source, files_per_batch)
+    _run_batches(stream, DIGEST_SCHEMA, F.col("id").isNotNull(), lambda batch: batch, log, checkpoint)
     return current_published(spark, published, log)
 
 

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 from pathlib import Path
 
@@ -125,3 +126,28 @@ def test_summary_stream_keeps_the_latest_and_merges(spark, tmp_path):
     (source / "2.json").write_text('{"id": "1", "title": "second", "summary_time": "2025-01-02"}\n{"id": "3", "title": "new"}\n')
     found = ingest.stream_ingest_summaries(*arguments)
     assert rows(found, "id", "title", "abstract") == [("1", "second", "kept"), ("2", "only", None), ("3", "new", None)]
+
+
+def test_streams_take_pretty_printed_files_and_log_what_they_cannot_read(spark, tmp_path):
+    source = tmp_path / "digests"
+    (source / "a b").mkdir(parents=True)
+    (source / "a b" / "one.json").write_text(json.dumps({"id": "1", "title": "one", "keywords": ["x", "y"]}, indent=4))
+    (source / "lines.json").write_text('{"id": "2", "title": "two"}\n{"id": "3", "title"\n{"title": "no id"}\n')
+    (source / "broken.json").write_text('{\n    "id": "4",\n    "title": \n')
+    (source / "twice.json").write_text('{\n "id": "5"\n}\n{\n "id": "6"\n}\n')
+    (source / "1.meta.json").write_text('{"id": "7", "title": "meta"}')
+    stored = spark.createDataFrame([("9", "nine")], "id string, title string")
+    log = str(tmp_path / "log")
+    found = ingest.stream_ingest_summaries(spark, str(source), stored, log, str(tmp_path / "state"))
+    assert rows(found, "id", "title") == [("1", "one"), ("2", "two"), ("9", "nine")]
+    bad = ingest.unreadable_records(spark, log).collect()
+    assert sorted(r.file.rsplit("/", 1)[1] for r in bad) == ["broken.json", "lines.json", "lines.json", "twice.json"]
+
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    node = {"id": "d", "title": "posts/2501.00001", "reactions": {"nodes": [{"content": "THUMBS_UP", "user": {"login": "me"}}]}}
+    (pages / "page.json").write_text(json.dumps({"data": {"repository": {"discussions": {"nodes": [node]}}}}, indent=2))
+    (pages / "error.json").write_text(json.dumps({"errors": ["no"]}, indent=2))
+    ids, log = spark.createDataFrame([("2501.00001",)], "id string"), str(tmp_path / "label-log")
+    assert rows(ingest.stream_upsert_labels(spark, str(pages), ids, "me", log, str(tmp_path / "state2"))) == [("2501.00001", "like")]
+    assert [r.file.rsplit("/", 1)[1] for r in ingest.unreadable_records(spark, log).collect()] == ["error.json"]
