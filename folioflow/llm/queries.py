@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import audit, coding, graphann, language, licenses, mixing, multiindex, oddsketch, packing, quality, toxicity
+from folioflow.llm import audit, coding, graphann, language, licenses, mixing, multiindex, oddsketch, packing, prefixhash, quality, toxicity
 from folioflow.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+@query("op11_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op12_filter_audit", audit.SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
