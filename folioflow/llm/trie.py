@@ -6,48 +6,105 @@ import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.session import materialise
 
 # Components of at most this many nodes are decomposed inside one task; larger ones by Spark joins, halved each round.
-COMPONENT_NODES = 2048
+COMPONENT_NODES = 1 << 14
 # Characters of joined ids in one row on their way to a digest.
 ID_BLOCK = 1 << 16
-_ROW_BITS = 33
 
 NODE = ["depth", "k1", "k2"]
 COMPONENT = ["c_depth", "c1", "c2"]
 
 
-def _sorted(rows: DataFrame, order: list[Column], keep: list, label: str) -> DataFrame:
-    """``keep`` columns of the rows sorted by ``conv`` and ``order``, stored, with ``_place`` and ``_part``.
+def _running(rows: DataFrame, order: list[Column], keep: dict[str, Column], tags: list[str], label: str) -> DataFrame:
+    """Rows sorted by ``conv`` and ``order``, with running totals inside each conversation, stored.
 
-    The sort range-partitions on the whole key, so a conversation that holds a third of the rows spreads.
+    ``keep`` are bigint columns; ``tags`` those of them of which the exclusive or runs. Adds ``n`` (from 1),
+    ``r_`` and ``f_`` columns (running and first value of a tag) and ``last``. The sort range-partitions on
+    the whole key, so a conversation that holds a third of the rows spreads; totals run along each sorted
+    partition as it streams. What a conversation brings from the partitions before follows from the first
+    and last row of each, at most two rows a partition, and is joined as a broadcast table.
     """
-    placed = rows.orderBy("conv", *order).select("conv", *keep, F.monotonically_increasing_id().alias("_place"))
-    return materialise(placed, label).withColumn("_part", F.shiftrightunsigned("_place", _ROW_BITS))
-
-
-def _running(placed: DataFrame, sums: dict[str, tuple]) -> DataFrame:
-    """Adds running totals inside each conversation over stored sorted rows.
-
-    ``sums`` maps a name to (aggregate of the rows, how two totals combine). Totals run inside a stored
-    partition; only conversations that began in an earlier partition need more, at most one a partition,
-    and that table is broadcast.
-    """
-    local = Window.partitionBy("_part", "conv").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("conv").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = placed.groupBy("_part", "conv").agg(*[total.alias(n) for n, (total, _) in sums.items()])
-    combine = {"sum": F.sum, "xor": F.bit_xor}
-    before = pieces.select("_part", "conv", *[combine[how](n).over(earlier).alias(f"_before_{n}") for n, (_, how) in sums.items()])
-    before = before.where(F.col(f"_before_{next(iter(sums))}").isNotNull())
-    out = placed.withColumns({n: total.over(local) for n, (total, _) in sums.items()}).join(F.broadcast(before), ["_part", "conv"], "left")
-    for n, (_, how) in sums.items():
-        came = F.coalesce(f"_before_{n}", F.lit(0).cast("bigint"))
-        out = out.withColumn(n, F.col(n) + came if how == "sum" else F.col(n).bitwiseXOR(came)).drop(f"_before_{n}")
-    return out.drop("_place", "_part")
+    names = ["conv", *keep]
+    added = ["n", *(f"r_{t}" for t in tags), *(f"f_{t}" for t in tags)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        waiting: pa.Table | None = None
+        state: tuple | None = None  # conversation, rows so far, running and first tags
+        head = True
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            waiting = table if waiting is None else pa.concat_tables([waiting, table])
+            if waiting.num_rows > 1:  # whether the last row ends its conversation shows in the next batch
+                out, state = _totals(waiting, tags, state, waiting.num_rows - 1, head, part)
+                waiting, head = waiting.slice(waiting.num_rows - 1), False
+                yield from out.to_batches()
+        if waiting is not None and waiting.num_rows:
+            yield from _totals(waiting, tags, state, waiting.num_rows, head, part)[0].to_batches()
+
+    schema = ", ".join(f"{c} bigint" for c in [*names, *added]) + ", last boolean, _part bigint, _head boolean, _tail boolean"
+    placed = rows.orderBy("conv", *order).select("conv", *[c.alias(n) for n, c in keep.items()]).mapInArrow(run, schema)
+    placed = materialise(placed, label)
+    edges = placed.where("_head or _tail").orderBy("_part", F.col("_head").desc()).collect()
+    came, state = [], None
+    for edge in edges:
+        if edge["_head"]:
+            goes_on = state is not None and state[0] == edge["conv"]
+            if goes_on:
+                came[-1][-1] = True
+            came.append([edge["_part"], edge["conv"], *(state[1:] if goes_on else [None] * len(added)), False])
+        if edge["_tail"]:
+            own = [edge[c] for c in added]
+            if state is not None and state[0] == edge["conv"]:
+                own = [own[0] + state[1], *(x ^ y for x, y in zip(own[1 : 1 + len(tags)], state[2:])), *state[2 + len(tags) :]]
+            if came[-1][1] != edge["conv"]:
+                came.append([edge["_part"], edge["conv"], *[None] * len(added), False])
+            state = (edge["conv"], *own)
+    fields = ", ".join(f"c_{c} bigint" for c in added)
+    before = rows.sparkSession.createDataFrame([tuple(c) for c in came], f"_part bigint, conv bigint, {fields}, goes_on boolean")
+    out = placed.join(F.broadcast(before), ["_part", "conv"], "left")
+    zero = F.lit(0).cast("bigint")
+    totals = {"n": F.col("n") + F.coalesce("c_n", zero), "last": F.col("last") & ~(F.col("_tail") & F.coalesce("goes_on", F.lit(False)))}
+    for t in tags:
+        totals[f"r_{t}"] = F.col(f"r_{t}").bitwiseXOR(F.coalesce(f"c_r_{t}", zero))
+        totals[f"f_{t}"] = F.coalesce(f"c_f_{t}", f"f_{t}")
+    return out.withColumns(totals).select(*names, *added, "last")
+
+
+def _totals(table: pa.Table, tags: list[str], state: tuple | None, rows: int, head: bool, part: int) -> tuple[pa.Table, tuple]:
+    """The first ``rows`` rows with their totals, and the state behind them."""
+    conv = table.column("conv").to_numpy()
+    n = len(conv)
+    begins = np.ones(n, dtype=bool)
+    begins[1:] = conv[1:] != conv[:-1]
+    joined = state is not None and state[0] == conv[0]
+    start = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+    first = (start == 0) & joined
+    columns = [np.arange(n) - start + 1 + np.where(first, state[1] if joined else 0, 0)]
+    values = [table.column(t).to_numpy() for t in tags]
+    for k, value in enumerate(values):
+        runs = np.bitwise_xor.accumulate(value)
+        before = np.where(start > 0, runs[start - 1], state[2 + k] if joined else 0)
+        columns.append(runs ^ before)
+    for k, value in enumerate(values):
+        columns.append(np.where(first, state[2 + len(tags) + k] if joined else 0, value[start]))
+    ends = np.append(begins[1:], True)
+    tail = np.zeros(n, dtype=bool)
+    tail[-1] = rows == n
+    heads = np.zeros(n, dtype=bool)
+    heads[0] = head
+    names = ["n", *(f"r_{t}" for t in tags), *(f"f_{t}" for t in tags), "last", "_part", "_head", "_tail"]
+    for name, column in zip(names, [*columns, ends, np.full(n, part), heads, tail], strict=True):
+        table = table.append_column(name, pa.array(column))
+    at = rows - 1
+    return table.slice(0, rows), (int(conv[at]), *(int(c[at]) for c in columns))
 
 
 def ordered_turns(conversations: DataFrame) -> DataFrame:
@@ -62,165 +119,144 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("bigint").alias("conv"), F.col("turn").alias("turn"), role.alias("role"), text.alias("text")
     )
     words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("bigint")
-    keep = [
-        F.xxhash64("role", "text").alias("h1"),
-        F.xxhash64(F.lit("second"), "role", "text").alias("h2"),
-        words.alias("words"),
-    ]
+    keep = {"h1": F.xxhash64("role", "text"), "h2": F.xxhash64(F.lit("second"), "role", "text"), "words": words}
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    placed = _sorted(turns, order, keep, "turns")
-    return _running(placed, {"pos": (F.count(F.lit(1)), "sum")}).withColumn("pos", F.col("pos") - 1)
+    return _running(turns, order, keep, [], "turns").select("conv", (F.col("n") - 1).alias("pos"), *keep)
 
 
 def shared_beginnings(turns: DataFrame, group: int = 20, most: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Rebuilds every conversation on the first turns of its group's first one: (turns, all ids).
+    """Rebuilds every conversation on the first turns of its group's first one: (turns, all ids and their turns).
 
     Conversation c begins with the first h turns of c - c % ``group`` (all if it has fewer, none if it is
     absent) and goes on with its own after its first h; h is crc32 of the decimal id modulo ``most``. The
     remainder has the sign of c. A base gives at most ``most`` - 1 turns to fewer than 2 ``group`` others.
     """
-    convs = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("own"))
-    convs = materialise(
-        convs.select(
-            "conv",
-            "own",
-            (F.col("conv") - F.col("conv") % group).alias("base"),
-            (F.crc32(F.col("conv").cast("string").cast("binary")) % most).alias("h"),
-        ),
-        "conversations",
-    )
-    firsts = turns.where((F.col("pos") < most - 1) & (F.col("conv") % group == 0)).withColumnRenamed("conv", "base")
-    shared = convs.where("h > 0").join(firsts, "base").where(F.col("pos") < F.col("h"))
-    sizes = convs.where(F.col("conv") % group == 0).select(F.col("conv").alias("base"), F.col("own").alias("given"))
-    short = convs.join(sizes, "base", "left").withColumn("moved", F.least("h", F.coalesce("given", F.lit(0))) - F.col("h"))
     h = F.crc32(F.col("conv").cast("string").cast("binary")) % most
-    own = turns.where(F.col("pos") >= h).join(short.where("moved < 0").select("conv", "moved"), "conv", "left")
+    firsts = turns.where((F.col("pos") < most - 1) & (F.col("conv") % group == 0)).groupBy(F.col("conv").alias("base"))
+    firsts = firsts.agg(F.array_sort(F.collect_list(F.struct("pos", "h1", "h2", "words"))).alias("firsts"))
+    convs = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("own"))
+    convs = convs.withColumns({"base": F.col("conv") - F.col("conv") % group, "h": h}).join(firsts, "base", "left")
+    shared = F.filter(F.coalesce("firsts", F.array()), lambda t: t["pos"] < F.col("h"))
+    convs = convs.withColumn("shared", shared).withColumn("moved", F.size("shared") - F.col("h"))
+    convs = materialise(convs.select("conv", "own", "h", "moved", "shared"), "conversations")
+    short = convs.where("moved < 0").select("conv", "moved")
+    own = turns.where(F.col("pos") >= h).join(short, "conv", "left")
     own = own.withColumn("pos", F.col("pos") + F.coalesce("moved", F.lit(0)))
     columns = ["conv", "pos", "h1", "h2", "words"]
-    return shared.select(*columns).unionByName(own.select(*columns)), convs.select("conv")
+    given = convs.select("conv", F.explode("shared").alias("t")).select("conv", "t.*")
+    length = F.size("shared") + F.greatest(F.col("own") - F.col("h"), F.lit(0))
+    return given.select(*columns).unionByName(own.select(*columns)), convs.select("conv", length.alias("length"))
 
 
 def prefix_trie(turns: DataFrame, convs: DataFrame, limit: int = COMPONENT_NODES) -> DataFrame:
     """The trie of turn sequences: one row per distinct beginning of a conversation, root included.
 
     ``turns`` are those of ``ordered_turns`` with positions gapless from 0, ``convs`` the ids of all
-    conversations, those without turns too. No conversation gives no rows.
+    conversations with their ``length`` in turns, 0 too. No conversation gives no rows.
 
     A node is known by its depth and the exclusive or, over its turns, of two hashes of turn and position,
     so that prefixes are running totals and a long conversation splits over tasks. ``n_convs``, children
     and subtree sizes are sums over conversations; the other subtree totals come from ``rollup``.
     """
-    tag = [F.xxhash64("h1", "h2", "pos"), F.xxhash64(F.lit("second"), "h1", "h2", "pos")]
-    placed = _sorted(turns, [F.col("pos")], ["pos", "words", tag[0].alias("t1"), tag[1].alias("t2")], "beginnings")
-    paths = _running(placed, {"k1": (F.bit_xor("t1"), "xor"), "k2": (F.bit_xor("t2"), "xor")})
-    parent = [F.col("k1").bitwiseXOR(F.col("t1")).alias("p1"), F.col("k2").bitwiseXOR(F.col("t2")).alias("p2")]
-    paths = materialise(paths.select("conv", (F.col("pos") + 1).alias("depth"), "k1", "k2", *parent, "words"), "paths")
-
+    tag = {"t1": F.xxhash64("h1", "h2", "pos"), "t2": F.xxhash64(F.lit("second"), "h1", "h2", "pos")}
+    paths = _running(turns, [F.col("pos")], {"words": F.col("words"), **tag}, ["t1", "t2"], "paths").select(
+        "conv",
+        F.col("n").alias("depth"),
+        *[F.col(f"r_t{k}").alias(f"k{k}") for k in (1, 2)],
+        *[F.col(f"r_t{k}").bitwiseXOR(F.col(f"t{k}")).alias(f"p{k}") for k in (1, 2)],
+        *[F.col(f"f_t{k}").alias(f"c{k}") for k in (1, 2)],
+        "words",
+        "last",
+    )
+    columns = ["p1", "p2", "c1", "c2", "words"]
     nodes = paths.groupBy(*NODE).agg(
-        F.min("conv").alias("conv_id"),
-        F.count(F.lit(1)).alias("n_convs"),
-        *[F.min(c).alias(c) for c in ("p1", "p2", "words")],
+        F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), *[F.min(c).alias(c) for c in columns]
     )
     nodes = materialise(nodes, "nodes")
-    children = nodes.groupBy((F.col("depth") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2"))
-    children = children.agg(F.count(F.lit(1)).alias("n_children"))
-    nodes = materialise(nodes.join(children, NODE, "left").na.fill(0, ["n_children"]), "nodes")
-
-    leaf = (F.col("n_children") == 0).cast("bigint")
-    saved = (F.col("n_convs") - 1) * F.col("words")
-    totals = rollup(paths, nodes.withColumns({"leaf": leaf, "saved": saved}), ["leaf", "saved"], limit)
-    totals = materialise(totals, "totals")
+    # A node's children and the node itself meet as rows of one key, summed before they are shuffled.
+    values = ["conv_id", "n_convs", *columns]
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    upward = nodes.where("depth > 1").select(
+        (F.col("depth") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2"),
+        *[F.lit(None).cast("bigint").alias(c) for c in values], one.alias("child"),
+    )
+    nodes = nodes.withColumn("child", zero).unionByName(upward).groupBy(*NODE)
+    nodes = nodes.agg(*[F.min(c).alias(c) for c in values], F.sum("child").alias("n_children"))
+    first = convs.agg(F.min("conv").alias("root"), F.count(F.lit(1)).alias("all")).where("all > 0")
+    nodes = nodes.withColumns(
+        {
+            "leaf": (F.col("n_children") == 0).cast("bigint"),
+            "saved": (F.col("n_convs") - 1) * F.col("words"),
+            "above": F.lit(None).cast("bigint"),
+        }
+    )
+    totals = materialise(rollup(paths, nodes, ["leaf", "saved"], ["n_convs", "n_children"], limit), "totals")
 
-    last = paths.groupBy("conv").agg(F.max(F.struct(*NODE)).alias("last")).select("conv", "last.*")
-    ends = convs.join(last, "conv", "left").na.fill(0, NODE)
-    digests = materialise(id_digests(ends), "digests")
+    ends = paths.where("last").select(*NODE, "conv")
+    silent = convs.where("length = 0").select(*[zero.alias(c) for c in NODE], "conv")
+    digests = id_digests(ends.unionByName(silent))
 
-    above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("above"))
-    first = convs.agg(F.min("conv").alias("root"), F.count(F.lit(1)).alias("all")).where("all > 0")
-    below = nodes.where("depth > 1").join(above, ["depth", "p1", "p2"])
-    tops = nodes.where("depth = 1").join(F.broadcast(first.select(F.col("root").alias("above"))))
-    under = below.unionByName(tops.select(*below.columns)).join(totals, NODE)
     sums = totals.where("depth = 1").agg(F.count(F.lit(1)).alias("n_children"), F.sum("leaf").alias("leaf"), F.sum("saved").alias("saved"))
     root = first.join(F.broadcast(sums)).select(
-        *[F.lit(0).cast("bigint").alias(c) for c in NODE],
+        *[zero.alias(c) for c in NODE],
         F.col("root").alias("conv_id"),
         F.lit(None).cast("bigint").alias("above"),
         F.col("all").alias("n_convs"),
         "n_children",
-        F.coalesce("leaf", F.lit(1)).alias("leaf"),
-        F.coalesce("saved", F.lit(0)).alias("saved"),
+        F.coalesce("leaf", one).alias("leaf"),
+        F.coalesce("saved", zero).alias("saved"),
     )
+    under = totals.join(F.broadcast(first.select("root")), F.col("depth") == 1, "left").withColumn("above", F.coalesce("above", "root"))
     whole = root.unionByName(under.select(*root.columns)).join(digests, NODE, "left")
     return whole.select(
         "conv_id",
-        F.col("depth").cast("bigint").alias("depth"),
+        "depth",
         F.col("above").alias("parent_conv_id"),
         "n_convs",
         F.col("n_children").cast("bigint").alias("n_children"),
         F.col("leaf").cast("bigint").alias("n_leaves"),
         F.col("saved").cast("bigint").alias("saved_tokens"),
-        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+        F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
     )
 
 
-def rollup(paths: DataFrame, nodes: DataFrame, values: list[str], limit: int = COMPONENT_NODES) -> DataFrame:
-    """(node, totals): the sums of ``values`` over each node's subtree, by centroid decomposition.
+def rollup(paths: DataFrame, nodes: DataFrame, values: list[str], keep: list[str], limit: int = COMPONENT_NODES) -> DataFrame:
+    """Nodes with the sums of ``values`` over their subtrees, by centroid decomposition, and their parent's ``conv_id``.
 
-    Without the root, whose removal is the first split, every first turn is the top of a component. A
-    round takes of each component of more than ``limit`` nodes its centroid, the deepest node whose
-    subtree holds more than half of it; adds the total of that subtree to the centroid and to the nodes
+    ``above`` is null for first turns. Without the root, whose removal is the first split, every first turn
+    is the top of a component. A round takes of each component of more than ``limit`` nodes its centroid, the
+    deepest node whose subtree holds more than half of it; adds the total of that subtree to the nodes
     between it and the top; and splits: what hangs below the centroid becomes components of their own, the
-    rest stays with its sizes lessened along that path. Every part has at most half of the nodes, so rounds
-    grow with the logarithm of nodes / ``limit``, and a node gets at most one addition a round, however
-    deep the trie. Smaller components are finished the same way inside tasks.
+    centroid one of a single node that holds the total, and the rest stays, with its sizes lessened along
+    that path. Every part has at most half of the nodes, so rounds grow with the logarithm of nodes /
+    ``limit``, and a node gets at most one addition a round, however deep the trie. Smaller components are
+    finished the same way inside tasks.
 
     The first subtree sizes need no rollup: the nodes that a conversation is the smallest member of are
     the end of its path, so a node's size is a sum over its members. Which nodes lie below a centroid
     follows from their smallest members too: those that pass through the centroid.
     """
-    ends = nodes.groupBy(F.col("conv_id").alias("conv")).agg(F.min("depth").alias("_from"), F.max("depth").alias("_to"))
-    sizes = paths.join(ends, "conv").groupBy(*NODE).agg(F.sum(F.col("_to") - F.greatest("_from", "depth") + 1).alias("size"))
-    tops = paths.where("depth = 1").select(F.col("conv").alias("conv_id"), F.lit(1).cast("bigint").alias("c_depth"), F.col("k1").alias("c1"), F.col("k2").alias("c2"))
-    tree = nodes.select(*NODE, "p1", "p2", "conv_id", *values).join(sizes, NODE).join(tops, "conv_id")
-    tree = materialise(tree, "tree")
-    done, added = [], []
-    while True:
-        large = tree.groupBy(*COMPONENT).agg(F.max("size").alias("_all")).where(F.col("_all") > limit)
+    columns = [*NODE, "p1", "p2", "conv_id", "above", *keep, *values]
+    tree = materialise(nodes.select(*columns, F.lit(1).cast("bigint").alias("c_depth"), "c1", "c2"), "tree")
+    large = tree.groupBy(*COMPONENT).agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > limit)
+    done, added = [tree], []
+    if not large.isEmpty():
         large = materialise(large, "components")
-        if large.isEmpty():
-            break
-        done.append(tree.join(large, COMPONENT, "left_anti"))
+        done = [tree.join(large, COMPONENT, "left_anti")]
         big = tree.join(large, COMPONENT)
-        centre = F.max(F.struct("depth", "k1", "k2", "conv_id", "size")).alias("centre")
-        centres = big.where(F.col("size") * 2 > F.col("_all")).groupBy(*COMPONENT).agg(centre)
-        centres = centres.select(
-            *COMPONENT, *[F.col(f"centre.{c}").alias(f"m_{c}") for c in ("depth", "k1", "k2", "conv_id", "size")]
-        )
-        centres = materialise(centres, "centres")
-        at = [F.col(c) == F.col(f"m_{c}") for c in NODE]
-        through = paths.join(centres, at).select("conv", *COMPONENT, "m_depth")
-        after = paths.select("conv", (F.col("depth") - 1).alias("m_depth"), F.col("k1").alias("n1"), F.col("k2").alias("n2"))
-        through = materialise(through.join(after, ["conv", "m_depth"], "left"), "through")
-        placed = big.drop("_all").join(through.withColumnRenamed("conv", "conv_id"), ["conv_id", *COMPONENT], "left")
-        placed = placed.withColumn("_below", F.coalesce(F.col("depth") >= F.col("m_depth"), F.lit(False)))
-        placed = materialise(placed, "placed")
-        sums = placed.where("_below").groupBy(*COMPONENT).agg(*[F.sum(v).alias(v) for v in values])
-        centres = materialise(centres.join(sums, COMPONENT), "centres")
-        way = paths.join(
-            centres.withColumnRenamed("m_conv_id", "conv"), "conv"
-        ).where((F.col("depth") <= F.col("m_depth")) & (F.col("depth") >= F.col("c_depth")))
-        way = materialise(way.select(*NODE, *values, "m_size"), "way")
-        added.append(way.select(*NODE, *values))
-        inner = placed.where(F.col("_below") & (F.col("depth") > F.col("m_depth"))).select(
-            *NODE, "p1", "p2", "conv_id", *values, "size",
-            (F.col("m_depth") + 1).alias("c_depth"), F.col("n1").alias("c1"), F.col("n2").alias("c2"),
-        )
-        upper = placed.where(~F.col("_below")).join(way.select(*NODE, "m_size"), NODE, "left")
-        upper = upper.withColumn("size", F.col("size") - F.coalesce("m_size", F.lit(0)))
-        tree = materialise(inner.unionByName(upper.select(*inner.columns)), "tree")
-    done.append(tree)
-    small = reduce(DataFrame.unionByName, [d.select(*COMPONENT, *NODE, "p1", "p2", *values) for d in done])
-    names = [*NODE, *values]
+        ends = big.groupBy(F.col("conv_id").alias("conv")).agg(F.min("depth").alias("_from"), F.max("depth").alias("_to"))
+        sizes = paths.select("conv", *NODE).join(ends, "conv").groupBy(*NODE)
+        sizes = sizes.agg(F.sum(F.col("_to") - F.greatest("_from", "depth") + 1).alias("size"))
+        big = materialise(big.join(sizes, NODE), "tree")
+        while not big.isEmpty():
+            rest, way = _split(paths, big.drop("_all"), values, [*columns, *COMPONENT, "size"])
+            added.append(way.select(*NODE, *values))
+            large = rest.groupBy(*COMPONENT).agg(F.max("size").alias("_all")).where(F.col("_all") > limit)
+            large = materialise(large, "components")
+            done.append(rest.join(large, COMPONENT, "left_anti"))
+            big = materialise(rest.join(large, COMPONENT), "tree")
+    small = reduce(DataFrame.unionByName, [d.select(*columns, *COMPONENT) for d in done])
+    names = [*NODE, "conv_id", "above", *keep, *values]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole_components(batches):
@@ -231,13 +267,64 @@ def rollup(paths: DataFrame, nodes: DataFrame, values: list[str], limit: int = C
                 -1 if key in tops else index[key[0] - 1, p1, p2]
                 for key, p1, p2 in zip(keys, group["p1"], group["p2"], strict=True)
             ]
+            group["above"] = [a if p < 0 else group["conv_id"][p] for p, a in zip(parents, group["above"], strict=True)]
             totals = centroid_totals(parents, [group[v] for v in values])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*(group[c] for c in NODE), *totals)], names=names)
+            found = [*(group[c] for c in names[: -len(values)]), *totals]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=names)
 
     finished = small.repartition(*COMPONENT).sortWithinPartitions(*COMPONENT, "depth").mapInArrow(
         finish, ", ".join(f"{c} bigint" for c in names)
     )
-    return reduce(DataFrame.unionByName, [finished, *added]).groupBy(*NODE).agg(*[F.sum(v).alias(v) for v in values])
+    if not added:
+        return finished
+    more = reduce(DataFrame.unionByName, added).groupBy(*NODE).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    finished = finished.join(more, NODE, "left")
+    return finished.withColumns({v: F.col(v) + F.coalesce(f"_{v}", F.lit(0)) for v in values}).select(*names)
+
+
+def _split(paths: DataFrame, big: DataFrame, values: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One round over large components: their parts with new components and sizes, and what is added to nodes."""
+    whole = big.groupBy(*COMPONENT).agg(F.max("size").alias("_all"))
+    centre = F.max(F.struct("depth", "k1", "k2", "p1", "p2", "conv_id", "size")).alias("centre")
+    centres = big.join(whole, COMPONENT).where(F.col("size") * 2 > F.col("_all")).groupBy(*COMPONENT).agg(centre)
+    parts = ("depth", "k1", "k2", "p1", "p2", "conv_id", "size")
+    centres = materialise(centres.select(*COMPONENT, *[F.col(f"centre.{c}").alias(f"m_{c}") for c in parts]), "centres")
+    at = [F.col(c) == F.col(f"m_{c}") for c in NODE]
+    through = paths.select("conv", *NODE).join(centres, at).select("conv", *COMPONENT, "m_depth", "m_conv_id")
+    after = paths.select("conv", (F.col("depth") - 1).alias("m_depth"), F.col("k1").alias("n1"), F.col("k2").alias("n2"))
+    through = through.join(after, ["conv", "m_depth"], "left").withColumnRenamed("conv", "conv_id")
+    placed = big.join(through, ["conv_id", *COMPONENT], "left")
+    placed = placed.withColumn("_below", F.coalesce(F.col("depth") >= F.col("m_depth"), F.lit(False)))
+    placed = materialise(placed, "placed")
+    sums = placed.where("_below").groupBy(*COMPONENT).agg(*[F.sum(v).alias(v) for v in values])
+    parents = placed.select(*[F.col(c).alias(f"u_{c}") for c in (*NODE, "conv_id")])
+    is_parent = [F.col("m_depth") - 1 == F.col("u_depth"), F.col("m_p1") == F.col("u_k1"), F.col("m_p2") == F.col("u_k2")]
+    centres = materialise(centres.join(sums, COMPONENT).join(parents, is_parent, "left"), "centres")
+    way = paths.select("conv", *NODE).join(centres.withColumnRenamed("m_conv_id", "conv"), "conv")
+    way = way.where((F.col("depth") < F.col("m_depth")) & (F.col("depth") >= F.col("c_depth")))
+    way = materialise(way.select(*NODE, *values, "m_size"), "way")
+    inner = placed.where(F.col("_below") & (F.col("depth") > F.col("m_depth"))).withColumns(
+        {
+            "c_depth": F.col("m_depth") + 1,
+            "c1": F.col("n1"),
+            "c2": F.col("n2"),
+            "above": F.when(F.col("depth") == F.col("m_depth") + 1, F.col("m_conv_id")).otherwise(F.col("above")),
+        }
+    )
+    upper = placed.where(~F.col("_below")).join(way.select(*NODE, "m_size"), NODE, "left")
+    upper = upper.withColumn("size", F.col("size") - F.coalesce("m_size", F.lit(0)))
+    middle = placed.where(F.col("_below") & (F.col("depth") == F.col("m_depth"))).drop(*values)
+    middle = middle.join(centres.select(*COMPONENT, *values, "u_conv_id"), COMPONENT).withColumns(
+        {
+            "above": F.coalesce("above", "u_conv_id"),
+            "size": F.lit(1).cast("bigint"),
+            "c_depth": F.col("depth"),
+            "c1": F.col("k1"),
+            "c2": F.col("k2"),
+        }
+    )
+    rest = inner.select(*columns).unionByName(upper.select(*columns)).unionByName(middle.select(*columns))
+    return materialise(rest, "tree"), way
 
 
 def _whole_components(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
