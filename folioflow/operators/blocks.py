@@ -1,20 +1,23 @@
 """Document token trees as a node table, and their text.
 
-A tree (``{"tokens": [...]}`` as JSON) is flattened by a chain of explodes, one per level: nothing is
-grouped. Text is assembled bottom-up: each step folds the deepest nodes into their parents. All steps
-group by (doc, node), so after one shuffle by ``doc`` they run in place. Trees of any depth are taken
-whole: every ``PLAN_LEVELS`` levels the rows are stored and the plan starts again from them.
+A tree (``{"tokens": [...]}`` as JSON) is flattened in one pass: a task walks each tree once and writes a row
+per node, table rows and cells among them. Text is assembled bottom-up in Spark, one depth after the other:
+the nodes of a depth are read when their children are ready, get their text, and go to their parents, so each
+node is grouped twice, as itself and as a child. All steps group by (doc, node), so after a shuffle by ``doc``
+they run in place. Trees of any depth are taken whole: every ``PLAN_LEVELS`` depths the rows are stored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators.ordering import with_rank
-from folioflow.session import materialise
+from folioflow.session import materialise, materialise_by
 
 TRANSPARENT_TYPES = ("document", "group")
 
@@ -24,158 +27,211 @@ KNOWN_TYPES = (
     "footnote", "bibliography", "text", "command", "document", "group", "ref", "math_env",
 )
 
+# Lines and headings of the rendered text.
+_AS_JSON = "Following table is represented in JSON:\n```json\n"
+_AUTHORS, _ABSTRACT, _REFERENCES = "## Authors\n", "## Abstract\n", "## References\n"
+_UNKNOWN = "<!-- Unknown token type: "
+
 # Types whose content is read from the node itself.
 _LEAF_TYPES = ("text", "equation", "citation", "ref", "author", "command")
 
 # Structural children that carry text for their parent and have no rendering of their own.
-_CARRIER_PARENTS = ("list", "bibliography", "figure", "table")
+_CARRIER_PARENTS = ("list", "bibliography", "figure", "table", "row")
 
-# Path steps of title tokens come before those of content tokens.
+# Path steps of title tokens come before those of content tokens, table rows after them.
 _TITLE_STEP = -(1 << 30)
+_ROW_STEP = 1 << 29
 
-# Levels that one plan expands or folds before its rows are stored; no level is left out.
+# Depths that one plan folds before its rows are stored; no depth is left out.
 PLAN_LEVELS = 8
 
-_TEXT_TOKENS = "array<struct<type string, content string, styles array<string>>>"
+# Nodes that a task holds before it hands them on, beside those of the tree at hand.
+_NODE_ROWS = 20_000
+
+_FIELDS = {
+    "path": pa.list_(pa.int32()),
+    "slot": pa.string(),
+    "parent_type": pa.string(),
+    "block": pa.bool_(),
+    "shown": pa.bool_(),
+    "type": pa.string(),
+    "text": pa.string(),
+    "styles": pa.list_(pa.string()),
+    "level": pa.int32(),
+    "numbering": pa.string(),
+    "name": pa.string(),
+    "indent": pa.int32(),
+    "display": pa.string(),
+    "cite_key": pa.string(),
+    "title_text": pa.string(),
+    "strings": pa.list_(pa.string()),
+    "is_grid": pa.bool_(),
+    "title_tokens": pa.list_(pa.struct([("content", pa.string()), ("styles", pa.list_(pa.string()))])),
+    "raw": pa.string(),
+}
+_FIELD_TYPES = (
+    "path array<int>, slot string, parent_type string, block boolean, shown boolean, type string, text string, "
+    "styles array<string>, level int, numbering string, name string, indent int, display string, cite_key string, "
+    "title_text string, strings array<string>, is_grid boolean, "
+    "title_tokens array<struct<content string, styles array<string>>>, raw string"
+)
 
 
-def token_nodes(trees: DataFrame, levels: int = PLAN_LEVELS) -> DataFrame:
-    """Every node of the trees (``doc, tree``), however deep. ``block`` marks nodes with only wrappers above them.
+def _tokens(tree: str | None) -> list | None:
+    """The top tokens of a tree; None if it is no JSON object or its ``tokens`` are no list."""
+    try:
+        parsed = json.loads(tree) if tree else None
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(parsed, dict):
+        return None
+    tokens = parsed.get("tokens")
+    return [] if tokens is None else tokens if isinstance(tokens, list) else None
 
-    A plan expands ``levels`` levels. The rows are stored, and nodes that still have children go on alone.
-    Trees that cannot be read give no nodes; ``unreadable_trees`` lists them.
-    """
-    roots = trees.select("doc", F.try_parse_json("tree").alias("_tree"))
-    top = F.transform(
-        F.try_variant_get("_tree", "$.tokens", "array<variant>"),
-        lambda v, i: F.struct(
-            F.array(i).alias("path"),
-            v.alias("node"),
-            F.lit("").alias("parent_type"),
-            F.lit("content").alias("slot"),
-            F.lit(True).alias("block"),
-            F.lit(True).alias("open"),
-        ),
-    )
-    rows = roots.select("doc", F.explode(top).alias("n")).select("doc", "n.*")
-    children = _children()
-    closed = F.struct("path", _without_children(F.col("node")).alias("node"), "parent_type", "slot", "block", F.lit(False).alias("open"))
-    itself = F.struct("path", "node", "parent_type", "slot", "block", "open")
-    grown = F.when(F.col("open"), F.concat(F.array(closed), children)).otherwise(F.array(itself))
-
-    def expand(found: DataFrame, times: int) -> DataFrame:
-        for _ in range(times):
-            found = found.select("doc", F.explode(grown).alias("n")).select("doc", "n.*")
-        return materialise(found.withColumn("more", F.col("open") & (F.size(children) > 0)), "token-levels")
-
-    rows, finished = expand(rows, levels - 1), []
-    while not (deeper := rows.where("more")).isEmpty():
-        finished.append(rows.where("NOT more"))
-        rows = expand(deeper, levels)
-    rows = reduce(DataFrame.unionByName, finished, rows)
-    node, kind = F.col("node"), F.col("type")
-    typed = rows.withColumn("type", F.try_variant_get(node, "$.type", "string"))
-    content = _string_at(node, "content")
-    title_tokens = F.try_variant_get(node, "$.content", _TEXT_TOKENS)
-    is_wrapper = F.coalesce(kind.isin(*TRANSPARENT_TYPES), F.lit(False))
-    is_text = F.coalesce(kind == "text", F.lit(False))
 
-    def field(name: str, of: str = "string") -> Column:
-        """A field that text tokens, the bulk of all nodes, do not have."""
-        return F.when(~is_text, F.try_variant_get(node, f"$.{name}", of))
+def _as_text(value: object) -> str | None:
+    if value is None or isinstance(value, (str, list, dict)):
+        return value if isinstance(value, str) else None
+    return json.dumps(value)
 
-    return typed.select(
-        "doc",
-        "path",
-        (F.size("path") - 1).alias("depth"),
-        "slot",
-        "parent_type",
-        (F.col("block") & ~is_wrapper).alias("block"),
-        (F.col("block") & is_wrapper).alias("wrapper"),
-        "type",
-        content.alias("text"),
-        F.when(is_text, F.try_variant_get(node, "$.styles", "array<string>")).alias("styles"),
-        field("level", "int").alias("level"),
-        field("numbering").alias("numbering"),
-        field("name").alias("name"),
-        field("depth", "int").alias("indent"),
-        field("display").alias("display"),
-        field("cite_key").alias("cite_key"),
-        F.when(~is_text, _string_at(node, "title")).alias("title_text"),
-        F.when(kind.isin("citation", "ref"), F.try_variant_get(node, "$.content", "array<string>")).alias("strings"),
-        F.when(kind == "table", table_grid(node)).alias("grid"),
-        F.when(kind.isin("table", "author"), F.to_json(node)).alias("raw"),
-        F.when(kind == "author", render_authors(node)).alias("authors"),
-        F.when(
-            kind == "title",
-            F.coalesce(content, _plain(title_tokens), F.to_json(F.try_variant_get(node, "$.content", "variant"))),
-        ).alias("title_key"),
-    )
 
+def _as_list(value: object) -> list | None:
+    return [_as_text(v) for v in value] if isinstance(value, list) else None
 
-def _readable(tree: Column | str) -> Column:
-    """Whether a tree is a JSON object whose ``tokens``, if any, are a list."""
-    parsed = F.try_parse_json(tree)
-    tokens = F.try_variant_get(parsed, "$.tokens", "variant")
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
-    return F.coalesce(is_object & (tokens.isNull() | F.schema_of_variant(tokens).startswith("ARRAY")), F.lit(False))
 
+def _as_int(value: object) -> int | None:
+    try:
+        return int(value) if isinstance(value, (int, float, str)) else None
+    except (ValueError, OverflowError):
+        return None
 
-def unreadable_trees(trees: DataFrame) -> DataFrame:
-    """``doc, tree`` of trees that are no JSON object or whose ``tokens`` are no list."""
-    return trees.where(~_readable("tree")).select("doc", "tree")
 
+def _compact(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
-def _string_at(node: Column, field: str) -> Column:
-    """The field when it is a string; lists and objects would otherwise come back as JSON text."""
-    listed = F.try_variant_get(node, f"$.{field}", "array<variant>")
-    return F.when(listed.isNull(), F.try_variant_get(node, f"$.{field}", "string"))
 
+def _grid(node: dict) -> list | None:
+    """Rows of a table node that can be drawn: it has some, and no cell covers several."""
+    content = node.get("content")
+    first = content[0] if isinstance(content, list) and content else None
+    rows = first.get("tabular") if isinstance(first, dict) else None
+    if not isinstance(rows, list) or not rows or not all(isinstance(r, list) for r in rows):
+        return None
+    spans = any(isinstance(c, dict) and (c.get("rowspan") or c.get("colspan")) for r in rows for c in r)
+    return None if spans else rows
 
-def _without_children(node: Column) -> Column:
-    """The node's own fields: once its children are rows, carrying them along would copy the subtree per level."""
-    kind = F.try_variant_get(node, "$.type", "string")
-    own = F.to_variant_object(
-        F.struct(
-            kind.alias("type"),
-            _string_at(node, "content").alias("content"),
-            _string_at(node, "title").alias("title"),
-            F.try_variant_get(node, "$.level", "int").alias("level"),
-            F.try_variant_get(node, "$.depth", "int").alias("depth"),
-            *[F.try_variant_get(node, f"$.{f}", "string").alias(f) for f in ("numbering", "name", "cite_key")],
-        )
-    )
-    return F.when(kind.isin(*_LEAF_TYPES, "title", "table"), node).otherwise(own)
 
+def _walk(tokens: list) -> Iterator[dict]:
+    """Every node of a tree in reading order, as a dict of the fields that it has.
 
-def _kid_type() -> str:
-    return "array<struct<path array<int>, node variant, parent_type string, slot string, block boolean, open boolean>>"
+    ``shown`` is false below what no rendering reaches: unknown types and all captions but the first.
+    """
+    waiting = [([i], t, "", "content", True, True) for i, t in enumerate(tokens)][::-1]
+    while waiting:
+        path, node, parent, slot, block, shown = waiting.pop()
+        out = {"path": path, "slot": slot, "parent_type": parent, "block": block, "shown": shown}
+        below: list[tuple] = []
+        if slot == "row":
+            below = [(j, c, "row", "cell", shown) for j, c in enumerate(node)]
+        elif slot == "cell":
+            content = node.get("content") if isinstance(node, dict) else node
+            if isinstance(content, list):
+                below = [(j, t, "cell", "content", shown) for j, t in enumerate(content)]
+            elif content is not None and not isinstance(content, dict):
+                out["text"] = content if isinstance(content, str) else str(content)
+        elif isinstance(node, dict):
+            kind = _as_text(node.get("type"))
+            content, title = node.get("content"), node.get("title")
+            out |= {"type": kind, "text": _as_text(content)}
+            if kind == "text":
+                out["styles"] = _as_list(node.get("styles"))
+            else:
+                out |= {
+                    "level": _as_int(node.get("level")),
+                    "indent": _as_int(node.get("depth")),
+                    "title_text": _as_text(title),
+                    **{f: _as_text(node.get(f)) for f in ("numbering", "name", "display", "cite_key")},
+                }
+            if kind in ("citation", "ref"):
+                out["strings"] = _as_list(content)
+            elif kind == "author":
+                out["raw"] = _compact(node)
+            elif kind == "title" and isinstance(content, list):
+                out["raw"] = _compact(content)
+                if all(isinstance(t, dict) and t.get("type") == "text" for t in content):
+                    out["title_tokens"] = [{"content": _as_text(t.get("content")), "styles": _as_list(t.get("styles"))} for t in content]
+            rows = _grid(node) if kind == "table" else None
+            if kind == "table":
+                out["is_grid"] = rows is not None
+                if rows is None:
+                    out["raw"] = _compact(node)
+            rendered = shown and (kind in KNOWN_TYPES or kind == "caption" or parent in _CARRIER_PARENTS)
+            if kind in ("section", "citation") and isinstance(title, list):
+                below = [(_TITLE_STEP + i, t, kind, "title", rendered) for i, t in enumerate(title)]
+            if kind not in _LEAF_TYPES and isinstance(content, list):
+                captions = [i for i, t in enumerate(content) if isinstance(t, dict) and t.get("type") == "caption"][:1]
+                only = captions if kind in ("figure", "table") else range(len(content))
+                below += [(i, t, kind or "", "content", rendered and i in only) for i, t in enumerate(content)]
+            below += [(_ROW_STEP + i, r, "table", "row", rendered) for i, r in enumerate(rows or [])]
+            block = block and kind in TRANSPARENT_TYPES
+        yield out
+        inside = block and isinstance(node, dict)
+        waiting += [([*path, step], t, of, at, inside, seen) for step, t, of, at, seen in reversed(below)]
+
+
+def token_nodes(trees: DataFrame) -> DataFrame:
+    """Every node of the trees (``doc, tree``), however deep. ``block`` marks nodes with only wrappers above them.
 
+    Rows and cells of a table that is drawn as a grid are nodes in the slots ``row`` and ``cell``, their
+    tokens hang below them. Each tree is walked once where it lies. Trees that cannot be read give no
+    nodes; ``unreadable_trees`` lists them.
+    """
 
-def _children() -> Column:
-    node = F.col("node")
-    kind = F.coalesce(F.try_variant_get(node, "$.type", "string"), F.lit(""))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, rows, found = batch.column("doc"), [], []
+
+            def taken() -> pa.RecordBatch:
+                columns = [pa.array([n.get(f) for n in found], kind) for f, kind in _FIELDS.items()]
+                return pa.RecordBatch.from_arrays([docs.take(pa.array(rows, pa.int64())), *columns], names=["doc", *_FIELDS])
+
+            for row, tree in enumerate(batch.column("tree")):
+                for node in _walk(_tokens(tree.as_py()) or []):
+                    rows.append(row)
+                    found.append(node)
+                    if len(found) == _NODE_ROWS:
+                        yield taken()
+                        rows, found = [], []
+            yield taken()
+
+    doc_type = trees.schema["doc"].dataType.simpleString()
+    walked = trees.select("doc", F.col("tree").cast("string").alias("tree")).mapInArrow(walk, f"doc {doc_type}, {_FIELD_TYPES}")
+    kind = F.col("type")
+    is_wrapper = F.coalesce(kind.isin(*TRANSPARENT_TYPES), F.lit(False))
+    return walked.withColumns(
+        {
+            "depth": F.size("path") - 1,
+            "block": F.col("block") & ~is_wrapper,
+            "wrapper": F.col("block") & is_wrapper,
+            "authors": F.when(kind == "author", render_authors(F.try_parse_json("raw"))),
+            "title_key": F.when(kind == "title", F.coalesce("text", _plain(F.col("title_tokens")), "raw")),
+        }
+    ).drop("title_tokens")
+
+
+def _readable(tree: str) -> Column:
+    """Whether a tree is a JSON object whose ``tokens``, if any, are a list."""
 
-    def under(field: str, first: int) -> Column:
-        found = F.try_variant_get(node, f"$.{field}", "array<variant>")
-        return F.coalesce(
-            F.transform(
-                found,
-                lambda v, i: F.struct(
-                    F.concat(F.col("path"), F.array(i + F.lit(first))).alias("path"),
-                    v.alias("node"),
-                    kind.alias("parent_type"),
-                    F.lit(field).alias("slot"),
-                    (F.col("block") & kind.isin(*TRANSPARENT_TYPES)).alias("block"),
-                    F.lit(True).alias("open"),
-                ),
-            ),
-            F.array().cast(_kid_type()),
-        )
+    @F.pandas_udf("boolean")
+    def readable(trees: pd.Series) -> pd.Series:
+        return trees.map(lambda t: _tokens(t) is not None).astype(bool)
 
-    content = F.when(kind.isin(*_LEAF_TYPES), F.array().cast(_kid_type())).otherwise(under("content", 0))
-    title = F.when(kind.isin("section", "citation"), under("title", _TITLE_STEP)).otherwise(F.array().cast(_kid_type()))
-    return F.concat(title, content)
+    return readable(F.coalesce(F.col(tree).cast("string"), F.lit("")))
+
+
+def unreadable_trees(trees: DataFrame) -> DataFrame:
+    """``doc, tree`` of trees that are no JSON object or whose ``tokens`` are no list."""
+    return trees.where(~_readable("tree")).select("doc", "tree")
 
 
 def token_blocks(nodes: DataFrame) -> DataFrame:
@@ -193,66 +249,46 @@ def token_census(nodes: DataFrame) -> DataFrame:
     )
 
 
+def title_places(titles: DataFrame, key: str = "title", order: str = "path", place: str = "place") -> DataFrame:
+    """Each block's place, from 1, among those of its document with the same title."""
+    return titles.withColumn(place, F.row_number().over(Window.partitionBy("doc", key).orderBy(order)))
+
+
 def first_seen_title(titles: DataFrame, key: str = "title", order: str = "path") -> DataFrame:
     """Only the first block with a given title per document."""
-    rest = F.struct(*[c for c in titles.columns if c not in ("doc", key)])
-    return titles.groupBy("doc", key).agg(F.min_by(rest, order).alias("_b")).select("doc", key, "_b.*")
+    return title_places(titles, key, order, "_place").where("_place = 1").drop("_place")
 
 
-def footnote_numbers(footnotes: DataFrame, order: str = "path") -> DataFrame:
+def footnote_numbers(footnotes: DataFrame, order: str = "path", number: str = "number") -> DataFrame:
     """Footnotes numbered per document in reading order."""
-    return with_rank(footnotes, [F.col(order).asc()], group=["doc"], rank="number")
+    return footnotes.withColumn(number, F.row_number().over(Window.partitionBy("doc").orderBy(order)).cast("bigint"))
 
 
 # --- pieces of text --------------------------------------------------------------------------
 
 
-def _plain(tokens: Column) -> Column:
-    """Text tokens with their styles, side by side."""
-    return F.array_join(F.transform(tokens, lambda t: F.coalesce(T.style_text(t["content"], t["styles"]), F.lit(""))), "")
-
+_TEXT_TOKENS = "array<struct<type string, content string, styles array<string>>>"
 
-def _token_text(token: Column) -> Column:
-    """A text token, or an inline equation, inside a cell."""
-    kind = F.try_variant_get(token, "$.type", "string")
-    content = F.try_variant_get(token, "$.content", "string")
-    styled = T.style_text(content, F.try_variant_get(token, "$.styles", "array<string>"))
-    return F.coalesce(
-        F.when(kind == "text", styled).when(kind == "equation", T.clean_equation(content, F.lit(False))), F.lit("")
-    )
 
+def _string_at(node: Column, field: str) -> Column:
+    """The field when it is a string; lists and objects would otherwise come back as JSON text."""
+    listed = F.try_variant_get(node, f"$.{field}", "array<variant>")
+    return F.when(listed.isNull(), F.try_variant_get(node, f"$.{field}", "string"))
 
-def table_grid(node: Column) -> Column:
-    """``rows`` of cell texts of a table node, and ``spans`` when a cell covers several."""
-    grid = F.try_variant_get(node, "$.content[0].tabular", "array<array<variant>>")
 
-    def covers(cell: Column, field: str) -> Column:
-        return F.coalesce(F.try_variant_get(cell, f"$.{field}", "int"), F.lit(0)) != 0
+def _plain(tokens: Column) -> Column:
+    """Text tokens with their styles, side by side."""
+    return F.array_join(F.transform(tokens, lambda t: F.coalesce(T.style_text(t["content"], t["styles"]), F.lit(""))), "")
 
-    def cell_text(cell: Column) -> Column:
-        tokens = F.coalesce(
-            F.try_variant_get(cell, "$.content", "array<variant>"), F.try_variant_get(cell, "$", "array<variant>")
-        )
-        is_object = F.schema_of_variant(cell).startswith("OBJECT")
-        return F.when(cell.isNull() | F.is_variant_null(cell), F.lit("")).otherwise(
-            F.coalesce(
-                F.array_join(F.transform(tokens, _token_text), ""),
-                F.when(is_object, F.coalesce(_string_at(cell, "content"), F.lit(""))),
-                F.try_variant_get(cell, "$", "string"),
-                F.lit(""),
-            )
-        )
 
-    spans = F.exists(grid, lambda row: F.exists(row, lambda c: covers(c, "rowspan") | covers(c, "colspan")))
-    return F.struct(
-        F.transform(grid, lambda row: F.transform(row, cell_text)).alias("rows"), F.coalesce(spans, F.lit(False)).alias("spans")
-    )
+def table_line(cells: Column) -> Column:
+    """One row of a table from the texts of its cells."""
+    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
 
-def render_table(rows: Column, spans: Column, raw: Column, numbering: Column, caption: Column) -> Column:
+def render_table(lines: Column, is_grid: Column, raw: Column, numbering: Column, caption: Column) -> Column:
     """Pipe table with a header line; spans or a missing grid keep the JSON; one row alone gives nothing."""
     head = F.concat(F.lit("[Table "), F.coalesce(numbering, F.lit("")), F.lit("]: "), F.coalesce(caption, F.lit("")), F.lit("\n"))
-    lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
     # A bar inside a cell of the first row counts as a column border too.
     bars = F.length(F.get(lines, F.lit(0))) - F.length(F.replace(F.get(lines, F.lit(0)), F.lit("|"), F.lit("")))
     rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), bars - 1))
@@ -261,10 +297,8 @@ def render_table(rows: Column, spans: Column, raw: Column, numbering: Column, ca
         F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 2147483646)), "\n"),
         F.lit("\n"),
     )
-    as_json = F.concat(head, F.lit("Following table is represented in JSON:\n```json\n"), raw, F.lit("\n```\n"))
-    return (
-        F.when(rows.isNull() | (F.size(rows) == 0) | spans, as_json).when(F.size(rows) > 1, table).otherwise(F.lit(""))
-    )
+    as_json = F.concat(head, F.lit(_AS_JSON), raw, F.lit("\n```\n"))
+    return F.when(~is_grid, as_json).when(F.size(lines) > 1, table).otherwise(F.lit(""))
 
 
 def author_items(node: Column) -> Column:
@@ -332,14 +366,14 @@ def author_line(items: Column) -> Column:
 
 def render_authors(node: Column) -> Column:
     line = author_line(author_items(node))
-    return F.when(line != "", F.concat(F.lit("## Authors\n"), line, F.lit("\n"))).otherwise(F.lit(""))
+    return F.when(line != "", F.concat(F.lit(_AUTHORS), line, F.lit("\n"))).otherwise(F.lit(""))
 
 
 # --- rendering -------------------------------------------------------------------------------
 
 _NODE = (
     "type", "parent_type", "slot", "text", "styles", "level", "numbering", "name", "indent", "display", "cite_key",
-    "title_text", "strings", "grid", "raw", "authors", "note", "first_title", "depth", "block", "wrapper",
+    "title_text", "strings", "is_grid", "raw", "authors", "note", "first_title", "depth", "block", "wrapper",
 )
 
 
@@ -350,6 +384,7 @@ def _node_text(ignore_reference: bool, clean_equations: bool) -> Column:
     title_kids = F.filter("kids", lambda k: k["slot"] == "title")
     title = F.coalesce(F.col("title_text"), F.array_join(F.transform(title_kids, lambda k: k["md"]), ""))
     caption = F.coalesce(F.get(F.filter(kids, lambda k: k["type"] == "caption"), F.lit(0))["md"], F.lit(""))
+    rows = F.transform(F.filter("kids", lambda k: k["slot"] == "row"), lambda k: k["md"])
     kind = F.col("type")
 
     def unless_empty(condition: Column, value: Column) -> Column:
@@ -364,14 +399,16 @@ def _node_text(ignore_reference: bool, clean_equations: bool) -> Column:
     indent = F.repeat(F.lit("  "), F.coalesce(F.col("indent"), F.lit(0)))
     formula = F.regexp_replace(body, r"^\s+|\s+$", "")
     named = F.concat_ws(", ", F.coalesce(F.col("strings"), F.array().cast("array<string>")), F.when(title != "", title))
-    unknown = F.concat(F.lit("<!-- Unknown token type: "), F.coalesce(kind, F.lit("None")), F.lit(" -->"))
+    unknown = F.concat(F.lit(_UNKNOWN), F.coalesce(kind, F.lit("None")), F.lit(" -->"))
 
     cases: list[tuple[Column, Column]] = [
+        (F.col("slot") == "cell", body),
+        (F.col("slot") == "row", table_line(F.transform(F.filter("kids", lambda k: k["slot"] == "cell"), lambda k: k["md"]))),
         (F.col("parent_type").isin("list", "bibliography") & (F.col("slot") == "content"), body),
         (F.col("parent_type").isin("figure", "table") & (F.col("slot") == "content"), body),
         (kind == "title", unless_empty(F.col("first_title"), F.concat(F.lit("# "), body, F.lit("\n")))),
         (kind == "author", F.col("authors")),
-        (kind == "abstract", unless_empty(body != "", F.concat(F.lit("## Abstract\n"), body, F.lit("\n")))),
+        (kind == "abstract", unless_empty(body != "", F.concat(F.lit(_ABSTRACT), body, F.lit("\n")))),
         (
             kind == "section",
             unless_empty(
@@ -395,7 +432,7 @@ def _node_text(ignore_reference: bool, clean_equations: bool) -> Column:
                 F.concat(F.lit("[Figure "), F.coalesce(F.col("numbering"), F.lit("")), F.lit("]: "), caption, F.lit("\n")),
             ),
         ),
-        (kind == "table", render_table(F.col("grid.rows"), F.col("grid.spans"), F.col("raw"), F.col("numbering"), caption)),
+        (kind == "table", render_table(rows, F.col("is_grid"), F.col("raw"), F.col("numbering"), caption)),
         (
             kind == "equation",
             T.clean_equation(
@@ -412,7 +449,7 @@ def _node_text(ignore_reference: bool, clean_equations: bool) -> Column:
                 F.transform(
                     kids, lambda k: F.concat(F.lit("["), F.coalesce(k["cite_key"], F.lit("")), F.lit("]: "), k["md"])
                 ),
-                "## References\n",
+                _REFERENCES,
             ),
         ),
         (
@@ -440,61 +477,48 @@ def _node_text(ignore_reference: bool, clean_equations: bool) -> Column:
 def render_blocks(nodes: DataFrame, ignore_reference: bool = False, clean_equations: bool = False) -> DataFrame:
     """Text of each block: ``doc, path, type, md`` and ``notes``, the footnotes inside it.
 
-    Wrappers have no text of their own; the nodes below them are the blocks.
+    Wrappers have no text of their own; the nodes below them are the blocks. Footnotes that no rendering
+    reaches have no number.
     """
     found = materialise(nodes, "nodes")
     deepest = found.agg(F.max("depth")).head()[0] or 0
     # Only titles and footnotes are sorted; the other rows just join them.
-    marked = F.coalesce(F.col("type").isin("title", "footnote"), F.lit(False))
-    in_type = Window.partitionBy("doc", "type").orderBy("path")
-    by_title = Window.partitionBy("doc", "type", "title_key").orderBy("path")
-    numbered = (
-        found.where(marked)
-        .withColumn("note", F.when(F.col("type") == "footnote", F.row_number().over(in_type)))
-        .withColumn("first_title", F.when(F.col("type") == "title", F.row_number().over(by_title) == 1))
-        .unionByName(found.where(~marked), allowMissingColumns=True)
-    )
-    stored = numbered.select("doc", "path", F.struct(*_NODE).alias("node")).repartition("doc")
+    notes = footnote_numbers(found.where("type = 'footnote' AND shown"), number="note")
+    titles = title_places(found.where("type = 'title'"), "title_key").withColumn("first_title", F.col("place") == 1).drop("place")
+    rest = found.where("type IS NULL OR NOT (type = 'title' OR type = 'footnote' AND shown)")
+    marked = notes.unionByName(titles, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
+    stored = materialise_by(marked.select("doc", "path", F.struct(*_NODE).alias("node"), "depth"), "depth", "folding")
 
     md, notes = _node_columns(ignore_reference, clean_equations)
     fields = [F.col(f"node.{c}").alias(c) for c in _NODE]
-    kid_type = "array<struct<step int, slot string, type string, cite_key string, md string, notes array<struct<path array<int>, md string>>>>"
-    rows = stored.withColumn("kids", F.array().cast(kid_type))
-    for depth in range(deepest, 0, -1):
-        at_depth = (F.col("node.depth") == depth) & ~F.col("node.block") & ~F.col("node.wrapper")
-        done = rows.select("doc", "path", "node", "kids", *fields).select(
-            "doc", "path", "node", "kids", F.when(at_depth, md).alias("md"), F.when(at_depth, notes).alias("notes")
-        )
-        done = done.withColumns(
-            {
-                "_into": F.when(at_depth, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path")),
-                "_kid": F.when(
-                    at_depth,
-                    F.struct(
-                        F.element_at("path", -1).alias("step"),
-                        F.col("node.slot").alias("slot"),
-                        F.col("node.type").alias("type"),
-                        F.col("node.cite_key").alias("cite_key"),
-                        "md",
-                        "notes",
-                    ),
-                ),
-                "_own": F.when(~at_depth, F.struct("node", "kids")),
-            }
-        )
-        folded = done.groupBy("doc", "_into").agg(
-            F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_list("_kid")).alias("_new")
+    kid = "struct<step int, slot string, type string, cite_key string, md string, notes array<struct<path array<int>, md string>>>"
+    block = "struct<type string, md string, notes array<struct<path array<int>, md string>>>"
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nothing = {"kid": F.lit(None).cast(kid), "block": F.lit(None).cast(block)}
+    ready: DataFrame | None = None
+    for depth in range(deepest, -1, -1):
+        rows = stored.where(F.col("depth") == depth).select("doc", "path", "node").repartition(parts, "doc").withColumns(nothing)
+        if ready is not None:
+            rows = rows.unionByName(ready.withColumn("node", F.lit(None).cast(rows.schema["node"].dataType)))
+        rows = rows.groupBy("doc", "path").agg(
+            F.first("node", ignorenulls=True).alias("node"),
+            F.array_sort(F.collect_list("kid")).alias("kids"),
+            F.first("block", ignorenulls=True).alias("block"),
         )
-        rows = folded.select(
+        # A wrapper has no text; what is ready waits as it is; a block becomes ready, any other node a child.
+        rows = rows.where(F.col("block").isNotNull() | ~F.col("node.wrapper"))
+        rows = rows.select("doc", "path", "kids", F.col("block").alias("_ready"), *fields)
+        rows = rows.select("doc", "path", "_ready", "slot", "type", "cite_key", F.col("block").alias("is_block"), md.alias("md"), notes.alias("notes"))
+        inner = F.col("_ready").isNull() & ~F.col("is_block")
+        ready = rows.select(
             "doc",
-            F.col("_into").alias("path"),
-            F.col("_own.node").alias("node"),
-            F.concat(F.col("_own.kids"), F.col("_new").cast(kid_type)).alias("kids"),
+            F.when(inner, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path")).alias("path"),
+            F.when(inner, F.struct(F.element_at("path", -1).alias("step"), "slot", "type", "cite_key", "md", "notes")).alias("kid"),
+            F.when(~inner, F.coalesce("_ready", F.struct("type", "md", "notes"))).alias("block"),
         )
-        if (deepest - depth + 1) % PLAN_LEVELS == 0 and depth > 1:
-            rows = materialise(rows, "folded")
-    done = rows.where("node.block").select("doc", "path", "kids", *fields)
-    return done.select("doc", "path", "type", md.alias("md"), notes.alias("notes"))
+        if (deepest - depth + 1) % PLAN_LEVELS == 0 and depth > 0:
+            ready = materialise(ready, "folded").repartition(parts, "doc")
+    return ready.select("doc", "path", "block.type", "block.md", "block.notes")
 
 
 def _node_columns(ignore_reference: bool, clean_equations: bool) -> tuple[Column, Column]:

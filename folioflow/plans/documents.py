@@ -16,7 +16,7 @@ def _text_token(content: Column, styles: str = "") -> Column:
 
 
 def document_trees(b: Bound) -> DataFrame:
-    """A tree per document: title (twice), abstract, a section per further line, a list of all lines and the rest."""
+    """A tree per document: title (twice), abstract, a section per further line, a list of all lines, a table and the rest."""
     lines = F.split("text", "\n")
     first = F.get(lines, F.lit(0))
 
@@ -68,7 +68,15 @@ def document_trees(b: Bound) -> DataFrame:
         n,
         F.lit('"]}, {"type": "bibliography", "content": [{"cite_key": "k1", "content": ['),
         _text_token(F.col("source")),
-        F.lit(']}]}, {"type": "widget"}]}]}'),
+        F.lit(']}]}, {"type": "widget"}, {"type": "table", "numbering": "7", "content": [{"tabular": [[{"content": ['),
+        _text_token(first),
+        F.lit(', {"type": "citation", "content": ["k1"]}, {"type": "group", "content": [{"type": "text", "content": " in "}]}, '),
+        F.lit('{"type": "ref", "content": ["tab:1"]}]}, ['),
+        _text_token(F.col("source"), '"bold"'),
+        F.lit('], null], [{"content": [{"type": "footnote", "content": [{"type": "text", "content": "cell"}]}]}, "plain", '),
+        F.lit('{"content": "str"}]]}, {"type": "caption", "content": ['),
+        _text_token(first),
+        F.lit("]}]}]}]}"),
     )
     return b.spread_documents.select(F.col("id").alias("doc"), tree.alias("tree"))
 
@@ -92,7 +100,10 @@ BLOCKS_SQL = (
         UNION ALL SELECT doc, '1/' || (4 + len(lines)), 5 + len(lines), 'equation', '$$ x + ' || len(lines) || ' $$' || chr(10) FROM parts
         UNION ALL SELECT doc, '1/' || (5 + len(lines)), 6 + len(lines), 'ref', '[sec:' || len(lines) || ']' FROM parts
         UNION ALL SELECT doc, '1/' || (6 + len(lines)), 7 + len(lines), 'bibliography', '## References' || chr(10) || '[k1]: ' || source || chr(10) FROM parts
-        UNION ALL SELECT doc, '1/' || (7 + len(lines)), 8 + len(lines), 'widget', '<!-- Unknown token type: widget -->' FROM parts)"""
+        UNION ALL SELECT doc, '1/' || (7 + len(lines)), 8 + len(lines), 'widget', '<!-- Unknown token type: widget -->' FROM parts
+        UNION ALL SELECT doc, '1/' || (8 + n), 9 + n, 'table', '[Table 7]: ' || first || chr(10) || head || chr(10) || '|'
+            || repeat('---|', length(head) - length(replace(head, '|', '')) - 1) || chr(10) || '| [^' || n || '] | plain | str |' || chr(10)
+            FROM (SELECT doc, len(lines) AS n, lines[1] AS first, '| ' || lines[1] || '[k1] in [tab:1] | <b>' || source || '</b> |  |' AS head FROM parts))"""
 )
 
 
@@ -112,6 +123,14 @@ def _path(path: str = "path") -> Column:
             {'type': 'ref', 'path': '1/' || (5 + len(lines)), 'text': NULL}, {'type': 'bibliography', 'path': '1/' || (6 + len(lines)), 'text': NULL},
             {'type': NULL, 'path': '1/' || (6 + len(lines)) || '/0', 'text': NULL}, {'type': 'text', 'path': '1/' || (6 + len(lines)) || '/0/0', 'text': source},
             {'type': 'widget', 'path': '1/' || (7 + len(lines)), 'text': NULL}]) AS b FROM parts
+        UNION ALL SELECT doc, unnest([{'type': 'table', 'path': t, 'text': NULL}, {'type': NULL, 'path': t || '/0', 'text': NULL}, {'type': 'caption', 'path': t || '/1', 'text': NULL},
+            {'type': 'text', 'path': t || '/1/0', 'text': lines[1]}, {'type': NULL, 'path': r0, 'text': NULL}, {'type': NULL, 'path': r0 || '/0', 'text': NULL},
+            {'type': 'text', 'path': r0 || '/0/0', 'text': lines[1]}, {'type': 'citation', 'path': r0 || '/0/1', 'text': NULL}, {'type': 'text', 'path': r0 || '/0/2/0', 'text': ' in '},
+            {'type': 'ref', 'path': r0 || '/0/3', 'text': NULL}, {'type': NULL, 'path': r0 || '/1', 'text': NULL}, {'type': 'text', 'path': r0 || '/1/0', 'text': source},
+            {'type': NULL, 'path': r0 || '/2', 'text': NULL}, {'type': NULL, 'path': r1, 'text': NULL}, {'type': NULL, 'path': r1 || '/0', 'text': NULL},
+            {'type': 'footnote', 'path': r1 || '/0/0', 'text': NULL}, {'type': 'text', 'path': r1 || '/0/0/0', 'text': 'cell'}, {'type': NULL, 'path': r1 || '/1', 'text': 'plain'},
+            {'type': NULL, 'path': r1 || '/2', 'text': 'str'}])
+            FROM (SELECT doc, lines, source, '1/' || (8 + len(lines)) AS t, t || '/536870912' AS r0, t || '/536870913' AS r1 FROM parts)
         UNION ALL SELECT doc, unnest([{'type': 'item', 'path': '1/' || (2 + n) || '/' || i, 'text': NULL}, {'type': 'text', 'path': '1/' || (2 + n) || '/' || i || '/0', 'text': x}]) FROM numbered
         UNION ALL SELECT doc, unnest([{'type': 'section', 'path': '1/' || (2 + i), 'text': NULL}, {'type': 'text', 'path': '1/' || (2 + i) || '/-1073741824', 'text': 'Part ' || i},
             {'type': 'paragraph', 'path': '1/' || (2 + i) || '/0', 'text': NULL}, {'type': 'text', 'path': '1/' || (2 + i) || '/0/0', 'text': x},
@@ -128,9 +147,9 @@ def token_blocks(b: Bound) -> DataFrame:
     "token_census",
     PARTS_SQL
     + """, sizes AS (SELECT count(*) AS docs, sum(len(lines))::BIGINT AS lines FROM parts)
-    SELECT unnest(['command', 'document', 'title', 'abstract', 'list', 'figure', 'graphic', 'caption', 'equation', 'ref', 'bibliography', 'widget', 'item', 'section', 'paragraph', 'citation', 'footnote', 'text']) AS type,
-        unnest([docs, docs, 2 * docs, docs, docs, docs, docs, docs, docs, docs, docs, docs, lines, lines - docs, lines - docs, lines - docs, lines - docs, 4 * docs + lines + 3 * (lines - docs)]) AS nodes,
-        unnest([true, true, true, true, true, true, false, false, true, true, true, false, false, true, true, true, true, true]) AS known FROM sizes""",
+    SELECT unnest(['command', 'document', 'title', 'abstract', 'list', 'figure', 'graphic', 'caption', 'equation', 'ref', 'bibliography', 'widget', 'item', 'section', 'paragraph', 'citation', 'footnote', 'text', 'table', 'group']) AS type,
+        unnest([docs, docs, 2 * docs, docs, docs, docs, docs, 2 * docs, docs, 2 * docs, docs, docs, lines, lines - docs, lines - docs, lines, lines, 9 * docs + lines + 3 * (lines - docs), docs, docs]) AS nodes,
+        unnest([true, true, true, true, true, true, false, false, true, true, true, false, false, true, true, true, true, true, true, true]) AS known FROM sizes""",
 )
 def token_census(b: Bound) -> DataFrame:
     return blocks.token_census(blocks.token_nodes(document_trees(b)))
@@ -146,7 +165,8 @@ def render_blocks(b: Bound) -> DataFrame:
     "assemble_document",
     BLOCKS_SQL
     + """, bodies AS (SELECT doc, string_agg(md, '' ORDER BY pos) AS body FROM blocks GROUP BY doc),
-    notes AS (SELECT doc, string_agg('[^' || i || ']: note ' || i, chr(10) ORDER BY i) AS notes FROM numbered WHERE i > 0 GROUP BY doc)
+    notes AS (SELECT doc, string_agg('[^' || i || ']: ' || CASE WHEN i = n THEN 'cell' ELSE 'note ' || i END, chr(10) ORDER BY i) AS notes
+        FROM (SELECT doc, len(lines) AS n, unnest(range(1, len(lines) + 1)) AS i FROM parts) GROUP BY doc)
     SELECT b.doc, md5(b.body || coalesce(chr(10) || chr(10) || n.notes, '')) AS text_md5, length(b.body || coalesce(chr(10) || chr(10) || n.notes, '')) AS text_length
     FROM bodies b LEFT JOIN notes n ON b.doc = n.doc""",
 )
@@ -178,8 +198,15 @@ def footnote_numbers(b: Bound) -> DataFrame:
     return blocks.footnote_numbers(rows)
 
 
-def table_nodes(b: Bound) -> DataFrame:
-    """A table per document: a row per line, a cell per word; German tables have a spanning cell."""
+# The last cell of each row holds tokens.
+_TOKEN_CELL = (
+    '{"content":[{"type":"text","content":"x"},{"type":"citation","content":["k1"]},'
+    '{"type":"group","content":[{"type":"text","content":"in group"}]},{"type":"ref","content":["tab:1"]}]}'
+)
+
+
+def table_trees(b: Bound) -> DataFrame:
+    """A table per document: a row per line, a cell per word and one of tokens; German tables have spanning cells."""
     span = F.when(F.col("lang") == "de", ',"rowspan":2').otherwise("")
     rows = F.transform(
         F.split("text", "\n"),
@@ -191,30 +218,29 @@ def table_nodes(b: Bound) -> DataFrame:
                 ),
                 ",",
             ),
-            F.lit("]"),
+            F.lit(f",{_TOKEN_CELL}]"),
         ),
     )
     token = F.concat(
         F.lit('{"content":[{"tabular":['), F.array_join(rows, ","), F.lit(']}],"numbering":"'), "n_chars", F.lit('","type":"table"}')
     )
-    return b.spread_documents.select("id", F.parse_json(token).alias("node"), "n_chars")
+    return b.spread_documents.select(F.col("id").alias("doc"), F.concat(F.lit('{"tokens":['), token, F.lit("]}")).alias("tree"))
 
 
 @query(
     "render_tables",
     with_ctes("docs")
-    + """, t AS (SELECT id, lang, n_chars, '[Table ' || n_chars || ']: ' || chr(10) AS head, list_transform(string_split(text, chr(10)), lambda x: '| ' || array_to_string(string_split(x, ' '), ' | ') || ' |') AS rows,
-        '{"content":[{"tabular":[' || array_to_string(list_transform(string_split(text, chr(10)), lambda x: '[' || array_to_string(list_transform(string_split(x, ' '), lambda w: '{"content":' || to_json(w)::VARCHAR || ',"rowspan":2}'), ',') || ']'), ',')
-        || ']}],"numbering":"' || n_chars || '","type":"table"}' AS raw FROM docs)
+    + f""", t AS (SELECT id, lang, n_chars, '[Table ' || n_chars || ']: ' || chr(10) AS head,
+            list_transform(string_split(text, chr(10)), lambda x: '| ' || array_to_string(string_split(x, ' '), ' | ') || ' | x[k1]in group[tab:1] |') AS rows,
+        '{{"content":[{{"tabular":[' || array_to_string(list_transform(string_split(text, chr(10)), lambda x: '[' || array_to_string(list_transform(string_split(x, ' '), lambda w: '{{"content":' || to_json(w)::VARCHAR || ',"rowspan":2}}'), ',') || ',{_TOKEN_CELL}]'), ',')
+        || ']}}],"numbering":"' || n_chars || '","type":"table"}}' AS raw FROM docs)
     SELECT id, md5(CASE WHEN lang = 'de' THEN head || 'Following table is represented in JSON:' || chr(10) || '```json' || chr(10) || raw || chr(10) || '```' || chr(10)
         WHEN len(rows) > 1 THEN head || rows[1] || chr(10) || '|' || repeat('---|', length(rows[1]) - length(replace(rows[1], '|', '')) - 1) || chr(10) || array_to_string(rows[2:], chr(10)) || chr(10)
         ELSE '' END) AS md_md5 FROM t""",
 )
 def render_tables(b: Bound) -> DataFrame:
-    grid = blocks.table_grid(F.col("node"))
-    rows = table_nodes(b).select("id", grid.alias("g"), F.to_json("node").alias("raw"), F.col("n_chars").cast("string").alias("n"))
-    md = blocks.render_table(F.col("g.rows"), F.col("g.spans"), F.col("raw"), F.col("n"), F.lit(""))
-    return rows.select("id", F.md5(md).alias("md_md5"))
+    tables = blocks.render_blocks(blocks.token_nodes(table_trees(b)))
+    return tables.select(F.col("doc").alias("id"), F.md5("md").alias("md_md5"))
 
 
 @query(

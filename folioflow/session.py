@@ -63,3 +63,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_by(df: DataFrame, column: str, label: str) -> DataFrame:
+    """``materialise`` with a folder for each value of ``column``, of which there are few: a filter on it reads only those."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,9 +10,9 @@ def text(content, *styles):
     return {"type": "text", "content": content, **({"styles": list(styles)} if styles else {})}
 
 
-def nodes(spark, *tokens, levels=8):
+def nodes(spark, *tokens):
     trees = spark.createDataFrame([("d", json.dumps({"tokens": list(tokens)}))], "doc string, tree string")
-    return blocks.token_nodes(trees, levels)
+    return blocks.token_nodes(trees)
 
 
 def rendered_all(spark, cases, **options):
@@ -43,9 +43,9 @@ def test_every_level_of_a_deep_tree_is_taken(spark):
     deep = text("x")
     for _ in range(20):
         deep = {"type": "group", "content": [deep, text("y")]}
-    found = [nodes(spark, deep, levels=n).select("path", "type", "text") for n in (3, 8, 40)]
-    assert found[0].count() == 41
-    assert rows(found[0], "path", "type", "text") == rows(found[1], "path", "type", "text") == rows(found[2], "path", "type", "text")
+    found = nodes(spark, deep)
+    assert found.count() == 41
+    assert rows(found.where("type = 'text'"), "depth", "text") == sorted([(20, "x"), *[(d, "y") for d in range(1, 21)]], key=repr)
     paragraph = {"type": "paragraph", "content": [deep]}
     assert rendered(spark, {"type": "title", "content": "T"}, paragraph) == "# T\nx" + "y" * 20 + "\n\n"
 
@@ -103,6 +103,35 @@ def test_tables(spark):
     assert "```json" in empty
 
 
+def test_cells_hold_any_token(spark):
+    citation = {"type": "citation", "content": ["k1"]}
+    group = {"type": "group", "content": [text(" in"), {"type": "group", "content": [text("group", "bold")]}]}
+    ref = {"type": "ref", "content": ["tab:1"]}
+
+    def note(of):
+        return {"type": "footnote", "content": [text(of)]}
+
+    grid = [
+        [{"content": [text("x"), citation, group, ref]}, [note("cell"), {"type": "equation", "content": "y"}], {"content": "s"}, None],
+        [True, 1.5, [], {"content": []}],
+        [{"content": [{"type": "footnote", "content": [note("deep"), text(" end")]}]}],
+    ]
+    table = {"type": "table", "content": [{"tabular": grid}, {"type": "caption", "content": [note("cap")]}, {"type": "caption", "content": [note("gone")]}]}
+    paragraph = {"type": "paragraph", "content": [note("after")]}
+    lines = "| x[k1] in<b>group</b>[tab:1] | [^2]$y$ | s |  |\n|---|---|---|---|\n| True | 1.5 |  |  |\n| [^3] |"
+    notes = "\n\n[^1]: cap\n[^2]: cell\n[^3]: [^4] end\n[^4]: deep\n[^5]: after"
+    spanning = {"type": "table", "content": [{"tabular": [[{"content": [note("lost")], "colspan": 2}]]}]}
+    odd = {"type": "odd", "content": [note("lost")]}
+    shown, dropped = rendered_all(spark, [[table, paragraph], [spanning, odd, paragraph]])
+    assert shown == "[Table ]: [^1]\n" + lines + "\n[^5]\n\n" + notes
+    assert dropped.endswith("<!-- Unknown token type: odd -->[^1]\n\n\n\n[^1]: after")
+    assert "x in" in rendered(spark, table, ignore_reference=True)
+    found = nodes(spark, table)
+    assert found.where("slot = 'row'").count() == 3 and found.where("slot = 'cell'").count() == 9
+    assert found.where("type IS NULL AND parent_type IN ('table', 'row')").count() == 13  # the grid's own token too
+    assert blocks.token_census(found).where("type IS NULL").count() == 0
+
+
 AUTHORS = [
     ([[text("A"), text("1", "superscript"), text("2", "superscript"), text(", B"), text("3", "superscript")]], "<b>A</b><sup>1,2</sup>, <b>B</b><sup>3</sup>"),
     ([text("A"), text("B")], "<b>A</b>, <b>B</b>"),

@@ -2,11 +2,13 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from folioflow.plans.registry import all_queries
 from tests.oracle import connect, difference
 
 SMALL = "/root/testdata/sf0.001"
-BUILDS, ORACLES = queries(), oracle_sql()
+BUILDS = {name: q.build for name, q in all_queries().items()}
+ORACLES = {name: q.sql for name, q in all_queries().items() if q.sql}
 
 
 @pytest.fixture(scope="module")
