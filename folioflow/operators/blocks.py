@@ -54,6 +54,7 @@ _FIELDS = {
     "parent_type": pa.string(),
     "block": pa.bool_(),
     "shown": pa.bool_(),
+    "leaf": pa.bool_(),
     "type": pa.string(),
     "text": pa.string(),
     "styles": pa.list_(pa.string()),
@@ -70,7 +71,7 @@ _FIELDS = {
     "raw": pa.string(),
 }
 _FIELD_TYPES = (
-    "path array<int>, slot string, parent_type string, block boolean, shown boolean, type string, text string, "
+    "path array<int>, slot string, parent_type string, block boolean, shown boolean, leaf boolean, type string, text string, "
     "styles array<string>, level int, numbering string, name string, indent int, display string, cite_key string, "
     "title_text string, strings array<string>, is_grid boolean, "
     "title_tokens array<struct<content string, styles array<string>>>, raw string"
@@ -174,6 +175,7 @@ def _walk(tokens: list) -> Iterator[dict]:
                 below += [(i, t, kind or "", "content", rendered and i in only) for i, t in enumerate(content)]
             below += [(_ROW_STEP + i, r, "table", "row", rendered) for i, r in enumerate(rows or [])]
             block = block and kind in TRANSPARENT_TYPES
+        out["leaf"] = not below
         yield out
         inside = block and isinstance(node, dict)
         waiting += [([*path, step], t, of, at, inside, seen) for step, t, of, at, seen in reversed(below)]
@@ -377,21 +379,29 @@ _NODE = (
 )
 
 
-def _node_text(ignore_reference: bool, clean_equations: bool) -> Column:
-    """Text of a node from its fields and the texts of its children (``kids``, in order)."""
-    kids = F.filter("kids", lambda k: k["slot"] == "content")
-    body = F.coalesce(F.col("text"), F.array_join(F.transform(kids, lambda k: k["md"]), ""))
-    title_kids = F.filter("kids", lambda k: k["slot"] == "title")
-    title = F.coalesce(F.col("title_text"), F.array_join(F.transform(title_kids, lambda k: k["md"]), ""))
-    caption = F.coalesce(F.get(F.filter(kids, lambda k: k["type"] == "caption"), F.lit(0))["md"], F.lit(""))
-    rows = F.transform(F.filter("kids", lambda k: k["slot"] == "row"), lambda k: k["md"])
+def _node_text(with_kids: bool, ignore_reference: bool, clean_equations: bool) -> Column:
+    """Text of a node from its fields and, if it has any, the texts of its children (``kids``, in order)."""
+
+    def of_kids(slot: str, value=lambda k: k["md"], separator: str = "") -> Column:
+        if not with_kids:
+            return F.lit("")
+        return F.array_join(F.transform(F.filter("kids", lambda k: k["slot"] == slot), value), separator)
+
+    body = F.coalesce(F.col("text"), of_kids("content"))
+    title = F.coalesce(F.col("title_text"), of_kids("title"))
+    no_lines = F.array().cast("array<string>")
+    rows = F.transform(F.filter("kids", lambda k: k["slot"] == "row"), lambda k: k["md"]) if with_kids else no_lines
+    cells = F.transform(F.filter("kids", lambda k: k["slot"] == "cell"), lambda k: k["md"]) if with_kids else no_lines
+    captions = F.filter("kids", lambda k: (k["slot"] == "content") & (k["type"] == "caption")) if with_kids else None
+    caption = F.coalesce(F.get(captions, F.lit(0))["md"], F.lit("")) if with_kids else F.lit("")
+    has_kids = F.exists("kids", lambda k: k["slot"] == "content") if with_kids else F.lit(False)
     kind = F.col("type")
 
     def unless_empty(condition: Column, value: Column) -> Column:
         return F.when(condition, value).otherwise(F.lit(""))
 
-    def lines(prefixed: Column, before: str = "") -> Column:
-        return unless_empty(F.size(kids) > 0, F.concat(F.lit(before), F.array_join(prefixed, "\n"), F.lit("\n")))
+    def lines(prefixed, before: str = "") -> Column:
+        return unless_empty(has_kids, F.concat(F.lit(before), of_kids("content", prefixed, "\n"), F.lit("\n")))
 
     has_numbering = F.coalesce(F.col("numbering"), F.lit("")) != ""
     heading = F.when(has_numbering, F.concat(F.col("numbering"), F.lit(". "), title)).otherwise(title)
@@ -403,7 +413,7 @@ def _node_text(ignore_reference: bool, clean_equations: bool) -> Column:
 
     cases: list[tuple[Column, Column]] = [
         (F.col("slot") == "cell", body),
-        (F.col("slot") == "row", table_line(F.transform(F.filter("kids", lambda k: k["slot"] == "cell"), lambda k: k["md"]))),
+        (F.col("slot") == "row", table_line(cells)),
         (F.col("parent_type").isin("list", "bibliography") & (F.col("slot") == "content"), body),
         (F.col("parent_type").isin("figure", "table") & (F.col("slot") == "content"), body),
         (kind == "title", unless_empty(F.col("first_title"), F.concat(F.lit("# "), body, F.lit("\n")))),
@@ -424,7 +434,7 @@ def _node_text(ignore_reference: bool, clean_equations: bool) -> Column:
             ),
         ),
         (kind == "paragraph", unless_empty(body != "", F.concat(body, F.lit("\n\n")))),
-        (kind == "list", lines(F.transform(kids, lambda k: F.concat(indent, mark, k["md"])))),
+        (kind == "list", lines(lambda k: F.concat(indent, mark, k["md"]))),
         (
             kind == "figure",
             unless_empty(
@@ -445,12 +455,7 @@ def _node_text(ignore_reference: bool, clean_equations: bool) -> Column:
             kind == "bibliography",
             unknown
             if ignore_reference
-            else lines(
-                F.transform(
-                    kids, lambda k: F.concat(F.lit("["), F.coalesce(k["cite_key"], F.lit("")), F.lit("]: "), k["md"])
-                ),
-                _REFERENCES,
-            ),
+            else lines(lambda k: F.concat(F.lit("["), F.coalesce(k["cite_key"], F.lit("")), F.lit("]: "), k["md"]), _REFERENCES),
         ),
         (
             kind == "text",
@@ -478,60 +483,72 @@ def render_blocks(nodes: DataFrame, ignore_reference: bool = False, clean_equati
     """Text of each block: ``doc, path, type, md`` and ``notes``, the footnotes inside it.
 
     Wrappers have no text of their own; the nodes below them are the blocks. Footnotes that no rendering
-    reaches have no number.
+    reaches have no number. Nodes without children, most of all, get their text where they lie and go to
+    their parents; the others are grouped with their children first.
     """
-    found = materialise(nodes, "nodes")
+    found = materialise_by(nodes, "depth", "nodes")
     deepest = found.agg(F.max("depth")).head()[0] or 0
-    # Only titles and footnotes are sorted; the other rows just join them.
+    # Only titles and footnotes are sorted and stored again.
+    is_marked = F.coalesce((F.col("type") == "title") | (F.col("type") == "footnote") & F.col("shown"), F.lit(False))
     notes = footnote_numbers(found.where("type = 'footnote' AND shown"), number="note")
     titles = title_places(found.where("type = 'title'"), "title_key").withColumn("first_title", F.col("place") == 1).drop("place")
-    rest = found.where("type IS NULL OR NOT (type = 'title' OR type = 'footnote' AND shown)")
-    marked = notes.unionByName(titles, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
-    stored = materialise_by(marked.select("doc", "path", F.struct(*_NODE).alias("node"), "depth"), "depth", "folding")
-
-    md, notes = _node_columns(ignore_reference, clean_equations)
-    fields = [F.col(f"node.{c}").alias(c) for c in _NODE]
-    kid = "struct<step int, slot string, type string, cite_key string, md string, notes array<struct<path array<int>, md string>>>"
-    block = "struct<type string, md string, notes array<struct<path array<int>, md string>>>"
+    marked = materialise_by(notes.unionByName(titles, allowMissingColumns=True), "depth", "marked")
+
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nothing = {"kid": F.lit(None).cast(kid), "block": F.lit(None).cast(block)}
+    node_fields = [F.col(f"node.{c}").alias(c) for c in _NODE]
+    no_node = F.lit(None).cast(found.unionByName(marked, True).select(F.struct(*_NODE).alias("n")).schema["n"].dataType)
+    of_leaf, of_parent = (_node_columns(kids, ignore_reference, clean_equations) for kids in (False, True))
     ready: DataFrame | None = None
     for depth in range(deepest, -1, -1):
-        rows = stored.where(F.col("depth") == depth).select("doc", "path", "node").repartition(parts, "doc").withColumns(nothing)
+        level = found.where((F.col("depth") == depth) & ~is_marked).unionByName(marked.where(F.col("depth") == depth), True)
+        level = level.where(~F.col("wrapper"))
+        leaves = level.where("leaf").select("doc", "path", F.lit(None).cast(_BLOCK).alias("ready"), *_NODE)
+        out = _to_parents(leaves, *of_leaf).repartition(parts, "doc")
         if ready is not None:
-            rows = rows.unionByName(ready.withColumn("node", F.lit(None).cast(rows.schema["node"].dataType)))
-        rows = rows.groupBy("doc", "path").agg(
-            F.first("node", ignorenulls=True).alias("node"),
-            F.array_sort(F.collect_list("kid")).alias("kids"),
-            F.first("block", ignorenulls=True).alias("block"),
-        )
-        # A wrapper has no text; what is ready waits as it is; a block becomes ready, any other node a child.
-        rows = rows.where(F.col("block").isNotNull() | ~F.col("node.wrapper"))
-        rows = rows.select("doc", "path", "kids", F.col("block").alias("_ready"), *fields)
-        rows = rows.select("doc", "path", "_ready", "slot", "type", "cite_key", F.col("block").alias("is_block"), md.alias("md"), notes.alias("notes"))
-        inner = F.col("_ready").isNull() & ~F.col("is_block")
-        ready = rows.select(
-            "doc",
-            F.when(inner, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path")).alias("path"),
-            F.when(inner, F.struct(F.element_at("path", -1).alias("step"), "slot", "type", "cite_key", "md", "notes")).alias("kid"),
-            F.when(~inner, F.coalesce("_ready", F.struct("type", "md", "notes"))).alias("block"),
-        )
+            inner = level.where("NOT leaf").select("doc", "path", F.struct(*_NODE).alias("node")).repartition(parts, "doc")
+            rows = inner.withColumns({"kid": F.lit(None).cast(_KID), "block": F.lit(None).cast(_BLOCK)})
+            rows = rows.unionByName(ready.withColumn("node", no_node)).groupBy("doc", "path")
+            rows = rows.agg(
+                F.first("node", ignorenulls=True).alias("node"),
+                F.array_sort(F.collect_list("kid")).alias("kids"),
+                F.first("block", ignorenulls=True).alias("ready"),
+            )
+            rows = rows.select("doc", "path", "kids", "ready", *node_fields)
+            out = _to_parents(rows, *of_parent).unionByName(out)
+        ready = out
         if (deepest - depth + 1) % PLAN_LEVELS == 0 and depth > 0:
             ready = materialise(ready, "folded").repartition(parts, "doc")
     return ready.select("doc", "path", "block.type", "block.md", "block.notes")
 
 
-def _node_columns(ignore_reference: bool, clean_equations: bool) -> tuple[Column, Column]:
+_NOTES = "array<struct<path array<int>, md string>>"
+_KID = f"struct<step int, slot string, type string, cite_key string, md string, notes {_NOTES}>"
+_BLOCK = f"struct<type string, md string, notes {_NOTES}>"
+
+
+def _node_columns(with_kids: bool, ignore_reference: bool, clean_equations: bool) -> tuple[Column, Column]:
     """Text and footnotes of a node, as expressions over its fields."""
-    no_notes = F.array().cast("array<struct<path array<int>, md string>>")
-    content = F.filter("kids", lambda k: k["slot"] == "content")
-    body = F.coalesce(F.col("text"), F.array_join(F.transform(content, lambda k: k["md"]), ""))
-    own_note = F.struct(
-        F.col("path"), F.concat(F.lit("[^"), F.col("note").cast("string"), F.lit("]: "), body).alias("md")
+    body = F.coalesce("text", F.lit(""))
+    if with_kids:
+        content = F.filter("kids", lambda k: k["slot"] == "content")
+        body = F.coalesce("text", F.array_join(F.transform(content, lambda k: k["md"]), ""))
+    own = F.struct(F.col("path"), F.concat(F.lit("[^"), F.col("note").cast("string"), F.lit("]: "), body).alias("md"))
+    notes = F.when(F.col("type") == "footnote", F.array(own)).otherwise(F.array().cast(_NOTES))
+    if with_kids:
+        notes = F.concat(notes, F.flatten(F.transform("kids", lambda k: k["notes"])))
+    return _node_text(with_kids, ignore_reference, clean_equations), notes
+
+
+def _to_parents(rows: DataFrame, md: Column, notes: Column) -> DataFrame:
+    """``doc, path, kid, block``: what is ready stays as it is, a block becomes ready, any other node a child of its parent."""
+    rows = rows.select("doc", "path", "ready", "slot", "type", "cite_key", "block", md.alias("md"), notes.alias("notes"))
+    inner = F.col("ready").isNull() & ~F.col("block")
+    return rows.select(
+        "doc",
+        F.when(inner, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path")).alias("path"),
+        F.when(inner, F.struct(F.element_at("path", -1).alias("step"), "slot", "type", "cite_key", "md", "notes")).alias("kid"),
+        F.when(~inner, F.coalesce("ready", F.struct("type", "md", "notes"))).alias("block"),
     )
-    own = F.when(F.col("type") == "footnote", F.array(own_note)).otherwise(no_notes)
-    notes = F.concat(own, F.flatten(F.transform("kids", lambda k: k["notes"])))
-    return _node_text(ignore_reference, clean_equations), notes
 
 
 def assemble_document(blocks: DataFrame, trees: DataFrame) -> DataFrame:
