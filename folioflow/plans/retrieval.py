@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from folioflow.operators import search
 from folioflow.plans.bindings import Bound, with_ctes
 from folioflow.plans.registry import query
+from folioflow.session import scratch_path
 
 QUERY_TERMS = ("the", "eau", "und", "los", "their")
 
@@ -37,4 +38,7 @@ def inverted_index(b: Bound) -> DataFrame:
     SELECT id, round(score, 6) AS score, matched FROM rated ORDER BY score DESC, id LIMIT 20""",
 )
 def keyword_search(b: Bound) -> DataFrame:
-    return search.keyword_search(page_bodies(b), QUERY_TERMS, 20).withColumn("score", F.round("score", 6))
+    """Builds the index, then searches it."""
+    index = scratch_path(b.spark, "postings")
+    search.write_index(page_bodies(b), index)
+    return search.keyword_search(b.spark, index, QUERY_TERMS, 20).withColumn("score", F.round("score", 6))

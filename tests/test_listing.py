@@ -117,7 +117,7 @@ def test_summaries_with_wrong_types_are_split_off(spark):
 def test_search_scores(spark):
     pages = spark.createDataFrame([("1", "a a b"), ("2", "b  A"), ("3", "c")], "id string, text string")
     assert rows(search.inverted_index(pages)) == [("a", "1", 2), ("a", "2", 1), ("b", "1", 1), ("b", "2", 1), ("c", "3", 1)]
-    found = search.keyword_search(pages, ["a", "A", "zzz"], 1).collect()
+    found = search.scan_search(pages, ["a", "A", "zzz"], 1).collect()
     assert [(r["id"], round(r["score"], 6)) for r in found] == [("1", 0.81093)]
 
 
