@@ -84,20 +84,22 @@ def write_index(pages: DataFrame, path: str, buckets: int = BUCKETS, slice_pages
     """
     n_pages = pages.count()
     slices = max(1, -(-n_pages // slice_pages))
-    listed = inverted_index(pages).groupBy("term", F.pmod(F.hash("id"), F.lit(slices)).alias("slice"))
+    # One shuffle: counts, lists and folders are all made inside the parts of (bucket, slice).
+    place = ["bucket", "slice", "term"]
+    terms = pages.select("id", F.pmod(F.hash("id"), F.lit(slices)).alias("slice"), F.explode(terms_of(F.col("text"))).alias("term"))
+    dealt = terms.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).repartition("bucket", "slice")
+    listed = dealt.groupBy(*place, "id").agg(F.count(F.lit(1)).alias("tf")).groupBy(*place)
     listed = listed.agg(F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("minus"), "id"))).alias("p"))
     cuts = F.sequence(F.lit(0), F.floor((F.size("p") - 1) / block).cast("int"))
     cut = F.transform(cuts, lambda i: F.struct(i.alias("block"), F.slice("p", i * block + 1, block).alias("p")))
-    blocks = listed.select("term", "slice", F.explode(cut).alias("b")).select(
-        F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"),
-        "term",
-        "slice",
+    blocks = listed.select(*place, F.explode(cut).alias("b")).select(
+        *place,
         "b.block",
         F.size("b.p").alias("n"),
         (-F.get("b.p", F.lit(0))["minus"]).alias("most"),
         F.transform("b.p", lambda p: F.struct(p["id"].alias("id"), (-p["minus"]).alias("tf"))).alias("postings"),
     )
-    blocks.repartition("bucket", "slice").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/blocks")
+    blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/blocks")
     sizes = pages.sparkSession.createDataFrame([(n_pages, buckets)], "n_pages bigint, buckets int")
     sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
 
