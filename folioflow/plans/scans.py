@@ -105,7 +105,7 @@ def json_corpus_to_table(b: Bound) -> DataFrame:
     file = F.concat("source", F.when(F.col("source") == "src0", "-meta").otherwise(""), F.lit(".json"))
     lines = b.digests.join(source, "id").select(broken.alias("value"), file.alias("file"))
     by_file(lines, "file", "value").write.partitionBy("file").text(corpus)
-    bad = readers.json_corpus_to_table(b.spark, corpus, table)
+    bad = readers.json_corpus_to_table(b.spark, corpus, table, multi_line=False)
     good = b.spark.read.parquet(table)
     return good.select(
         F.lit("ok").alias("status"), "source_file", "id", F.md5("problem_background").alias("body_md5"), "score"
@@ -126,7 +126,7 @@ def read_markdown_corpus(b: Bound) -> DataFrame:
 def flatten_reactions(b: Bound) -> DataFrame:
     path = scratch_path(b.spark, "reactions")
     b.reaction_pages.write.json(path)
-    return readers.flatten_reactions(readers.read_reactions(b.spark, path))
+    return readers.flatten_reactions(readers.read_reactions(b.spark, path, multi_line=False))
 
 
 @query(

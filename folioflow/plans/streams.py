@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.plans.bindings import OWNER, Bound, with_ctes
 from folioflow.plans.joining import NAMED_LABEL_SQL
@@ -18,9 +18,22 @@ from folioflow.streaming import ingest
     + " SELECT id, preference FROM patch WHERE id IN (SELECT id FROM published_ids)",
 )
 def stream_upsert_labels(b: Bound) -> DataFrame:
+    """An early state of every discussion, one per line and liked by the owner; the present state, a pretty-printed
+    file per page; and a broken file."""
     source, log, state = (scratch_path(b.spark, name) for name in ("reactions", "label-log", "label-state"))
-    b.reaction_pages.repartition(4).write.json(source)
-    return ingest.stream_upsert_labels(b.spark, source, b.published_ids, OWNER, log, state, files_per_batch=2)
+    nodes = "data.repository.discussions.nodes"
+    liked = F.array(F.struct(F.lit("THUMBS_UP").alias("content"), F.struct(F.lit(OWNER).alias("login")).alias("user")))
+
+    def pages(change) -> Column:
+        found = F.struct(F.transform(nodes, change).alias("nodes"))
+        return F.struct(F.struct(F.struct(found.alias("discussions")).alias("repository")).alias("data"))
+
+    early = pages(lambda n: n.withField("updatedAt", F.lit("2024-01-01")).withField("reactions", F.struct(liked.alias("nodes"))))
+    now = pages(lambda n: n.withField("updatedAt", F.lit("2024-06-01")))
+    b.reaction_pages.select(F.to_json(early)).write.text(f"{source}/early.json")
+    b.reaction_pages.select(F.to_json(now, {"pretty": "true"})).write.option("maxRecordsPerFile", 1).text(f"{source}/now.json")
+    b.reaction_pages.limit(1).select(F.lit('{"data": {')).write.text(f"{source}/broken.json")
+    return ingest.stream_upsert_labels(b.spark, source, b.published_ids, OWNER, log, state, files_per_batch=100)
 
 
 @query(
@@ -35,7 +48,8 @@ def stream_ingest_summaries(b: Bound) -> DataFrame:
     """New digests of all but the German papers, merged over what is published."""
     source, log, state = (scratch_path(b.spark, name) for name in ("summaries", "digest-log", "digest-state"))
     fresh = b.digests.where("lang <> 'de'").withColumn("title", F.concat(F.lit("new "), "title")).drop("doc_id")
-    fresh.repartition(4, "id").write.json(source)
+    fresh.repartition(4, "id").write.json(f"{source}/digests.json")
+    b.published.limit(1).select(F.lit('{"id": ')).write.text(f"{source}/broken.json")
     stored = b.published.withColumn("abstract", F.concat(F.lit("kept "), "title"))
     merged = ingest.stream_ingest_summaries(b.spark, source, stored, log, state, files_per_batch=2)
     return merged.select("id", "title", "abstract", "score", F.md5("problem_background").alias("body_md5"))

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,3 +71,13 @@ def materialise_by(df: DataFrame, column: str, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.partitionBy(column).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A parquet table that may not be there yet, then without rows."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

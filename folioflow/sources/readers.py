@@ -77,26 +77,30 @@ def scan_published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def json_corpus(spark: SparkSession, directory: str, schema: str = DIGEST_SCHEMA, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Digest records under ``directory``: good rows with ``source_file``, and unreadable ones.
+def json_corpus(
+    spark: SparkSession, directory: str | list[str], schema: str = DIGEST_SCHEMA, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Digest records under ``directory``: good rows with ``file_path`` and ``source_file``, and unreadable ones.
 
-    Files whose stem ends in ``meta`` are left out before they are opened.
+    A file is one record on any number of lines; without ``multi_line``, every line is one. Files whose stem
+    ends in ``meta`` are left out before they are opened.
     """
     raw = (
         spark.read.text(directory, wholetext=multi_line, recursiveFileLookup=True)
-        .where(F.col("_metadata.file_path").rlike(r"\.json(/[^/]*)?$"))
+        .withColumn("file_path", F.col("_metadata.file_path"))
+        .where(F.col("file_path").rlike(r"\.json(/[^/]*)?$"))
         .withColumn("source_file", source_name(r"\.json"))
         .where(~F.col("source_file").endswith("meta.json") & (F.trim("value") != ""))
     )
     record = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE"})
-    parsed = raw.select("source_file", "value", once(record).alias("r"))
+    parsed = raw.select("file_path", "source_file", "value", once(record).alias("r"))
     readable = F.col("r._corrupt_record").isNull()
-    good = parsed.where(readable).select("r.*", "source_file").drop("_corrupt_record")
-    return good, parsed.where(~readable).select("source_file", F.col("value").alias("record"))
+    good = parsed.where(readable).select("r.*", "file_path", "source_file").drop("_corrupt_record")
+    return good, parsed.where(~readable).select("file_path", "source_file", F.col("value").alias("record"))
 
 
-def json_corpus_to_table(spark: SparkSession, directory: str, table: str, multi_line: bool = False) -> DataFrame:
-    """Write the good records as one parquet table; returns the unreadable ones."""
+def json_corpus_to_table(spark: SparkSession, directory: str, table: str, multi_line: bool = True) -> DataFrame:
+    """Write the good records as one parquet table; returns the unreadable ones. ``corpus.take_new_files`` adds to a table."""
     good, bad = json_corpus(spark, directory, multi_line=multi_line)
     good.write.mode("overwrite").parquet(table)
     return bad
@@ -111,7 +115,8 @@ def read_markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_reactions(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_reactions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Discussion pages, one per file; without ``multi_line``, one per line."""
     return spark.read.schema(REACTION_SCHEMA).option("multiLine", multi_line).json(path)
 
 

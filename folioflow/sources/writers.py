@@ -1,4 +1,4 @@
-"""Sinks. A table that is rewritten from itself goes to a new folder first."""
+"""Sinks. A table that replaces another is complete before the other goes, see ``staging``."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators.aggregates import dedupe_labels, upsert_keep_last
-from folioflow.session import materialise
 from folioflow.sources.readers import LABEL_SCHEMA, label_order, scan_labels
+from folioflow.sources.staging import recover, replace_table
 
 
 def write_predictions(predictions: DataFrame, vector_columns: Sequence[str], path: str) -> None:
@@ -20,6 +20,7 @@ def write_predictions(predictions: DataFrame, vector_columns: Sequence[str], pat
 
 def read_label_month(spark: SparkSession, path: str) -> DataFrame | None:
     """The month's labels, or None when it has none yet."""
+    recover(spark, path)
     try:
         return spark.read.schema(LABEL_SCHEMA).option("header", True).csv(path)
     except AnalysisException as missing:
@@ -31,17 +32,16 @@ def read_label_month(spark: SparkSession, path: str) -> DataFrame | None:
 def write_label_month(patch: DataFrame, directory: str, as_of: datetime, order: Sequence[Column]) -> str:
     """Create or update the label CSV of ``as_of``'s month; returns its path.
 
-    The last row of an id wins: of the patch in ``order``, of the file by its position in it.
-    The merged rows are stored before the month is replaced, so a job lost halfway can be run again.
+    The last row of an id wins: of the patch in ``order``, of the file by its position in it. The merged
+    month is complete before it takes the place of the old one.
     """
     path = f"{directory}/{as_of:%Y-%m}.csv"
-    existing = read_label_month(patch.sparkSession, path)
-    if existing is None:
+    spark = patch.sparkSession
+    if read_label_month(spark, path) is None:
         merged = dedupe_labels(patch, order)
     else:
-        placed = scan_labels(patch.sparkSession, path)
-        merged = materialise(upsert_keep_last(placed, patch, label_order(), order), "label-month")
-    merged.orderBy("id").write.mode("overwrite").option("header", True).csv(path)
+        merged = upsert_keep_last(scan_labels(spark, path), patch, label_order(), order)
+    replace_table(spark, path, lambda staged: merged.orderBy("id").write.mode("overwrite").option("header", True).csv(staged))
     return path
 
 
@@ -60,5 +60,6 @@ def render_pages(published: DataFrame) -> DataFrame:
 
 
 def write_pages(published: DataFrame, path: str) -> None:
-    """Pages as a table instead of one file per row; the folder is cleared first. Rows stay where they are."""
-    render_pages(published).write.mode("overwrite").parquet(path)
+    """Pages as a table instead of one file per row, in the place of the old one. Rows stay where they are."""
+    pages = render_pages(published)
+    replace_table(published.sparkSession, path, lambda staged: pages.write.mode("overwrite").parquet(staged))

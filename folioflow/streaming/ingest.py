@@ -1,24 +1,33 @@
 """File streams that feed the label table and the published table.
 
-Each micro-batch overwrites its own ``batch=<id>`` folder of a log, so a replayed batch writes the same
-rows again. Tables are views over the log; nothing already stored is rewritten per batch. Files hold one
-record each, on any number of lines, or one record per line; sub-folders count, files whose stem ends in
-``meta`` do not. What cannot be read goes to a second log beside the first, see ``unreadable_records``.
+Each micro-batch overwrites its own ``run=<number and query>/batch=<id>`` folder of a log, so a replayed batch
+writes the same rows again, and a query with a new checkpoint gets a run of its own and overwrites nothing.
+Tables are views over the log: its newest snapshot, one row per key, and the batches after it; see
+``_current``. Only ``.json`` files and folders count, sub-folders too, files whose stem ends in ``meta`` do
+not. Files hold one record each, on any number of lines, or one record per line. What cannot be read goes to
+a second log beside the first, see ``unreadable_records``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from threading import Event
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from folioflow.operators.aggregates import rank_to_preference, reaction_rank
 from folioflow.operators.filters import paper_id_filter
 from folioflow.operators.joins import merge_tables
+from folioflow.session import stored
 from folioflow.sources.readers import DIGEST_SCHEMA, REACTION_SCHEMA
 
 LABEL_LOG_SCHEMA = "discussion string, id string, updated string, rank int"
 
+# Batches after a snapshot before the next one is written.
+SNAPSHOT_AFTER = 20
+
 # Stands for a snapshot without a reaction of the owner; above every rank.
 _NO_RANK = 1_000
 
@@ -27,7 +36,7 @@ def _file_stream(spark: SparkSession, source: str, files_per_batch: int) -> Data
     """Lines of the new files with the ``file`` they are in."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).text(source)
     found = lines.select("value", F.col("_metadata.file_path").alias("file"))
-    return found.where(~F.col("file").rlike(r"meta\.json(/[^/]*)?$"))
+    return found.where(F.col("file").rlike(r"\.json(/[^/]*)?$") & ~F.col("file").rlike(r"meta\.json(/[^/]*)?$"))
 
 
 def _texts(lines: DataFrame) -> DataFrame:
@@ -53,15 +62,19 @@ def _texts(lines: DataFrame) -> DataFrame:
 def _run_batches(stream: DataFrame, schema: str, readable: Column, transform, log: str, checkpoint: str) -> None:
     """``readable`` is a condition on the fields of ``schema``; records that fail it, or the parser, are logged as unreadable."""
 
+    named, run = Event(), []
+
     def store(batch: DataFrame, batch_id: int) -> None:
+        named.wait()
+        folder = f"run={run[0]}/batch={batch_id}"
         text = _texts(batch)
         # A text with more behind its value is not one record, so it is parsed inside a list first.
         whole = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<variant>").isNotNull()
         parsed = text.select("file", "value", F.explode_outer(F.when(whole, F.from_json("value", f"array<struct<{schema}>>"))).alias("r"))
         rows = parsed.select("file", "value", "r.*")
         good = F.coalesce(readable, F.lit(False))
-        rows.where(~good).select("file", "value").write.mode("overwrite").parquet(f"{_unreadable(log)}/batch={batch_id}")
-        transform(rows.where(good).drop("file", "value")).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        rows.where(~good).select("file", "value").write.mode("overwrite").parquet(f"{_unreadable(log)}/{folder}")
+        transform(rows.where(good).drop("file", "value")).write.mode("overwrite").parquet(f"{log}/{folder}")
 
     query = (
         stream.writeStream.foreachBatch(store)
@@ -69,16 +82,61 @@ def _run_batches(stream: DataFrame, schema: str, readable: Column, transform, lo
         .trigger(availableNow=True)
         .start()
     )
+    try:
+        run.append(_run_name(stream.sparkSession, log, query.id))
+    except BaseException:
+        query.stop()
+        raise
+    finally:
+        named.set()
     query.awaitTermination()
 
 
+def _run_name(spark: SparkSession, log: str, query_id: str) -> str:
+    """The run of a query in a log: its number, so that later runs sort behind earlier ones, and the query's id.
+
+    The id lies in the checkpoint, so a query that goes on keeps its run.
+    """
+    runs = [r["run"] for r in stored(spark, log, "run string").select("run").distinct().collect()]
+    own = [r for r in runs if r.endswith(query_id)]
+    return own[0] if own else f"{len(runs):06d}-{query_id}"
+
+
+def _current(spark: SparkSession, log: str, schema: str, newest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``newest`` of all rows of a log, read from its newest snapshot and the batches after it.
+
+    A snapshot is a table of its own, ``<log>-snapshots/version=<n>``, of what ``newest`` gives. It counts
+    once the list of the runs and batches in it stands in ``<log>-covered``, which is written last, so
+    a job that is lost between the two leaves the old snapshot valid. Batches in the list are not opened again.
+    """
+    fields = schema + ", run string, batch long"
+    covered = stored(spark, f"{log.rstrip('/')}-covered", "upto string, last long, version int").collect()
+    version = max((r["version"] for r in covered), default=0)
+    last = {r["upto"]: r["last"] for r in covered if r["version"] == version}
+    rows = stored(spark, log, fields)
+    for run, batch in last.items():
+        rows = rows.where(~((F.col("run") == run) & (F.col("batch") <= batch)))
+    tail = [(r["run"], r["batch"]) for r in rows.select("run", "batch").distinct().collect()]
+    if last:
+        rows = rows.unionByName(spark.read.schema(fields).parquet(f"{log.rstrip('/')}-snapshots/version={version}"))
+    if len(tail) < SNAPSHOT_AFTER:
+        return newest(rows)
+    for run, batch in tail:
+        last[run] = max(batch, last.get(run, -1))
+    path = f"{log.rstrip('/')}-snapshots/version={version + 1}"
+    newest(rows).write.mode("overwrite").parquet(path)
+    marks = spark.createDataFrame(sorted(last.items()), "upto string, last long").coalesce(1)
+    marks.write.mode("overwrite").parquet(f"{log.rstrip('/')}-covered/version={version + 1}")
+    return spark.read.schema(fields).parquet(path)
+
+
 def _unreadable(log: str) -> str:
     return log.rstrip("/") + "-unreadable"
 
 
 def unreadable_records(spark: SparkSession, log: str) -> DataFrame:
-    """``file, value, batch`` of the records that a stream could not take into ``log``."""
-    return spark.read.schema("file string, value string, batch long").parquet(_unreadable(log))
+    """``file, value, run, batch`` of the records that a stream could not take into ``log``."""
+    return spark.read.schema("file string, value string, run string, batch long").parquet(_unreadable(log))
 
 
 def stream_upsert_labels(
@@ -110,13 +168,17 @@ def stream_upsert_labels(
 def current_labels(spark: SparkSession, log: str) -> DataFrame:
     """One preference per paper from the newest snapshot of each of its discussions.
 
-    Newest is the latest ``updatedAt``, then the latest batch; a reaction that is gone from it no longer
+    Newest is the latest ``updatedAt``, then the latest run and batch; a reaction that is gone from it no longer
     counts. Snapshots that are equally new, and discussions of the same paper, give the lowest rank.
     """
-    seen = spark.read.schema(LABEL_LOG_SCHEMA + ", batch long").parquet(log)
-    place = F.struct("updated", "batch", (-F.coalesce("rank", F.lit(_NO_RANK))).alias("minus"))
-    newest = seen.groupBy("discussion", "id").agg(F.max(place).alias("s"))
-    lowest = newest.groupBy("id").agg(F.min(-F.col("s.minus")).alias("rank")).where(F.col("rank") < _NO_RANK)
+
+    def newest(seen: DataFrame) -> DataFrame:
+        place = F.struct("updated", "run", "batch", (-F.coalesce("rank", F.lit(_NO_RANK))).alias("minus"))
+        found = seen.groupBy("discussion", "id").agg(F.max(place).alias("s"))
+        rank = F.nullif(-F.col("s.minus"), F.lit(_NO_RANK)).cast("int").alias("rank")
+        return found.select("discussion", "id", "s.updated", rank, "s.run", "s.batch")
+
+    lowest = _current(spark, log, LABEL_LOG_SCHEMA, newest).where("rank IS NOT NULL").groupBy("id").agg(F.min("rank").alias("rank"))
     return lowest.select("id", rank_to_preference(F.col("rank")).alias("preference"))
 
 
@@ -131,9 +193,12 @@ def stream_ingest_summaries(
 
 def current_published(spark: SparkSession, published: DataFrame, log: str) -> DataFrame:
     """Logged digests, the latest summary per id, merged over the published table."""
-    seen = spark.read.schema(DIGEST_SCHEMA + ", batch long").parquet(log)
-    fields = [c for c in seen.columns if c not in ("id", "batch")]
-    latest = seen.groupBy("id").agg(
-        F.max_by(F.struct(*fields), F.struct("batch", "summary_time", F.to_json(F.struct(*fields)).alias("text"))).alias("d")
-    )
-    return merge_tables(latest.select("id", "d.*"), published)
+    digest = StructType.fromDDL(DIGEST_SCHEMA).fieldNames()
+    fields = [c for c in digest if c != "id"]
+
+    def newest(seen: DataFrame) -> DataFrame:
+        whole = F.struct(*fields, "run", "batch")
+        place = F.struct("run", "batch", "summary_time", F.to_json(F.struct(*fields)).alias("text"))
+        return seen.groupBy("id").agg(F.max_by(whole, place).alias("d")).select("id", "d.*").select(*digest, "run", "batch")
+
+    return merge_tables(_current(spark, log, DIGEST_SCHEMA, newest).select("id", *fields), published)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import aggregates
-from folioflow.sources import readers, writers
+from folioflow.sources import corpus, readers, staging, writers
 from folioflow.streaming import ingest
 from tests.conftest import rows
 
@@ -40,7 +40,7 @@ def test_json_corpus_leaves_out_meta_files_and_reports_broken_ones(spark, tmp_pa
     (tmp_path / "a.json").write_text('{"id": "a",\n "score": 0.5, "keywords": ["k"]}')
     (tmp_path / "deep" / "b.json").write_text('{"id": "b"')
     (tmp_path / "a.meta.json").write_text('{"id": "meta"}')
-    bad = readers.json_corpus_to_table(spark, str(tmp_path), str(tmp_path / "out"), multi_line=True)
+    bad = readers.json_corpus_to_table(spark, str(tmp_path), str(tmp_path / "out"))
     assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "score", "source_file") == [("a", 0.5, "a.json")]
     assert rows(bad, "source_file") == [("b.json",)]
 
@@ -151,3 +151,118 @@ def test_streams_take_pretty_printed_files_and_log_what_they_cannot_read(spark,
     ids, log = spark.createDataFrame([("2501.00001",)], "id string"), str(tmp_path / "label-log")
     assert rows(ingest.stream_upsert_labels(spark, str(pages), ids, "me", log, str(tmp_path / "state2"))) == [("2501.00001", "like")]
     assert [r.file.rsplit("/", 1)[1] for r in ingest.unreadable_records(spark, log).collect()] == ["error.json"]
+
+
+def test_a_new_checkpoint_over_an_old_log_loses_nothing(spark, tmp_path):
+    old, new = tmp_path / "old", tmp_path / "new"
+    log = str(tmp_path / "digests")
+    stored = spark.createDataFrame([], "id string, title string, score double")
+    for folder, ids in ((old, ("1", "2")), (new, ("2", "3"))):
+        folder.mkdir()
+        for i in ids:
+            (folder / f"{i}.json").write_text(json.dumps({"id": i, "title": folder.name}, indent=1))
+    (new / "note.md").write_text("no record")
+    ingest.stream_ingest_summaries(spark, str(old), stored, log, str(tmp_path / "state1"))
+    found = ingest.stream_ingest_summaries(spark, str(new), stored, log, str(tmp_path / "state2"))
+    assert rows(found, "id", "title") == [("1", "old"), ("2", "new"), ("3", "new")]
+    assert ingest.unreadable_records(spark, log).count() == 0
+
+
+def test_snapshots_stand_for_the_batches_in_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "SNAPSHOT_AFTER", 2)
+    log, ids = str(tmp_path / "log"), spark.createDataFrame([(f"2501.0000{i}",) for i in range(1, 5)], "id string")
+    source = tmp_path / "pages"
+    source.mkdir()
+
+    def page(name, i, updated, content):
+        reactions = [{"content": content, "user": {"login": "me"}}] if content else []
+        node = {"id": f"d{i}", "title": f"2501.0000{i}", "updatedAt": updated, "reactions": {"nodes": reactions}}
+        (source / f"{name}.json").write_text(json.dumps({"data": {"repository": {"discussions": {"nodes": [node]}}}}, indent=2))
+
+    def run():
+        return rows(ingest.stream_upsert_labels(spark, str(source), ids, "me", log, str(tmp_path / "state"), files_per_batch=1))
+
+    page("a", 1, "1", "THUMBS_UP")
+    page("b", 2, "1", "THUMBS_DOWN")
+    first = run()
+    assert [r[0] for r in first] == ["2501.00001", "2501.00002"]
+    assert spark.read.parquet(f"{log}-covered").agg(F.max("last"), F.max("version")).first()[:] == (1, 1)
+    # A snapshot that was lost before it was listed does not count.
+    spark.createDataFrame([("x",)], "id string").write.parquet(f"{log}-snapshots/version=2")
+    page("c", 1, "2", None)
+    assert run() == [r for r in first if r[0] != "2501.00001"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = ingest.current_labels(spark, log)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "version=1]" in plan and "batch" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
+    page("d", 2, "0", "THUMBS_UP")
+    page("e", 3, "1", "THUMBS_UP")
+    found = run()
+    assert [r[0] for r in found] == ["2501.00002", "2501.00003"] and found[0] == first[1]
+    assert spark.read.parquet(f"{log}-covered").agg(F.max("version")).first()[0] == 2
+    assert rows(ingest.current_labels(spark, log)) == found
+
+
+def test_a_corpus_takes_new_and_changed_files_only(spark, tmp_path):
+    source, table = tmp_path / "in", str(tmp_path / "table")
+    (source / "deep").mkdir(parents=True)
+    (source / "a.json").write_text(json.dumps({"id": "a", "title": "one"}, indent=2))
+    (source / "deep" / "b {x}.json").write_text(json.dumps({"id": "b", "title": "one"}, indent=2))
+    (source / "c.json").write_text('{"id": ')
+    (source / "a.meta.json").write_text("{}")
+    assert rows(corpus.take_new_files(spark, str(source), table), "source_file") == [("c.json",)]
+    assert rows(corpus.corpus_rows(spark, table), "id", "title") == [("a", "one"), ("b", "one")]
+    assert corpus.take_new_files(spark, str(source), table).count() == 0
+    (source / "c.json").write_text(json.dumps({"id": "c", "title": "mended"}, indent=2))
+    (source / "a.json").write_text(json.dumps({"id": "a", "title": "changed"}, indent=2))
+    # A call that was lost before its ledger was written is made again.
+    spark.createDataFrame([("lost",)], "id string").write.parquet(f"{table}/run=2")
+    assert corpus.take_new_files(spark, str(source), table).count() == 0
+    assert spark.read.parquet(f"{table}/run=2").count() == 2
+    assert rows(corpus.corpus_rows(spark, table), "id", "title") == [("a", "changed"), ("b", "one"), ("c", "mended")]
+    (source / "a.json").write_text("broken now")
+    assert corpus.take_new_files(spark, str(source), table).count() == 1
+    assert rows(corpus.corpus_rows(spark, table), "id") == [("b",), ("c",)]
+
+
+@pytest.mark.parametrize("stopped_at", ["write", "swap", "move"])
+def test_a_month_survives_a_stop(spark, tmp_path, monkeypatch, stopped_at):
+    as_of, order = datetime(2025, 4, 9), [F.col("preference")]
+    old = spark.createDataFrame([("a", "like"), ("b", "like")], "id string, preference string")
+    path = writers.write_label_month(old, str(tmp_path), as_of, order)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    patch = spark.createDataFrame([("a", "dislike")], "id string, preference string")
+    with monkeypatch.context() as patched:
+        if stopped_at == "move":
+            moves = []
+            move = staging._Folders.move
+
+            def once(self, source, target):
+                if moves:
+                    stop()
+                moves.append(source)
+                move(self, source, target)
+
+            patched.setattr(staging._Folders, "move", once)
+        elif stopped_at == "swap":
+            patched.setattr(staging, "swap", stop)
+        else:
+            patched.setattr(writers, "upsert_keep_last", stop)
+        with pytest.raises(RuntimeError):
+            writers.write_label_month(patch, str(tmp_path), as_of, order)
+    stored = rows(writers.read_label_month(spark, path))
+    assert stored == ([("a", "dislike"), ("b", "like")] if stopped_at == "move" else [("a", "like"), ("b", "like")])
+    writers.write_label_month(patch, str(tmp_path), as_of, order)
+    assert rows(readers.scan_labels(spark, str(tmp_path)), "id", "preference") == [("a", "dislike"), ("b", "like")]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_old")]
+
+
+def test_pages_replace_pages(spark, tmp_path):
+    lines = spark.createDataFrame([('{"id": "1"}',), ('{"id": "2"}',)], "value string")
+    published = lines.select(F.from_json("value", readers.DIGEST_SCHEMA).alias("r")).select("r.*")
+    writers.write_pages(published, str(tmp_path / "pages"))
+    writers.write_pages(published.where("id = '2'"), str(tmp_path / "pages"))
+    assert rows(spark.read.parquet(str(tmp_path / "pages")), "id") == [("2",)]
