@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.llm.common import sample_by_id, text_slices
-from folioflow.llm.tokens import Generations
 
 UNKNOWN = "und"
 # Bound of the labelled sample that the model is fitted on, in documents.
@@ -23,15 +22,53 @@ GRAMS = (2, 3, 4)
 # Share of correctly labelled calibration documents that rejection may lose.
 REJECTED_SHARE = 0.005
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 150_000
-_KEPT_LENGTH = 64
+# Text whose distinct words are looked at together; their grams take some 100 bytes a character.
+_SLICE_BYTES = 2 << 20
 
 
-def subwords(word: str) -> np.ndarray:
-    """Hash buckets of the marked word and of its character grams."""
-    marked = f"<{word}>"
-    grams = [marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
-    return np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams), np.int64, len(grams))
+def _steps() -> np.ndarray:
+    """The 256 steps of CRC-32 for one byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_STEPS = _steps()
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of marked words and of their character grams, with the index of the word of each.
+
+    A bucket is the CRC-32 of the UTF-8 bytes modulo ``BUCKETS``. All grams that begin at a character share
+    its running checksum, and the characters of all words step at once.
+    """
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    sizes = np.fromiter(map(len, marked), np.int32, len(marked))
+    of_word = np.repeat(np.arange(len(marked), dtype=np.int32), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the word's end
+    width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], dtype=np.uint32)
+    octets = []  # of each character, the first to last byte; absent ones are skipped by width
+    for k in range(int(width.max(initial=0))):
+        shift = np.maximum(6 * (width - 1 - k), 0).astype(np.uint32)
+        rest = (codes >> shift) & np.uint32(0x3F) | np.uint32(0x80)
+        octets.append((np.where(width == 1, codes, lead[width] | codes >> shift) if k == 0 else rest).astype(np.uint8))
+    whole = np.fromiter((zlib.crc32(m.encode("utf-8", "surrogatepass")) for m in marked), np.uint32, len(marked))
+    owners, buckets = [np.arange(len(marked), dtype=np.int32)], [(whole % np.uint32(BUCKETS)).astype(np.int32)]
+    begin, state = np.arange(len(codes)), np.full(len(codes), 0xFFFFFFFF, dtype=np.uint32)
+    for n in range(1, max(GRAMS) + 1):
+        fits = left[begin] >= n
+        begin, state = begin[fits], state[fits]
+        at = begin + n - 1
+        for k, octet in enumerate(octets):
+            stepped = _STEPS[(state ^ octet[at]) & np.uint32(0xFF)] ^ state >> np.uint32(8)
+            state = stepped if k == 0 else np.where(width[at] > k, stepped, state)
+        if n in GRAMS:
+            owners.append(of_word[begin])
+            buckets.append(((state ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)).astype(np.int32))
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 def words_of(text: str) -> list[str]:
@@ -116,7 +153,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             middle = len(words) // 2
             for part in (words, words[middle : middle + 12]):
                 if part:
-                    n = np.bincount(np.concatenate([subwords(w) for w in part]), minlength=BUCKETS)
+                    n = np.bincount(subwords(part)[1], minlength=BUCKETS)
                     found = np.flatnonzero(n)
                     held.append(label)
                     buckets.append(found.astype("<i4").tobytes())
@@ -140,24 +177,19 @@ def train(labelled: DataFrame, bound: int = SAMPLE_ROWS) -> LanguageModel | None
     return fit(counted, [label for label, _, _ in rows])
 
 
-class _WordLogits(Generations):
-    """Summed logits of the subwords of a word and, last, their number."""
+def word_logits(words: list[str], table: np.ndarray) -> np.ndarray:
+    """Summed logits of the subwords of each word and, last, their number."""
+    owners, buckets = subwords(words)
+    columns = [np.bincount(owners, weights=table[buckets, k], minlength=len(words)) for k in range(table.shape[1])]
+    return np.stack([*columns, np.bincount(owners, minlength=len(words))], axis=1)
 
-    def __init__(self, table: np.ndarray) -> None:
-        super().__init__(_CACHE_WORDS)
-        self.table = table
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        ordered = sorted(set(words))
-        for word in self.missing(set(ordered)):
-            found = subwords(word)
-            self[word] = np.append(self.table[found].sum(axis=0), len(found))
-        rows = np.array([self[w] for w in ordered])
-        for word in ordered:
-            if len(word) > _KEPT_LENGTH:
-                del self[word]
-        place = dict(zip(ordered, range(len(ordered)), strict=True))
-        return rows[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
+def text_logits(texts: list[list[str]], table: np.ndarray) -> np.ndarray:
+    """The same sums for texts of one or more words; a word of several texts is looked at once."""
+    words = pa.array([w for found in texts for w in found], pa.large_string()).dictionary_encode()
+    rows = word_logits(words.dictionary.to_pylist(), table)[words.indices.to_numpy()]
+    sizes = np.array([len(found) for found in texts])
+    return np.add.reduceat(rows, np.cumsum(sizes) - sizes, axis=0)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, held_out: Column) -> DataFrame:
@@ -170,15 +202,13 @@ def identify(docs: DataFrame, model: LanguageModel | None, held_out: Column) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordLogits(model.table) if model else None
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=_SLICE_BYTES):
             words = [words_of(t or "") if model else [] for t in batch.column("text").to_pylist()]
             sizes = np.array([len(w) for w in words])
             names, scores = [UNKNOWN] * len(words), np.zeros(len(words))
             some = np.flatnonzero(sizes)
             if len(some):
-                rows = cache.rows([w for found in words for w in found])
-                sums = np.add.reduceat(rows, np.cumsum(sizes[some]) - sizes[some], axis=0)
+                sums = text_logits([words[at] for at in some.tolist()], model.table)
                 chances = model.probabilities(sums[:, :-1], sums[:, -1])
                 scores[some] = chances.max(axis=1)
                 for at, best in zip(some.tolist(), chances.argmax(axis=1).tolist(), strict=True):
