@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioflow.session import cut_lineage
+from folioflow.session import cut_lineage, materialise
 
-# Up to this many rows Spark's own top-k keeps the winners of each task in memory.
-SMALL_TOPK = 20_000
+# Rows around a cut among which it is looked up directly; they are a key and ties wide.
+CUT_BAND = 20_000
+# Cut points that one pass gives, and the share of rows by which they may be off.
+_POINTS, _ACCURACY = 400, 10_000
 
 _ROW_BITS = 33
 _BLOCK = 10_000
@@ -71,12 +73,62 @@ def _join_on(placed: DataFrame, group: Sequence[str]) -> Column:
 
 
 def smallest(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
-    """The first ``k`` rows in ``order``. Large ``k`` goes through ranks instead of one task's heap."""
+    """The first ``k`` rows in ``order``, ascending, whose first column is a number; all rows if there are fewer.
+
+    No task holds ``k`` rows: the place of the k-th row is found by ``cut_place`` and every row is compared
+    with it where it lies. Rows that share that place are numbered, and as many are taken as still fit.
+    """
     if k <= 0:
         return df.limit(0)
-    if k <= SMALL_TOPK:
-        return df.orderBy(*order).limit(k)
-    return with_rank(df, order, rank="_k_rank").where(F.col("_k_rank") <= k).drop("_k_rank")
+    cut = cut_place(df, k, order)
+    if cut is None:
+        return df
+    place = _place(order)
+    before, equal = df.agg(F.count_if(place < cut), F.count_if(place == cut)).first()
+    if before + equal == k:
+        return df.where(place <= cut)
+    last = with_rank(df.where(place == cut), order, rank="_k_rank").where(F.col("_k_rank") <= k - before).drop("_k_rank")
+    return df.where(place < cut).unionByName(last)
+
+
+def _place(order: Sequence[Column]) -> Column:
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+
+
+def cut_place(df: DataFrame, k: int, order: Sequence[Column]) -> Column | None:
+    """The place, a struct of ``order``, of the ``k``-th row as a constant; None if there are not more than ``k`` rows.
+
+    A pass over the numbers gives approximate quantiles, mergeable sketches of a fixed size; a count checks
+    the two that enclose the k-th row, and the band between them is narrowed in the same way until it has few
+    rows or a single number. Only then are rows ordered, a few directly, many of one number by range partitions.
+    """
+    places = df.select(_place(order).alias("place")).withColumn("key", F.col("place.o0"))
+    shares = [i / _POINTS for i in range(_POINTS + 1)]
+    band, need, rows = places, k, None
+    while True:
+        points = F.percentile_approx("key", F.array(*[F.lit(s) for s in shares]), F.lit(_ACCURACY)).alias("points")
+        found = band.agg(F.count(F.lit(1)).alias("n"), F.count("key").alias("known"), points).first()
+        if rows is None and found["n"] <= need:
+            return None
+        if found["n"] <= CUT_BAND or found["known"] < found["n"] or found["n"] == rows:
+            break
+        rows = found["n"]
+        points = sorted(set(found["points"]))
+        sizes = band.agg(*[F.count_if(F.col("key") <= F.lit(p)) for p in points]).first()
+        high = next((i for i, n in enumerate(sizes) if n >= need), None)
+        if high is None:  # above all sketched numbers
+            band, need = band.where(F.col("key") > F.lit(points[-1])), need - sizes[-1]
+            continue
+        inside = F.col("key") <= F.lit(points[high])
+        if high:
+            inside, need = inside & (F.col("key") > F.lit(points[high - 1])), need - sizes[high - 1]
+        band = band.where(inside)
+    if found["n"] <= CUT_BAND:
+        last = band.orderBy("place").limit(need).agg(F.max("place").alias("place"))
+    else:
+        last = with_rank(band.select("place"), [F.col("place")], rank="_k_rank").where(F.col("_k_rank") == need).select("place")
+    row = materialise(last, "cut")
+    return row.select("place").scalar()
 
 
 def top_per_key(df: DataFrame, k: int, key: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:

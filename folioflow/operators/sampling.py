@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.functions.hashing import hash52, open_uniform, uniform
-from folioflow.operators.ordering import smallest
+from folioflow.operators.ordering import cut_place, smallest
 
 # Prefix sums run inside this many hash buckets, then over the bucket totals.
 PREFIX_BUCKETS = 1024
@@ -118,12 +118,15 @@ def quota_order(score: Column, high: float, boundary: float, seed: int) -> list[
 def adaptive_quota(scored: DataFrame, rate: float, high: float, boundary: float, seed: int) -> DataFrame:
     """Flag a quota of rows: ``show`` is 1 for the first ``max(1, int(n*rate))`` in the selection order.
 
-    The last selected key becomes a one-row scalar subquery that every row is compared with, so no
-    join by id is needed. Give a stored table: it is read for the count, the cut and the flag.
+    The place of the last selected row becomes a one-row scalar subquery that every row is compared with, so
+    no join by id is needed. Give a stored table: it is read for the count, the cut and the flag.
     """
     target = quota_size(scored.count(), rate)
     tier, key, row_id = quota_order(F.col("score"), high, boundary, seed)
-    place = F.struct(tier.alias("tier"), key.alias("key"), row_id.alias("id"))
-    placed = scored.select("id", "score").withColumn("_place", place).select("_place")
-    last = smallest(placed, target, [F.col("_place")]).agg(F.max("_place")).scalar()
-    return scored.withColumn("show", F.when(place <= last, 1).otherwise(0).cast("tinyint"))
+    # One number for tier and key, so that a cut can be sought by quantiles; the exact key breaks its ties.
+    order = [tier + key / (key + 1), tier, key, row_id]
+    cut = cut_place(scored, target, order)
+    if cut is None:
+        return scored.withColumn("show", F.lit(1).cast("tinyint"))
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    return scored.withColumn("show", F.when(place <= cut, 1).otherwise(0).cast("tinyint"))

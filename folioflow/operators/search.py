@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.functions import vectors as V
-from folioflow.operators.ordering import smallest, top_per_key
+from folioflow.operators.ordering import top_per_key
 from folioflow.session import materialise
 
 # Folders of an index, pages of one slice, postings of one block.
@@ -71,7 +71,8 @@ def _best(counted: DataFrame, weights: Sequence[float], n: int) -> DataFrame:
     for i, weight in enumerate(weights):
         score = score + F.col(f"tf_{i}") * F.lit(weight)
         matched = matched + (F.col(f"tf_{i}") > 0).cast("bigint")
-    return smallest(counted.select("id", score.alias("score"), matched.alias("matched")), n, [F.col("score").desc(), F.col("id")])
+    scored = counted.select("id", score.alias("score"), matched.alias("matched"))
+    return scored.orderBy(F.col("score").desc(), "id").limit(n)  # a report that somebody reads
 
 
 def write_index(pages: DataFrame, path: str, buckets: int = BUCKETS, slice_pages: int = SLICE_PAGES, block: int = BLOCK) -> None:
@@ -121,7 +122,7 @@ def keyword_search(spark: SparkSession, path: str, terms: Sequence[str], n: int)
     weight = reduce(lambda chain, w: chain.when(F.col("term") == w[0], F.lit(w[1])), zip(wanted, weights, strict=True), F).otherwise(0.0)
     found = found.withColumn("weight", weight)
     first = _pages_of(found.where("block = 0")).groupBy("id").agg(F.sum(F.col("tf") * F.col("weight")).alias("part"))
-    tops = [r["part"] for r in smallest(first, n, [F.col("part").desc()]).collect()]
+    tops = [r["part"] for r in first.orderBy(F.col("part").desc()).limit(n).collect()]
     # Rounding may put a sum a little below its parts.
     bound = min(tops) / len(wanted) * (1 - 1e-9) if len(tops) == n else 0.0
     heavy = F.col("weight") * F.col("tf") >= F.lit(bound)

@@ -48,6 +48,20 @@ def test_weighted_pick_prefers_weight(spark):
     assert sampling.weighted_pick(df.withColumn("w", F.lit(0.0)), 5, F.col("w"), 42).count() == 0
 
 
+@pytest.mark.parametrize("band, points", [(20_000, 400), (10, 4)])
+def test_the_smallest_rows_without_a_funnel(spark, monkeypatch, band, points):
+    monkeypatch.setattr(ordering, "CUT_BAND", band)
+    monkeypatch.setattr(ordering, "_POINTS", points)
+    keys = [(float(i * 7919 % 1000) if i % 5 else 3.0, f"{i:04d}") for i in range(1500)] + [(3.0, "0005")] * 4 + [(None, "null")]
+    df = spark.createDataFrame(keys, "key double, id string").repartition(6)
+    order = [F.col("key"), F.col("id")]
+    expected = sorted(keys, key=lambda r: (r[0] is not None, r))
+    for frame, listed in ((df, expected), (df.where("key IS NOT NULL"), expected[1:])):
+        for k in (0, 1, 3, 6, 300, len(listed) // 2, len(listed) - 1, len(listed), len(listed) + 5):
+            found = ordering.smallest(frame, k, order).collect()
+            assert sorted(map(tuple, found), key=lambda r: (r[0] is not None, r)) == listed[:k]
+
+
 def test_background_sample_is_clipped(spark):
     df = scored(spark, [0.1] * 5).unionByName(spark.createDataFrame([(None, 0.1)], "id string, score double"))
     assert sampling.sample_background(df, 50, 42).count() == 5
@@ -93,7 +107,7 @@ def test_ranks_of_a_null_group(spark):
 
 def test_smallest_beyond_the_heap(spark, monkeypatch):
     df = spark.range(300)
-    monkeypatch.setattr(ordering, "SMALL_TOPK", 10)
+    monkeypatch.setattr(ordering, "CUT_BAND", 10)
     assert [r[0] for r in ordering.smallest(df, 50, [F.col("id")]).orderBy("id").collect()] == list(range(50))
     assert ordering.smallest(df, 0, [F.col("id")]).count() == 0
 
@@ -122,5 +136,5 @@ def test_background_draws_mean_ids_at_every_size(spark, monkeypatch):
     twice = df.unionByName(df.where("id LIKE '%1'"))
     whole = rows(sampling.sample_background(twice, 20, 42))
     assert len({r[0] for r in whole}) == 20
-    monkeypatch.setattr(ordering, "SMALL_TOPK", 5)
+    monkeypatch.setattr(ordering, "CUT_BAND", 5)
     assert rows(sampling.sample_background(twice, 20, 42)) == whole
