@@ -218,10 +218,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents link if 100 * intersection >= 75 * union of their sets of five-word shingles; see
     ``shingles`` for short texts. Texts that are null or without words link with nothing; their component is
-    their own id and they are kept. A component is named by its smallest id, null if no row has one. Of
-    every component one row is kept: of the smallest id (rows without id come last), then of the smallest
-    key, and one of exact repeats. Ids need not differ. Other columns are not read; an empty table gives no
-    rows.
+    their own id and they are kept. A component is named by its smallest id, null if no row has one, and
+    every row with that id is kept; ``one_of_each`` decides between rows of one id. Ids need not differ.
+    Other columns are not read; an empty table gives no rows.
 
     Equal sets are one class, known by the number of its first row. In every band bucket all classes are
     compared with the bucket's smallest one. Buckets that these links do not connect are compared again
@@ -229,11 +228,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of a large group. All candidates are confirmed on full sets, which are built again for the first rows of
     classes in shared buckets.
     """
-    return decided(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    rows = decided(docs).select("doc_id", "n_shingles", "component_id")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def decided(docs: DataFrame) -> DataFrame:
-    """The rows of ``near_duplicates`` with ``KEY``."""
+    """The rows of ``near_duplicates`` with ``KEY``, where ``kept`` is one row of every component.
+
+    It is a row of the smallest id (rows without id come last), then of the smallest key, and one of exact repeats.
+    """
     docs = keyed(docs)
     # Rows are numbered once, in the stored table; the numbers name rows but decide only between exact repeats.
     found = materialise(profiles(docs).withColumn("row", F.monotonically_increasing_id()), "profiles")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import graphann, licenses, mixing, multiindex, oddsketch
 from folioflow.llm.components import connected_components
@@ -93,7 +94,8 @@ def test_one_row_of_each_group_with_null_and_repeated_ids(spark):
     ]
     assert got == sorted(whole, key=repr)
     found = oddsketch.near_duplicates(docs).collect()
-    assert len(found) == len(rows) and sum(r.kept for r in found) == len(whole)
+    assert len(found) == len(rows) and all(r.kept == (r.doc_id == r.component_id) for r in found)
+    assert oddsketch.decided(docs).where("kept").count() == len(whole)
     assert sorted(r.component_id for r in found if r.doc_id == 4) == [3, 4]
 
 
@@ -263,3 +265,15 @@ def test_pipeline_decisions_take_effect(spark):
     assert mix and set(mix) <= set(single)
     assert all(abs(taken - target) <= 20_000 for target, taken in targets.values())
     assert {r[0] for r in packed} == {r[0] for r in mix}
+
+
+def test_columns_of_any_name_pass_through_the_pipeline(spark, odd):
+    import corpus_pipeline
+
+    names = ["score", "size", "predicted", "row", "copies", "_copy", "_kept_9", "a.b", "n_shingles", "Piece"]
+    docs = odd.select("doc_id", "text", "source", *[F.col("lang").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, SMALL)
+        assert found.columns == docs.columns, name
+        assert {tuple(r)[3:] for r in found.collect()} <= {(r.lang,) * len(names) for r in odd.collect()}
+    assert corpus_pipeline.packed(spark, docs, SMALL).count() > 0
