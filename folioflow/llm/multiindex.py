@@ -24,7 +24,8 @@ TARGET_RECALL = 0.9995
 # Bound of the sample that codebooks and visits are fitted on, in vectors.
 SAMPLE_ROWS = 8192
 CELL_ROWS = 48
-MOST_CODES = 64
+# Sampled vectors per code of a half; more cells than that allows ask for a larger sample.
+CODE_ROWS = 8
 # Rows of one block of a cell; larger cells are split into pairs of blocks.
 MEMBER_BLOCK = 2048
 QUERY_BLOCK = 4096
@@ -60,11 +61,20 @@ class MultiIndex:
         parts = self.distances(rows)
         orders = [d.argsort(axis=1, kind="stable") for d in parts]
         ranked = [np.take_along_axis(d, o, axis=1) for d, o in zip(parts, orders, strict=True)]
-        places = [(i, j) for i in range(len(self.halves[0])) for j in range(len(self.halves[1])) if (i + 1) * (j + 1) <= count]
-        i, j = np.array(places).T
+        firsts = range(min(count, len(self.halves[0])))
+        i, j = np.array([(i, j) for i in firsts for j in range(min(count // (i + 1), len(self.halves[1])))]).T
         nearest = np.argsort(ranked[0][:, i] + ranked[1][:, j], axis=1, kind="stable")[:, :count]
         return np.take_along_axis(orders[0], i[nearest], axis=1) * len(self.halves[1]) + np.take_along_axis(orders[1], j[nearest], axis=1)
 
+    def places(self, rows: np.ndarray, partners: np.ndarray) -> np.ndarray:
+        """How many cells are nearer to every row than its partner's cell; no grid is written out."""
+        parts = self.distances(rows)
+        at = [d.argmin(axis=1) for d in self.distances(partners)]
+        bound = sum(d[np.arange(len(rows)), own] for d, own in zip(parts, at, strict=True))
+        second = np.sort(parts[1], axis=1)
+        slack = 1e-9  # rounding must not count the cell itself
+        return np.array([np.searchsorted(s, b - f - slack).sum() for f, s, b in zip(parts[0], second, bound, strict=True)])
+
 
 def _codebook(rows: np.ndarray, codes: int, draw: np.random.Generator, rounds: int = 12) -> np.ndarray:
     centres = rows[draw.choice(len(rows), min(codes, len(rows)), replace=False)].copy()
@@ -86,7 +96,7 @@ def fit(sample: np.ndarray, cells: int, least: float = LEAST_COSINE, recall: flo
     """
     draw = np.random.default_rng(seed)
     width = sample.shape[1]
-    codes = int(np.clip(round(np.sqrt(cells)), 1, MOST_CODES))
+    codes = int(np.clip(round(np.sqrt(cells)), 1, max(1, len(sample) // CODE_ROWS)))
     split = width // 2
     index = MultiIndex((_codebook(sample[:, :split], codes, draw), _codebook(sample[:, split:], codes, draw)), 1, width)
     rows = sample[draw.choice(len(sample), min(len(sample), 4096), replace=False)]
@@ -94,10 +104,7 @@ def fit(sample: np.ndarray, cells: int, least: float = LEAST_COSINE, recall: flo
     noise -= (noise * rows).sum(axis=1, keepdims=True) * rows
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
     partners = least * rows + np.sqrt(1 - least**2) * noise
-    every = len(index.halves[0]) * len(index.halves[1])
-    ranks = [
-        (index.sequence(a, every) == index.cells(b)[:, None]).argmax(axis=1) for a, b in ((rows, partners), (partners, rows))
-    ]
+    ranks = [index.places(a, b) for a, b in ((rows, partners), (partners, rows))]
     index.visits = int(np.quantile(np.minimum(*ranks), recall, method="higher")) + 1
     return index
 
@@ -152,29 +159,35 @@ def near_duplicates(
     Vectors (``vec_id, embedding, label``) link if their labels are equal and not null, their lengths are
     equal and their cosine in double precision is ``least`` or more. Vectors that cannot take part
     (null, empty, zero, null or non-finite components, null label, null id) link with nothing; their
-    component is their own id and they are kept. Repeated rows are copies of each other and link. Other
-    columns are not read; an empty table gives no rows.
+    component is their own id and they are kept. Repeated rows are copies of each other and link. An id
+    with several vectors is several vectors: each has links and a component of its own. Other columns are
+    not read; an empty table gives no rows.
 
-    Exact copies are one class with a weight before anything is compared. The index is fitted on at most
-    ``sample_rows`` vectors and holds every class. Cells are cut into blocks of bounded size, so a hot cell
+    Exact copies are one class with a number and a weight before anything is compared. The index is fitted
+    on at most ``sample_rows`` vectors (beyond ``sample_rows / CODE_ROWS`` codes a half, cells grow with the
+    table unless the sample does) and holds every class. Cells are cut into blocks of bounded size, so a hot cell
     spreads over tasks; a block sends one row per linked vector.
     """
     rows = vectors.select(
         F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label")
     ).withColumn("_use", usable("vector") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    key = {"_a": F.when(F.col("_use"), F.xxhash64("vector", "label")), "_b": F.when(F.col("_use"), F.xxhash64("label", F.size("vector"), "vector"))}
+    # Rows that take no part have a key that meets nothing but spreads over the tasks of the last join.
+    key = {"_a": F.when(F.col("_use"), F.xxhash64("vector", "label")).otherwise(F.xxhash64("vec_id", "vector")), "_b": F.when(F.col("_use"), F.xxhash64("label", F.size("vector"), "vector"))}
     rows = rows.withColumns(key)
     classes = materialise(
-        rows.where("_use").groupBy("_a", "_b").agg(
-            F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("label").alias("label"), F.any_value("vector").alias("vector")
-        ),
+        rows.where("_use")
+        .groupBy("_a", "_b")
+        .agg(
+            F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.any_value("label").alias("label"), F.any_value("vector").alias("vector")
+        )
+        .withColumn("id", F.monotonically_increasing_id()),
         "vector-classes",
     )
     total, groups, width = classes.agg(F.count(F.lit(1)), F.count_distinct("label"), F.max(F.size("vector"))).first()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     rate = F.lit(min(1.0, 0.9 * sample_rows / total))
-    sample = matrix(classes.where(uniform("multi-index", "id") <= rate).orderBy("id").limit(sample_rows).select("vector").toArrow().column(0), width)
+    sample = matrix(classes.where(uniform("multi-index", "_a") <= rate).orderBy("_a", "_b").limit(sample_rows).select("vector").toArrow().column(0), width)
     if not len(sample):
         sample = matrix(classes.limit(1).select("vector").toArrow().column(0), width)
     index = fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), max(1, total // max(groups, 1) // CELL_ROWS), least, recall)
@@ -226,13 +239,15 @@ def near_duplicates(
     parts = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     found = (
-        classes.select("_a", "_b", "id", "copies")
+        classes.select("_a", "_b", "id", "name", "copies")
         .join(counts, "id", "left")
         .join(parts.withColumnRenamed("node", "id"), "id", "left")
         .select(
-            "_a", "_b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+            "_a", "_b", "name", F.coalesce("component", "id").alias("part"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         )
     )
+    found = materialise(found, "vector-parts")
+    found = found.join(found.groupBy("part").agg(F.min("name").alias("component_id")), "part").select("_a", "_b", "n_links", "component_id")
     return (
         rows.select("vec_id", "_a", "_b")
         .join(materialise(found, "vector-found"), ["_a", "_b"], "left")
