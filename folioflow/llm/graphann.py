@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.llm.vectors import matrix, usable
 from folioflow.session import materialise
@@ -18,6 +18,8 @@ DEGREE = 40
 BEAM = 96
 BUILD_BEAM = 72
 RELAXATION = 1.15
+# Lengths in a shard differ by no more than this power of two.
+BAND_BITS = 2
 _EXPAND = 4
 _BATCH = 256
 
@@ -171,9 +173,23 @@ def _link_back(graph: Graph, counts: np.ndarray, targets: np.ndarray, sources: n
 
 
 def _lifted(rows: np.ndarray) -> np.ndarray:
-    """One more component makes all lengths equal, so that distance to a query orders by inner product."""
+    """Scaled to the longest row; one more component makes all lengths 1, so that distance to a query orders by inner product."""
+    rows = rows / np.abs(rows).max()
     squares = (rows**2).sum(axis=1)
-    return np.concatenate([rows, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]], axis=1).astype(np.float32)
+    rows, squares = rows / np.sqrt(squares.max()), squares / squares.max()
+    return np.concatenate([rows, np.sqrt(np.maximum(1 - squares, 0))[:, None]], axis=1).astype(np.float32)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def band(vector: str) -> Column:
+    """Bands of lengths, each ``BAND_BITS`` powers of two wide; at most about a thousand hold all finite doubles."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))
+    return F.floor((F.log2(largest) + F.log2(squares) / 2) / BAND_BITS).cast("int")
 
 
 def build_shard(rows: pa.Table) -> pa.Table:
@@ -187,10 +203,11 @@ def build_shard(rows: pa.Table) -> pa.Table:
     graph = build(_lifted(distinct))
     held = io.BytesIO()
     np.savez(held, vectors=distinct, ids=ids, ends=np.cumsum(np.bincount(owner)), links=graph.links, entry=graph.entry)
-    return pa.table({"shard": [rows.column("shard")[0].as_py()], "size": [vectors.shape[1]], "graph": [held.getvalue()]}, schema=_SHARDS)
+    first = {c: [rows.column(c)[0].as_py()] for c in ("shard", "band", "size")}
+    return pa.table({**first, "graph": [held.getvalue()]}, schema=_SHARDS)
 
 
-_SHARDS = pa.schema([("shard", pa.int64()), ("size", pa.int32()), ("graph", pa.binary())])
+_SHARDS = pa.schema([("shard", pa.int64()), ("band", pa.int32()), ("size", pa.int32()), ("graph", pa.binary())])
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -205,7 +222,7 @@ def search_shard(shard: pa.Table, queries: pa.Table, k: int, beam: int) -> pa.Ta
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(asked), _BATCH):
         part = asked[at : at + _BATCH]
-        lifted = np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32)
+        lifted = np.concatenate([_unit(part), np.zeros((len(part), 1))], axis=1).astype(np.float32)
         met, _ = beam_search(graph, lifted, beam)
         for row, found in enumerate(met):
             found = found[found >= 0]
@@ -233,29 +250,31 @@ def nearest(
     no candidates. Fewer candidates give fewer rows, an empty table none; other columns are not read. Repeated
     rows count once, and an id with several vectors counts at its best score.
 
-    Rows are dealt to shards of about ``shard_rows`` by a hash of the vector, so copies meet in a shard and
-    are one point of its graph. Repeated rows are dropped first. Of the copies of a vector only the first ``k`` + 1
+    Rows are dealt by bands of their length, and in a band to shards of about ``shard_rows`` by a hash of the
+    vector, so that no long vector hides the differences of short ones, and copies meet in a shard and are
+    one point of its graph. Repeated rows are dropped first. Of the copies of a vector only the first ``k`` + 1
     ids can ever be returned, and Spark cuts to those inside each task, so a hot vector stays small. Every block of queries searches
     every shard; a query's hits, ``k`` per shard, are merged at the end.
     """
     keep = [F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("vector")]
     rows, asked = (t.select(*keep).where(F.col("vec_id").isNotNull() & usable("vector")) for t in (vectors, queries))
-    rows = rows.withColumns({"_a": F.xxhash64("vector"), "_b": F.xxhash64(F.size("vector"), "vector"), "size": F.size("vector")})
+    rows = rows.withColumns({"_a": F.xxhash64("vector"), "_b": F.xxhash64(F.size("vector"), "vector"), "size": F.size("vector"), "band": band("vector")})
     rows = rows.dropDuplicates(["_a", "_b", "vec_id"])
     first = Window.partitionBy("_a", "_b").orderBy("vec_id")
     rows = materialise(rows.withColumn("_copy", F.row_number().over(first)).where(F.col("_copy") <= k + 1).drop("_copy"), "ann-rows")
-    total = rows.select("_a", "_b").distinct().count()
-    shards = max(1, -(-total // shard_rows))
+    kind = ["size", "band"]
+    points = rows.select("_a", "_b", *kind).distinct().groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+    shards = materialise(points.select(*kind, F.ceil(F.col("n") / shard_rows).cast("bigint").alias("shards")), "ann-shards")
     blocks = max(1, -(-asked.count() // query_block))
-    sharded = rows.select(F.pmod(F.col("_a"), F.lit(shards)).alias("shard"), "size", "vec_id", "vector")
-    graphs = sharded.groupBy("shard", "size").applyInArrow(build_shard, "shard bigint, size int, graph binary")
+    sharded = rows.join(shards, kind).select(F.pmod("_a", F.col("shards")).alias("shard"), *kind, "vec_id", "vector")
+    graphs = sharded.groupBy("shard", *kind).applyInArrow(build_shard, "shard bigint, band int, size int, graph binary")
     graphs = materialise(graphs, "ann-graphs")
-    every_block, every_shard = (F.explode(F.sequence(*(F.lit(n).cast("bigint") for n in (0, last - 1)))) for last in (blocks, shards))
-    by = ["shard", "size", "block"]
-    left = graphs.select("shard", "size", every_block.alias("block"), "graph")
-    right = asked.select(
-        every_shard.alias("shard"), F.size("vector").alias("size"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "vector"
-    )
+    by = ["shard", *kind, "block"]
+    every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    left = graphs.select("shard", *kind, every_block.alias("block"), "graph")
+    every_shard = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1))
+    asked = asked.withColumns({"size": F.size("vector"), "block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks))})
+    right = asked.join(shards, "size").select(every_shard.alias("shard"), *kind, "block", "vec_id", "vector")
 
     def search(shard: pa.Table, block: pa.Table) -> pa.Table:
         return search_shard(shard, block, k, beam) if len(shard) and len(block) else _HITS.empty_table()

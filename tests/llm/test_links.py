@@ -145,6 +145,29 @@ def test_multi_index_equals_brute_force(spark):
     assert multiindex.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_multi_index_keeps_vectors_of_one_id_apart(spark):
+    """Ids 1 and 4 hold two vectors each: links, components and ``kept`` are those of the row."""
+    a, w = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    b, c = [0.0, 0.0, 1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+
+    def near(v, at):
+        return [x + (0.2 if i == at else 0.0) for i, x in enumerate(v)]
+
+    rows = [(1, a), (1, w), (2, near(a, 5)), (3, near(w, 5)), (4, b), (4, near(b, 5)), (0, near(c, 5)), (9, c), (9, c)]
+    table = spark.createDataFrame([(i, v, 1, 0) for i, v in rows], VECTORS)
+    got = sorted(tuple(r) for r in multiindex.near_duplicates(table).collect())
+    whole = [(0, 2, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+    assert got == whole + [(9, 2, 0, False)] * 2
+
+
+def test_places_count_the_nearer_cells():
+    draw = np.random.default_rng(10)
+    index = multiindex.fit(draw.normal(size=(300, 10)), 36)
+    rows, partners = draw.normal(size=(2, 40, 10))
+    every = len(index.halves[0]) * len(index.halves[1])
+    assert (index.places(rows, partners) == (index.sequence(rows, every) == index.cells(partners)[:, None]).argmax(axis=1)).all()
+
+
 def test_multi_sequence_is_the_order_of_the_product_grid():
     draw = np.random.default_rng(8)
     index = multiindex.fit(draw.normal(size=(300, 10)), 36)
@@ -183,6 +206,30 @@ def test_graph_search_recall_ties_and_odd_rows(spark):
     assert graphann.nearest(empty, empty).count() == 0
 
 
+def test_graph_search_of_lengths_over_many_decades(spark):
+    """Lengths from 1e-3 to 1e3, one of 1e7, one whose square is no double: the short vectors' neighbours are found too."""
+    draw = np.random.default_rng(15)
+    base = draw.normal(size=(1500, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    base *= 10.0 ** draw.uniform(-3, 3, size=(1500, 1))
+    base[7] *= 1e7 / np.linalg.norm(base[7])
+    base[9] *= 1e200 / np.linalg.norm(base[9])
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for points, asked in ((table, table.where("vec_id % 20 = 0")), (table.where("vec_id NOT IN (7, 9)"), table.where("vec_id % 50 = 0"))):
+        got = {}
+        for r in graphann.nearest(points, asked, shard_rows=300).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        names = np.array([r.vec_id for r in points.select("vec_id").collect()])
+        hit = 0
+        for q in got:
+            scores = np.where(names == q, -np.inf, base[names] @ base[q])
+            hit += len(set(names[np.lexsort((names, -scores))[:20]].tolist()) & got[q])
+        assert len(got) == asked.count() and hit >= 0.95 * 20 * len(got)
+    short = table.where("vec_id NOT IN (7, 9)").select("vec_id", F.transform("embedding", lambda x: x / 1e9).alias("embedding"))
+    assert graphann.nearest(short, short.where("vec_id = 0")).count() == 20
+
+
 def test_graph_search_counts_ids_not_rows(spark):
     """One row 30 times, every row twice, an id with two vectors: still 20 different neighbours in one shard."""
     draw = np.random.default_rng(12)
