@@ -1,5 +1,6 @@
 import itertools
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -277,13 +278,64 @@ def test_licences_inherit_from_the_nearest_directory(spark):
     got = licenses.scan(spark.createDataFrame(files, "path string, text string, line int")).collect()
     found = {(r.line, r.license, r.origin, r.origin_dir) for r in got}
     assert found == {
-        (1, "Apache-2.0", "header", None), (2, "Apache-2.0", "inherited", "a"), (3, "MIT", "header", None), (4, "MIT", "inherited", "a/b/c"),
+        (1, "Apache-2.0", "file", None), (2, "Apache-2.0", "inherited", "a"), (3, "MIT", "file", None), (4, "MIT", "inherited", "a/b/c"),
         (5, "GPL-3.0", "header", None), (6, None, None, None), (7, "CC-BY-NC-4.0", "header", None),
     }
     assert len(got) == len(files)
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def wrapped(text, width=76, prefix=""):
+    return "\n".join(prefix + line for line in textwrap.wrap(" ".join(text.split()), width))
+
+
+def test_whole_licence_files_and_headers(spark):
+    text = {}
+    for name, _, body in licenses.parsed_templates():
+        text[name] = max(text.get(name, ""), body, key=len)
+    rest = "\n\n" + "\n".join(f"clause {i} of a long text that no template holds, word{i}" for i in range(400))
+    gpl = "the Free Software Foundation\nEveryone is permitted to copy and distribute verbatim copies\nof this license document"
+    lesser = "\nThe GNU Lesser General Public License version 3 may be what you want to do.\n"
+    files = [
+        ("MIT", "mit/LICENSE", "MIT License\n\nCopyright (c) 2024 A. Person\n\n" + wrapped(text["MIT"]), "file"),
+        ("MIT", "mit2/LICENSE.txt", "Copyright (c) 2024 A. Person\n\n" + wrapped(text["MIT"], 60), "file"),
+        ("BSD-3-Clause", "bsd3/COPYING", "Copyright (c) 2024, A. Person\nAll rights reserved.\n\n" + wrapped(text["BSD-3-Clause"]), "file"),
+        ("BSD-2-Clause", "bsd2/LICENSE", "Copyright (c) 2024, A. Person\n\n" + wrapped(text["BSD-2-Clause"]), "file"),
+        ("ISC", "isc/LICENSE", "Copyright 2024 A. Person\n\n" + wrapped(text["ISC"]), "file"),
+        ("Apache-2.0", "ap/LICENSE", "\n   Apache License\n  Version 2.0, January 2004\n http://www.apache.org/licenses/\n" + rest, "file"),
+        ("GPL-3.0", "g3/COPYING", "  GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright (C) 2007 " + gpl + rest + lesser, "file"),
+        ("GPL-2.0", "g2/COPYING", "  GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Copyright (C) 1989 " + gpl + rest + lesser, "file"),
+        ("LGPL-2.1", "l2/COPYING", "  GNU LESSER GENERAL PUBLIC LICENSE\n   Version 2.1, February 1999\n" + rest, "file"),
+        ("MPL-2.0", "mpl/LICENSE", "Mozilla Public License Version 2.0\n====\n\n1. Definitions\n" + rest, "file"),
+        ("MIT", "src/a.py", "# SPDX-License-Identifier: MIT\nimport os\n", "header"),
+        ("BSD-3-Clause", "src/b.c", "/* SPDX-License-Identifier: BSD-3-Clause */\nint main() { return 0; }\n", "header"),
+        ("CC-BY-NC-ND-4.0", "src/c.md", "SPDX-License-Identifier: CC-BY-NC-ND-4.0\n", "header"),
+        ("GPL-2.0", "src/d.txt", "GNU General Public License, version 2", "header"),
+        ("GPL-3.0", "src/e.py", wrapped("This program is free software: you can redistribute it and/or modify it " + text["GPL-3.0"], 72, "# "), "header"),
+        ("GPL-2.0", "src/f.py", wrapped("This program is free software; you can redistribute it and/or modify it " + text["GPL-2.0"], 72, "# "), "header"),
+        ("CC-BY-SA-4.0", "src/g.md", "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", "header"),
+        ("MIT", "src/h.js", "// Copyright A. Person\n//\n" + wrapped(text["MIT"], 70, "// ") + "\nlet x = 1\n", "header"),
+        ("MIT", "src/i.md", "# Project\n\nText.\n\n## License\n\nMIT\n", "header"),
+        (None, "src/j.txt", "A driving licence is needed. With permission of the owner, you may use the car.", None),
+        (None, "src/k.txt", "SPDX-License-Identifier: Proprietary", None),
+        (None, "src/l.txt", "Redistribution of wealth was discussed at length in the parliament.", None),
+    ]
+    columns = "want string, path string, text string, score string, template string, others int, origin int"
+    table = spark.createDataFrame([(want, path, body, "x", origin, 1, 2) for want, path, body, origin in files], columns)
+    scanned = licenses.scan(table)
+    assert scanned.columns == ["want", "path", "template", "others", "license", "score", "origin", "origin_dir"]
+    got = {r.path: (r.license, r.origin) for r in scanned.collect()}
+    assert got == {path: (want, origin) for want, path, _, origin in files}
+
+
+def test_marker_loses_no_match():
+    """Each template has a needed word that the marker finds, and a whole text's is one that opens it."""
+    for _, needs, text in licenses.parsed_templates():
+        assert any(re.search(licenses.MARKER, word) for word in needs), text
+        assert set(needs) <= set(re.findall(licenses.TERM, text.lower()))
+        assert len(text) < 500 or any(re.search(licenses.OPENING, word) for word in needs)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     assert difference(QUERIES[name](spark, SMALL), connect(SMALL), ORACLE_SQL[name]) is None
