@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 
@@ -18,7 +19,7 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int | None = None) -> np.n
     """Rows of an Arrow list column as doubles; shorter rows are filled with zeros to ``width``."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     width = width or int(sizes.max(initial=0))
     if (sizes == width).all():
