@@ -58,6 +58,27 @@ def fit_logistic(rows: DataFrame, settings: Settings, label: str = "label", feat
     return estimator.fit(train)
 
 
+def optimality(model: LogisticRegressionModel, rows: DataFrame, settings: Settings, label: str = "label", features: str = "features") -> DataFrame:
+    """``part, position, value``: rows and weight of each class, and the objective's gradient at the model.
+
+    The objective is convex, so a gradient of zero proves the fit. Position -1 is the intercept, the others
+    are those of the coefficients. Partial sums are taken where the rows lie; one row per position is moved.
+    """
+    classes = class_counts(rows, label)
+    wide = classes.select(F.col(label).cast("bigint").alias("position"), F.col("n_class").cast("double").alias("class_rows"), "weight")
+    long = wide.unpivot(["position"], ["class_rows", "weight"], "part", "value")
+    weight = classes.select(F.col(label).alias("_label"), "weight")  # two rows
+    scored = score_rows(model, rows, features, "_score").join(weight, F.col(label) == F.col("_label"))
+    pull = scored.select((F.col("weight") * (F.col("_score") - F.col(label))).alias("pull"), F.col(features).alias("x"))
+    pull = pull.select("pull", F.posexplode(F.concat(F.array(F.lit(1.0)), F.col("x").cast("array<double>"))).alias("at", "x"))
+    sums = pull.groupBy("at").agg(F.sum(F.col("pull") * F.col("x")).alias("total"))
+    n = rows.count()
+    penalty = F.array(F.lit(0.0), *(F.lit(float(b) / settings.regularisation_c) for b in model.coefficients))
+    at_model = F.get(penalty, F.col("at")) + F.col("total")
+    gradient = sums.select((F.col("at") - 1).cast("bigint").alias("position"), F.lit("gradient").alias("part"), (at_model / n).alias("value"))
+    return long.select("part", "position", "value").unionByName(gradient)
+
+
 def score_rows(model: LogisticRegressionModel, rows: DataFrame, features: str = "features", name: str = "score") -> DataFrame:
     """P(like) per row."""
     ready = rows.withColumn("_x", array_to_vector(F.col(features)))

@@ -88,6 +88,25 @@ def fit_logistic(b: Bound) -> DataFrame:
     return b.spark.createDataFrame(values, "position bigint, coefficient double")
 
 
+@query(
+    "fit_logistic_optimum",
+    with_ctes("papers", "label_rows", "unlabelled")
+    + TRAINING_SQL
+    + """, per AS (SELECT label, count(*) AS n FROM training GROUP BY label)
+    SELECT 'class_rows' AS part, label AS position, n::DOUBLE AS value FROM per
+    UNION ALL SELECT 'weight', label, round((SELECT sum(n) FROM per) / (2.0 * n), 6)::DOUBLE FROM per
+    UNION ALL SELECT 'gradient', unnest(range(-1, (SELECT max(len(vector)) FROM training))), 0.0::DOUBLE""",
+)
+def fit_logistic_optimum(b: Bound) -> DataFrame:
+    """Class weights of the fit, and the gradient at its model, which SQL knows to be zero."""
+    rows = materialise(
+        model.training_set(b.papers.join(b.labels.select("id", "preference"), "id"), b.unlabelled, SETTINGS), "training"
+    )
+    found = model.optimality(model.fit_logistic(rows, SETTINGS), rows, SETTINGS)
+    digits = F.when(F.col("part") == "gradient", F.round("value", 3)).otherwise(F.round("value", 6))
+    return found.select("part", "position", (digits + F.lit(0.0)).alias("value"))
+
+
 @query("score_papers", with_ctes("scored") + " SELECT id, title, round(score, 6) AS score FROM scored")
 def score_papers(b: Bound) -> DataFrame:
     clean = b.clean_papers.select("id", "title", "vector")

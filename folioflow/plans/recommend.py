@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -78,6 +80,39 @@ def recommend_trained(b: Bound) -> DataFrame:
     return _report(recommend(b.papers.drop("abstract"), b.labels.select("id", "preference"), b.published_ids, SETTINGS))
 
 
+TIER_WINDOW_SQL = f""", window_ AS (SELECT id FROM unlabelled WHERE list_has_any(categories, {CATEGORY_SQL})
+        AND updated BETWEEN '{SETTINGS.start_date}' AND '{SETTINGS.end_date}' AND updated >= '2024' AND id NOT IN (SELECT id FROM published_ids) AND {SQL_CLEAN}),
+    n AS (SELECT count(*) AS n FROM window_), switch AS (SELECT * FROM (VALUES (false), (true)) v(flag))"""
+
+
+@query(
+    "recommend_tiers",
+    with_ctes("unlabelled", "published_ids")
+    + TIER_WINDOW_SQL
+    + f""" SELECT a.flag AS confidence_weighting, b.flag AS difficulty_sampling, n AS papers, greatest(1, floor(n * {SETTINGS.sample_rate}::DOUBLE))::BIGINT AS flagged,
+        0::BIGINT AS unscored, 0::BIGINT AS passed_over FROM switch a, switch b, n""",
+)
+def recommend_tiers(b: Bound) -> DataFrame:
+    """The trained chain with each setting of its two switches: papers, flags, rows without a probability, and
+    papers without a flag that lie in a higher tier than one with a flag."""
+    papers, labels = b.papers.drop("abstract"), b.labels.select("id", "preference")
+    tier = F.when(F.col("score") >= SETTINGS.high_threshold, 0).when(F.col("score") >= SETTINGS.boundary_threshold, 1).otherwise(2)
+    reports = []
+    for confidence in (False, True):
+        for difficulty in (False, True):
+            chosen = replace(SETTINGS, confidence_weighting=confidence, difficulty_sampling=difficulty)
+            flagged = materialise(recommend(papers, labels, b.published_ids, chosen).select("id", "score", "show", tier.alias("tier")), "tiers")
+            last = flagged.where("show = 1").agg(F.max("tier").alias("last"))  # one row
+            counts = flagged.crossJoin(F.broadcast(last)).agg(
+                F.count(F.lit(1)).alias("papers"),
+                F.count_if(F.col("show") == 1).alias("flagged"),
+                F.count_if(~F.coalesce(F.col("score").between(0, 1), F.lit(False))).alias("unscored"),
+                F.count_if((F.col("show") == 0) & (F.col("tier") < F.col("last"))).alias("passed_over"),
+            )
+            reports.append(counts.select(F.lit(confidence).alias("confidence_weighting"), F.lit(difficulty).alias("difficulty_sampling"), "*"))
+    return reduce(DataFrame.unionByName, reports)
+
+
 _WEIGHT = f"exp(2.0 * (score - {SETTINGS.boundary_threshold}) / {SETTINGS.high_threshold - SETTINGS.boundary_threshold!r})"
 
 

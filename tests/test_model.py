@@ -147,3 +147,23 @@ def test_resampling_steps_can_be_switched_off(spark, confidence, difficulty):
     scored = model.score_rows(fitted, spark.createDataFrame([("a", [1.0, 1.0, 1.0]), ("b", [60.0, 2.0, 1.0])], "id string, features array<double>"))
     by = {r.id: r.score for r in scored.collect()}
     assert 0 <= by["b"] < by["a"] <= 1
+
+
+def test_optimality_is_the_gradient_of_the_objective(spark):
+    """At the fit the gradient is nothing; at another model it is that of numpy."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(60, 4))
+    y = (x[:, 0] + draw.normal(size=60) > 0.8).astype(int)
+    rows = spark.createDataFrame([(int(t), v.tolist()) for t, v in zip(y, x, strict=True)], "label int, features array<double>")
+    settings = Settings(regularisation_c=0.5)
+    fitted = model.fit_logistic(rows, settings)
+    found = {(r["part"], r["position"]): r["value"] for r in model.optimality(fitted, rows, settings).collect()}
+    assert [found["class_rows", k] for k in (0, 1)] == np.bincount(y).tolist()
+    assert [found["weight", k] for k in (0, 1)] == pytest.approx((60 / 2 / np.bincount(y)).tolist())
+    assert max(abs(found["gradient", j]) for j in range(-1, 4)) < 1e-4
+    other = Settings(regularisation_c=50.0)
+    found = {r["position"]: r["value"] for r in model.optimality(fitted, rows, other).where("part = 'gradient'").collect()}
+    b = fitted.coefficients.toArray()
+    pull = (60 / 2 / np.bincount(y))[y] * (1 / (1 + np.exp(-(x @ b + fitted.intercept))) - y)
+    whole = np.concatenate([[pull.sum()], x.T @ pull + b / 50.0]) / 60
+    assert [found[j] for j in range(-1, 4)] == pytest.approx(whole.tolist(), abs=1e-12) and max(abs(whole)) > 1e-3
