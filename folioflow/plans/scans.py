@@ -75,6 +75,27 @@ def scan_papers_by_year(b: Bound) -> DataFrame:
     )
 
 
+@query(
+    "scan_year_files",
+    with_ctes("docs")
+    + """ SELECT id, title, updated, 2016 + doc_id % 10 AS year, CASE WHEN 2016 + doc_id % 10 >= 2020 THEN lang END AS license
+    FROM docs WHERE 2016 + doc_id % 10 BETWEEN 2019 AND 2026""",
+)
+def scan_year_files(b: Bound) -> DataFrame:
+    """One table a year, older ones without the licence column; the last year of the range is not there yet."""
+    root = scratch_path(b.spark, "paper-years")
+    dated = materialise(
+        b.documents.select("id", "title", "updated", F.col("lang").alias("license"), (F.lit(2016) + F.col("doc_id") % 10).alias("year")),
+        "dated",
+    )
+    for year in range(2016, 2026):
+        rows = dated.where(F.col("year") == year).drop("year")
+        (rows.drop("license") if year < 2020 else rows).write.parquet(f"{root}/{year}.parquet")
+    first = readers.start_year(2026, SETTINGS.first_year, 2024, 2019)
+    found = readers.scan_year_files(b.spark, root, first, 2026, "id string, title string, updated string, license string")
+    return found.select("id", "title", "updated", F.col("year").cast("bigint").alias("year"), "license")
+
+
 @query(
     "scan_published",
     with_ctes("published")

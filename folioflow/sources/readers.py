@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.functions.text import once
@@ -73,6 +74,26 @@ def scan_papers_by_year(spark: SparkSession, root: str, first: int, last: int) -
     return spark.read.option("mergeSchema", True).parquet(root).where(F.col("year").between(first, last))
 
 
+def scan_year_files(spark: SparkSession, root: str, first: int, last: int, schema: str | None = None) -> DataFrame:
+    """Papers of ``{root}/{year}.parquet`` for years ``first .. last``, with the ``year`` of the file.
+
+    Only the files of these years are opened; each is a file or a folder. The last year may be absent, any
+    other is an error. Columns missing in some files are null. With a ``schema`` no footer is read before the
+    scan and its columns are there whatever the files hold; else the footers of the files are merged.
+    """
+    paths = [f"{root}/{year}.parquet" for year in range(first, last + 1)]
+    if not paths:
+        raise ValueError(f"no years from {first} to {last}")
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
+    try:
+        papers = reader.parquet(*paths)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND" or len(paths) == 1:
+            raise
+        papers = reader.parquet(*paths[:-1])
+    return papers.withColumn("year", F.regexp_extract(source_name(r"\.parquet"), r"^(\d+)", 1).cast("int"))
+
+
 def scan_published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.config import Settings
 from folioflow.operators import aggregates
 from folioflow.sources import corpus, readers, staging, writers
 from folioflow.streaming import ingest
@@ -266,3 +267,43 @@ def test_pages_replace_pages(spark, tmp_path):
     writers.write_pages(published, str(tmp_path / "pages"))
     writers.write_pages(published.where("id = '2'"), str(tmp_path / "pages"))
     assert rows(spark.read.parquet(str(tmp_path / "pages")), "id") == [("2",)]
+
+
+def test_year_files_and_an_absent_last_year(spark, tmp_path):
+    spark.createDataFrame([("a", 1)], "id string, n int").write.parquet(str(tmp_path / "2023.parquet"))
+    spark.createDataFrame([("b",)], "id string").write.parquet(str(tmp_path / "2024.parquet"))
+    spark.createDataFrame([("z", 9)], "id string, n int").write.parquet(str(tmp_path / "2020.parquet"))
+    whole = [("a", 1, 2023), ("b", None, 2024)]
+    for schema in (None, "id string, n int"):
+        for last in (2024, 2025):
+            assert rows(readers.scan_year_files(spark, str(tmp_path), 2023, last, schema), "id", "n", "year") == whole
+    for first, last in ((2022, 2024), (2023, 2026), (2025, 2025)):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            readers.scan_year_files(spark, str(tmp_path), first, last)
+    with pytest.raises(ValueError, match="no years"):
+        readers.scan_year_files(spark, str(tmp_path), 2025, 2024)
+
+
+def test_settings_file(tmp_path):
+    path = tmp_path / "settings.toml"
+    path.write_text(
+        'content_repo = "x/y"\n[fit_predict]\ncategories = ["cs.CL"]\nseed = 7\nraw_data_dir = "./raw"\n'
+        "[fit_predict.confidence_weighted_sampling]\nenable = false\n[fit_predict.logic_regression]\nC = 2\n"
+        '[download_pdf]\ndelay = 3\n[summary]\nmodel = "m"\ntop_p = 0.5\n[settings]\npage_size = 9\n'
+    )
+    found = Settings.from_file(path, max_iter=5, as_of=datetime(2025, 1, 1))
+    assert (found.categories, found.seed, found.confidence_weighting, found.regularisation_c) == (("cs.CL",), 7, False, 2.0)
+    assert (found.top_p, found.page_size, found.max_iter, found.high_threshold) == (0.5, 9, 5, Settings.high_threshold)
+    for line, match in (
+        ("[fit_predict.predict]\nhigh_treshold = 0.9", "no setting fit_predict.predict.high_treshold"),
+        ("[settings]\nnothing = 1", "no setting settings.nothing"),
+        ("seed = 1", "no setting seed"),
+        ('[fit_predict]\nseed = "1"', "is no int"),
+        ("[fit_predict]\ncategories = [1]", "is no tuple"),
+        ("[fit_predict.confidence_weighted_sampling]\nenable = 1", "is no bool"),
+    ):
+        path.write_text(line)
+        with pytest.raises(ValueError, match=match):
+            Settings.from_file(path)
+    path.write_text("")
+    assert Settings.from_file(path) == Settings()
