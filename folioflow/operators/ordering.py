@@ -72,6 +72,27 @@ def _join_on(placed: DataFrame, group: Sequence[str]) -> Column:
     return condition
 
 
+def running_sum(df: DataFrame, value: Column, order: Sequence[Column], name: str = "_end", total: str = "_all") -> DataFrame:
+    """Adds the sum of ``value``, a whole number, up to each row in ``order``, and the sum of all rows.
+
+    Two passes: rows are range-partitioned on the whole order and stored, sums of whole partitions are put
+    before the sums inside each, so a partition is one task and their number is that of the sort.
+    """
+    sorted_rows = df.withColumn("_value", value.cast("decimal(20,0)")).orderBy(*order)
+    placed = cut_lineage(sorted_rows.withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftrightunsigned("_place", _ROW_BITS))
+    parts = placed.groupBy("_part").agg(F.sum("_value").alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        "_part",
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("decimal(28,0)").alias("_start"),
+        F.sum("_sum").over(Window.partitionBy(F.lit(0))).cast("decimal(28,0)").alias(total),
+    )
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("_inside", F.sum("_value").over(inside)).join(F.broadcast(parts), "_part")  # a row per partition
+    return summed.withColumn(name, (F.col("_start") + F.col("_inside")).cast("decimal(28,0)")).select(*df.columns, name, total)
+
+
 def smallest(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
     """The first ``k`` rows in ``order``, ascending, whose first column is a number; all rows if there are fewer.
 

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.functions.hashing import hash52, open_uniform, uniform
-from folioflow.operators.ordering import cut_place, smallest
+from folioflow.operators.ordering import cut_place, running_sum, smallest
 
-# Prefix sums run inside this many hash buckets, then over the bucket totals.
-PREFIX_BUCKETS = 1024
+# Draws order rows by a hash of this many values, then by key. It bounds no task: equal values are split by the key.
+HASH_PLACES = 1024
 
 _UNIT = 1 << 20
 _WEIGHT_SCALE = 1e9
@@ -50,40 +50,22 @@ def weighted_pick(df: DataFrame, k: int, weight: Column, seed: int) -> DataFrame
     return smallest(df.where(weight > 0), k, [weighted_key(f"{seed}:pick", weight, "id"), F.col("id")])
 
 
-def systematic_draw(
-    df: DataFrame,
-    n: int,
-    weight: Column,
-    tag: str,
-    key: Sequence[str] = ("id",),
-    buckets: int = PREFIX_BUCKETS,
-) -> DataFrame:
+def systematic_draw(df: DataFrame, n: int, weight: Column, tag: str, key: Sequence[str] = ("id",)) -> DataFrame:
     """Exactly ``n`` draws with replacement in proportion to ``weight``; adds ``draw`` = 1, 2, ... per row.
 
     Row i gets ``floor(n*C_i/T + u) - floor(n*C_(i-1)/T + u)`` copies, with C the running sum of
     integer weights and T its total, so the expected copies are those of independent draws with less
-    variance. All of it is integer arithmetic. The running sum is split over hash buckets, whose
-    totals (at most ``buckets`` rows) get their own running sum.
+    variance. All of it is integer arithmetic. Rows with one key go by weight; without any weight nothing is drawn.
     """
     offset = int(tag_fraction(tag) * _UNIT)
     weighed = df.withColumns(
         {
             "_w": F.round(weight * F.lit(_WEIGHT_SCALE)).cast("decimal(20,0)"),
-            "_bucket": F.pmod(hash52("bucket", *key), F.lit(buckets)),
+            "_hash": F.pmod(hash52("bucket", *key), F.lit(HASH_PLACES)),
         }
     )
-    ordered = Window.orderBy("_bucket")
-    totals = weighed.groupBy("_bucket").agg(F.sum("_w").alias("_sum"))
-    totals = totals.select(
-        "_bucket",
-        F.coalesce(F.sum("_sum").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .cast("decimal(28,0)")
-        .alias("_start"),
-        F.sum("_sum").over(Window.partitionBy(F.lit(0))).cast("decimal(28,0)").alias("_all"),
-    )
-    inside = Window.partitionBy("_bucket").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
-    placed = weighed.withColumn("_inside", F.sum("_w").over(inside)).join(F.broadcast(totals), "_bucket")
-    placed = placed.withColumn("_end", (F.col("_start") + F.col("_inside")).cast("decimal(28,0)"))
+    order = [F.col(c) for c in ("_hash", *key, "_w")]
+    placed = running_sum(weighed, F.col("_w"), order).where(F.col("_all") > 0)
 
     def mark(position: str) -> Column:
         return F.expr(

@@ -28,7 +28,7 @@ def draw_sql(rows: str, n: str, weight: str, tag: str, name: str, key: tuple[str
     """CTEs of a systematic draw over ``rows``; ``name`` holds one row per copy."""
     offset = int(sampling.tag_fraction(tag) * UNIT)
     keys = ", ".join(key)
-    return f""", {name}_w AS (SELECT *, round({weight} * 1e9)::HUGEINT AS w, {sql_hash52('bucket', *key)} % {sampling.PREFIX_BUCKETS} AS bucket FROM {rows}),
+    return f""", {name}_w AS (SELECT *, round({weight} * 1e9)::HUGEINT AS w, {sql_hash52('bucket', *key)} % {sampling.HASH_PLACES} AS bucket FROM {rows}),
     {name}_c AS (SELECT *, sum(w) OVER (ORDER BY bucket, {keys} ROWS UNBOUNDED PRECEDING)::HUGEINT AS c, (sum(w) OVER ())::HUGEINT AS t FROM {name}_w),
     {name}_k AS (SELECT *, ({n} * c * {UNIT} + {offset} * t) // (t * {UNIT}) - ({n} * (c - w) * {UNIT} + {offset} * t) // (t * {UNIT}) AS copies FROM {name}_c),
     {name} AS (SELECT * EXCLUDE (w, bucket, c, t, copies), unnest(range(1, copies::BIGINT + 1)) AS draw FROM {name}_k)"""

@@ -71,7 +71,7 @@ def test_background_sample_is_clipped(spark):
 @pytest.mark.parametrize("n", [1, 7, 100, 1000])
 def test_systematic_draw_has_exactly_n_rows(spark, n):
     df = scored(spark, np.linspace(0.01, 1, 57))
-    counts = {r["id"]: r["n"] for r in sampling.systematic_draw(df, n, F.col("score"), "t", buckets=8).groupBy("id").agg(F.count("*").alias("n")).collect()}
+    counts = {r["id"]: r["n"] for r in sampling.systematic_draw(df, n, F.col("score"), "t").groupBy("id").agg(F.count("*").alias("n")).collect()}
     assert sum(counts.values()) == n
     total = sum(np.linspace(0.01, 1, 57))
     for i, w in enumerate(np.linspace(0.01, 1, 57)):
@@ -85,6 +85,22 @@ def test_systematic_draw_ignores_partitioning(spark):
     )
 
 
+def test_running_sums_go_on_over_partitions(spark):
+    values = [(i * 7919) % 1009 for i in range(3000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v int").repartition(7)
+    found = ordering.running_sum(df, F.col("v"), [F.col("id")]).orderBy("id").collect()
+    assert [int(r["_end"]) for r in found] == np.cumsum(values).tolist()
+    assert {int(r["_all"]) for r in found} == {sum(values)}
+
+
+def test_draws_without_rows_weights_or_with_repeats(spark):
+    df = scored(spark, [0.0, 0.0])
+    assert sampling.systematic_draw(df, 5, F.col("score"), "t").count() == 0
+    assert sampling.systematic_draw(df.limit(0), 5, F.col("score"), "t").count() == 0
+    repeated = scored(spark, [0.5] * 3).union(scored(spark, [0.1] * 3))
+    assert sampling.systematic_draw(repeated, 11, F.col("score"), "t").count() == 11
+
+
 def test_ranks_match_a_sort_even_with_one_hot_value(spark):
     df = spark.range(5000).select(
         F.format_string("%05d", (F.col("id") * 37) % 5000).alias("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("v")
