@@ -1,13 +1,16 @@
 """Exact k-nearest-neighbour join.
 
-Two plans with one contract ``(q_id, id, dist, rank)``; ties go to the smaller id.
+Three plans with one contract ``(q_id, id, dist, rank)``; ties go to the smaller id.
 
 * Few queries (measured size under ``broadcast_bytes``): the queries go to every task and the base
   is read once in place. A task keeps k rows per query, so the base is never shuffled.
-* Otherwise the base is cut into cells around pivots. The triangle inequality gives each query an
-  upper bound for its k-th distance, hence the only cells that can hold a neighbour. Queries and base
-  meet by an equi-join on (cell, base chunk, query chunk); chunk counts follow the measured size of a
-  cell, so a cell holding a third of the rows is many small groups.
+* Otherwise, cells around pivots. The triangle inequality gives each query an upper bound for its k-th
+  distance, hence the only cells that can hold a neighbour. Queries and base meet by an equi-join on
+  (cell, base chunk, query chunk); chunk counts follow the measured size of a cell, so a cell holding a
+  third of the rows is many small groups.
+* Where a sample of queries shows that cells rule out too little, as in many dimensions, a grid of large
+  blocks: a task holds one block of queries, as large as ``block_bytes`` allows, and streams its share of
+  the base past it. The base is copied once per query block, a query once per share of the base.
 
 Inside a task a block is one matrix product; only rows within rounding error of the cut are measured
 again by exact differences.
@@ -15,7 +18,8 @@ again by exact differences.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,16 @@ BROADCAST_BYTES = 128 << 20
 BLOCK_BYTES = 32 << 20
 MAX_PIVOTS = 1024
 MIN_CHUNK_ROWS = 256
+# Queries that one task of the grid holds, and the share of the base that a sampled query may visit for cells to pay.
+RESIDENT_BYTES = 256 << 20
+CELLS_BELOW = 0.5
+SAMPLE_ROWS = 512
 
 _EPS = np.finfo(np.float64).eps
+_LOG = logging.getLogger(__name__)
 _RESULT = "q_id string, id string, dist double"
+_ARROW_RESULT = pa.schema([("q_id", pa.string()), ("id", pa.string()), ("dist", pa.float64())])
+_ID_BYTES = 64  # of an id held in memory; longer ones only make the blocks larger than asked
 
 
 def knn_join(
@@ -41,8 +52,14 @@ def knn_join(
     metric: str = "euclidean",
     exclude_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = RESIDENT_BYTES,
+    cells_below: float = CELLS_BELOW,
 ) -> DataFrame:
-    """``queries`` and ``base`` hold ``id`` and ``vector`` (float or double arrays) without nulls or NaN."""
+    """``queries`` and ``base`` hold ``id`` and ``vector`` (float or double arrays) without nulls or NaN.
+
+    ``cells_below`` is the share of the base that sampled queries may visit for cells to be used: 0 never uses
+    them, more than 1 always. Copies of a query are logged.
+    """
     n_queries, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).head()
     if n_queries == 0 or k <= 0:
         return _empty(queries)
@@ -50,7 +67,11 @@ def knn_join(
     if query_bytes <= broadcast_bytes:
         found = _scan_base(queries, base, k, metric, exclude_self)
     else:
-        found = _join_cells(queries, base, k, metric, exclude_self, dim)
+        cells = _Cells(base, k + 1 if exclude_self else k, metric, dim) if cells_below > 0 else None
+        if cells and len(cells.rows) and (cells_below > 1 or cells.visited(queries) < cells_below):
+            found = _join_cells(queries, cells, k, metric, exclude_self, dim)
+        else:
+            found = _join_blocks(queries, base, n_queries, k, metric, exclude_self, dim, block_bytes)
     return top_per_key(found, k, ["q_id"], [F.col("dist"), F.col("id")])
 
 
@@ -96,9 +117,9 @@ class _Nearest:
         self.search = _unit(matrix) if metric == "cosine" else matrix
         self.norms = np.einsum("ij,ij->i", self.search, self.search)
         self.cut = np.full(len(ids), np.inf)  # squared search distance of the k-th row
-        self.query = np.empty(0, dtype=np.int64)
-        self.found = np.empty(0, dtype=str)
-        self.dist = np.empty(0)
+        self.held = np.zeros(len(ids), dtype=np.int64)  # rows seen, up to k
+        self.found = np.empty((len(ids), k), dtype="<U1")
+        self.dist = np.empty((len(ids), k))
 
     def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
         if not len(ids) or not len(self.ids):
@@ -134,29 +155,40 @@ class _Nearest:
         self._merge(query, ids[other], dist)
 
     def _merge(self, query: np.ndarray, found: np.ndarray, dist: np.ndarray) -> None:
-        query = np.concatenate([self.query, query])
-        found = np.concatenate([self.found, found])
-        dist = np.concatenate([self.dist, dist])
+        """Take rows into the lists of their queries, which ``query`` names in rising order; the others stay as they are."""
+        if found.dtype.itemsize > self.found.dtype.itemsize:
+            self.found = self.found.astype(found.dtype)
+        touched = np.unique(query)
+        old, place = np.nonzero(np.arange(self.k) < self.held[touched, None])
+        old = touched[old]
+        query = np.concatenate([old, query])
+        found = np.concatenate([self.found[old, place], found])
+        dist = np.concatenate([self.dist[old, place], dist])
         order = np.lexsort((found, dist, query))
         query, found, dist = query[order], found[order], dist[order]
-        starts = np.searchsorted(query, np.arange(len(self.ids)))
-        keep = np.arange(len(query)) - starts[query] < self.k
-        self.query, self.found, self.dist = query[keep], found[keep], dist[keep]
-        counts = np.bincount(self.query, minlength=len(self.ids))
-        full = counts == self.k
-        last = np.cumsum(counts) - 1
-        worst = self.dist[last[full]]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = place < self.k
+        query, place = query[keep], place[keep]
+        self.found[query, place], self.dist[query, place] = found[keep], dist[keep]
+        self.held[touched] = np.bincount(np.searchsorted(touched, query), minlength=len(touched))
+        full = touched[self.held[touched] == self.k]
+        worst = self.dist[full, self.k - 1]
         self.cut[full] = 2.0 * np.maximum(worst, 0.0) if self.metric == "cosine" else worst**2
 
-    def batch(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(self.ids[self.query].tolist(), pa.string()),
-                pa.array(self.found.tolist(), pa.string()),
-                pa.array(self.dist, pa.float64()),
-            ],
-            names=["q_id", "id", "dist"],
-        )
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The rows held, in batches of bounded size."""
+        step = max(1, BLOCK_BYTES // (64 * self.k))
+        for start in range(0, len(self.ids), step):
+            query, place = np.nonzero(np.arange(self.k) < self.held[start : start + step, None])
+            query += start
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(self.ids[query].tolist(), pa.string()),
+                    pa.array(self.found[query, place].tolist(), pa.string()),
+                    pa.array(self.dist[query, place], pa.float64()),
+                ],
+                names=["q_id", "id", "dist"],
+            )
 
 
 # --- few queries: one pass over the base ------------------------------------------------------
@@ -170,7 +202,7 @@ def _scan_base(queries: DataFrame, base: DataFrame, k: int, metric: str, exclude
         nearest = _Nearest(ids, matrix, k, metric, exclude_self)
         for batch in batches:
             nearest.add(*_unpack(batch))
-        yield nearest.batch()
+        yield from nearest.batches()
 
     return base.select("id", "vector").mapInArrow(scan, _RESULT)
 
@@ -178,18 +210,50 @@ def _scan_base(queries: DataFrame, base: DataFrame, k: int, metric: str, exclude
 # --- many queries: cells around pivots --------------------------------------------------------
 
 
-def _join_cells(queries: DataFrame, base: DataFrame, k: int, metric: str, exclude_self: bool, dim: int) -> DataFrame:
-    spark = base.sparkSession
-    chunk_rows = max(MIN_CHUNK_ROWS, BLOCK_BYTES // (8 * dim))
-    n_pivots = max(1, min(MAX_PIVOTS, BLOCK_BYTES // (8 * dim)))
-    wanted = k + 1 if exclude_self else k
-
-    pivot_rows = smallest(base.select("id", "vector"), n_pivots, [uniform("pivot", "id"), F.col("id")])
-    _, pivots = _unpack(pivot_rows.toArrow())
-    pivots = _unit(pivots) if metric == "cosine" else pivots
-    shared_pivots = spark.sparkContext.broadcast(pivots)
-
-    def pivot_distances(matrix: np.ndarray) -> np.ndarray:
+class _Cells:
+    """The base dealt to its nearest pivots, and for each cell its size, radius and smallest distances to the pivot."""
+
+    def __init__(self, base: DataFrame, wanted: int, metric: str, dim: int):
+        context = base.sparkSession.sparkContext
+        n_pivots = max(1, min(MAX_PIVOTS, BLOCK_BYTES // (8 * dim)))
+        pivot_rows = smallest(base.select("id", "vector"), n_pivots, [uniform("pivot", "id"), F.col("id")])
+        _, pivots = _unpack(pivot_rows.toArrow())
+        pivots = _unit(pivots) if metric == "cosine" else pivots
+        self.far = _distances_to(context.broadcast(pivots), metric)
+        self.placed = materialise(
+            base.select("id", "vector").mapInArrow(
+                _place(self.far), f"id string, vector {_vector_type(base)}, cell int, reach double"
+            ),
+            "cells",
+        )
+        self.sizes = self.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius"))
+        # At most n_pivots * wanted numbers come to the driver.
+        closest = (
+            top_per_key(self.placed.select("cell", "reach", "id"), wanted, ["cell"], [F.col("reach"), F.col("id")])
+            .groupBy("cell")
+            .agg(F.collect_list("reach").alias("reaches"))
+        )
+        cells = self.sizes.join(closest, "cell").collect()
+        self.rows = np.array([c["rows"] for c in cells])
+        number = np.array([c["cell"] for c in cells], dtype=np.int64)
+        radius = np.array([c["radius"] for c in cells])
+        reaches = np.full((len(cells), wanted), np.inf)
+        for i, c in enumerate(cells):
+            reaches[i, : len(c["reaches"])] = sorted(c["reaches"])
+        self.hits = _hits(context.broadcast((number, radius, reaches)), self.far, wanted)
+
+    def visited(self, queries: DataFrame) -> float:
+        """Share of the base that a query of a bounded sample has to be compared with, on average."""
+        sample = smallest(queries.select("id", "vector"), SAMPLE_ROWS, [uniform("visits", "id"), F.col("id")])
+        matrix = _unpack(sample.toArrow())[1]
+        visits = sum(self.rows[cell].sum() for _, cell, _ in self.hits(matrix))
+        share = float(visits / (len(matrix) * self.rows.sum()))
+        _LOG.info("a sampled query visits %.3f of the base", share)
+        return share
+
+
+def _distances_to(shared_pivots, metric: str) -> Callable[[np.ndarray], np.ndarray]:
+    def far(matrix: np.ndarray) -> np.ndarray:
         points = _unit(matrix) if metric == "cosine" else matrix
         centres = shared_pivots.value
         square = (
@@ -199,11 +263,15 @@ def _join_cells(queries: DataFrame, base: DataFrame, k: int, metric: str, exclud
         )
         return np.sqrt(np.maximum(square, 0.0))
 
+    return far
+
+
+def _place(far_from: Callable[[np.ndarray], np.ndarray]):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            far = pivot_distances(_unpack(batch)[1])
+            far = far_from(_unpack(batch)[1])
             cell = far.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -215,49 +283,40 @@ def _join_cells(queries: DataFrame, base: DataFrame, k: int, metric: str, exclud
                 names=["id", "vector", "cell", "reach"],
             )
 
-    placed = materialise(
-        base.select("id", "vector").mapInArrow(place, f"id string, vector {_vector_type(base)}, cell int, reach double"),
-        "cells",
-    )
+    return place
 
-    # At most n_pivots * wanted numbers: per cell its size, radius and smallest distances to the pivot.
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius"))
-    closest = (
-        top_per_key(placed.select("cell", "reach", "id"), wanted, ["cell"], [F.col("reach"), F.col("id")])
-        .groupBy("cell")
-        .agg(F.collect_list("reach").alias("reaches"))
-    )
-    cells = sizes.join(closest, "cell").collect()
-    number = np.array([c["cell"] for c in cells])
-    radius = np.array([c["radius"] for c in cells])
-    reaches = np.full((len(cells), wanted), np.inf)
-    for i, c in enumerate(cells):
-        reaches[i, : len(c["reaches"])] = sorted(c["reaches"])
-    shared_cells = spark.sparkContext.broadcast((number, radius, reaches))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hits(shared_cells, far_from: Callable[[np.ndarray], np.ndarray], wanted: int):
+    """A function from vectors to arrays (row, index of a cell, its number) of the cells that may hold a neighbour."""
+
+    def hits(matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         number, radius, reaches = shared_cells.value
+        step = max(1, BLOCK_BYTES // (8 * max(1, reaches.size)))
+        for start in range(0, len(matrix), step):
+            far = far_from(matrix[start : start + step])[:, number]
+            bound = np.full(len(far), np.inf)
+            if wanted <= reaches.size:
+                bounds = (far[:, :, None] + reaches).reshape(len(far), -1)
+                bound = np.partition(bounds, wanted - 1, axis=1)[:, wanted - 1]
+            # Pivot distances carry a rounding error of about sqrt(eps); widen the bound by it.
+            row, cell = np.nonzero(far - radius <= bound[:, None] + 1e-6 * (1.0 + far))
+            yield row + start, cell, number[cell]
+
+    return hits
+
+
+def _join_cells(queries: DataFrame, cells: _Cells, k: int, metric: str, exclude_self: bool, dim: int) -> DataFrame:
+    chunk_rows = max(MIN_CHUNK_ROWS, BLOCK_BYTES // (8 * dim))
+    hits = cells.hits
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            far = pivot_distances(_unpack(batch)[1])[:, number]
-            visits_query, visits_cell = [], []
-            for i, row in enumerate(far):
-                bounds = (row[:, None] + reaches).ravel()
-                bound = np.partition(bounds, wanted - 1)[wanted - 1] if wanted <= bounds.size else np.inf
-                # Pivot distances carry a rounding error of about sqrt(eps); widen the bound by it.
-                hit = np.nonzero(row - radius <= bound + 1e-6 * (1.0 + row))[0]
-                visits_query.append(np.full(len(hit), i))
-                visits_cell.append(number[hit])
-            taken = pa.array(np.concatenate(visits_query), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(taken),
-                    batch.column("vector").take(taken),
-                    pa.array(np.concatenate(visits_cell), pa.int32()),
-                ],
-                names=["id", "vector", "cell"],
-            )
+            for row, _, number in hits(_unpack(batch)[1]):
+                taken = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(taken), batch.column("vector").take(taken), pa.array(number, pa.int32())],
+                    names=["id", "vector", "cell"],
+                )
 
     routed = materialise(
         queries.select("id", "vector").mapInArrow(route, f"id string, vector {_vector_type(queries)}, cell int"), "visits"
@@ -265,7 +324,7 @@ def _join_cells(queries: DataFrame, base: DataFrame, k: int, metric: str, exclud
     chunks = (
         routed.groupBy("cell")
         .agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows)).cast("int").alias("q_chunks"))
-        .join(sizes.select("cell", F.ceil(F.col("rows") / F.lit(chunk_rows)).cast("int").alias("b_chunks")), "cell")
+        .join(cells.sizes.select("cell", F.ceil(F.col("rows") / F.lit(chunk_rows)).cast("int").alias("b_chunks")), "cell")
     )
     chunks = F.broadcast(chunks)  # one row per pivot at most
 
@@ -282,14 +341,63 @@ def _join_cells(queries: DataFrame, base: DataFrame, k: int, metric: str, exclud
         b_ids, b_matrix = _unpack(right)
         nearest = _Nearest(q_ids, q_matrix, k, metric, exclude_self)
         nearest.add(b_ids, b_matrix)
-        return pa.Table.from_batches([nearest.batch()])
+        return pa.Table.from_batches(nearest.batches(), _ARROW_RESULT)
 
     key = ["cell", "b_chunk", "q_chunk"]
     left = spread(routed, "q_chunk", "b_chunk").groupBy(*key)
-    right = spread(placed.drop("reach"), "b_chunk", "q_chunk").groupBy(*key)
+    right = spread(cells.placed.drop("reach"), "b_chunk", "q_chunk").groupBy(*key)
     return left.cogroup(right).applyInArrow(meet, _RESULT)
 
 
+# --- many queries: a grid of large blocks -----------------------------------------------------
+
+
+def _join_blocks(
+    queries: DataFrame, base: DataFrame, n_queries: int, k: int, metric: str, exclude_self: bool, dim: int, block_bytes: int
+) -> DataFrame:
+    """Task (q, b) of the grid holds block q of the queries and streams share b of the base.
+
+    Rows are dealt round robin by a stored number, so ids and vectors that repeat spread like any others.
+    """
+    spark = base.sparkSession
+    row_bytes = 16 * dim + 8 + k * (8 + _ID_BYTES)  # vector, its unit form, and the rows held
+    q_blocks = max(1, -(-n_queries * row_bytes // block_bytes))
+    b_shares = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // q_blocks))
+    _LOG.info("%s blocks of queries, each met by %s shares of the base", q_blocks, b_shares)
+
+    def dealt(side: DataFrame, is_base: bool, own: int, label: str) -> DataFrame:
+        number = F.pmod(F.monotonically_increasing_id(), F.lit(own)).cast("int")
+        vector = F.col("vector").cast("array<double>")
+        return materialise(side.select("id", vector.alias("vector"), number.alias("deal"), F.lit(is_base).alias("is_base")), label)
+
+    def over(last: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(last - 1)))
+
+    asked = dealt(queries, False, q_blocks, "query-blocks").withColumn("other", over(b_shares))
+    asked = asked.withColumn("task", F.col("deal") * b_shares + F.col("other"))
+    met = dealt(base, True, b_shares, "base-shares").withColumn("other", over(q_blocks))
+    met = met.withColumn("task", F.col("other") * b_shares + F.col("deal"))
+    both = asked.unionByName(met).select("task", "is_base", "id", "vector")
+    both = both.repartitionById(q_blocks * b_shares, F.col("task")).sortWithinPartitions("is_base")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, nearest = [], None
+        for batch in batches:
+            first = batch.column("is_base").true_count  # queries come before the base
+            asked, met = batch.slice(0, batch.num_rows - first), batch.slice(batch.num_rows - first)
+            if asked.num_rows:
+                block.append(_unpack(asked))
+            if met.num_rows and block:
+                if nearest is None:
+                    ids, vectors = zip(*block, strict=True)
+                    nearest = _Nearest(np.concatenate(ids), np.concatenate(vectors), k, metric, exclude_self)
+                nearest.add(*_unpack(met))
+        if nearest is not None:
+            yield from nearest.batches()
+
+    return both.mapInArrow(stream, _RESULT)
+
+
 def cosine_topn(queries: DataFrame, base: DataFrame, n: int = 20, **options) -> DataFrame:
     """The ``n`` nearest by cosine distance, the item itself left out."""
     return knn_join(queries, base, n, metric="cosine", exclude_self=True, **options)

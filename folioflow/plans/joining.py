@@ -248,8 +248,15 @@ KNN_CELLS_SQL = (
 
 @query("knn_join_cells", KNN_CELLS_SQL)
 def knn_join_cells(b: Bound) -> DataFrame:
-    """The plan for query sets too large to send to every task."""
-    near = knn.knn_join(b.background, b.positives, SETTINGS.difficulty_neighbors, broadcast_bytes=0)
+    """The plan for query sets too large to send to every task, where cells rule out much of the base."""
+    near = knn.knn_join(b.background, b.positives, SETTINGS.difficulty_neighbors, broadcast_bytes=0, cells_below=2)
+    return near.withColumn("dist", F.round("dist", 6))
+
+
+@query("knn_join_blocks", KNN_CELLS_SQL)
+def knn_join_blocks(b: Bound) -> DataFrame:
+    """The plan for query sets too large to send to every task, where cells do not help."""
+    near = knn.knn_join(b.background, b.positives, SETTINGS.difficulty_neighbors, broadcast_bytes=0, cells_below=0)
     return near.withColumn("dist", F.round("dist", 6))
 
 

@@ -44,19 +44,27 @@ def clouds():
     return queries, base
 
 
+PLANS = {
+    "scan": {},
+    "cells": {"broadcast_bytes": 0, "cells_below": 2},
+    "blocks": {"broadcast_bytes": 0, "cells_below": 0, "block_bytes": 12_000},
+    "sampled": {"broadcast_bytes": 0},
+}
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "cosine"])
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_knn_equals_brute_force(spark, clouds, metric, limit):
+@pytest.mark.parametrize("plan", PLANS)
+def test_knn_equals_brute_force(spark, clouds, metric, plan):
     queries, base = clouds
-    near = knn.knn_join(frame(spark, queries, "q"), frame(spark, base, "b"), 7, metric, broadcast_bytes=limit)
+    near = knn.knn_join(frame(spark, queries, "q"), frame(spark, base, "b"), 7, metric, **PLANS[plan])
     assert answer(near) == brute(queries, base, 7, "q", "b", metric)
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_knn_leaves_out_the_row_itself(spark, clouds, limit):
+@pytest.mark.parametrize("plan", PLANS)
+def test_knn_leaves_out_the_row_itself(spark, clouds, plan):
     _, base = clouds
     points = frame(spark, base)
-    near = knn.knn_join(points, points, 3, exclude_self=True, broadcast_bytes=limit)
+    near = knn.knn_join(points, points, 3, exclude_self=True, **PLANS[plan])
     assert answer(near) == brute(base, base, 3, "p", "p", exclude_self=True)
 
 
@@ -65,14 +73,22 @@ def test_cells_with_many_chunks(spark, clouds, monkeypatch):
     queries, base = clouds
     monkeypatch.setattr(knn, "BLOCK_BYTES", 6 * 8 * 12)
     monkeypatch.setattr(knn, "MIN_CHUNK_ROWS", 16)
-    near = knn.knn_join(frame(spark, queries, "q"), frame(spark, base, "b"), 5, broadcast_bytes=0)
+    near = knn.knn_join(frame(spark, queries, "q"), frame(spark, base, "b"), 5, broadcast_bytes=0, cells_below=2)
     assert answer(near) == brute(queries, base, 5, "q", "b")
 
 
+def test_a_sample_tells_whether_cells_rule_anything_out(spark):
+    rng = np.random.default_rng(5)
+    flat, deep = rng.uniform(size=(3000, 2)), rng.normal(size=(3000, 64))
+    assert knn._Cells(frame(spark, flat), 5, "euclidean", 2).visited(frame(spark, flat[:50])) < 0.2
+    assert knn._Cells(frame(spark, deep), 5, "euclidean", 64).visited(frame(spark, deep[:50])) > 0.8
+
+
 def test_k_is_clipped_and_nothing_asked_gives_nothing(spark):
     base = frame(spark, np.eye(3))
     assert knn.knn_join(base, base, 10).count() == 9
-    assert knn.knn_join(base, base, 10, broadcast_bytes=0).count() == 9
+    assert [knn.knn_join(base, base, 10, **plan).count() for plan in PLANS.values()] == [9] * len(PLANS)
+    assert [knn.knn_join(base, base.limit(0), 10, **plan).count() for plan in PLANS.values()] == [0] * len(PLANS)
     assert knn.knn_join(base.limit(0), base, 10).count() == 0
 
 
