@@ -144,12 +144,13 @@ def write_files(tokens: DataFrame, order: np.ndarray, path: str) -> None:
 
     coded = tokens.agg(F.sum(F.length("ids"))).first()[0] or 0
     parts = max(tokens.sparkSession.sparkContext.defaultParallelism, -(-coded // FILE_BYTES))
-    tie = F.xxhash64("ids")
+    # Rows of one id go by their ids, equal rows by their place in the stored table, so that repeats fill many parts.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie"), F.col("_row")]
     ordered = (
-        tokens.withColumn("_tie", tie)
-        .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("_tie"))
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("_tie"))
-        .drop("_tie")
+        tokens.withColumns({"_tie": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()})
+        .repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
+        .drop("_tie", "_row")
     )
     ordered.mapInArrow(run, BLOCKS).write.parquet(path)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.functions.hashing import open_uniform
-from folioflow.operators.ordering import with_rank
+from folioflow.operators.ordering import running_sum, with_rank
 from folioflow.session import materialise
 
 WEIGHTS = (3, 1, 2)
@@ -56,17 +56,27 @@ def mix_sources(
     A source's ratio of target to size gives every document its certain whole copies; what is left is a
     Pareto sample: documents are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)),
     and taken in that order until the words reach the rest of the target, to half a document. ``u`` is an
-    md5 uniform of the id, so runs agree; equal ids go by size.
+    md5 uniform of the id, so runs agree; equal ids go by size, then by text, equal rows by a stored number.
 
     No task sees a whole source: documents lie in about the square root of the source's number of buckets
     by ``u`` (which has the order of the rank, since p is the same in a source), running sums over bucket
-    totals find the one bucket that the cut falls into, and only its documents are ordered.
+    totals find the one bucket that the cut falls into, and only its documents are ordered, by range
+    partitions, which split a bucket that an often repeated id or rows without one have filled.
 
     Null texts have size 0, null sources are a source, a source without words has target 0 and each of its
     documents no copy. A null id is drawn as the empty id. Columns other than those named are not read.
     """
     sized = materialise(
-        docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), open_uniform(TAG, "doc_id").alias("_u")), "mix-sizes"
+        docs.select(
+            "doc_id",
+            "source",
+            *keep,
+            word_count(F.col("text")).alias("size"),
+            open_uniform(TAG, "doc_id").alias("_u"),
+            F.xxhash64("text").alias("_hash"),
+            F.monotonically_increasing_id().alias("_row"),
+        ),
+        "mix-sizes",
     )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_documents"))
     targets = source_targets(sources, weights, share, ceiling)
@@ -97,10 +107,13 @@ def mix_sources(
     placed = placed.join(materialise(cuts, "mix-cuts"), "_source", "left")
 
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_chance") / (1 - F.col("_chance")))
-    order = Window.partitionBy("_source").orderBy(odds, "_u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = placed.where(F.col("_bucket") == F.col("_cut"))
-    running = F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    order = [F.col("_source"), odds, *[F.col(c) for c in ("_u", "doc_id", "size", "_hash", "_row")]]
+    at_cut = running_sum(placed.where(F.col("_bucket") == F.col("_cut")), F.col("size"), order, "_end", "_sum")
+    first = at_cut.groupBy("_source").agg(F.min(F.col("_end") - F.col("size")).alias("_first"))
+    at_cut = at_cut.join(first, "_source")
+    running = F.col("_before") + (F.col("_end") - F.col("_first")).cast("bigint") - F.col("size")
     at_cut = at_cut.withColumn("_in", (running + F.col("size") / 2 <= F.col("_rest")).cast("int"))
+    at_cut = at_cut.drop("_end", "_sum", "_first")
     others = placed.where(F.col("_cut").isNull() | (F.col("_bucket") != F.col("_cut")))
     drawn = (F.col("_chance") > 0) & (F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")))
     others = others.withColumn("_in", drawn.cast("int"))

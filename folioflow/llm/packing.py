@@ -100,18 +100,19 @@ class BestFit:
         return number
 
 
-def pack(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS, number: str | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces of 1 to ``size`` tokens.
 
     Pieces are dealt by a hash of their whole key to tasks of about ``TASK_TOKENS`` tokens, so a hot
     document or id splits as any other rows do, and each task packs its share in the order of that
-    hash with at most ``open_bins`` open bins. Sequence numbers hold the task's number in their upper
-    bits. Rows and partitions are functions of the data alone: a task that runs again gives the same.
-    No rows give no rows.
+    hash with at most ``open_bins`` open bins. ``number``, a column that is stored with the pieces and goes,
+    tells equal rows apart, so that repeats spread too. Sequence numbers hold the task's number in their
+    upper bits. Rows and partitions are functions of the stored pieces alone: a task that runs again gives
+    the same. No rows give no rows.
     """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // TASK_TOKENS))
-    key = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    key = F.xxhash64("doc_id", "piece", "length", "ids_crc32", *([number] if number else []))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(size, open_bins)
@@ -127,13 +128,14 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS) ->
                 names=[*batch.schema.names[:-1], "sequence_id", "offset"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = pieces.withColumn("_key", key).repartition(tasks, "_key").sortWithinPartitions("_key", "start", "doc_id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != number)
+    dealt = pieces.withColumn("_key", key).drop(*([number] if number else [])).repartition(tasks, "_key").sortWithinPartitions("_key", "start", "doc_id")
     return dealt.mapInArrow(fit, schema + ", sequence_id bigint, offset bigint")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 1, size: int = SEQUENCE) -> DataFrame:
     """Pieces of all documents with their places. The narrow pieces are stored once between both steps."""
     with small_batches(docs.sparkSession):
-        pieces = materialise(cut_pieces(docs, tokenizer, end_id, size), "pieces")
-    return pack(pieces, size)
+        numbered = cut_pieces(docs, tokenizer, end_id, size).withColumn("_number", F.monotonically_increasing_id())
+        pieces = materialise(numbered, "pieces")
+    return pack(pieces, size, number="_number")

@@ -264,6 +264,18 @@ def test_mix_reaches_targets(spark, odd, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mix_of_repeated_rows_and_rows_without_an_id(spark):
+    rows = [(None, "w " * (i % 5), "a") for i in range(700)] + [(7, "x y z", "a")] * 700 + [(i, "u v", "b") for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6)
+    got = mixing.mix_sources(table).collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5
+    again = mixing.mix_sources(table.repartition(3)).collect()
+    assert sorted(map(repr, map(tuple, again))) == sorted(map(repr, map(tuple, got)))
+
+
 def test_licences_inherit_from_the_nearest_directory(spark):
     files = [
         ("a/LICENSE", "Some words\nLicensed under the Apache License, Version 2.0.\nmore", 1),

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,14 @@ def test_packing_places_every_piece_once(odd, none, tokenizer):
     assert packing.best_fit_packing(none).count() == 0
 
 
+def test_packing_deals_repeated_rows_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_TOKENS", 1 << 11)
+    rows = [(None, "the same few words again")] * 2000 + [(i, "other words") for i in range(500)]
+    got = packing.best_fit_packing(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    tasks = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 2500 and len(tasks) > 3 and max(tasks.values()) < 2 * 2500 / len(tasks)
+
+
 def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
