@@ -2,15 +2,14 @@
 
 Three plans with one contract ``(q_id, id, dist, rank)``; ties go to the smaller id.
 
-* Few queries (measured size under ``broadcast_bytes``): the queries go to every task and the base
-  is read once in place. A task keeps k rows per query, so the base is never shuffled.
-* Otherwise, cells around pivots. The triangle inequality gives each query an upper bound for its k-th
-  distance, hence the only cells that can hold a neighbour. Queries and base meet by an equi-join on
-  (cell, base chunk, query chunk); chunk counts follow the measured size of a cell, so a cell holding a
-  third of the rows is many small groups.
-* Where a sample of queries shows that cells rule out too little, as in many dimensions, a grid of large
-  blocks: a task holds one block of queries, as large as ``block_bytes`` allows, and streams its share of
-  the base past it. The base is copied once per query block, a query once per share of the base.
+* Few queries (what a task holds of them under ``broadcast_bytes``): the queries go to every task and the
+  base is read once in place. A task keeps k rows per query, so the base is never shuffled.
+* Otherwise a grid: a task holds one block of queries, as large as ``block_bytes`` allows, and streams its
+  share of the base past it. The base is copied once per query block, a query once per share of the base.
+* Cells around pivots, where a sample of queries shows that they rule out enough. The triangle inequality
+  gives each query an upper bound for its k-th distance, hence the only cells that can hold a neighbour.
+  Blocks hold queries of cells that lie side by side, only cells that a query of the block may need are
+  sent to it, and a run of cells meets only the queries that need one of them.
 
 Inside a task a block is one matrix product; only rows within rounding error of the cut are measured
 again by exact differences.
@@ -30,18 +29,21 @@ from folioflow.operators.ordering import smallest, top_per_key
 from folioflow.session import materialise
 
 BROADCAST_BYTES = 128 << 20
-BLOCK_BYTES = 32 << 20
+# Tile of a matrix product.
+BLOCK_BYTES = 8 << 20
 MAX_PIVOTS = 1024
+# Base rows of neighbouring cells that meet the queries together, at least.
 MIN_CHUNK_ROWS = 256
-# Queries that one task of the grid holds, and the share of the base that a sampled query may visit for cells to pay.
-RESIDENT_BYTES = 256 << 20
+# What a task of the grid holds for its queries, and the share of the base that a sampled query may visit for cells to pay.
+RESIDENT_BYTES = 128 << 20
 CELLS_BELOW = 0.5
 SAMPLE_ROWS = 512
 
 _EPS = np.finfo(np.float64).eps
 _LOG = logging.getLogger(__name__)
 _RESULT = "q_id string, id string, dist double"
-_ARROW_RESULT = pa.schema([("q_id", pa.string()), ("id", pa.string()), ("dist", pa.float64())])
+# Rows of a tile that may pass the cut, per query and wanted neighbour, before the cut is made sharper first.
+_LOOSE = 4
 _ID_BYTES = 64  # of an id held in memory; longer ones only make the blocks larger than asked
 
 
@@ -63,18 +65,22 @@ def knn_join(
     n_queries, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).head()
     if n_queries == 0 or k <= 0:
         return _empty(queries)
-    query_bytes = n_queries * dim * 8
-    if query_bytes <= broadcast_bytes:
+    if n_queries * _held_bytes(dim, k) <= broadcast_bytes:
         found = _scan_base(queries, base, k, metric, exclude_self)
     else:
         cells = _Cells(base, k + 1 if exclude_self else k, metric, dim) if cells_below > 0 else None
         if cells and len(cells.rows) and (cells_below > 1 or cells.visited(queries) < cells_below):
-            found = _join_cells(queries, cells, k, metric, exclude_self, dim)
+            found = _join_cells(queries, cells, n_queries, k, metric, exclude_self, dim, block_bytes)
         else:
             found = _join_blocks(queries, base, n_queries, k, metric, exclude_self, dim, block_bytes)
     return top_per_key(found, k, ["q_id"], [F.col("dist"), F.col("id")])
 
 
+def _held_bytes(dim: int, k: int) -> int:
+    """What a task holds for a query: its id, its vector and unit form, a norm and a cut, and k rows."""
+    return 16 * dim + 24 + _ID_BYTES + k * (8 + _ID_BYTES)
+
+
 def _vector_type(rows: DataFrame) -> str:
     return rows.schema["vector"].dataType.simpleString()
 
@@ -121,30 +127,46 @@ class _Nearest:
         self.found = np.empty((len(ids), k), dtype="<U1")
         self.dist = np.empty((len(ids), k))
 
-    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
-        if not len(ids) or not len(self.ids):
+    def add(self, ids: np.ndarray, matrix: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Take base rows in; ``asked`` numbers the queries, in rising order, that they may concern, if not all."""
+        n_asked = len(self.ids) if asked is None else len(asked)
+        if not len(ids) or not n_asked:
             return
         search = _unit(matrix) if self.metric == "cosine" else matrix
         norms = np.einsum("ij,ij->i", search, search)
+        order, low, high = self._own(ids) if self.exclude_self else (None, None, None)
         step = max(1, BLOCK_BYTES // (8 * len(ids)))
-        for start in range(0, len(self.ids), step):
-            rows = slice(start, min(start + step, len(self.ids)))
-            self._add_rows(rows, ids, matrix, search, norms)
-
-    def _add_rows(self, rows: slice, ids: np.ndarray, matrix: np.ndarray, search: np.ndarray, norms: np.ndarray) -> None:
-        square = self.norms[rows, None] + norms[None, :] - 2.0 * (self.search[rows] @ search.T)
-        if self.exclude_self:
-            _, own, other = np.intersect1d(self.ids[rows], ids, return_indices=True)
-            square[own, other] = np.inf
-        slack = 16 * matrix.shape[1] * _EPS * (self.norms[rows] + norms.max())
+        for start in range(0, n_asked, step):
+            end = min(start + step, n_asked)
+            rows = slice(start, end) if asked is None else asked[start:end]
+            square = self.search[rows] @ search.T
+            square *= -2.0
+            square += self.norms[rows, None]
+            square += norms
+            if order is not None:
+                times = high[rows] - low[rows]
+                own = np.repeat(np.arange(end - start), times)
+                place = np.repeat(low[rows], times) + np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
+                square[own, order[place]] = np.inf
+            self._add_tile(np.arange(start, end) if asked is None else rows, square, ids, matrix, norms.max())
+
+    def _own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of ``ids``, and from where to where each query's own id stands in it."""
+        order = np.argsort(ids, kind="stable")
+        ordered = ids[order]
+        return order, np.searchsorted(ordered, self.ids, "left"), np.searchsorted(ordered, self.ids, "right")
+
+    def _add_tile(self, rows: np.ndarray, square: np.ndarray, ids: np.ndarray, matrix: np.ndarray, most: float) -> None:
+        slack = 16 * matrix.shape[1] * _EPS * (self.norms[rows] + most)
         cut = self.cut[rows]
-        if self.k < len(ids):
+        near = np.flatnonzero(square <= (cut + slack)[:, None])  # far faster than nonzero of two dimensions
+        if self.k < len(ids) and len(near) > _LOOSE * self.k * len(rows):
             cut = np.minimum(cut, np.partition(square, self.k - 1, axis=1)[:, self.k - 1])
-        near = (square <= (cut + slack)[:, None]) & np.isfinite(square)
-        query, other = np.nonzero(near)
+            near = np.flatnonzero(square <= (cut + slack)[:, None])
+        near = near[np.isfinite(square.ravel()[near])]
+        query, other = rows[near // len(ids)], near % len(ids)
         if not len(query):
             return
-        query = query + rows.start
         pairs = max(1, BLOCK_BYTES // (8 * matrix.shape[1]))
         dist = np.concatenate(
             [
@@ -219,13 +241,12 @@ class _Cells:
         pivot_rows = smallest(base.select("id", "vector"), n_pivots, [uniform("pivot", "id"), F.col("id")])
         _, pivots = _unpack(pivot_rows.toArrow())
         pivots = _unit(pivots) if metric == "cosine" else pivots
+        self.tour = _tour(pivots)
         self.far = _distances_to(context.broadcast(pivots), metric)
-        self.placed = materialise(
-            base.select("id", "vector").mapInArrow(
-                _place(self.far), f"id string, vector {_vector_type(base)}, cell int, reach double"
-            ),
-            "cells",
+        placed = base.select("id", "vector").mapInArrow(
+            _place(self.far), f"id string, vector {_vector_type(base)}, cell int, reach double"
         )
+        self.placed = materialise(placed.withColumn("row", F.monotonically_increasing_id()), "cells")
         self.sizes = self.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius"))
         # At most n_pivots * wanted numbers come to the driver.
         closest = (
@@ -233,25 +254,36 @@ class _Cells:
             .groupBy("cell")
             .agg(F.collect_list("reach").alias("reaches"))
         )
-        cells = self.sizes.join(closest, "cell").collect()
+        cells = self.sizes.join(closest, "cell").orderBy("cell").collect()
         self.rows = np.array([c["rows"] for c in cells])
         number = np.array([c["cell"] for c in cells], dtype=np.int64)
         radius = np.array([c["radius"] for c in cells])
         reaches = np.full((len(cells), wanted), np.inf)
         for i, c in enumerate(cells):
             reaches[i, : len(c["reaches"])] = sorted(c["reaches"])
+        self.number = number
         self.hits = _hits(context.broadcast((number, radius, reaches)), self.far, wanted)
 
     def visited(self, queries: DataFrame) -> float:
         """Share of the base that a query of a bounded sample has to be compared with, on average."""
         sample = smallest(queries.select("id", "vector"), SAMPLE_ROWS, [uniform("visits", "id"), F.col("id")])
         matrix = _unpack(sample.toArrow())[1]
-        visits = sum(self.rows[cell].sum() for _, cell, _ in self.hits(matrix))
+        visits = sum(self.rows[cell].sum() for _, cell in self.hits(matrix))
         share = float(visits / (len(matrix) * self.rows.sum()))
         _LOG.info("a sampled query visits %.3f of the base", share)
         return share
 
 
+def _tour(pivots: np.ndarray) -> np.ndarray:
+    """Place of each pivot on a way that goes on to the nearest one not yet seen."""
+    place, at = np.full(len(pivots), -1), 0
+    for i in range(len(pivots)):
+        place[at] = i
+        gap = pivots - pivots[at]
+        at = int(np.where(place < 0, np.einsum("ij,ij->i", gap, gap), np.inf).argmin())
+    return place
+
+
 def _distances_to(shared_pivots, metric: str) -> Callable[[np.ndarray], np.ndarray]:
     def far(matrix: np.ndarray) -> np.ndarray:
         points = _unit(matrix) if metric == "cosine" else matrix
@@ -266,30 +298,34 @@ def _distances_to(shared_pivots, metric: str) -> Callable[[np.ndarray], np.ndarr
     return far
 
 
-def _place(far_from: Callable[[np.ndarray], np.ndarray]):
+def _place(far_from: Callable[[np.ndarray], np.ndarray], hits=None, n_cells: int = 0):
+    """Rows with their nearest cell and, given ``hits``, a bit for each cell that may hold a neighbour."""
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            far = far_from(_unpack(batch)[1])
-            cell = far.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    batch.column("vector"),
-                    pa.array(cell, pa.int32()),
-                    pa.array(far[np.arange(len(cell)), cell], pa.float64()),
-                ],
-                names=["id", "vector", "cell", "reach"],
-            )
+            matrix = _unpack(batch)[1]
+            cell, reach = np.empty(len(matrix), dtype=np.int32), np.empty(len(matrix))
+            for start in range(0, len(matrix), MAX_PIVOTS):
+                far = far_from(matrix[start : start + MAX_PIVOTS])
+                nearest = far.argmin(axis=1)
+                cell[start : start + len(far)], reach[start : start + len(far)] = nearest, far[np.arange(len(far)), nearest]
+            columns = {"id": batch.column("id"), "vector": batch.column("vector"), "cell": pa.array(cell), "reach": pa.array(reach)}
+            if hits:
+                needs = np.zeros((len(matrix), n_cells), dtype=bool)
+                for row, index in hits(matrix):
+                    needs[row, index] = True
+                columns["needs"] = pa.array([bits.tobytes() for bits in np.packbits(needs, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return place
 
 
 def _hits(shared_cells, far_from: Callable[[np.ndarray], np.ndarray], wanted: int):
-    """A function from vectors to arrays (row, index of a cell, its number) of the cells that may hold a neighbour."""
+    """A function from vectors to arrays (row, index of a cell) of the cells that may hold a neighbour."""
 
-    def hits(matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def hits(matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         number, radius, reaches = shared_cells.value
         step = max(1, BLOCK_BYTES // (8 * max(1, reaches.size)))
         for start in range(0, len(matrix), step):
@@ -300,56 +336,65 @@ def _hits(shared_cells, far_from: Callable[[np.ndarray], np.ndarray], wanted: in
                 bound = np.partition(bounds, wanted - 1, axis=1)[:, wanted - 1]
             # Pivot distances carry a rounding error of about sqrt(eps); widen the bound by it.
             row, cell = np.nonzero(far - radius <= bound[:, None] + 1e-6 * (1.0 + far))
-            yield row + start, cell, number[cell]
+            yield row + start, cell
 
     return hits
 
 
-def _join_cells(queries: DataFrame, cells: _Cells, k: int, metric: str, exclude_self: bool, dim: int) -> DataFrame:
-    chunk_rows = max(MIN_CHUNK_ROWS, BLOCK_BYTES // (8 * dim))
-    hits = cells.hits
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, _, number in hits(_unpack(batch)[1]):
-                taken = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(taken), batch.column("vector").take(taken), pa.array(number, pa.int32())],
-                    names=["id", "vector", "cell"],
-                )
-
-    routed = materialise(
-        queries.select("id", "vector").mapInArrow(route, f"id string, vector {_vector_type(queries)}, cell int"), "visits"
-    )
-    chunks = (
-        routed.groupBy("cell")
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows)).cast("int").alias("q_chunks"))
-        .join(cells.sizes.select("cell", F.ceil(F.col("rows") / F.lit(chunk_rows)).cast("int").alias("b_chunks")), "cell")
+def _join_cells(
+    queries: DataFrame, cells: _Cells, n_queries: int, k: int, metric: str, exclude_self: bool, dim: int, block_bytes: int
+) -> DataFrame:
+    """The grid with blocks of queries from cells side by side, which get only the cells that one of them may need."""
+    spark = queries.sparkSession
+    n_cells = len(cells.number)
+    held = _held_bytes(dim, k) + n_cells // 8 + 1  # and a bit for each cell
+    q_blocks, b_shares = _sides(spark, n_queries, int(cells.rows.sum()), held, block_bytes)
+    _LOG.info("%s blocks of queries around cells, each met by %s shares of the base", q_blocks, b_shares)
+    block_rows = -(-n_queries // q_blocks)
+    homes = queries.select("id", "vector").mapInArrow(
+        _place(cells.far, cells.hits, n_cells), f"id string, vector {_vector_type(queries)}, cell int, reach double, needs binary"
     )
-    chunks = F.broadcast(chunks)  # one row per pivot at most
-
-    def spread(side: DataFrame, own: str, other: str) -> DataFrame:
-        return (
-            side.join(chunks, "cell")
-            .withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"{own}s")).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
-            .select("cell", "b_chunk", "q_chunk", "id", "vector")
-        )
+    homes = materialise(homes.select("id", "vector", "cell", "needs", F.monotonically_increasing_id().alias("row")), "homes")
+    # Small tables of a row per pivot at most.
+    sizes = {r["cell"]: r["rows"] for r in homes.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    starts, start = [], 0
+    for cell in sorted(sizes, key=lambda c: cells.tour[c]):
+        starts.append((cell, sizes[cell], start))
+        start += sizes[cell]
+    starts = F.broadcast(_small(spark, starts, "cell", "rows", "start"))
+    block = F.floor((F.col("start") + F.pmod("row", "rows")) / F.lit(block_rows)).cast("int")
+    asked = homes.join(starts, "cell").select("id", "vector", "needs", block.alias("block"))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks, bits = batch.column("block").to_numpy(), _bits(batch)
+            for b in np.unique(blocks).tolist():
+                any_of = np.bitwise_or.reduce(bits[blocks == b], axis=0)
+                seen[b] = seen[b] | any_of if b in seen else any_of
+        for b, any_of in seen.items():
+            found = np.flatnonzero(np.unpackbits(any_of, count=n_cells))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b), pa.int32()), pa.array(found, pa.int32())], names=["block", "index"])
+
+    wanted = asked.select("block", "needs").mapInArrow(needed, "block int, index int").groupBy("index").agg(F.collect_set("block").alias("blocks"))
+    places = [(i, int(c), int(cells.tour[c])) for i, c in enumerate(cells.number)]
+    wanted = F.broadcast(wanted.join(F.broadcast(_small(spark, places, "index", "cell", "place")), "index"))
+    met = cells.placed.join(wanted, "cell").withColumn("block", F.explode("blocks"))
+    met = met.withColumn("task", F.col("block") * b_shares + F.pmod("row", F.lit(b_shares)).cast("int"))
+    asked = asked.withColumn("task", F.explode(F.sequence(F.col("block") * b_shares, (F.col("block") + 1) * b_shares - 1)))
+    return _grid(asked, met, q_blocks * b_shares, k, metric, exclude_self)
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids, q_matrix = _unpack(left)
-        b_ids, b_matrix = _unpack(right)
-        nearest = _Nearest(q_ids, q_matrix, k, metric, exclude_self)
-        nearest.add(b_ids, b_matrix)
-        return pa.Table.from_batches(nearest.batches(), _ARROW_RESULT)
 
-    key = ["cell", "b_chunk", "q_chunk"]
-    left = spread(routed, "q_chunk", "b_chunk").groupBy(*key)
-    right = spread(cells.placed.drop("reach"), "b_chunk", "q_chunk").groupBy(*key)
-    return left.cogroup(right).applyInArrow(meet, _RESULT)
+# --- many queries: a grid of large blocks -----------------------------------------------------
 
 
-# --- many queries: a grid of large blocks -----------------------------------------------------
+def _sides(spark, n_queries: int, n_base: int, held: int, block_bytes: int) -> tuple[int, int]:
+    """Blocks of queries and shares of the base: blocks fit ``block_bytes``, tasks keep all cores busy, few rows are copied."""
+    context = spark.sparkContext
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * context.defaultParallelism)
+    even = round((tasks * n_queries / max(1, n_base)) ** 0.5)
+    q_blocks = max(1, -(-n_queries * held // block_bytes), min(even, tasks, n_queries))
+    return q_blocks, max(1, -(-tasks // q_blocks))
 
 
 def _join_blocks(
@@ -359,45 +404,87 @@ def _join_blocks(
 
     Rows are dealt round robin by a stored number, so ids and vectors that repeat spread like any others.
     """
-    spark = base.sparkSession
-    row_bytes = 16 * dim + 8 + k * (8 + _ID_BYTES)  # vector, its unit form, and the rows held
-    q_blocks = max(1, -(-n_queries * row_bytes // block_bytes))
-    b_shares = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // q_blocks))
-    _LOG.info("%s blocks of queries, each met by %s shares of the base", q_blocks, b_shares)
 
-    def dealt(side: DataFrame, is_base: bool, own: int, label: str) -> DataFrame:
-        number = F.pmod(F.monotonically_increasing_id(), F.lit(own)).cast("int")
-        vector = F.col("vector").cast("array<double>")
-        return materialise(side.select("id", vector.alias("vector"), number.alias("deal"), F.lit(is_base).alias("is_base")), label)
+    def numbered(side: DataFrame, label: str) -> DataFrame:
+        return materialise(side.select("id", "vector", F.monotonically_increasing_id().alias("row")), label)
 
     def over(last: int):
         return F.explode(F.sequence(F.lit(0), F.lit(last - 1)))
 
-    asked = dealt(queries, False, q_blocks, "query-blocks").withColumn("other", over(b_shares))
-    asked = asked.withColumn("task", F.col("deal") * b_shares + F.col("other"))
-    met = dealt(base, True, b_shares, "base-shares").withColumn("other", over(q_blocks))
-    met = met.withColumn("task", F.col("other") * b_shares + F.col("deal"))
-    both = asked.unionByName(met).select("task", "is_base", "id", "vector")
-    both = both.repartitionById(q_blocks * b_shares, F.col("task")).sortWithinPartitions("is_base")
+    asked, met = numbered(queries, "query-blocks"), numbered(base, "base-shares")
+    q_blocks, b_shares = _sides(base.sparkSession, n_queries, met.count(), _held_bytes(dim, k), block_bytes)
+    _LOG.info("%s blocks of queries, each met by %s shares of the base", q_blocks, b_shares)
+    asked = asked.withColumn("other", over(b_shares))
+    asked = asked.withColumn("task", (F.pmod("row", F.lit(q_blocks)) * b_shares + F.col("other")).cast("int"))
+    met = met.withColumn("other", over(q_blocks))
+    met = met.withColumn("task", (F.col("other") * b_shares + F.pmod("row", F.lit(b_shares))).cast("int"))
+    return _grid(asked, met, q_blocks * b_shares, k, metric, exclude_self)
+
+
+def _grid(asked: DataFrame, met: DataFrame, tasks: int, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    """Each ``task`` holds its queries and streams its base rows past them, cell by cell where queries say which they need."""
+    alike = _vector_type(asked) == _vector_type(met)
+    with_cells = "needs" in asked.columns
+
+    def side(rows: DataFrame, is_base: bool) -> DataFrame:
+        columns = {"vector": F.col("vector") if alike else F.col("vector").cast("array<double>"), "is_base": F.lit(is_base)}
+        for name, kind in (("needs", "binary"), ("index", "int"), ("place", "int")) if with_cells else ():
+            columns[name] = F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+        return rows.select("task", "id", *[c.alias(name) for name, c in columns.items()])
+
+    both = side(asked, False).unionByName(side(met, True))
+    both = both.repartitionById(tasks, F.col("task")).sortWithinPartitions("is_base", *["place"] * with_cells)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, nearest = [], None
+        block, nearest, needs = [], None, None
         for batch in batches:
             first = batch.column("is_base").true_count  # queries come before the base
             asked, met = batch.slice(0, batch.num_rows - first), batch.slice(batch.num_rows - first)
             if asked.num_rows:
-                block.append(_unpack(asked))
-            if met.num_rows and block:
-                if nearest is None:
-                    ids, vectors = zip(*block, strict=True)
-                    nearest = _Nearest(np.concatenate(ids), np.concatenate(vectors), k, metric, exclude_self)
-                nearest.add(*_unpack(met))
+                block.append((*_unpack(asked), *([_bits(asked)] if with_cells else [])))
+            if not met.num_rows or not block and nearest is None:
+                continue
+            if nearest is None:
+                ids, vectors, *bits = (np.concatenate(parts) for parts in zip(*block, strict=True))
+                block.clear()
+                nearest = _Nearest(ids, vectors, k, metric, exclude_self)
+                needs = np.ascontiguousarray(bits[0].T) if bits else None
+                del bits
+            ids, vectors = _unpack(met)
+            if needs is None:
+                nearest.add(ids, vectors)
+                continue
+            cell = met.column("index").to_numpy()
+            for start, end in _runs(cell):
+                some = np.unique(cell[start:end])
+                concerned = np.flatnonzero((needs[some >> 3] & (128 >> (some & 7)).astype(np.uint8)[:, None]).any(axis=0))
+                nearest.add(ids[start:end], vectors[start:end], concerned if len(concerned) < len(nearest.ids) else None)
         if nearest is not None:
             yield from nearest.batches()
 
     return both.mapInArrow(stream, _RESULT)
 
 
+def _small(spark, rows: list[tuple], *names: str) -> DataFrame:
+    """Numbers of the driver as a table."""
+    return spark.createDataFrame(pa.table({name: pa.array(column, pa.int64()) for name, column in zip(names, zip(*rows, strict=True), strict=True)}))
+
+
+def _bits(batch: pa.RecordBatch) -> np.ndarray:
+    """The bits of ``needs``, a row of bytes each."""
+    return np.frombuffer(b"".join(batch.column("needs").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+
+
+def _runs(cell: np.ndarray) -> list[tuple[int, int]]:
+    """Whole cells of rows in order, put together until a run has ``MIN_CHUNK_ROWS``."""
+    runs, start = [], 0
+    for end in [*(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]:
+        if end - start >= MIN_CHUNK_ROWS or end == len(cell):
+            runs.append((start, end))
+            start = end
+    return runs
+
+
 def cosine_topn(queries: DataFrame, base: DataFrame, n: int = 20, **options) -> DataFrame:
     """The ``n`` nearest by cosine distance, the item itself left out."""
     return knn_join(queries, base, n, metric="cosine", exclude_self=True, **options)

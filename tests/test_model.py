@@ -77,6 +77,27 @@ def test_cells_with_many_chunks(spark, clouds, monkeypatch):
     assert answer(near) == brute(queries, base, 5, "q", "b")
 
 
+def test_a_task_holds_bounded_queries(spark, clouds, monkeypatch):
+    """What is held for a query counts, not its vector alone, and a query of the cells is not copied once a cell."""
+    queries, base = clouds
+    sides, held, told = [], [], knn._sides
+    monkeypatch.setattr(knn, "_scan_base", lambda *a: held.append(a) or pytest.fail("all queries in every task"))
+    monkeypatch.setattr(knn, "_sides", lambda *a: sides.append(told(*a)) or sides[-1])
+    asked, vectors = len(queries), len(queries) * 6 * 8
+    for below in (0, 2):
+        near = knn.knn_join(frame(spark, queries, "q"), frame(spark, base, "b"), 7, broadcast_bytes=2 * vectors, block_bytes=2 * vectors, cells_below=below)
+        assert answer(near) == brute(queries, base, 7, "q", "b")
+    for q_blocks, b_shares in sides:
+        assert -(-asked // q_blocks) * knn._held_bytes(6, 7) <= 2 * vectors + knn._held_bytes(6, 7) and b_shares == 1
+
+
+def test_rows_of_one_id_are_all_left_out():
+    """A query's own id may stand in several rows of a block."""
+    near = knn._Nearest(np.array(["a", "b"]), np.zeros((2, 2)), 3, "euclidean", True)
+    near.add(np.array(["a", "a", "b", "c"]), np.arange(8.0).reshape(4, 2))
+    assert [b.to_pydict()["id"] for b in near.batches()] == [["b", "c", "a", "a", "c"]]
+
+
 def test_a_sample_tells_whether_cells_rule_anything_out(spark):
     rng = np.random.default_rng(5)
     flat, deep = rng.uniform(size=(3000, 2)), rng.normal(size=(3000, 64))
