@@ -5,10 +5,12 @@ per node, table rows and cells among them. Text is assembled bottom-up in Spark,
 the nodes of a depth are read when their children are ready, get their text, and go to their parents, so each
 node is grouped twice, as itself and as a child. All steps group by (doc, node), so after a shuffle by ``doc``
 they run in place. Trees of any depth are taken whole: every ``PLAN_LEVELS`` depths the rows are stored.
+For rendering, cells and texts without children can stay inside their parents, see ``token_nodes``.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 
@@ -45,7 +47,7 @@ _ROW_STEP = 1 << 29
 # Depths that one plan folds before its rows are stored; no depth is left out.
 PLAN_LEVELS = 8
 
-# Nodes that a task holds before it hands them on, beside those of the tree at hand.
+# Nodes, and pieces inside them, that a task holds before it hands them on, beside those of the tree at hand.
 _NODE_ROWS = 20_000
 
 _FIELDS = {
@@ -77,6 +79,10 @@ _FIELD_TYPES = (
     "title_tokens array<struct<content string, styles array<string>>>, raw string"
 )
 
+# A child that stays inside its parent, with its text.
+_PIECE = {"step": pa.int32(), "slot": pa.string(), "type": pa.string(), "md": pa.string()}
+_PIECES_TYPE = "array<struct<step int, slot string, type string, md string>>"
+
 
 def _tokens(tree: str | None) -> list | None:
     """The top tokens of a tree; None if it is no JSON object or its ``tokens`` are no list."""
@@ -122,10 +128,43 @@ def _grid(node: dict) -> list | None:
     return None if spans else rows
 
 
-def _walk(tokens: list) -> Iterator[dict]:
+def _cell_text(content: object) -> str | None:
+    if content is None or isinstance(content, (str, dict)):
+        return content if isinstance(content, str) else None
+    return str(content)
+
+
+def _styled(text: str | None, styles: object) -> str:
+    """``functions.text.style_text`` of a piece; no text is empty, whatever its styles."""
+    if text is None or not isinstance(styles, list):
+        return text or ""
+    for style, mark in (("italic", "i"), ("bold", "b")):
+        text = f"<{mark}>{text}</{mark}>" if style in styles else text
+    return text
+
+
+def _pieces(below: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Children whose text is their own content, as pieces, and the others."""
+    pieces, others = [], []
+    for child in below:
+        step, node, of, at, _ = child
+        if at == "cell":
+            content = node.get("content") if isinstance(node, dict) else node
+            if not isinstance(content, list):
+                pieces.append((step, at, None, _cell_text(content) or ""))
+                continue
+        elif at != "row" and of not in _CARRIER_PARENTS and isinstance(node, dict) and node.get("type") == "text":
+            pieces.append((step, at, "text", _styled(_as_text(node.get("content")), node.get("styles"))))
+            continue
+        others.append(child)
+    return pieces, others
+
+
+def _walk(tokens: list, fold: bool = False) -> Iterator[dict]:
     """Every node of a tree in reading order, as a dict of the fields that it has.
 
-    ``shown`` is false below what no rendering reaches: unknown types and all captions but the first.
+    ``shown`` is false below what no rendering reaches: unknown types and all captions but the first. With
+    ``fold``, cells and texts that have no nodes below them and are no blocks are ``pieces`` of their parent.
     """
     waiting = [([i], t, "", "content", True, True) for i, t in enumerate(tokens)][::-1]
     while waiting:
@@ -138,8 +177,8 @@ def _walk(tokens: list) -> Iterator[dict]:
             content = node.get("content") if isinstance(node, dict) else node
             if isinstance(content, list):
                 below = [(j, t, "cell", "content", shown) for j, t in enumerate(content)]
-            elif content is not None and not isinstance(content, dict):
-                out["text"] = content if isinstance(content, str) else str(content)
+            else:
+                out["text"] = _cell_text(content)
         elif isinstance(node, dict):
             kind = _as_text(node.get("type"))
             content, title = node.get("content"), node.get("title")
@@ -175,42 +214,60 @@ def _walk(tokens: list) -> Iterator[dict]:
                 below += [(i, t, kind or "", "content", rendered and i in only) for i, t in enumerate(content)]
             below += [(_ROW_STEP + i, r, "table", "row", rendered) for i, r in enumerate(rows or [])]
             block = block and kind in TRANSPARENT_TYPES
+        inside = block and isinstance(node, dict)
+        if fold and below and not inside:
+            pieces, below = _pieces(below)
+            if pieces:
+                out["pieces"] = pieces
         out["leaf"] = not below
         yield out
-        inside = block and isinstance(node, dict)
         waiting += [([*path, step], t, of, at, inside, seen) for step, t, of, at, seen in reversed(below)]
 
 
-def token_nodes(trees: DataFrame) -> DataFrame:
+def token_nodes(trees: DataFrame, fold: bool = False) -> DataFrame:
     """Every node of the trees (``doc, tree``), however deep. ``block`` marks nodes with only wrappers above them.
 
     Rows and cells of a table that is drawn as a grid are nodes in the slots ``row`` and ``cell``, their
     tokens hang below them. Each tree is walked once where it lies. Trees that cannot be read give no
-    nodes; ``unreadable_trees`` lists them.
+    nodes; ``unreadable_trees`` lists them. With ``fold``, which is meant for ``render_blocks``, plain cells
+    and texts are no rows of their own but ``pieces`` of their parent.
     """
+    fields = _FIELD_TYPES + (f", pieces {_PIECES_TYPE}" if fold else "")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here is cyclic, and passes over the parts of trees are slow
+        try:
+            yield from walked(batches)
+        finally:
+            gc.enable()
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, rows, found = batch.column("doc"), [], []
+            docs, rows, found, held = batch.column("doc"), [], [], 0
 
             def taken() -> pa.RecordBatch:
                 columns = [pa.array([n.get(f) for n in found], kind) for f, kind in _FIELDS.items()]
-                return pa.RecordBatch.from_arrays([docs.take(pa.array(rows, pa.int64())), *columns], names=["doc", *_FIELDS])
+                names = ["doc", *_FIELDS]
+                if fold:
+                    columns.append(_piece_lists([n.get("pieces", ()) for n in found]))
+                    names.append("pieces")
+                return pa.RecordBatch.from_arrays([docs.take(pa.array(rows, pa.int64())), *columns], names=names)
 
             for row, tree in enumerate(batch.column("tree")):
-                for node in _walk(_tokens(tree.as_py()) or []):
+                for node in _walk(_tokens(tree.as_py()) or [], fold):
                     rows.append(row)
                     found.append(node)
-                    if len(found) == _NODE_ROWS:
+                    held += 1 + len(node.get("pieces", ()))
+                    if held >= _NODE_ROWS:
                         yield taken()
-                        rows, found = [], []
+                        rows, found, held = [], [], 0
             yield taken()
 
     doc_type = trees.schema["doc"].dataType.simpleString()
-    walked = trees.select("doc", F.col("tree").cast("string").alias("tree")).mapInArrow(walk, f"doc {doc_type}, {_FIELD_TYPES}")
+    found = trees.select("doc", F.col("tree").cast("string").alias("tree")).mapInArrow(walk, f"doc {doc_type}, {fields}")
     kind = F.col("type")
     is_wrapper = F.coalesce(kind.isin(*TRANSPARENT_TYPES), F.lit(False))
-    return walked.withColumns(
+    return found.withColumns(
         {
             "depth": F.size("path") - 1,
             "block": F.col("block") & ~is_wrapper,
@@ -221,6 +278,15 @@ def token_nodes(trees: DataFrame) -> DataFrame:
     ).drop("title_tokens")
 
 
+def _piece_lists(pieces: list) -> pa.Array:
+    offsets = [0]
+    for some in pieces:
+        offsets.append(offsets[-1] + len(some))
+    columns = list(zip(*(p for some in pieces for p in some), strict=True)) or [()] * len(_PIECE)
+    arrays = [pa.array(c, kind) for c, kind in zip(columns, _PIECE.values(), strict=True)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=list(_PIECE)))
+
+
 def _readable(tree: str) -> Column:
     """Whether a tree is a JSON object whose ``tokens``, if any, are a list."""
 
@@ -375,7 +441,7 @@ def render_authors(node: Column) -> Column:
 
 _NODE = (
     "type", "parent_type", "slot", "text", "styles", "level", "numbering", "name", "indent", "display", "cite_key",
-    "title_text", "strings", "is_grid", "raw", "authors", "note", "first_title", "depth", "block", "wrapper",
+    "title_text", "strings", "is_grid", "raw", "authors", "note", "first_title", "depth", "block", "wrapper", "pieces",
 )
 
 
@@ -483,9 +549,12 @@ def render_blocks(nodes: DataFrame, ignore_reference: bool = False, clean_equati
     """Text of each block: ``doc, path, type, md`` and ``notes``, the footnotes inside it.
 
     Wrappers have no text of their own; the nodes below them are the blocks. Footnotes that no rendering
-    reaches have no number. Nodes without children, most of all, get their text where they lie and go to
-    their parents; the others are grouped with their children first.
+    reaches have no number. Nodes without children but pieces, most of all, get their text where they lie and
+    go to their parents; the others are grouped with their children first.
     """
+    folded = "pieces" in nodes.columns
+    if not folded:
+        nodes = nodes.withColumn("pieces", F.lit(None).cast(_PIECES_TYPE))
     found = materialise_by(nodes, "depth", "nodes")
     deepest = found.agg(F.max("depth")).head()[0] or 0
     # Only titles and footnotes are sorted and stored again.
@@ -498,22 +567,28 @@ def render_blocks(nodes: DataFrame, ignore_reference: bool = False, clean_equati
     node_fields = [F.col(f"node.{c}").alias(c) for c in _NODE]
     no_node = F.lit(None).cast(found.unionByName(marked, True).select(F.struct(*_NODE).alias("n")).schema["n"].dataType)
     of_leaf, of_parent = (_node_columns(kids, ignore_reference, clean_equations) for kids in (False, True))
+    with_pieces = F.coalesce(F.size("pieces") > 0, F.lit(False))
     ready: DataFrame | None = None
     for depth in range(deepest, -1, -1):
         level = found.where((F.col("depth") == depth) & ~is_marked).unionByName(marked.where(F.col("depth") == depth), True)
         level = level.where(~F.col("wrapper"))
         leaves = level.where("leaf").select("doc", "path", F.lit(None).cast(_BLOCK).alias("ready"), *_NODE)
-        out = _to_parents(leaves, *of_leaf).repartition(parts, "doc")
+        out = _to_parents(leaves.where(~with_pieces), *of_leaf)
+        if folded:
+            out = out.unionByName(_to_parents(leaves.where(with_pieces).withColumn("kids", _piece_kids()), *of_parent))
+        out = out.repartition(parts, "doc")
         if ready is not None:
             inner = level.where("NOT leaf").select("doc", "path", F.struct(*_NODE).alias("node")).repartition(parts, "doc")
             rows = inner.withColumns({"kid": F.lit(None).cast(_KID), "block": F.lit(None).cast(_BLOCK)})
             rows = rows.unionByName(ready.withColumn("node", no_node)).groupBy("doc", "path")
             rows = rows.agg(
                 F.first("node", ignorenulls=True).alias("node"),
-                F.array_sort(F.collect_list("kid")).alias("kids"),
+                F.collect_list("kid").alias("kids"),
                 F.first("block", ignorenulls=True).alias("ready"),
             )
             rows = rows.select("doc", "path", "kids", "ready", *node_fields)
+            kids = F.concat("kids", _piece_kids()) if folded else F.col("kids")
+            rows = rows.withColumn("kids", F.array_sort(kids))
             out = _to_parents(rows, *of_parent).unionByName(out)
         ready = out
         if (deepest - depth + 1) % PLAN_LEVELS == 0 and depth > 0:
@@ -526,6 +601,22 @@ _KID = f"struct<step int, slot string, type string, cite_key string, md string,
 _BLOCK = f"struct<type string, md string, notes {_NOTES}>"
 
 
+def _piece_kids() -> Column:
+    """The pieces of a node as children whose text is ready."""
+    kids = F.transform(
+        "pieces",
+        lambda p: F.struct(
+            p["step"].alias("step"),
+            p["slot"].alias("slot"),
+            p["type"].alias("type"),
+            F.lit(None).cast("string").alias("cite_key"),
+            p["md"].alias("md"),
+            F.array().cast(_NOTES).alias("notes"),
+        ),
+    )
+    return F.coalesce(kids, F.array().cast(f"array<{_KID}>"))
+
+
 def _node_columns(with_kids: bool, ignore_reference: bool, clean_equations: bool) -> tuple[Column, Column]:
     """Text and footnotes of a node, as expressions over its fields."""
     body = F.coalesce("text", F.lit(""))

@@ -157,7 +157,7 @@ def token_census(b: Bound) -> DataFrame:
 
 @query("render_blocks", BLOCKS_SQL + " SELECT doc, path, type, md FROM blocks")
 def render_blocks(b: Bound) -> DataFrame:
-    rendered = blocks.render_blocks(blocks.token_nodes(document_trees(b)))
+    rendered = blocks.render_blocks(blocks.token_nodes(document_trees(b), fold=True))
     return rendered.select("doc", _path().alias("path"), "type", "md")
 
 
@@ -172,7 +172,7 @@ def render_blocks(b: Bound) -> DataFrame:
 )
 def assemble_document(b: Bound) -> DataFrame:
     trees = document_trees(b)
-    texts = blocks.assemble_document(blocks.render_blocks(blocks.token_nodes(trees)), trees)
+    texts = blocks.assemble_document(blocks.render_blocks(blocks.token_nodes(trees, fold=True)), trees)
     return texts.select("doc", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("text_length"))
 
 
@@ -239,7 +239,7 @@ def table_trees(b: Bound) -> DataFrame:
         ELSE '' END) AS md_md5 FROM t""",
 )
 def render_tables(b: Bound) -> DataFrame:
-    tables = blocks.render_blocks(blocks.token_nodes(table_trees(b)))
+    tables = blocks.render_blocks(blocks.token_nodes(table_trees(b), fold=True))
     return tables.select(F.col("doc").alias("id"), F.md5("md").alias("md_md5"))
 
 

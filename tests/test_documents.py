@@ -151,3 +151,23 @@ def test_footnotes_of_one_large_document(spark):
     df = spark.range(500).select(F.lit("d").alias("doc"), (F.lit(1000) - F.col("id")).alias("path"))
     found = blocks.footnote_numbers(df)
     assert found.where(F.col("number") != F.col("path") - 500).count() == 0
+
+
+def test_folded_nodes_have_the_same_text_and_fewer_rows(spark):
+    """Plain cells and texts stay in their parents; blocks, carriers' children and unreadable pieces as they are."""
+    note = {"type": "footnote", "content": [text("n", "italic")]}
+    grid = [[f"w{i}" for i in range(30)] + [{"content": [text("x", "bold"), note]}, None, 5, {"content": {"a": 1}}]] * 2
+    cases = [
+        [{"type": "table", "content": [{"tabular": grid}, {"type": "caption", "content": [text("c")]}]}],
+        [{"type": "document", "content": [text("top"), {"type": "group", "content": [text("in")]}]}, text("dropped")],
+        [{"type": "list", "content": [{"type": "item", "content": [text("i", "bold")]}, text("raw", "bold"), {"type": "item"}]}],
+        [{"type": "section", "title": [text("T", "bold", "italic"), note], "content": [text("a"), note, text("b", "bold")]}],
+        [{"type": "figure", "content": [{"type": "caption", "content": [text(None, "bold"), text(["l"]), text("c")]}, text("f")]}],
+        [{"type": "title", "content": [text("t", "bold")]}, {"type": "odd", "content": [text("x")]}],
+        [{"type": "citation", "content": ["k"], "title": [text("see")]}, {"type": "bibliography", "content": [{"cite_key": "k", "content": [text("b")]}]}],
+    ]
+    trees = spark.createDataFrame([(str(i), json.dumps({"tokens": c})) for i, c in enumerate(cases)], "doc string, tree string")
+    plain, folded = blocks.token_nodes(trees), blocks.token_nodes(trees, fold=True)
+    columns = ["doc", "path", "type", "md", "notes"]
+    assert rows(blocks.render_blocks(folded), *columns) == rows(blocks.render_blocks(plain), *columns)
+    assert plain.where("doc = '0'").count() > 70 and folded.where("doc = '0'").count() < 12
