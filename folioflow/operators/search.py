@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.functions import vectors as V
@@ -14,6 +16,8 @@ from folioflow.session import materialise
 
 # Folders of an index, pages of one slice, postings of one block.
 BUCKETS, SLICE_PAGES, BLOCK = 64, 100_000, 1024
+# Postings that a task gathers before it hands them on, beside those of the page at hand.
+_POSTINGS = 50_000
 
 
 def terms_of(text: Column) -> Column:
@@ -22,12 +26,44 @@ def terms_of(text: Column) -> Column:
 
 
 def inverted_index(pages: DataFrame) -> DataFrame:
-    """``term, id, tf`` over the whole text of ``id, text``."""
-    return (
-        pages.select("id", F.explode(terms_of(F.col("text"))).alias("term"))
-        .groupBy("term", "id")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """``term, id, tf`` over the whole text of ``id, text``.
+
+    Terms are counted inside the row, so nothing is moved but the postings of ids that several rows have.
+    """
+    counted = _term_counts(pages)
+    several = materialise(pages.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("id").alias("_id")), "repeated-ids")
+    if several.isEmpty():
+        return counted
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    merged = counted.join(several, same, "left_semi").groupBy("term", "id").agg(F.sum("tf").alias("tf"))
+    return counted.join(several, same, "left_anti").unionByName(merged)
+
+
+def _term_counts(pages: DataFrame) -> DataFrame:
+    """``term, id, tf`` of each row by itself. Bytes split at the white space that ``terms_of`` splits at."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows, terms, times = batch.column("id"), [], [], []
+
+            def taken() -> pa.RecordBatch:
+                columns = [pa.array(terms, pa.binary()), ids.take(pa.array(rows, pa.int64())), pa.array(times, pa.int64())]
+                return pa.RecordBatch.from_arrays(columns, names=["term", "id", "tf"])
+
+            for row, text in enumerate(batch.column("text")):
+                found = Counter((text.as_py() or b"").split())
+                rows += [row] * len(found)
+                terms += found.keys()
+                times += found.values()
+                if len(rows) >= _POSTINGS:
+                    yield taken()
+                    rows, terms, times = [], [], []
+            yield taken()
+
+    id_type = pages.schema["id"].dataType.simpleString()
+    lowered = pages.select("id", F.lower("text").cast("binary").alias("text"))
+    found = lowered.mapInArrow(count, f"term binary, id {id_type}, tf bigint")
+    return found.select(F.col("term").cast("string").alias("term"), "id", "tf")
 
 
 def _wanted(terms: Sequence[str]) -> list[str]:
@@ -85,12 +121,11 @@ def write_index(pages: DataFrame, path: str, buckets: int = BUCKETS, slice_pages
     """
     n_pages = pages.count()
     slices = max(1, -(-n_pages // slice_pages))
-    # One shuffle: counts, lists and folders are all made inside the parts of (bucket, slice).
+    # One shuffle: lists and folders are made inside the parts of (bucket, slice).
     place = ["bucket", "slice", "term"]
-    terms = pages.select("id", F.pmod(F.hash("id"), F.lit(slices)).alias("slice"), F.explode(terms_of(F.col("text"))).alias("term"))
+    terms = inverted_index(pages).withColumn("slice", F.pmod(F.hash("id"), F.lit(slices)))
     dealt = terms.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).repartition("bucket", "slice")
-    listed = dealt.groupBy(*place, "id").agg(F.count(F.lit(1)).alias("tf")).groupBy(*place)
-    listed = listed.agg(F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("minus"), "id"))).alias("p"))
+    listed = dealt.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("minus"), "id"))).alias("p"))
     cuts = F.sequence(F.lit(0), F.floor((F.size("p") - 1) / block).cast("int"))
     cut = F.transform(cuts, lambda i: F.struct(i.alias("block"), F.slice("p", i * block + 1, block).alias("p")))
     blocks = listed.select(*place, F.explode(cut).alias("b")).select(

@@ -126,3 +126,14 @@ def test_rescoring_prefers_common_words(spark):
     pairs = spark.createDataFrame([("q", "near"), ("q", "far")], "q_id string, id string")
     found = search.rescore_topn(pairs, papers, 2).orderBy("rank").collect()
     assert [(r["id"], round(r["score"], 6)) for r in found] == [("near", 0.731059), ("far", 0.5)]
+
+
+def test_terms_are_counted_in_the_row_and_repeated_ids_are_merged(spark):
+    """White space is that of the pattern; a null id is an id; without repeated ids no posting is shuffled."""
+    pages = spark.createDataFrame(
+        [("1", "É x y\tx\x0bX\x1cq \n"), ("2", None), ("3", ""), ("4", "a"), ("4", "A b"), (None, "a"), (None, "a")], "id string, text string"
+    )
+    plain = pages.select("id", F.explode(search.terms_of(F.col("text"))).alias("term")).groupBy("term", "id").count()
+    assert rows(search.inverted_index(pages), "term", "id", "tf") == rows(plain, "term", "id", "count")
+    single = search.inverted_index(pages.where("id < '4'"))
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
