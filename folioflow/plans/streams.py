@@ -36,6 +36,16 @@ def stream_upsert_labels(b: Bound) -> DataFrame:
     return ingest.stream_upsert_labels(b.spark, source, b.published_ids, OWNER, log, state, files_per_batch=100)
 
 
+# Text of one file of digests, about, beyond the fewest files.
+FILE_BYTES, FEWEST_FILES = 256 << 20, 4
+
+
+def digest_files(digests: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """Files to deal digests to, so that the task that writes one reads a bounded share of the texts."""
+    held = digests.agg(F.sum(F.octet_length("problem_background"))).first()[0] or 0
+    return max(FEWEST_FILES, -(-held // file_bytes))
+
+
 @query(
     "stream_ingest_summaries",
     with_ctes("digests", "published")
@@ -48,7 +58,7 @@ def stream_ingest_summaries(b: Bound) -> DataFrame:
     """New digests of all but the German papers, merged over what is published."""
     source, log, state = (scratch_path(b.spark, name) for name in ("summaries", "digest-log", "digest-state"))
     fresh = b.digests.where("lang <> 'de'").withColumn("title", F.concat(F.lit("new "), "title")).drop("doc_id")
-    fresh.repartition(4, "id").write.json(f"{source}/digests.json")
+    fresh.repartition(digest_files(fresh), "id").write.json(f"{source}/digests.json")
     b.published.limit(1).select(F.lit('{"id": ')).write.text(f"{source}/broken.json")
     stored = b.published.withColumn("abstract", F.concat(F.lit("kept "), "title"))
     merged = ingest.stream_ingest_summaries(b.spark, source, stored, log, state, files_per_batch=2)

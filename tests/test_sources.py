@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.config import Settings
 from folioflow.operators import aggregates
+from folioflow.plans import streams
 from folioflow.sources import corpus, readers, staging, writers
 from folioflow.streaming import ingest
 from tests.conftest import rows
@@ -307,3 +308,9 @@ def test_settings_file(tmp_path):
             Settings.from_file(path)
     path.write_text("")
     assert Settings.from_file(path) == Settings()
+
+
+def test_files_of_digests_grow_in_number_not_in_size(spark):
+    digests = spark.createDataFrame([("a", "x" * 100), ("b", None), ("c", "é" * 50)], "id string, problem_background string")
+    assert [streams.digest_files(digests, size) for size in (1000, 100, 10)] == [4, 4, 20]
+    assert streams.digest_files(digests.limit(0)) == 4
