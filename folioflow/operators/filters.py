@@ -66,10 +66,13 @@ def paper_id_of_title(title: Column) -> Column:
     return F.when(stem.rlike(PAPER_ID_PATTERN), stem)
 
 
-def paper_id_filter(discussions: DataFrame, published_ids: DataFrame) -> DataFrame:
-    """Discussions whose title names a published paper, with that ``id``."""
+def paper_id_filter(discussions: DataFrame, published_ids: DataFrame, distinct: bool = False) -> DataFrame:
+    """Discussions whose title names a published paper, with that ``id``.
+
+    Where the published ids are known to be ``distinct``, the smaller side is sent to the larger one, whichever it is.
+    """
     named = discussions.withColumn("id", paper_id_of_title(F.col("title"))).where(F.col("id").isNotNull())
-    return named.join(published_ids.select("id"), "id", "left_semi")
+    return named.join(published_ids.select("id"), "id", "inner" if distinct else "left_semi")
 
 
 def with_draft_flag(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioflow.plans.bindings import OWNER, Bound, with_ctes
 from folioflow.plans.joining import NAMED_LABEL_SQL
 from folioflow.plans.registry import query
-from folioflow.session import scratch_path
+from folioflow.session import materialise, scratch_path
 from folioflow.streaming import ingest
 
 
@@ -25,14 +25,15 @@ def stream_upsert_labels(b: Bound) -> DataFrame:
     liked = F.array(F.struct(F.lit("THUMBS_UP").alias("content"), F.struct(F.lit(OWNER).alias("login")).alias("user")))
 
     def pages(change) -> Column:
-        found = F.struct(F.transform(nodes, change).alias("nodes"))
-        return F.struct(F.struct(F.struct(found.alias("discussions")).alias("repository")).alias("data"))
+        changed = F.struct(F.transform(nodes, change).alias("nodes"))
+        return F.struct(F.struct(F.struct(changed.alias("discussions")).alias("repository")).alias("data"))
 
     early = pages(lambda n: n.withField("updatedAt", F.lit("2024-01-01")).withField("reactions", F.struct(liked.alias("nodes"))))
     now = pages(lambda n: n.withField("updatedAt", F.lit("2024-06-01")))
-    b.reaction_pages.select(F.to_json(early)).write.text(f"{source}/early.json")
-    b.reaction_pages.select(F.to_json(now, {"pretty": "true"})).write.option("maxRecordsPerFile", 1).text(f"{source}/now.json")
-    b.reaction_pages.limit(1).select(F.lit('{"data": {')).write.text(f"{source}/broken.json")
+    found = materialise(b.reaction_pages, "reaction-pages")
+    found.select(F.to_json(early)).write.text(f"{source}/early.json")
+    found.select(F.to_json(now, {"pretty": "true"})).write.option("maxRecordsPerFile", 1).text(f"{source}/now.json")
+    found.limit(1).select(F.lit('{"data": {')).write.text(f"{source}/broken.json")
     return ingest.stream_upsert_labels(b.spark, source, b.published_ids, OWNER, log, state, files_per_batch=100)
 
 

@@ -10,7 +10,10 @@ a second log beside the first, see ``unreadable_records``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cache
 from threading import Event
 from urllib.parse import unquote
 
@@ -20,7 +23,7 @@ from pyspark.sql.types import StructType
 from folioflow.operators.aggregates import rank_to_preference, reaction_rank
 from folioflow.operators.filters import paper_id_filter
 from folioflow.operators.joins import merge_tables
-from folioflow.session import stored
+from folioflow.session import materialise, stored
 from folioflow.sources.readers import DIGEST_SCHEMA, REACTION_SCHEMA
 
 LABEL_LOG_SCHEMA = "discussion string, id string, updated string, rank int"
@@ -28,68 +31,132 @@ LABEL_LOG_SCHEMA = "discussion string, id string, updated string, rank int"
 # Batches after a snapshot before the next one is written.
 SNAPSHOT_AFTER = 20
 
+# Files up to this size are read as a whole at once; of compressed ones the size says nothing.
+WHOLE_BYTES = 8 << 20
+_COMPRESSED = r"\.(gz|gzip|bz2|deflate|lz4|snappy|xz|zst|zstd)$"
+
 # Stands for a snapshot without a reaction of the owner; above every rank.
 _NO_RANK = 1_000
 
 
 def _file_stream(spark: SparkSession, source: str, files_per_batch: int) -> DataFrame:
-    """Lines of the new files with the ``file`` they are in."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).text(source)
-    found = lines.select("value", F.col("_metadata.file_path").alias("file"))
+    """``file, size`` of the new files; none is opened."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    files = files.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).load(source)
+    found = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
     return found.where(F.col("file").rlike(r"\.json(/[^/]*)?$") & ~F.col("file").rlike(r"meta\.json(/[^/]*)?$"))
 
 
-def _texts(lines: DataFrame) -> DataFrame:
-    """``file, value``: the text of each record.
+def _read_files(spark: SparkSession, files: list[str], **options) -> DataFrame:
+    """``value, file`` of text files named by their URIs; a name is no pattern."""
+    if not files:
+        return spark.createDataFrame([], "value string, file string")
+    paths = [re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(f)) for f in files]
+    return spark.read.text(paths, **options).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def _strip(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\n"))
+
+
+def _is_spread(line: Column) -> Column:
+    """Whether a line that is not blank shows that records of its file run over several lines."""
+    text = _strip(line)
+    return text.isin("{", "[") | ~text.rlike(r"^[{\[]")
+
+
+def _records() -> Column:
+    """The texts of the records in ``value``, the text of a whole file."""
+    opens = F.regexp_extract("value", r"^\s*([^\r\n]*?)\s*(?:[\r\n]|$)", 1).isin("{", "[")
+    lines = F.filter(F.split("value", r"\r\n?|\n"), lambda x: _strip(x) != "")
+    one = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull()
+    return (
+        F.when(opens, F.array("value"))
+        .when(~F.exists(lines, _is_spread), lines)
+        .when(one, F.array("value"))
+        .otherwise(F.split("value", r"\r?\n"))
+    )
+
+
+def _texts(files: DataFrame, records: Column) -> DataFrame:
+    """``value, file``: the text of each record.
 
-    Where every line begins an object or a list and none is a lone bracket, a line is a record. Other files of
-    the batch are read again as a whole: as one record, or by lines if that is no JSON and opens no bracket of its own.
+    Where every line begins an object or a list and none is a lone bracket, a line is a record. Other files are one
+    record, or by lines if that is no JSON and opens no bracket of its own. Small files are read once, as a whole;
+    long ones by lines, and again as a whole if their lines say so.
     """
-    line = F.btrim("value", F.lit(" \t\r\n"))
-    lines = lines.where(line != "")
-    spread = line.isin("{", "[") | ~line.rlike(r"^[{\[]")
+    spark = files.sparkSession
     # At most as many names as a batch has files.
-    files = [r.file for r in lines.groupBy("file").agg(F.max(spread).alias("whole")).where("whole").collect()]
-    if not files:
+    found = files.collect()
+    long = [r.file for r in found if r.size > WHOLE_BYTES or re.search(_COMPRESSED, r.file)]
+    whole = sorted({r.file for r in found}.difference(long))
+    lines = None
+    if long or not whole:
+        lines = _read_files(spark, long).where(_strip(F.col("value")) != "")
+        spread = [r.file for r in lines.groupBy("file").agg(F.max(_is_spread(F.col("value"))).alias("spread")).where("spread").collect()]
+        lines = lines.where(~F.col("file").isin(spread))
+        whole += spread
+    if not whole:
         return lines
-    whole = lines.sparkSession.read.text([unquote(f) for f in files], wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    opens = F.regexp_extract("value", r"^\s*([^\r\n]*?)\s*(?:[\r\n]|$)", 1).isin("{", "[")
-    one = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull() | opens
-    parts = whole.select(F.explode(F.when(one, F.array("value")).otherwise(F.split("value", r"\r?\n"))).alias("value"), "file")
-    return lines.where(~F.col("file").isin(files)).unionByName(parts.where(line != ""))
+    texts = _read_files(spark, whole, wholetext=True).withColumn("value", F.ltrim("value", F.lit("\ufeff")))
+    parts = texts.select(F.explode(records).alias("value"), "file").where(_strip(F.col("value")) != "")
+    return lines.unionByName(parts) if lines is not None else parts
+
 
+def _run_batches(
+    stream: DataFrame, schema: str, readable: Column, transform, log: str, checkpoint: str, narrow=lambda rows: rows
+) -> None:
+    """``readable`` is a condition on the fields of ``schema``; records that fail it, or the parser, are logged as unreadable.
 
-def _run_batches(stream: DataFrame, schema: str, readable: Column, transform, log: str, checkpoint: str) -> None:
-    """``readable`` is a condition on the fields of ``schema``; records that fail it, or the parser, are logged as unreadable."""
+    Records are parsed once a batch: what ``narrow`` makes of them is kept for both logs. It keeps the column ``bad`` and
+    a row for each record where that is not null; ``transform`` gets the other rows.
+    """
 
     named, run = Event(), []
+    records = _records()
+    # A text with more behind its value is not one record, so it is parsed inside a list first.
+    whole = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<variant>").isNotNull()
+    parsed = F.explode_outer(F.when(whole, F.from_json("value", f"array<struct<{schema}>>"))).alias("r")
+    bad = F.when(~F.coalesce(readable, F.lit(False)), F.struct("file", "value")).alias("bad")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         named.wait()
         folder = f"run={run[0]}/batch={batch_id}"
-        text = _texts(batch)
-        # A text with more behind its value is not one record, so it is parsed inside a list first.
-        whole = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<variant>").isNotNull()
-        parsed = text.select("file", "value", F.explode_outer(F.when(whole, F.from_json("value", f"array<struct<{schema}>>"))).alias("r"))
-        rows = parsed.select("file", "value", "r.*")
-        good = F.coalesce(readable, F.lit(False))
-        rows.where(~good).select("file", "value").write.mode("overwrite").parquet(f"{_unreadable(log)}/{folder}")
-        transform(rows.where(good).drop("file", "value")).write.mode("overwrite").parquet(f"{log}/{folder}")
-
-    query = (
-        stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        rows = _texts(batch, records).select("file", "value", parsed).select("file", "value", "r.*")
+        rows = narrow(rows.withColumn("bad", bad).drop("file", "value")).persist()
+        try:
+            rows.where("bad IS NOT NULL").select("bad.*").write.mode("overwrite").parquet(f"{_unreadable(log)}/{folder}")
+            transform(rows.where("bad IS NULL").drop("bad")).write.mode("overwrite").parquet(f"{log}/{folder}")
+        finally:
+            rows.unpersist()
+
+    with _listing_by_cores(stream.sparkSession):
+        query = (
+            stream.writeStream.foreachBatch(store)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        try:
+            run.append(_run_name(stream.sparkSession, log, query.id))
+        except BaseException:
+            query.stop()
+            raise
+        finally:
+            named.set()
+        query.awaitTermination()
+
+
+@contextmanager
+def _listing_by_cores(spark: SparkSession) -> Iterator[None]:
+    """A batch's files are looked up by as many tasks as there are cores, where Spark starts one for each file."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), spark.sparkContext.defaultParallelism))
     try:
-        run.append(_run_name(stream.sparkSession, log, query.id))
-    except BaseException:
-        query.stop()
-        raise
+        yield
     finally:
-        named.set()
-    query.awaitTermination()
+        spark.conf.set(key, before)
 
 
 def _run_name(spark: SparkSession, log: str, query_id: str) -> str:
@@ -150,18 +217,26 @@ def stream_upsert_labels(
     stream = _file_stream(spark, source, files_per_batch)
     own = F.filter("d.reactions.nodes", lambda r: (r["user"]["login"] == owner) & (r["content"] != ""))
 
-    def snapshots(batch: DataFrame) -> DataFrame:
-        nodes = batch.select(F.explode("data.repository.discussions.nodes").alias("d"))
-        found = nodes.select(
+    def states(rows: DataFrame) -> DataFrame:
+        nodes = rows.select("bad", F.explode_outer("data.repository.discussions.nodes").alias("d"))
+        return nodes.select(
+            "bad",
             F.coalesce("d.id", "d.title").alias("discussion"),
             F.col("d.title").alias("title"),
             F.coalesce("d.updatedAt", F.lit("")).alias("updated"),
             F.array_min(F.transform(own, lambda r: reaction_rank(r["content"]))).alias("rank"),
         )
-        return paper_id_filter(found, published_ids).select("discussion", "id", "updated", "rank")
+
+    @cache
+    def known() -> DataFrame:
+        """Worked out by the first batch of a call, not by each. Few files, as every batch scans them and writes as many."""
+        return materialise(published_ids.select("id").distinct().hint("rebalance"), "published-ids")
+
+    def snapshots(found: DataFrame) -> DataFrame:
+        return paper_id_filter(found, known(), distinct=True).select("discussion", "id", "updated", "rank")
 
     readable = F.col("data.repository.discussions.nodes").isNotNull()
-    _run_batches(stream, REACTION_SCHEMA, readable, snapshots, log, checkpoint)
+    _run_batches(stream, REACTION_SCHEMA, readable, snapshots, log, checkpoint, states)
     return current_labels(spark, log)
 
 

@@ -1,3 +1,4 @@
+import gzip
 import json
 from datetime import datetime
 from pathlib import Path
@@ -155,6 +156,48 @@ def test_streams_take_pretty_printed_files_and_log_what_they_cannot_read(spark,
     assert [r.file.rsplit("/", 1)[1] for r in ingest.unreadable_records(spark, log).collect()] == ["error.json"]
 
 
+@pytest.mark.parametrize("whole_bytes", [0, ingest.WHOLE_BYTES])
+def test_streams_read_small_and_long_files_alike(spark, tmp_path, monkeypatch, whole_bytes):
+    monkeypatch.setattr(ingest, "WHOLE_BYTES", whole_bytes)
+    source = tmp_path / "in"
+    (source / "z.json").mkdir(parents=True)
+    (source / "a {x}[1]*.json").write_text(json.dumps({"id": "1", "title": "é"}, indent=1))
+    (source / "b.json").write_bytes(b'{"id": "2"}\r\n\r\n  {"id": "3"}\r[{"id": "4"}, {"id": "5"}]\n \n{"id": "6"')
+    (source / "c.json").write_bytes(b'\xef\xbb\xbf{"id": "7"}\n')
+    (source / "d.json").write_text('{"id": "8",\n"title": "two\\nlines"}')
+    (source / "e.json").write_text('{"id": "9"} {"id": "x"}\nno record\n{"id": "10"}\n')
+    (source / "f.json").write_text("\n\n")
+    (source / "z.json" / "part-0.txt.gz").write_bytes(gzip.compress(b'{"id": "11"}\n{"id": "12"}\n'))
+    log, stored = str(tmp_path / "log"), spark.createDataFrame([], "id string, title string")
+    found = ingest.stream_ingest_summaries(spark, str(source), stored, log, str(tmp_path / "state"))
+    assert {r.id: r.title for r in found.collect()} == {str(i): {1: "é", 8: "two\nlines"}.get(i) for i in (1, 2, 3, 4, 5, 7, 8, 10, 11, 12)}
+    bad = sorted((r.file.rsplit("/", 1)[1], r.value) for r in ingest.unreadable_records(spark, log).collect())
+    assert bad == [("b.json", '{"id": "6"'), ("e.json", "no record"), ("e.json", '{"id": "9"} {"id": "x"}')]
+
+
+def test_a_call_works_out_the_published_ids_once_for_all_batches(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(3):
+        (source / f"{i}.json").write_text(PAGE % "THUMBS_UP")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    # Published twice, so that an id that is listed again gives no second row.
+    ids = spark.createDataFrame([("2501.00001",), ("2501.00001",)], "id string").select(counted("id").alias("id"))
+    log, state = str(tmp_path / "log"), str(tmp_path / "state")
+    found = ingest.stream_upsert_labels(spark, str(source), ids, "me", log, state, files_per_batch=1)
+    assert rows(found) == [("2501.00001", "like")]
+    assert spark.read.parquet(log).groupBy("batch").count().count() == spark.read.parquet(log).count() == 3
+    assert seen.value == 2
+    ingest.stream_upsert_labels(spark, str(source), ids, "me", log, state)
+    assert seen.value == 2
+
+
 def test_a_new_checkpoint_over_an_old_log_loses_nothing(spark, tmp_path):
     old, new = tmp_path / "old", tmp_path / "new"
     log = str(tmp_path / "digests")
