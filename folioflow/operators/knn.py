@@ -226,7 +226,9 @@ def _scan_base(queries: DataFrame, base: DataFrame, k: int, metric: str, exclude
             nearest.add(*_unpack(batch))
         yield from nearest.batches()
 
-    return base.select("id", "vector").mapInArrow(scan, _RESULT)
+    # Each task gives k rows a query, so many small parts of the base would give far more rows than it has.
+    few = 3 * base.sparkSession.sparkContext.defaultParallelism
+    return base.select("id", "vector").coalesce(few).mapInArrow(scan, _RESULT)
 
 
 # --- many queries: cells around pivots --------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.functions import vectors as V
 from folioflow.operators.ordering import top_per_key
+from folioflow.operators.overlap import common_terms
 from folioflow.session import materialise
 
 # Folders of an index, pages of one slice, postings of one block.
@@ -173,24 +174,32 @@ def _pages_of(blocks: DataFrame) -> DataFrame:
 
 def token_overlap(left: Column, right: Column) -> Column:
     """Jaccard overlap of two token sets."""
-    either = F.size(F.array_union(left, right))
-    return F.when(either > 0, F.size(F.array_intersect(left, right)) / either).otherwise(0.0)
+    return overlap_share(F.size(F.array_intersect(left, right)), F.size(F.array_union(left, right)))
+
+
+def overlap_share(common: Column, either: Column) -> Column:
+    """Jaccard overlap from the sizes of the intersection and the union."""
+    return F.when(either > 0, common / either).otherwise(0.0)
 
 
 def rescore_topn(candidates: DataFrame, papers: DataFrame, n: int, score: Column | None = None) -> DataFrame:
     """Second stage: score (query, candidate) pairs, squash to 0..1, best first.
 
     ``candidates`` holds ``q_id, id``; ``papers`` ``id, title, abstract``. The default score is the token
-    overlap of title and abstract; another may be given over ``q_tokens`` and ``tokens``.
+    overlap of title and abstract, counted without sending tokens along with pairs; another may be given over
+    ``q_tokens`` and ``tokens``, which then go with each pair.
     """
-    tokens = papers.select(
-        "id", F.array_distinct(terms_of(F.concat_ws(" ", "title", "abstract"))).alias("tokens")
-    )
-    pairs = (
-        candidates.select("q_id", "id")
-        .join(tokens, "id")
-        .join(tokens.select(F.col("id").alias("q_id"), F.col("tokens").alias("q_tokens")), "q_id")
-    )
-    raw = score if score is not None else token_overlap(F.col("q_tokens"), F.col("tokens"))
-    scored = pairs.select("q_id", "id", V.sigmoid(raw).alias("score"))
+    text = F.concat_ws(" ", "title", "abstract")
+    if score is None:
+        counted = common_terms(candidates, papers.select("id", F.lower(text).alias("text")))
+        raw = overlap_share(F.col("common"), F.col("q_size") + F.col("size") - F.col("common"))
+        scored = counted.select("q_id", "id", V.sigmoid(raw).alias("score"))
+    else:
+        tokens = papers.select("id", F.array_distinct(terms_of(text)).alias("tokens"))
+        pairs = (
+            candidates.select("q_id", "id")
+            .join(tokens, "id")
+            .join(tokens.select(F.col("id").alias("q_id"), F.col("tokens").alias("q_tokens")), "q_id")
+        )
+        scored = pairs.select("q_id", "id", V.sigmoid(score).alias("score"))
     return top_per_key(scored, n, ["q_id"], [F.col("score").desc(), F.col("id")])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from folioflow.config import Settings
 from folioflow.functions import vectors as V
 from folioflow.functions.hashing import uniform
+from folioflow.session import materialise
 
 SETTINGS = Settings(
     as_of=datetime(2024, 12, 31),
@@ -92,6 +93,20 @@ class Bound:
             F.col("embedding").alias("v2"),
         )
 
+    @cached_property
+    def paper_texts(self) -> DataFrame:
+        """``id, title, abstract`` of ``papers`` as often as a paper has a vector, or once; texts are read where they lie.
+
+        Only papers with several vectors are looked up, so nothing but these is joined.
+        """
+        texts = self.documents.select("doc_id", "id", "title", F.col("text").alias("abstract"))
+        vectors = self.table("embeddings").where(F.col("embedding").isNotNull()).groupBy("vec_id").agg(F.count(F.lit(1)).alias("times"))
+        several = materialise(vectors.where("times > 1"), "several-vectors")
+        if not several.isEmpty():
+            times = F.sequence(F.lit(1).cast("bigint"), F.coalesce("times", F.lit(1).cast("bigint")))
+            texts = texts.join(several, F.col("doc_id") == F.col("vec_id"), "left").withColumn("_time", F.explode(times))
+        return texts.select("id", "title", "abstract")
+
     @cached_property
     def labels(self) -> DataFrame:
         return self.table("labels").select(

@@ -291,7 +291,7 @@ TERMS_SQL = r"list_distinct(list_filter(regexp_split_to_array(lower(title || ' '
     SELECT q_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank FROM rated) WHERE rank <= 10""",
 )
 def rescore_topn(b: Bound) -> DataFrame:
-    return search.rescore_topn(similar_papers(b), b.papers, 10).withColumn("score", F.round("score", 6))
+    return search.rescore_topn(similar_papers(b), b.paper_texts, 10).withColumn("score", F.round("score", 6))
 
 
 @query(
