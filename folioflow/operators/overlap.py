@@ -7,20 +7,25 @@ is in; a pair is two numbers a part on the way in and a count a part on the way
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType, StringType
 
 from folioflow.session import materialise
 
 # Numbers of terms that a task holds, and ids up to which texts that no pair asks for are left out where they lie.
-RESIDENT_BYTES, ASKED_IDS = 64 << 20, 1 << 24
-# Terms that are dealt at once, pairs of a slice, cells and terms of one look-up.
-_DEALT, _SLICE, _CELLS, _LOOKED_UP = 1 << 20, 1 << 14, 4 << 20, 1 << 20
+RESIDENT_BYTES, ASKED_IDS = 32 << 20, 1 << 24
+# Terms that are dealt at once, pairs of a slice; queries, their terms and terms that look at them in one look-up.
+_DEALT, _SLICE = 1 << 20, 1 << 14
+_QUERIES, _MARKED, _LOOKED_UP = 1 << 9, 1 << 13, 1 << 20
+# Of the terms of some texts in one part: numbers of texts, terms a text, places in a list of words, and that list.
+_DEALT_COLUMNS = ("numbers", "sizes", "codes", "lengths", "words")
+# Weights of the bytes of a term in its hash.
+_WEIGHTS = np.arange(1, 1025, dtype=np.uint32) * np.uint32(2654435761) ^ np.uint32(0x9E3779B9)
 _ROW_BITS = 33
 
 
@@ -65,7 +70,10 @@ def _asked(pairs: DataFrame, texts: DataFrame) -> np.ndarray | None:
 
 
 def _term_sets(texts: DataFrame, asked: np.ndarray | None) -> DataFrame:
-    """``id, terms, size`` of texts whose id may be asked for. Bytes split at the white space that ``terms_of`` splits at."""
+    """``id, terms, size`` of texts whose id may be asked for, terms with a space between.
+
+    Bytes split at the white space that ``terms_of`` splits at.
+    """
     shared = None if asked is None else texts.sparkSession.sparkContext.broadcast(asked)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,20 +87,13 @@ def _term_sets(texts: DataFrame, asked: np.ndarray | None) -> DataFrame:
                 batch = batch.filter(pa.array(found))
             if not batch.num_rows:
                 continue
-            start = held = 0
-            sets: list[list[bytes]] = []
-            for row, text in enumerate(batch.column("text")):
-                sets.append(list(set((text.as_py() or b"").split())))
-                held += len(sets[-1])
-                if held >= _DEALT or row + 1 == batch.num_rows:
-                    sizes = pa.array([len(s) for s in sets], pa.int32())
-                    columns = [batch.column("id").slice(start, len(sets)), pa.array(sets, pa.list_(pa.binary())), sizes]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "terms", "size"])
-                    start, held, sets = row + 1, 0, []
+            sets = [set((text.as_py() or b"").split()) for text in batch.column("text")]
+            columns = [batch.column("id"), pa.array([b" ".join(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "terms", "size"])
 
     kind = texts.schema["id"].dataType.simpleString()
     read = texts.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("hash"), F.col("text").cast("binary").alias("text"))
-    return read.mapInArrow(split, f"id {kind}, terms array<binary>, size int")
+    return read.mapInArrow(split, f"id {kind}, terms binary, size int")
 
 
 def _slices(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def _slices(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _dealt(sets: DataFrame, n_parts: int) -> DataFrame:
-    """``part, numbers, sizes, codes, words``: of some texts the terms of one part, as places in a list of words."""
+    """``part`` and ``_DEALT_COLUMNS``: of some texts the terms of one part, as places in a list of words."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,112 +127,148 @@ def _dealt(sets: DataFrame, n_parts: int) -> DataFrame:
             while start < batch.num_rows:
                 before = ends[start] - sizes[start]
                 end = max(start + 1, int(np.searchsorted(ends, before + _DEALT, "right")))
-                yield from dealt(numbers[start:end], sizes[start:end], batch.column("terms").slice(start, end - start).flatten())
+                terms = pc.split_pattern(batch.column("terms").slice(start, end - start), b" ").flatten()
+                yield dealt(numbers[start:end], sizes[start:end], terms)
                 start = end
 
-    def dealt(numbers: np.ndarray, sizes: np.ndarray, terms: pa.Array) -> Iterator[pa.RecordBatch]:
-        if not len(terms):
-            return
+    def dealt(numbers: np.ndarray, sizes: np.ndarray, terms: pa.Array) -> pa.RecordBatch:
         coded = terms.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        part_of = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.int64, len(words))
+        part_of = _part_of(coded.dictionary, n_parts)
         by_part = np.argsort(part_of, kind="stable")
         first_word = np.searchsorted(part_of[by_part], np.arange(n_parts + 1))
-        code_of = np.empty(len(words), dtype=np.int32)
-        code_of[by_part] = np.arange(len(words)) - first_word[part_of[by_part]]
+        code_of = np.empty(len(by_part), dtype=np.int32)
+        code_of[by_part] = np.arange(len(by_part)) - first_word[part_of[by_part]]
+        words, lengths = _bytes_of(coded.dictionary.take(pa.array(by_part)))
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         places = coded.indices.to_numpy()
         part, text = part_of[places], np.repeat(np.arange(len(numbers)), sizes)
-        order = np.argsort(part, kind="stable")
-        first = np.searchsorted(part[order], np.arange(n_parts + 1))
+        order = np.argsort(part.astype(np.uint16) if n_parts < 1 << 16 else part, kind="stable")  # far faster for short numbers
+        first = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n_parts))])
         rows: list[tuple] = []
         for p in np.flatnonzero(np.diff(first)).tolist():
-            own = order[first[p] : first[p + 1]]
+            own, start, end = order[first[p] : first[p + 1]], first_word[p], first_word[p + 1]
             times = np.bincount(text[own], minlength=len(numbers)).astype(np.int32)
             some = np.flatnonzero(times)
-            listed = b" ".join([words[i] for i in by_part[first_word[p] : first_word[p + 1]]])
-            rows.append((p, numbers[some].tobytes(), times[some].tobytes(), code_of[places[own]].tobytes(), listed))
+            held = numbers[some], times[some], code_of[places[own]], lengths[start:end], words[ends[start] : ends[end]]
+            rows.append((p, *[column.tobytes() for column in held]))
         part, *rest = zip(*rows, strict=True)
         columns = [pa.array(part, pa.int32()), *[pa.array(column, pa.binary()) for column in rest]]
-        yield pa.RecordBatch.from_arrays(columns, names=["part", "numbers", "sizes", "codes", "words"])
+        return pa.RecordBatch.from_arrays(columns, names=["part", *_DEALT_COLUMNS])
+
+    kinds = ", ".join(f"{name} binary" for name in _DEALT_COLUMNS)
+    return sets.where("size > 0").select("number", "size", "terms").mapInArrow(deal, f"part int, {kinds}")
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ``words`` one after the other, and their lengths."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
 
-    kinds = "part int, numbers binary, sizes binary, codes binary, words binary"
-    return sets.select("number", "size", "terms").mapInArrow(deal, kinds)
+
+def _part_of(words: pa.Array, n_parts: int) -> np.ndarray:
+    """A part for each word, of which none is empty, by a hash of its bytes."""
+    found, lengths = _bytes_of(words)
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    place = np.arange(len(found)) - np.repeat(starts, lengths)
+    summed = np.add.reduceat((found + np.uint32(1)) * _WEIGHTS[place % len(_WEIGHTS)], starts, dtype=np.uint32)
+    return ((summed ^ summed >> np.uint32(15)) % np.uint32(n_parts)).astype(np.int64)
 
 
 class _Held:
-    """The terms of one part, text by text."""
+    """The terms of one part, text by text: what is added first, and once pairs come, numbers only."""
 
     def __init__(self, n_texts: int):
         self.starts, self.sizes = np.zeros(n_texts, dtype=np.int64), np.zeros(n_texts, dtype=np.int32)
-        self.words: dict[bytes, int] = {}
-        self.codes = np.empty(1 << 16, dtype=np.int32)
+        self.added: list[tuple[np.ndarray, pa.Array]] = []
         self.n_codes = 0
-        self.seen = np.empty(0, dtype=bool)
-
-    def add(self, numbers: np.ndarray, sizes: np.ndarray, codes: np.ndarray, words: list[bytes]) -> None:
-        code_of = np.fromiter((self.words.setdefault(w, len(self.words)) for w in words), np.int32, len(words))
-        end = self.n_codes + len(codes)
-        if end > len(self.codes):
-            self.codes = np.concatenate([self.codes[: self.n_codes], np.empty(max(end, len(self.codes) * 3 // 2) - self.n_codes, dtype=np.int32)])
-        self.codes[self.n_codes : end] = code_of[codes]
+        self.codes: np.ndarray | None = None
+        self.marks = np.zeros(0, dtype=np.int32)
+        self.seen = np.zeros(0, dtype=bool)
+
+    def add(self, numbers: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray, words: bytes) -> None:
         self.starts[numbers] = self.n_codes + np.cumsum(sizes, dtype=np.int64) - sizes
         self.sizes[numbers] = sizes
-        self.n_codes = end
+        self.n_codes += len(codes)
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        listed = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+        self.added.append((codes.copy(), listed))
+
+    def _number(self) -> None:
+        """Equal words of all lists get one number."""
+        self.codes = np.empty(self.n_codes, dtype=np.int32)
+        if not self.added:
+            return
+        coded = pa.concat_arrays([words for _, words in self.added]).dictionary_encode()
+        number_of = coded.indices.to_numpy()
+        at = first = 0
+        for codes, words in self.added:
+            self.codes[at : at + len(codes)] = number_of[first + codes]
+            at, first = at + len(codes), first + len(words)
+        self.marks = np.zeros(len(coded.dictionary), dtype=np.int32)
+        self.added.clear()
 
     def common(self, asked: np.ndarray, met: np.ndarray) -> np.ndarray:
         """How many terms the texts of each pair share; ``asked`` rises.
 
-        The terms of some texts of ``asked`` are marked in a row of cells each; those of ``met`` look at them.
+        The terms of some texts of ``asked`` get a mark each, and each of these texts a row with a cell for each
+        mark. The terms of ``met`` look at the cells; 0 is the mark of a term that none of the texts has.
         """
-        width = max(1, len(self.words))
-        rows = max(1, _CELLS // width)
-        if len(self.seen) < rows * width:
-            self.seen = np.zeros(rows * width, dtype=bool)
+        if self.codes is None:
+            self._number()
         out = np.zeros(len(asked), dtype=np.int32)
         first = np.diff(asked, prepend=-1) > 0
         row = np.cumsum(first) - 1
-        work = np.cumsum(self.sizes[met] + np.where(first, self.sizes[asked], 0), dtype=np.int64)
+        to_mark = np.cumsum(np.where(first, self.sizes[asked], 0), dtype=np.int64)
+        to_see = np.cumsum(self.sizes[met], dtype=np.int64)
         start = 0
         while start < len(asked):
-            before = work[start - 1] if start else 0
-            end = min(np.searchsorted(work, before + _LOOKED_UP, "right"), np.searchsorted(row, row[start] + rows))
+            end = min(
+                np.searchsorted(row, row[start] + _QUERIES),
+                np.searchsorted(to_mark, to_mark[start] - self.sizes[asked[start]] + _MARKED, "right"),
+                np.searchsorted(to_see, to_see[start] - self.sizes[met[start]] + _LOOKED_UP, "right"),
+            )
             end = max(start + 1, int(end))
             own = row[start:end] - row[start]
-            texts = asked[start:end][np.diff(own, prepend=-1) > 0]
-            marked = self._cells(texts, np.arange(len(texts)) * width)
-            self.seen[marked] = True
-            hits = np.concatenate([[0], np.cumsum(self.seen[self._cells(met[start:end], own * width)])])
-            self.seen[marked] = False
-            ends = np.cumsum(self.sizes[met[start:end]], dtype=np.int64)
-            out[start:end] = hits[ends] - hits[ends - self.sizes[met[start:end]]]
+            texts, others = asked[start:end][np.diff(own, prepend=-1) > 0], met[start:end]
+            marked = self._terms(texts)
+            width = len(marked) + 1
+            self.marks[marked] = np.arange(1, width, dtype=np.int32)
+            if len(self.seen) < len(texts) * width:
+                self.seen = np.zeros(len(texts) * width, dtype=bool)
+            cells = np.repeat(np.arange(len(texts)) * width, self.sizes[texts]) + self.marks[marked]
+            self.seen[cells] = True
+            sizes = self.sizes[others]
+            hits = self.seen[np.repeat(own * width, sizes) + self.marks[self._terms(others)]]
+            hits = np.concatenate([[0], np.cumsum(hits)])
+            self.seen[cells], self.marks[marked] = False, 0
+            ends = np.cumsum(sizes, dtype=np.int64)
+            out[start:end] = hits[ends] - hits[ends - sizes]
             start = end
         return out
 
-    def _cells(self, texts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Cells of the terms of ``texts``, each counted from the start of its row."""
+    def _terms(self, texts: np.ndarray) -> np.ndarray:
+        """The terms of ``texts``, one text after the other."""
         sizes = self.sizes[texts]
         before = np.cumsum(sizes, dtype=np.int64) - sizes
-        cells = self.codes[np.arange(sizes.sum(dtype=np.int64)) + np.repeat(self.starts[texts] - before, sizes)]
-        return cells + np.repeat(rows, sizes)
+        return self.codes[np.arange(sizes.sum(dtype=np.int64)) + np.repeat(self.starts[texts] - before, sizes)]
 
 
 def _counted(dealt: DataFrame, slices: DataFrame, n_parts: int, n_texts: int) -> DataFrame:
     """``slice, counts``: the common terms of each pair of a slice in one part."""
-    names = ["numbers", "sizes", "codes", "words"]
-    held = dealt.select("part", F.lit(None).cast("bigint").alias("slice"), *names)
-    empty = F.lit(None).cast("binary")
+    held = dealt.select("part", F.lit(None).cast("bigint").alias("slice"), *_DEALT_COLUMNS)
     over = F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))
-    met = slices.select(over.alias("part"), "slice", F.col("q_number").alias("numbers"), F.col("number").alias("sizes"), empty.alias("codes"), empty.alias("words"))
+    empty = [F.lit(None).cast("binary").alias(name) for name in _DEALT_COLUMNS[2:]]
+    met = slices.select(over.alias("part"), "slice", F.col("q_number").alias("numbers"), F.col("number").alias("sizes"), *empty)
     both = held.unionByName(met).repartitionById(n_parts, F.col("part")).sortWithinPartitions(F.col("slice").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(n_texts)
         for batch in batches:
-            for number, *columns in zip(batch.column("slice").to_pylist(), *[batch.column(name) for name in names], strict=True):
-                first, second = (np.frombuffer(c.as_buffer(), dtype=np.int32) for c in columns[:2])
+            for number, *columns in zip(batch.column("slice").to_pylist(), *[batch.column(name) for name in _DEALT_COLUMNS], strict=True):
                 if number is None:
-                    held.add(first, second, np.frombuffer(columns[2].as_buffer(), dtype=np.int32), columns[3].as_py().split(b" "))
+                    held.add(*[np.frombuffer(c.as_buffer(), dtype=np.int32) for c in columns[:4]], columns[4].as_py())
                     continue
+                first, second = (np.frombuffer(c.as_buffer(), dtype=np.int32) for c in columns[:2])
                 counts = held.common(first, second)
                 if counts.any():
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["slice", "counts"])

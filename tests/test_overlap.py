@@ -36,21 +36,25 @@ def test_rescoring_of_no_pairs_and_of_ids_that_are_numbers(spark):
 
 
 def test_blocks_of_pairs_count_like_sets(monkeypatch):
-    """More queries than cells, a text longer than a look-up, texts that have no term of the part."""
-    monkeypatch.setattr(overlap, "_CELLS", 90)
-    monkeypatch.setattr(overlap, "_LOOKED_UP", 25)
+    """More queries and terms than a look-up takes, texts longer than one, texts that have no term of the part."""
     draw = random.Random(4)
     words = [f"w{i}".encode() for i in range(40)]
     sets = [set(draw.sample(range(40), draw.choice([0, 1, 5, 38]))) for _ in range(30)]
-    held = overlap._Held(30)
-    for numbers in ([*range(20, 30)], [*range(15)]):  # 15 to 19 have no terms at all
-        listed = words[::-1] if numbers[0] else words
-        codes = [listed.index(words[c]) for n in numbers for c in sorted(sets[n])]
-        held.add(np.array(numbers), np.array([len(sets[n]) for n in numbers]), np.array(codes, dtype=np.int32), listed)
+    sets[15:20] = [set()] * 5
     pairs = sorted((draw.randrange(30), draw.randrange(30)) for _ in range(400))
     asked, met = np.array(pairs).T
-    sets[15:20] = [set()] * 5
-    assert held.common(asked, met).tolist() == [len(sets[a] & sets[b]) for a, b in pairs]
+    for queries, marked, looked_up in ((4, 1000, 1000), (100, 30, 1000), (100, 1000, 25)):
+        monkeypatch.setattr(overlap, "_QUERIES", queries)
+        monkeypatch.setattr(overlap, "_MARKED", marked)
+        monkeypatch.setattr(overlap, "_LOOKED_UP", looked_up)
+        held = overlap._Held(30)
+        for numbers in ([*range(20, 30)], [*range(15)]):  # 15 to 19 are not added
+            listed = words[::-1] if numbers[0] else words
+            codes = [listed.index(words[c]) for n in numbers for c in sorted(sets[n])]
+            sizes, lengths = [len(sets[n]) for n in numbers], [len(w) for w in listed]
+            held.add(*[np.array(column, dtype=np.int32) for column in (numbers, sizes, codes, lengths)], b"".join(listed))
+        assert held.common(asked, met).tolist() == [len(sets[a] & sets[b]) for a, b in pairs]
+    assert overlap._Held(30).common(asked, met).tolist() == [0] * 400
 
 
 def test_tokens_are_not_copied_for_each_pair(spark):
