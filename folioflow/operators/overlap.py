@@ -87,8 +87,12 @@ def _term_sets(texts: DataFrame, asked: np.ndarray | None) -> DataFrame:
                 batch = batch.filter(pa.array(found))
             if not batch.num_rows:
                 continue
-            sets = [set((text.as_py() or b"").split()) for text in batch.column("text")]
-            columns = [batch.column("id"), pa.array([b" ".join(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+            listed, sizes = [], []
+            for text in batch.column("text"):
+                terms = set((text.as_py() or b"").split())
+                listed.append(b" ".join(terms))
+                sizes.append(len(terms))
+            columns = [batch.column("id"), pa.array(listed, pa.binary()), pa.array(sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "terms", "size"])
 
     kind = texts.schema["id"].dataType.simpleString()
